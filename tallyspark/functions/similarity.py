@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions.text import WHITESPACE, strip
 
@@ -57,7 +58,7 @@ def lcs_lengths(left: pd.Series, right: pd.Series, chunk_cells: int = 1 << 21) -
     return result
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(lcs_lengths(left, right))
 

@@ -148,7 +148,7 @@ def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     def cells(names: list[str]) -> Column:
         quoted = [F.concat(F.lit('"'), F.coalesce(F.col(f"`{n}`"), F.lit("")), F.lit('"'))
                   if n.startswith("Paid") else F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]
-        return F.concat_ws(sep, *quoted)
+        return F.call_function("concat_ws", sep, *quoted)
 
     rows = rows.withColumns({"Payee": F.col("Description"), "Sum": F.col("Value")})
     extra = F.when(F.col("l_discount") == 0.1, F.concat(sep, F.lit("extra"))).otherwise("")
@@ -158,7 +158,7 @@ def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name").select(
         file.alias("f"), F.explode(F.array(
             F.concat(F.lit("Statement update for "), "s_name"),
-            per_layout(lambda names: F.concat_ws(sep, *[F.lit(n) for n in names])))).alias("line"),
+            per_layout(lambda names: F.call_function("concat_ws", sep, *[F.lit(n) for n in names])))).alias("line"),
         F.lit(-1).cast("long").alias("block_start")).withColumn(
         "line_idx", F.when(F.startswith("line", F.lit("Statement")), 0).otherwise(1).cast("long"))
     name = F.concat(F.lit("supplier_"), F.col("f").cast("string"), F.lit(".csv"))
