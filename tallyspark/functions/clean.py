@@ -1,7 +1,8 @@
 """Parsing of the date and amount texts found in statements.
 
-No expression here can raise under ANSI mode, and numeric dates are parsed by rewriting them to ISO
-order and casting, which avoids a formatter exception for every row that does not fit a format.
+No expression here can raise under ANSI mode. Dates of all shapes are first rewritten to
+year-month-day order and then cast, as a chain in which each step uses the one before once: the
+generated code stays small enough to be compiled, and no row pays for a formatter exception.
 """
 
 from __future__ import annotations
@@ -12,81 +13,69 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import strip
 from tallyspark.schema import MONEY
 
-# Accepted English month names.
-MONTH_ABBR = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-MONTH_FULL = ["january", "february", "march", "april", "may", "june",
-              "july", "august", "september", "october", "november", "december"]
-
-_TIME_SUFFIX = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?$"
-_NUMERIC = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$"
-_ISO = r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_DAY_NAME = r"^(?:[A-Za-z]{3,9},? +)?(\d{1,2})(?:st|nd|rd|th)?[ \-/.]*([A-Za-z]{3,9})[ \-/.,]*(\d{4}|\d{2})$"
-_NAME_DAY = r"^([A-Za-z]{3,9})[ \-/.]*(\d{1,2})(?:st|nd|rd|th)?[ ,\-/.]+(\d{4}|\d{2})$"
-
-
-def _full_year(year: Column) -> Column:
-    """Two-digit years fall within fifty years of today."""
-    number = year.try_cast("int")
-    yy = number + 2000
-    return F.when(F.length(year) == 4, number).otherwise(
-        F.when(yy >= F.year(F.current_date()) + 50, yy - 100).otherwise(yy))
-
-
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    iso = F.concat_ws("-", F.lpad(_full_year(year).cast("string"), 4, "0"),
-                      month.cast("string"), day.cast("string"))
-    return iso.try_cast("date")
-
-
-def _month_number(name: Column) -> Column:
-    key = F.lower(name)
-    abbr = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBR]), key)
-    full = F.array_position(F.array(*[F.lit(m) for m in MONTH_FULL]), key)
-    return F.when(key == "sept", F.lit(9)).otherwise(
-        F.nullif(F.greatest(abbr, full).cast("int"), F.lit(0)))
+# English month names and what may follow their first three letters.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = (r"(?=(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+          r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?![a-z]))([a-z]{3})[a-z]*")
+
+_TIME = r"[t ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[ap]m)?(?:z|[+-]\d{2}:?\d{2})?$"
+# Each shape with its rewriting to year-month-day; a text of another shape is left as it is.
+_SHAPES = [
+    (_TIME, ""),
+    (r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$", "$3-$2-$1"),
+    (r"^(\d{4})[/.]?(\d{2}|(?<=[/.])\d)[/.]?(\d{2}|(?<=[/.])\d)$", "$1-$2-$3"),
+    (r"^(?:[a-z]{3,9},? +)?(\d{1,2})(?:st|nd|rd|th)?[ \-/.]*" + _MONTH + r"[ \-/.,]*(\d{4}|\d{2})$", "$3-$2-$1"),
+    (r"^" + _MONTH + r"[ \-/.]*(\d{1,2})(?:st|nd|rd|th)?[ ,\-/.]+(\d{4}|\d{2})$", "$3-$1-$2"),
+]
+_YMD = r"^(\d{4}|\d{2})-(\d{1,2}|[a-z]{3})-(\d{1,2})$"
+
+
+def _in_order(c: Column) -> Column:
+    """``year-month-day`` with the month as number or three letters, as the one element of an array;
+    an empty array for any other text."""
+    text = F.lower(strip(c.cast("string")))
+    for shape, order in _SHAPES:
+        text = F.regexp_replace(text, shape, order)
+    return F.regexp_extract_all(text, F.lit(_YMD), F.lit(0))
+
+
+def _to_date(text: Column) -> Column:
+    year, month, day = (F.split_part(text, F.lit("-"), F.lit(n)) for n in (1, 2, 3))
+    number = year.cast("int")
+    # Two-digit years fall within fifty years of today.
+    near = F.when(number + 2000 >= F.year(F.current_date()) + 50, number + 1900).otherwise(number + 2000)
+    full = F.when(F.length(year) == 4, year).otherwise(near.cast("string"))
+    named = F.floor((F.instr(F.lit(MONTHS), month) + 2) / 3).cast("string")
+    in_letters = F.length(month) == 3
+    day_first = F.concat_ws("-", full, F.when(in_letters, named).otherwise(month), day).try_cast("date")
+    month_first = F.when(~in_letters, F.concat_ws("-", full, day, month).try_cast("date"))
+    return F.coalesce(day_first, month_first)
 
 
 def parse_date(c: Column) -> Column:
     """Day-first date; month-first only where day-first is impossible; null when unparseable."""
-    text = F.regexp_replace(strip(c.cast("string")), _TIME_SUFFIX, "")
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    first, second, year = (part(_NUMERIC, g) for g in (1, 2, 3))
-    numeric = F.coalesce(_ymd(year, second, first), _ymd(year, first, second))
-    iso = _ymd(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3))
-    compact = _ymd(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3))
-    day_name = _ymd(part(_DAY_NAME, 3), _month_number(part(_DAY_NAME, 2)), part(_DAY_NAME, 1))
-    name_day = _ymd(part(_NAME_DAY, 3), _month_number(part(_NAME_DAY, 1)), part(_NAME_DAY, 2))
-    return (
-        F.when(text.rlike(_NUMERIC), numeric)
-        .when(text.rlike(_ISO), iso)
-        .when(text.rlike(_COMPACT), compact)
-        .when(text.rlike(_DAY_NAME), day_name)
-        .when(text.rlike(_NAME_DAY), name_day)
-    )
+    return F.get(F.transform(_in_order(c), _to_date), F.lit(0))
 
 
-def _digits(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "")
+def amount_digits(c: Column) -> Column:
+    """Digits, dots and dashes of an amount text."""
+    return F.regexp_replace(c.cast("string"), r"[^0-9.\-]+", "")
 
 
 def signed_amount(c: Column) -> Column:
     """Signed amount of a text or number; blank gives 0, text without a readable number gives null."""
     blank = c.isNull() | (strip(c.cast("string")) == "")
-    return F.when(blank, F.lit(0).cast(MONEY)).otherwise(_digits(c).try_cast(MONEY))
+    return F.when(blank, F.lit(0).cast(MONEY)).otherwise(amount_digits(c).try_cast(MONEY))
 
 
 def clean_currency(c: Column) -> Column:
     """Unsigned amount; whatever cannot be read counts as 0 and the row stays."""
-    return F.coalesce(F.abs(_digits(c).try_cast(MONEY)), F.lit(0).cast(MONEY))
+    return F.coalesce(F.abs(amount_digits(c).try_cast(MONEY)), F.lit(0).cast(MONEY))
 
 
 def currency_warning(c: Column) -> Column:
     """True where digits, dots or dashes were present but did not form a number."""
-    digits = _digits(c)
+    digits = amount_digits(c)
     return F.coalesce((digits != "") & digits.try_cast(MONEY).isNull(), F.lit(False))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.clean import clean_currency, currency_warning, parse_date, signed_amount
+from tallyspark.functions.clean import amount_digits, parse_date
 from tallyspark.functions.text import or_blank, strip
 from tallyspark.schema import MONEY, UNCATEGORIZED, missing_columns
 
@@ -45,47 +45,66 @@ def _cell(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _sides(amount: Column) -> tuple[Column, Column]:
-    """Positive amounts are spent, negative ones come back."""
-    zero = F.lit(0).cast(MONEY)
-    return F.greatest(amount, zero), F.greatest(-amount, zero)
+def _is(*layouts: str) -> Column:
+    return F.col("layout").isin(*layouts)
+
 
+def _label_and_text(df: DataFrame) -> DataFrame:
+    """``_label``: the transaction type where it belongs before the description; ``_text``: the rest."""
+    kind = strip(F.when(_is("Natwest"), _cell("Type")).when(_is("Nationwide"), _cell("Transaction type")))
+    prefixed = (_is("Natwest") & kind.isin(*NATWEST_PREFIXED)) | (_is("Nationwide") & kind.isin(*NATIONWIDE_PREFIXED))
+    note = F.when(_is("Aqua"), F.concat(F.lit(" "), or_blank(_cell("Note")))).otherwise("")
+    return df.withColumns({
+        "_label": F.when(prefixed, F.concat(kind, F.lit(": "))).otherwise(""),
+        "_text": strip(F.concat(or_blank(_cell("Description")), note)),
+    })
 
-def _prefixed(kind: str, types: list[str]) -> Column:
-    label, text = strip(or_blank(_cell(kind))), strip(or_blank(_cell("Description")))
-    return F.when(label.isin(*types), F.concat(label, F.lit(": "), text)).otherwise(text)
 
+def _numbers(df: DataFrame) -> DataFrame:
+    """The amount cells of whichever layout as numbers: ``_out`` (or the signed amount) and ``_in``."""
+    first = (F.when(_is("Aqua"), _cell("Amount(GBP)")).when(_is("Natwest"), _cell("Value"))
+             .when(_is("Nationwide"), _cell("Paid out")))
+    second = F.when(_is("Nationwide"), _cell("Paid in"))
+    df = df.withColumns({"_blank": or_blank(strip(first)) == "",
+                         "_out_digits": or_blank(amount_digits(first)), "_in_digits": or_blank(amount_digits(second))})
+    df = df.withColumns({"_out": F.col("_out_digits").try_cast(MONEY), "_in": F.col("_in_digits").try_cast(MONEY)})
+    return df.withColumn("_warning", ((F.col("_out_digits") != "") & F.col("_out").isNull())
+                         | ((F.col("_in_digits") != "") & F.col("_in").isNull()))
 
-def _values(layout: str) -> dict[str, Column]:
-    """Staged values of one layout; an unreadable signed amount gives null on both sides."""
-    if layout == "Nationwide":
-        out, into = _cell("Paid out"), _cell("Paid in")
-        return {"description": _prefixed("Transaction type", NATIONWIDE_PREFIXED),
-                "paid_out": clean_currency(out), "paid_in": clean_currency(into),
-                "currency_warning": currency_warning(out) | currency_warning(into)}
-    raw = _cell("Amount(GBP)" if layout == "Aqua" else "Value")
-    out, into = _sides(signed_amount(raw))
-    text = (strip(F.concat(or_blank(_cell("Description")), F.lit(" "), or_blank(_cell("Note"))))
-            if layout == "Aqua" else _prefixed("Type", NATWEST_PREFIXED))
-    return {"description": text, "paid_out": out, "paid_in": into, "currency_warning": currency_warning(raw)}
 
+def standardize(raw: DataFrame) -> DataFrame:
+    """Rows of all layouts at once, told apart by the column ``layout``.
 
-def _staged(values: dict[str, Column], layout: Column, account: Column) -> dict[str, Column]:
-    return {"date": parse_date(_cell("Date")), "description": values["description"],
-            "paid_out": values["paid_out"], "paid_in": values["paid_in"], "source": layout,
-            "account_type": account, "category": F.lit(UNCATEGORIZED), "subcategory": F.lit(""),
-            "currency_warning": values["currency_warning"]}
+    Positive signed amounts are spent, negative ones come back; an unreadable signed amount leaves
+    both sides null, an unreadable unsigned one counts as 0. Each cell is parsed once, whatever its
+    layout. Columns that no layout reads are carried along.
+    """
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing_columns(raw, CELLS)})
+    raw = raw.withColumn("_date", parse_date(_cell("Date")))
+    df = _numbers(_label_and_text(raw))
+    zero = F.lit(0).cast(MONEY)
+    signed = F.when(F.col("_blank"), zero).otherwise(F.col("_out"))
+    unsigned = _is("Nationwide")
+    known = F.col("layout").isNotNull()
+    out = F.when(unsigned, F.coalesce(F.abs("_out"), zero)).when(signed.isNotNull(), F.greatest(signed, zero))
+    into = F.when(unsigned, F.coalesce(F.abs("_in"), zero)).when(signed.isNotNull(), F.greatest(-signed, zero))
+    account = F.when(_is(*[n for n, t in ACCOUNT_TYPES.items() if t == "Credit"]), "Credit").when(known, "Debit")
+    staged = {
+        "date": F.col("_date"), "description": F.when(known, F.concat("_label", "_text")),
+        "paid_out": F.when(known, out).cast(MONEY), "paid_in": F.when(known, into).cast(MONEY),
+        "source": F.col("layout"), "account_type": account, "category": F.lit(UNCATEGORIZED),
+        "subcategory": F.lit(""), "currency_warning": F.when(known, F.col("_warning")),
+    }
+    read = {*CELLS, *sum(LAYOUTS.values(), []), "layout", *staged}
+    return df.select(*[v.alias(n) for n, v in staged.items()],
+                     *[_cell(c) for c in raw.columns if c not in read and c != "_date"])
 
 
 def _normalize(df: DataFrame, layout: str) -> DataFrame:
-    """One layout; columns that are neither cells nor staged values are carried along."""
     lacking = missing_columns(df, LAYOUTS[layout])
     if lacking:
         raise ValueError(f"not a {layout} statement, missing {lacking}")
-    df = df.withColumns({c: F.lit(None).cast("string") for c in missing_columns(df, CELLS)})
-    staged = _staged(_values(layout), F.lit(layout), F.lit(ACCOUNT_TYPES[layout]))
-    carried = [c for c in df.columns if c not in CELLS and c not in staged and c not in sum(LAYOUTS.values(), [])]
-    return df.select(*[v.alias(n) for n, v in staged.items()], *[_cell(c) for c in carried])
+    return standardize(df.withColumn("layout", F.lit(layout)))
 
 
 def normalize_aqua(df: DataFrame) -> DataFrame:
@@ -100,23 +119,6 @@ def normalize_nationwide(df: DataFrame) -> DataFrame:
     return _normalize(df, "Nationwide")
 
 
-def standardize(raw: DataFrame) -> DataFrame:
-    """Rows of all layouts at once, told apart by the column ``layout``, in one projection."""
-    raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing_columns(raw, CELLS)})
-    per = {name: _values(name) for name in LAYOUTS}
-
-    def pick(options: dict[str, Column]) -> Column:
-        first, *others = options.items()
-        return reduce(lambda case, o: case.when(F.col("layout") == o[0], o[1]), others,
-                      F.when(F.col("layout") == first[0], first[1]))
-
-    values = {v: pick({n: per[n][v] for n in LAYOUTS}) for v in per["Aqua"]}
-    account = pick({n: F.lit(a) for n, a in ACCOUNT_TYPES.items()})
-    staged = _staged(values, F.col("layout"), account)
-    carried = [c for c in raw.columns if c not in CELLS and c not in staged and c != "layout"]
-    return raw.select(*[v.alias(n) for n, v in staged.items()], *[_cell(c) for c in carried])
-
-
 def validate_rows(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with ``reject_reason``)."""
     checked = with_reject_reason(staged)

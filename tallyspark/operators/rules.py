@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +96,8 @@ def _pieces(texts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def winners(hits: DataFrame, column: str = "description") -> DataFrame:
     """The best hit per description: highest score, then the earliest rule."""
-    order = Window.partitionBy(column).orderBy(F.desc("score"), "kind", "rule_ord", "alias_ord")
+    order = Window.partitionBy(column).orderBy(
+        F.desc("score"), "kind", "rule_ord", "alias_ord", "match_text")
     return (hits.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
             .select(column, "category", "subcategory", "type", "rule_match",
                     F.col("score").alias("confidence")))
@@ -109,8 +108,8 @@ def categorize(txn: DataFrame, merchants: DataFrame, patterns: DataFrame, *,
     """Category, subcategory, type, matched rule and score for every transaction.
 
     A rule set of at most ``inline_rules`` texts becomes one expression evaluated on each row, so
-    the transactions are neither shuffled nor joined. A larger one is matched on the distinct
-    descriptions and joined back.
+    the transactions are not shuffled. A larger one is matched on the distinct descriptions and
+    joined back.
     """
     if rules is None:
         rules = rule_table(merchants, patterns)
@@ -120,31 +119,33 @@ def categorize(txn: DataFrame, merchants: DataFrame, patterns: DataFrame, *,
     return _categorize_by_join(txn, rules)
 
 
-def _default(name: str) -> Column:
-    values = {"category": UNCATEGORIZED, "subcategory": "", "type": DEFAULT_TYPE,
-              "rule_match": NO_MATCH, "confidence": 0}
-    return F.lit(values[name])
+def _outcome(category=UNCATEGORIZED, subcategory="", kind=DEFAULT_TYPE, match=NO_MATCH, score=0) -> tuple:
+    return category, subcategory, kind, match, score
 
 
 def _categorize_inline(txn: DataFrame, listed: list) -> DataFrame:
-    ranked = sorted(listed, key=lambda r: (-r["score"], r["kind"], r["rule_ord"], r["alias_ord"]))
-    # The first text found in this order is the winner, so one CASE returns its position.
-    key = F.col("_text_key")
-    position = reduce(lambda case, r: case.when(F.contains(key, F.lit(r[1]["match_text"])), F.lit(r[0])),
-                      enumerate(ranked), F.when(key.isNull() | (key == ""), F.lit(-1)))
-    outcomes = {name: [r["score"] if name == "confidence" else r[name] for r in ranked] for name in _WINNER}
+    ranked = sorted(listed, key=lambda r: (-r["score"], r["kind"], r["rule_ord"], r["alias_ord"], r["match_text"]))
+    outcomes = [(0, *_outcome())] + [
+        (i, *_outcome(r["category"], r["subcategory"], r["type"], r["rule_match"], r["score"]))
+        for i, r in enumerate(ranked, 1)]
+    # The outcomes number at most ``inline_rules`` + 1. Joined and not looked up by expression, they
+    # let a later filter on category or type act on them alone; the match is not repeated for it.
+    table = txn.sparkSession.createDataFrame(
+        outcomes, "_position int, category string, subcategory string, type string, rule_match string, confidence int")
     keep = [c for c in txn.columns if c not in _WINNER]
-    placed = (txn.select(*[f"`{c}`" for c in keep], clean_key(F.col("description").cast("string")).alias("_text_key"))
-              .withColumn("_position", position).drop("_text_key"))
-    if not ranked:
-        return placed.withColumns({n: _default(n) for n in _WINNER}).drop("_position")
+    return (txn.select(*[f"`{c}`" for c in keep], _first_match(F.col("description"), ranked).alias("_position"))
+            .join(F.broadcast(table), "_position").select(*keep, *_WINNER))
 
-    def outcome(name: str) -> Column:
-        values = F.array(*[F.lit(v) for v in outcomes[name]])
-        found = F.when(F.col("_position") >= 0, F.get(values, F.col("_position")))
-        return F.when(F.col("_position").isNull() | (F.col("_position") < 0), _default(name)).otherwise(found)
 
-    return placed.withColumns({n: outcome(n) for n in _WINNER}).drop("_position")
+def _first_match(description: Column, ranked: list) -> Column:
+    """Place of the first rule, best first, whose text the description contains; 0 if there is none."""
+    if not ranked:
+        return F.lit(0)
+    key = F.coalesce(clean_key(description.cast("string")), F.lit(""))
+    texts = F.array(*[F.lit(r["match_text"]) for r in ranked])
+    found = F.transform(F.array(key), lambda k: F.array_position(
+        F.transform(texts, lambda text: F.contains(k, text)), F.lit(True)))
+    return F.get(found, F.lit(0)).cast("int")
 
 
 def _categorize_by_join(txn: DataFrame, rules: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def _categorize_by_join(txn: DataFrame, rules: DataFrame) -> DataFrame:
     best = winners(match_rules(keyed.select("description"), rules)).withColumnRenamed("description", "_text_key")
     best = best.withColumn("_hit", F.lit(True))
     joined = lookup_join(keyed, best, "_text_key")
-    filled = {n: F.when(F.col("_hit"), F.col(n)).otherwise(_default(n)) for n in _WINNER}
+    filled = {n: F.when(F.col("_hit"), F.col(n)).otherwise(F.lit(v)) for n, v in zip(_WINNER, _outcome())}
     return joined.withColumns(filled).select(*keep, *_WINNER)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import strip
 from tallyspark.operators.layouts import CELLS, identify_layout, standardize, with_reject_reason
-from tallyspark.operators.scale import lookup_join
+from tallyspark.operators.scale import cut_lineage, lookup_join
 
 HEADER_SCAN_DEPTH = 20
 # Separators in the order in which ties are decided.
@@ -112,7 +112,7 @@ def read_statement_lines(lines: DataFrame, depth: int = HEADER_SCAN_DEPTH) -> Da
     lack their last cells. A file may hold any share of the rows, so the file table is broadcast or
     joined with its biggest files kept apart.
     """
-    files = find_header(lines, depth)
+    files = cut_lineage(find_header(lines, depth))
     rows = lookup_join(lines, files, "file_path")
     after = ((F.col("block_start") > F.col("header_block"))
              | ((F.col("block_start") == F.col("header_block")) & (F.col("line_idx") > F.col("header_idx"))))
