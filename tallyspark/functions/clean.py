@@ -33,14 +33,14 @@ _YMD = r"^(\d{4}|\d{2})-(\d{1,2}|[a-z]{3})-(\d{1,2})$"
 def _in_order(c: Column) -> Column:
     """``year-month-day`` with the month as number or three letters, as the one element of an array;
     an empty array for any other text."""
-    text = F.lower(strip(c.cast("string")))
+    text = F.lower(c)
     for shape, order in _SHAPES:
         text = F.regexp_replace(text, shape, order)
     return F.regexp_extract_all(text, F.lit(_YMD), F.lit(0))
 
 
-def _to_date(text: Column) -> Column:
-    year, month, day = (F.split_part(text, F.lit("-"), F.lit(n)) for n in (1, 2, 3))
+def _to_date(parts: Column) -> Column:
+    year, month, day = (F.get(parts, F.lit(n)) for n in range(3))
     number = year.cast("int")
     # Two-digit years fall within fifty years of today.
     near = F.when(number + 2000 >= F.year(F.current_date()) + 50, number + 1900).otherwise(number + 2000)
@@ -53,13 +53,33 @@ def _to_date(text: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Day-first date; month-first only where day-first is impossible; null when unparseable."""
-    return F.get(F.transform(_in_order(c), _to_date), F.lit(0))
+    """Day-first date; month-first only where day-first is impossible; null when unparseable.
+
+    The two usual shapes with ten characters are cut by position, all others go by pattern.
+    """
+    text = strip(c.cast("string"))
+
+    def piece(start: int, length: int) -> Column:
+        return F.substring(text, start, length)
+
+    def date(*parts: Column) -> Column:
+        return F.concat_ws("-", *parts).try_cast("date")
+
+    ten = F.length(text) == 10
+    digits = F.translate(text, "0123456789", "")
+    first, second, year = piece(1, 2), piece(4, 2), piece(7, 4)
+    usual = F.coalesce(date(year, second, first), date(year, first, second))
+    iso = F.coalesce(text.try_cast("date"), date(piece(1, 4), piece(9, 2), piece(6, 2)))
+    parts = F.transform(_in_order(text), lambda t: F.split(t, "-"))
+    other = F.get(F.transform(parts, _to_date), F.lit(0))
+    return (F.when(ten & (piece(3, 1) == "/") & (digits == "//"), usual)
+            .when(ten & (piece(5, 1) == "-") & (digits == "--"), iso)
+            .otherwise(other))
 
 
 def amount_digits(c: Column) -> Column:
-    """Digits, dots and dashes of an amount text."""
-    return F.regexp_replace(c.cast("string"), r"[^0-9.\-]+", "")
+    """Digits, dots and dashes of an amount text; null without any, which also spares the parser."""
+    return F.nullif(F.regexp_replace(c.cast("string"), r"[^0-9.\-]+", ""), F.lit(""))
 
 
 def signed_amount(c: Column) -> Column:
@@ -76,7 +96,7 @@ def clean_currency(c: Column) -> Column:
 def currency_warning(c: Column) -> Column:
     """True where digits, dots or dashes were present but did not form a number."""
     digits = amount_digits(c)
-    return F.coalesce((digits != "") & digits.try_cast(MONEY).isNull(), F.lit(False))
+    return digits.isNotNull() & digits.try_cast(MONEY).isNull()
 
 
 def coerce_amount(c: Column) -> Column:

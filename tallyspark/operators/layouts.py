@@ -66,10 +66,10 @@ def _numbers(df: DataFrame) -> DataFrame:
              .when(_is("Nationwide"), _cell("Paid out")))
     second = F.when(_is("Nationwide"), _cell("Paid in"))
     df = df.withColumns({"_blank": or_blank(strip(first)) == "",
-                         "_out_digits": or_blank(amount_digits(first)), "_in_digits": or_blank(amount_digits(second))})
+                         "_out_digits": amount_digits(first), "_in_digits": amount_digits(second)})
     df = df.withColumns({"_out": F.col("_out_digits").try_cast(MONEY), "_in": F.col("_in_digits").try_cast(MONEY)})
-    return df.withColumn("_warning", ((F.col("_out_digits") != "") & F.col("_out").isNull())
-                         | ((F.col("_in_digits") != "") & F.col("_in").isNull()))
+    return df.withColumn("_warning", (F.col("_out_digits").isNotNull() & F.col("_out").isNull())
+                         | (F.col("_in_digits").isNotNull() & F.col("_in").isNull()))
 
 
 def standardize(raw: DataFrame) -> DataFrame:

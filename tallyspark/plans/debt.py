@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import month_label
+from tallyspark.functions.text import month_label, or_blank
 from tallyspark.schema import DEFAULT_TYPE, FINANCING_TYPE, require_columns
 
 _NEEDED = ["date", "type", "subcategory", "paid_out"]
@@ -22,7 +22,7 @@ def _is_interest() -> Column:
 
 def _with_month(ledger: DataFrame) -> DataFrame:
     df = require_columns(ledger, _NEEDED, on_missing="empty")
-    label = F.col("month") if "month" in df.columns else month_label(F.col("date"))
+    label = or_blank(F.col("month")) if "month" in df.columns else month_label(F.col("date"))
     return df.withColumn("month_str", label)
 
 

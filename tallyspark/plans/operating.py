@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import month_label
+from tallyspark.functions.text import month_label, or_blank
 from tallyspark.schema import DEFAULT_TYPE, P2P_CATEGORY, require_columns
 
 _NEEDED = ["date", "type", "category", "paid_out", "paid_in"]
@@ -14,7 +14,7 @@ _VIEW = ["date", "account", "account_id", "description", "category", "subcategor
 
 def _month(df: DataFrame) -> Column:
     # A stored ledger carries the label as its partition column.
-    return F.col("month") if "month" in df.columns else month_label(F.col("date"))
+    return or_blank(F.col("month")) if "month" in df.columns else month_label(F.col("date"))
 
 
 def _is_spend() -> Column:

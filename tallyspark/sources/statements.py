@@ -42,14 +42,13 @@ def read_raw_files(spark: SparkSession, folder: str, batch_id: int = 0) -> DataF
     return statement_lines(lines, batch_id)
 
 
-def statement_lines(text: DataFrame, batch_id: int | Column = 0) -> DataFrame:
-    """The lines of a text scan that has just been made (batch or stream)."""
-    batch = batch_id if isinstance(batch_id, Column) else F.lit(batch_id)
+def statement_lines(text: DataFrame, batch_id: int = 0) -> DataFrame:
+    """The lines of a text scan, or of one micro-batch of it, not yet shuffled."""
     return (text.select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
         # The scan numbers its rows in order; only the order within a block is used.
-        F.monotonically_increasing_id().alias("line_idx"), batch.cast("long").alias("batch_id"),
+        F.monotonically_increasing_id().alias("line_idx"), F.lit(batch_id).cast("long").alias("batch_id"),
         decode_cp1252(F.col("value")).alias("line"))
         .filter((strip(F.col("line")) != "") & ~F.col("file_name").startswith("~$")))
 

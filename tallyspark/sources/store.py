@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.clean import coerce_amount
-from tallyspark.functions.text import clean_key, month_label
+from tallyspark.functions.text import clean_key, month_label, or_blank
 from tallyspark.operators.merge import new_rows, to_ledger
 from tallyspark.schema import LEDGER, missing_columns
 
@@ -16,8 +16,8 @@ def write_staged(checked: DataFrame, path: str, mode: str = "overwrite") -> None
 
     ``path`` is that of one batch, so writing it again replaces an attempt that was cut short.
     """
-    (checked.withColumn("rejected", F.col("reject_reason").isNotNull())
-     .write.mode(mode).partitionBy("rejected").parquet(path))
+    status = F.when(F.col("reject_reason").isNull(), "valid").otherwise("rejected")
+    checked.withColumn("status", status).write.mode(mode).partitionBy("status").parquet(path)
 
 
 def read_staged(spark: SparkSession, path: str) -> DataFrame:
@@ -26,11 +26,12 @@ def read_staged(spark: SparkSession, path: str) -> DataFrame:
     df = df.toDF(*[c.strip().lower() for c in df.columns])
     if missing_columns(df, ["description"]):
         raise ValueError(f"no description among {df.columns}")
-    return df.filter(~F.col("rejected")).drop("rejected", "reject_reason", "line")
+    return df.filter("status = 'valid'").drop("status", "reject_reason", "line")
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("rejected").select("source_file", "line", "reject_reason", "ingest_seq")
+    return spark.read.parquet(path).filter("status = 'rejected'").select(
+        "source_file", "line", "reject_reason", "ingest_seq")
 
 
 def reject_counts(checked: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger; an empty one when there is none yet."""
     if not table_exists(spark, path):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(path)
+    # A blank partition value is stored as none at all.
+    return spark.read.schema(LEDGER).parquet(path).withColumn("month", or_blank(F.col("month")))
 
 
 def append_ledger(spark: SparkSession, path: str, categorized: DataFrame) -> None:

@@ -7,7 +7,6 @@ done and the append ignores rows that are already there, so a repeated micro-bat
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallyspark.operators.rules import categorize
@@ -20,12 +19,11 @@ def stream_statements(spark: SparkSession, raw: str, staged: str, ledger: str, c
     """A writer to start with the trigger of choice."""
     text = (spark.readStream.format("text").option("pathGlobFilter", "*.[cC][sS][vV]")
             .option("maxFilesPerTrigger", max_files).load(raw).select("value", "_metadata"))
-    lines = statement_lines(text)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         folder = f"{staged.rstrip('/')}/batch={batch_id}"
         session = batch.sparkSession
-        write_staged(stage(batch.withColumn("batch_id", F.lit(batch_id).cast("long"))), folder)
+        write_staged(stage(statement_lines(batch, batch_id)), folder)
         append_ledger(session, ledger, categorize(read_staged(session, folder), merchants, patterns))
 
-    return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return text.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

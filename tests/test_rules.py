@@ -1,0 +1,110 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.operators import rules, scale
+from tallyspark.schema import MERCHANTS, PATTERNS
+from tests.conftest import plan_of
+
+
+def _rules(spark, merchants=(), patterns=()):
+    return (spark.createDataFrame(list(merchants), MERCHANTS), spark.createDataFrame(list(patterns), PATTERNS))
+
+
+def _run(spark, texts, merchants=(), patterns=(), inline=64):
+    m, p = _rules(spark, merchants, patterns)
+    txn = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, description string")
+    out = rules.categorize(txn, m, p, inline_rules=inline).orderBy("n").collect()
+    return [(r.category, r.subcategory, r.type, r.rule_match, r.confidence) for r in out]
+
+
+def _merchant(order, name, category, aliases, subcategory="", kind="operating"):
+    return (order, name.lower(), name, category, subcategory, kind, aliases)
+
+
+NONE = ("Uncategorized", "", "operating", "none", 0)
+
+
+@pytest.mark.parametrize("inline", [64, 0])
+def test_winner(spark, inline):
+    merchants = [_merchant(0, "Shop", "A", [" TESCO ", "", "tesco extra"]), _merchant(1, "Other", "B", ["tesco"])]
+    patterns = [(0, "Stores", "C", None, None, 2.0), (1, "x", "D", None, None, 9.0), (2, "a.c", "E", "s", "transfer", 1.0),
+                (3, "low", "F", None, None, 0.0), (4, "neg", "G", None, None, -1.05)]
+    got = _run(spark, ["Tesco Extra 12", "my TESCO", "tesco stores", "x", "abc", "a.c", "low", "neg", None, "  ", "\t"],
+               merchants, patterns, inline)
+    assert got == [
+        ("A", "", "operating", "merchant:Shop", 160),
+        ("A", "", "operating", "merchant:Shop", 100),       # tie: the earlier merchant
+        ("C", "", "operating", "pattern:stores", 120),
+        NONE, NONE,                                         # too short; a dot is only a dot
+        ("E", "s", "transfer", "pattern:a.c", 30),
+        ("F", "", "operating", "pattern:low", 0),           # no score, yet the only hit
+        ("G", "", "operating", "pattern:neg", -31),         # truncated towards zero
+        NONE, NONE, NONE,
+    ]
+
+
+def test_no_rules(spark):
+    assert _run(spark, ["abc", None]) == [NONE, NONE]
+    assert _run(spark, ["abc", None], inline=-1) == [NONE, NONE]
+
+
+def _expected(text, merchants, patterns):
+    clean = (text or "").strip().lower()
+    best = None
+    for m in merchants:
+        for alias in m[6]:
+            if len(alias) >= 2 and alias in clean:
+                score = len(alias) * 10 + 50
+                if best is None or score > best[4]:
+                    best = (m[3], m[4], m[5], f"merchant:{m[2]}", score)
+    for p in patterns:
+        if len(p[1]) >= 2 and p[1] in clean:
+            score = int(len(p[1]) * 10 * p[5])
+            if best is None or score > best[4]:
+                best = (p[2], p[3], p[4], f"pattern:{p[1]}", score)
+    return best or NONE if clean else NONE
+
+
+def _random_case(seed):
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("abc ") for _ in range(n)).strip() or "aa"
+    merchants = [_merchant(i, f"M{i}", f"cat{i}", [word(rnd.randint(1, 5)) for _ in range(rnd.randint(0, 3))])
+                 for i in range(12)]
+    patterns = [(i, word(rnd.randint(1, 6)), f"pat{i}", "", "operating", rnd.choice([0.35, 1.0, 1.5, 4.0]))
+                for i in range(12)]
+    return [word(rnd.randint(1, 14)) for _ in range(120)], merchants, patterns
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_both_ways_agree_with_a_plain_loop(spark, seed, monkeypatch):
+    texts, merchants, patterns = _random_case(seed)
+    expected = [_expected(t, merchants, patterns) for t in texts]
+    assert _run(spark, texts, merchants, patterns, 1000) == expected
+    assert _run(spark, texts, merchants, patterns, 0) == expected
+    # Nothing may be broadcast: salted join of the pieces, hot keys apart in the join back.
+    monkeypatch.setattr(rules, "is_small", lambda df, n=0: False)
+    monkeypatch.setattr(scale, "is_small", lambda df, n=0: False)
+    assert _run(spark, texts, merchants, patterns, 0) == expected
+
+
+def test_all_hits(spark):
+    texts, merchants, patterns = _random_case(5)
+    m, p = _rules(spark, merchants, patterns)
+    table = rules.rule_table(m, p)
+    txn = spark.createDataFrame([(t,) for t in texts], "description string")
+    hits = rules.match_rules(txn, table)
+    assert "CartesianProduct" not in plan_of(hits) and "NestedLoop" not in plan_of(hits)
+    got = sorted((r.description, r.rule_match, r.match_text) for r in hits.collect())
+    listed = table.collect()
+    expected = sorted((t, r.rule_match, r.match_text) for t in {t.strip().lower() for t in texts}
+                      for r in listed if r.match_text in t)
+    assert got == expected
+
+
+def test_rows_are_not_shuffled_for_few_rules(spark):
+    m, p = _rules(spark, [_merchant(0, "Shop", "A", ["tesco"])])
+    txn = spark.range(10).select(F.col("id"), F.lit("tesco").alias("description"))
+    plan = plan_of(rules.categorize(txn, m, p))
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
