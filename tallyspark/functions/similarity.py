@@ -85,4 +85,5 @@ def may_reach(a: Column, b: Column, threshold: int) -> Column:
     """
     total = F.length(a) + F.length(b)
     lengths = F.least(F.length(a), F.length(b)) * 200 >= total * threshold
-    return lengths & (F.levenshtein(a, b) * 100 <= total * (100 - threshold))
+    most = F.floor(total * (100 - threshold) / 100).cast("int")
+    return lengths & (F.call_function("levenshtein", a, b, most) >= 0)

@@ -39,10 +39,10 @@ def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) ->
 
     Descriptions rank by count, then text. In each round every join key (a rare element of the text,
     see ``similarity_join``) shows its ``front`` lowest ranked undecided texts. A text that is in the
-    front of all its keys has all its possible lower neighbours there: without one it is an anchor.
-    The new anchors, at most ``front`` per key, then meet the texts of their keys, and each text
-    remembers the lowest anchor found. Thus no key ever emits all pairs of its texts, and the result
-    is exactly that of going through the ranks one by one.
+    front of all its keys has all its possible lower neighbours there, which decides whether it is an
+    anchor. The new anchors, at most ``front`` per key, then meet the texts of their keys, and each
+    text remembers the lowest anchor found. Thus no key ever emits all pairs of its texts, and the
+    result is exactly that of going through the ranks one by one.
     """
     texts = freq.select(F.col("description"), "count").withColumn("key", token_sort(F.col("description")))
     texts = cut_lineage(texts)
@@ -71,7 +71,7 @@ def _round(state: DataFrame, blocks: DataFrame, lowest, threshold: int, front: i
     bound = F.struct(F.lit(lowest["neg"]).cast("long").alias("neg"), F.lit(lowest["text"]).alias("text"))
     open_to_change = F.col("owner").isNull() | (F.col("owner") > bound)
     work = blocks.join(state.filter(open_to_change), "key").persist()
-    anchors = cut_lineage(_new_anchors(work.filter("owner is null"), threshold, front))
+    anchors = _new_anchors(work.filter("owner is null"), threshold, front)
     best = _lowest_anchor(work, anchors, threshold)
     chosen = anchors.select("key", F.col("rank").alias("own"))
     updated = (state.join(chosen, "key", "left").join(best, "key", "left")
@@ -88,13 +88,33 @@ def _new_anchors(undecided: DataFrame, threshold: int, front: int) -> DataFrame:
     ready = (shown.groupBy("key").agg(F.count("*").alias("_n"), F.first("keys").alias("_keys"),
                                       F.first("rank").alias("rank"))
              .filter("_n = _keys").select("key", "rank"))
+    ready = cut_lineage(ready)
     higher = shown.join(ready.select("key"), "key", "left_semi")
     lower = shown.select("element", F.col("key").alias("lower_key"), F.col("rank").alias("lower_rank"))
     pairs = (higher.join(lower, "element")
              .filter((F.col("lower_rank") < F.col("rank")) & may_reach(F.col("key"), F.col("lower_key"), threshold))
-             .select("key", "lower_key").distinct())
-    blocked = score_pairs(pairs, "key", "lower_key", threshold).select("key")
-    return ready.join(blocked, "key", "left_anti")
+             .select("key", "rank", "lower_key").distinct())
+    edges = cut_lineage(score_pairs(pairs, "key", "lower_key", threshold).select("key", "rank", "lower_key"))
+    return _resolve(ready, edges)
+
+
+def _resolve(ready: DataFrame, edges: DataFrame) -> DataFrame:
+    """Anchors among the ``ready`` texts, given their similar lower ones.
+
+    A text without any is an anchor, one that is similar to an anchor is not, and texts known not to
+    be anchors stand in nobody's way. Repeated until nothing more follows.
+    """
+    latest = cut_lineage(ready.join(edges.select("key"), "key", "left_anti"))
+    anchors = latest
+    while not edges.isEmpty():
+        covered = edges.join(latest.select(F.col("key").alias("lower_key")), "lower_key", "left_semi").select("key").distinct()
+        free = edges.join(covered, "key", "left_anti")
+        left = cut_lineage(free.join(covered.withColumnRenamed("key", "lower_key"), "lower_key", "left_anti"))
+        latest = cut_lineage(free.select("key", "rank").distinct().join(left.select("key"), "key", "left_anti"))
+        if latest.isEmpty():
+            break
+        anchors, edges = anchors.unionByName(latest), left
+    return anchors
 
 
 def _lowest_anchor(work: DataFrame, anchors: DataFrame, threshold: int) -> DataFrame:

@@ -1,52 +1,47 @@
-"""Similarity join of texts on shared rare character pairs.
+"""Similarity join of texts on shared rare runs of characters.
 
-Texts that reach the threshold have few unmatched characters, hence share most of their character
-pairs. Sorted by rarity, a certain number of the first pairs of the one text must then meet those of
-the other (prefix filtering). Those pairs are the join keys, so no two texts are compared unless they
-share one, and every similar pair is found.
+Texts that reach the threshold have few unmatched characters, hence share many of their runs of three.
+Sorted by rarity, a certain number of the first runs of the one text must then meet those of the other
+(prefix filtering). Those runs are the join keys, so no two texts are compared unless they share one,
+and every similar pair is found.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.similarity import lcs, may_reach, ratio, reaches, token_sort
 
+RUN = 3
+
 
 def _check(threshold: int) -> None:
     if not 1 <= threshold <= 100:
         raise ValueError(f"threshold must be within 1..100, got {threshold}")
 
 
-def _lost_pairs(length: Column | int, t: int):
-    """Most character pairs that a text of ``length`` can lose against a text reaching ``t``.
+def _lost(length: Column, n: int, t: int) -> Column:
+    """Most runs of ``n`` characters a text of ``length`` can lose against a text that reaches ``t``.
 
-    With d unmatched characters here and e there, 2d + e pairs are lost at most, that is
-    2*la + lb - 3*LCS where 2*LCS*100 >= t*(la+lb). The partner's length is chosen at its worst.
+    With d unmatched characters here and e there, n*d + (n-1)*e runs are lost at most, that is
+    n*la + (n-1)*lb - (2n-1)*LCS where 200*LCS >= t*(la+lb). The partner's length is taken at its
+    worst.
     """
-    shortest = F.ceil(length * t / (200 - t))
-    longest = F.floor(length * (200 - t) / F.lit(t))
-    partner = shortest if 3 * t > 200 else longest
-    return F.floor((length * (400 - 3 * t) + partner * (200 - 3 * t)) / F.lit(200))
-
-
-def _lost_chars(length: Column, t: int) -> Column:
-    """As ``_lost_pairs`` for single characters: la - LCS at most, with the shortest partner."""
-    shortest = F.ceil(length * t / (200 - t))
-    return F.floor((length * (200 - t) - shortest * t) / F.lit(200))
-
-
-def _runs(key: Column, n: int) -> Column:
-    return F.array_sort(F.transform(
-        F.sequence(F.lit(1), F.length(key) - (n - 1)), lambda i: F.substring(key, i, F.lit(n))))
+    own, other = 200 * n - (2 * n - 1) * t, 200 * (n - 1) - (2 * n - 1) * t
+    partner = F.ceil(length * t / (200 - t)) if other < 0 else F.floor(length * (200 - t) / t)
+    return F.floor((length * own + partner * other) / 200)
 
 
 def _numbered(texts: DataFrame, n: int, lost: Column) -> DataFrame:
     """Runs of ``n`` characters, numbered where they repeat so that a set stands for a multiset."""
+    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length("key") - (n - 1)),
+                                    lambda i: F.substring(F.col("key"), i, F.lit(n))))
     numbered = F.transform("runs", lambda g, i: F.concat(
         g, F.lit("#"), (i + 1 - F.array_position("runs", g)).cast("string")))
-    return (texts.withColumn("runs", _runs(F.col("key"), n))
+    return (texts.filter(F.length("key") >= n).withColumn("runs", runs)
             .select("key", F.lit(n).alias("kind"), (lost + 1).cast("int").alias("need"),
                     F.explode(numbered).alias("element")))
 
@@ -55,21 +50,24 @@ def elements(keys: DataFrame, threshold: int) -> DataFrame:
     """Rows (key, kind, need, element): all elements of a text, of which the ``need`` rarest of each
     kind are join keys.
 
-    Character pairs do not suffice for texts so short that they may lose all of them. Those also get
-    single characters, which they cannot lose entirely.
+    The elements are runs of ``RUN`` characters. Texts so short that they may lose all of these also
+    get shorter runs, down to single characters, which cannot all be lost. So if two texts both lack
+    safe runs of one length they meet on the next.
     """
     _check(threshold)
     size = F.length("key")
-    lost_pairs, lost_chars = _lost_pairs(size, threshold), _lost_chars(size, threshold)
-    pairs = _numbered(keys.filter(size >= 2), 2, lost_pairs)
-    short = (size == 1) | ((size > 1) & (size - 1 <= lost_pairs))
-    return pairs.unionByName(_numbered(keys.filter(short), 1, lost_chars))
+    rest, parts = keys, []
+    for n in range(RUN, 0, -1):
+        lost = _lost(size, n, threshold)
+        parts.append(_numbered(rest, n, lost))
+        rest = rest.filter(size - (n - 1) <= lost)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rare_elements(all_elements: DataFrame, frequency: DataFrame) -> DataFrame:
     """Rows (key, element, freq) of the join keys. ``frequency`` must be the same for both sides.
 
-    Frequency rows are bounded by the pairs of characters in use; the ranking is per text.
+    Frequency rows are bounded by the runs of three characters in use; the ranking is per text.
     """
     per_text = Window.partitionBy("key", "kind").orderBy("freq", "element")
     return (all_elements.join(frequency, "element")

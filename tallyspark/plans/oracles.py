@@ -34,7 +34,7 @@ merchant_rules(rule_ord, alias_ord, match_text, category, subcategory, type, nam
 _WINNERS = """
 rules AS (
   SELECT 0 AS kind, rule_ord, alias_ord, match_text, category, subcategory, type, 'merchant:' || name AS rule_match,
-    length(match_text) * 10 + 50 AS score FROM merchant_rules
+    CAST(length(match_text) * 10 + 50 AS INTEGER) AS score FROM merchant_rules
   UNION ALL
   SELECT 1, rule_ord, 0, match_text, category, subcategory, type, 'pattern:' || match_text,
     CAST(trunc(length(match_text) * 10 * CAST(weight AS DOUBLE)) AS INTEGER) FROM pattern_rules),
@@ -180,7 +180,7 @@ members AS (
   FROM (SELECT anchor, unnest(taken) AS description FROM walk WHERE anchor IS NOT NULL) m JOIN freq USING (description)),
 clusters AS (SELECT anchor, count(*) AS n_aliases, CAST(sum(count) AS BIGINT) AS count FROM members GROUP BY 1),
 samples AS (
-  SELECT anchor, row_number() OVER (PARTITION BY anchor ORDER BY {_SEQ}) AS sample_no, unc.date, unc.d AS description,
+  SELECT anchor, CAST(row_number() OVER (PARTITION BY anchor ORDER BY {_SEQ}) AS INTEGER) AS sample_no, unc.date, unc.d AS description,
     CAST(paid_out AS DOUBLE) AS paid_out, CAST(paid_in AS DOUBLE) AS paid_in, source
   FROM unc JOIN members ON members.description = unc.d QUALIFY sample_no <= 5)"""
 
@@ -224,8 +224,8 @@ found AS (
   SELECT a, 3, 'alias_fuzzy', 'alias ''' || b || ''' (' || CAST(floor(score) AS INTEGER) || '%)', 0.0, rule_ord, id, name
   FROM top_aliases),
 suggestions AS (
-  SELECT anchor, row_number() OVER (PARTITION BY anchor ORDER BY priority, score DESC, place, info, merchant_id)
-    AS suggestion_no, kind, info, merchant_id, merchant_name
+  SELECT anchor, CAST(row_number() OVER (
+    PARTITION BY anchor ORDER BY priority, score DESC, place, info, merchant_id) AS INTEGER) AS suggestion_no, kind, info, merchant_id, merchant_name
   FROM (SELECT * FROM found QUALIFY row_number() OVER (
     PARTITION BY anchor, merchant_id ORDER BY priority, score DESC, place, info) = 1)),
 decided AS (
