@@ -14,11 +14,10 @@ from tallyspark.functions.similarity import may_reach, token_sort
 from tallyspark.functions.text import clean_key, date_text
 from tallyspark.operators.scale import cut_lineage
 from tallyspark.operators.similarity_join import (
-    element_frequency, elements, rare_elements, score_pairs)
+    copies, element_frequency, elements, rare_elements, salt, score_pairs)
 from tallyspark.schema import UNCATEGORIZED, require_columns
 
 FRONT = 500
-SALTS = 8
 SAMPLE_ROWS = 5
 _SAMPLE = ["date", "description", "paid_out", "paid_in", "source"]
 
@@ -121,8 +120,8 @@ def _lowest_anchor(work: DataFrame, anchors: DataFrame, threshold: int) -> DataF
     """For each text the lowest new anchor it is similar to; hot join keys are spread by a salt."""
     offered = (work.select("element", F.col("key").alias("anchor_key"))
                .join(anchors.select(F.col("key").alias("anchor_key"), F.col("rank").alias("anchor_rank")), "anchor_key")
-               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    targets = work.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+               .select("*", copies()))
+    targets = work.select("*", salt("key"))
     better = (F.col("anchor_rank") < F.col("rank")) & (F.col("owner").isNull() | (F.col("anchor_rank") < F.col("owner")))
     pairs = (targets.join(offered, ["element", "salt"])
              .filter(better & may_reach(F.col("key"), F.col("anchor_key"), threshold))

@@ -48,7 +48,7 @@ def new_rows(ledger: DataFrame, batch: DataFrame, order: str = "ingest_seq") ->
     first = dedupe_keep_first(batch, order).withColumn("month", month_label(F.col("date")))
     if missing_columns(ledger, DEDUPE_KEYS):
         return first
-    months = first.select("month").distinct()
+    months = batch.select(month_label(F.col("date")).alias("month")).distinct()
     known = ledger if "month" in ledger.columns else ledger.withColumn("month", month_label(F.col("date")))
     touched = (known.join(F.broadcast(months), "month", "left_semi")
                .select(*[F.col(k).alias(f"known_{k}") for k in DEDUPE_KEYS]))

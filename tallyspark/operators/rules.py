@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import clean_key, or_blank, strip
-from tallyspark.operators.scale import broadcast_if_small, is_small, lookup_join
+from tallyspark.operators.scale import is_small, lookup_join
 from tallyspark.schema import DEFAULT_TYPE, NO_MATCH, UNCATEGORIZED
 
 POINTS_PER_CHAR = 10
@@ -125,13 +126,14 @@ def _outcome(category=UNCATEGORIZED, subcategory="", kind=DEFAULT_TYPE, match=NO
 
 def _categorize_inline(txn: DataFrame, listed: list) -> DataFrame:
     ranked = sorted(listed, key=lambda r: (-r["score"], r["kind"], r["rule_ord"], r["alias_ord"], r["match_text"]))
-    outcomes = [(0, *_outcome())] + [
-        (i, *_outcome(r["category"], r["subcategory"], r["type"], r["rule_match"], r["score"]))
-        for i, r in enumerate(ranked, 1)]
+    outcomes = [_outcome()] + [
+        _outcome(r["category"], r["subcategory"], r["type"], r["rule_match"], r["score"]) for r in ranked]
     # The outcomes number at most ``inline_rules`` + 1. Joined and not looked up by expression, they
     # let a later filter on category or type act on them alone; the match is not repeated for it.
-    table = txn.sparkSession.createDataFrame(
-        outcomes, "_position int, category string, subcategory string, type string, rule_match string, confidence int")
+    columns = dict(zip(_WINNER, map(list, zip(*outcomes))))
+    table = txn.sparkSession.createDataFrame(pa.table(
+        {"_position": list(range(len(outcomes))), **columns}, pa.schema(
+            [("_position", pa.int32()), *[(n, pa.string()) for n in _WINNER[:4]], ("confidence", pa.int32())])))
     keep = [c for c in txn.columns if c not in _WINNER]
     return (txn.select(*[f"`{c}`" for c in keep], _first_match(F.col("description"), ranked).alias("_position"))
             .join(F.broadcast(table), "_position").select(*keep, *_WINNER))

@@ -27,11 +27,6 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return (measured or 0) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint only when its measured size allows one."""
-    return F.broadcast(df) if is_small(df, max_bytes) else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
@@ -55,23 +50,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join ``rows`` to ``table`` (one row per non-null ``key``) without a hot-key task.
 
     A measured small ``table`` is broadcast and ``rows`` stays where it is. Otherwise the
     ``HOT_KEYS`` most frequent keys are broadcast, the rows they serve are spread evenly over the
     shuffle, and only the rest is matched by hash.
     """
+    table = cut_lineage(table)  # measured and joined, computed once
     if is_small(table):
         return rows.join(F.broadcast(table), key, "left")
-    return _split_hot_keys(rows, table, key, hot)
+    return _split_hot_keys(rows, table, key)
 
 
-def _split_hot_keys(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+def _split_hot_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     values = [c for c in table.columns if c != key]
-    if hot is None:
-        hot = hot_keys(rows, key)
-    hot_values = table.join(F.broadcast(hot.select(key)), key, "left_semi").select(
+    hot_values = table.join(F.broadcast(hot_keys(rows, key)), key, "left_semi").select(
         key, F.struct(*values).alias("_hot"))
     spread = F.concat(F.lit("\0"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
     keyed = rows.join(F.broadcast(hot_values), key, "left").withColumn(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.similarity import lcs, may_reach, ratio, reaches, token_sort
 
 RUN = 3
+SALTS = 8
 
 
 def _check(threshold: int) -> None:
@@ -79,6 +80,16 @@ def element_frequency(all_elements: DataFrame) -> DataFrame:
     return all_elements.groupBy("element").agg(F.count("*").alias("freq"))
 
 
+def salt(key: str) -> Column:
+    """Share of a join key's texts that a text belongs to."""
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def copies() -> Column:
+    """One row per share, for the side that must meet all of them."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
 def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int) -> DataFrame:
     """Pairs whose token-sorted texts reach the threshold, with their score."""
     a, b = F.col(left), F.col(right)
@@ -91,7 +102,8 @@ def similar_pairs(anchors: DataFrame, pool: DataFrame, threshold: int = 85, *,
                   anchor: str = "anchor", text: str = "text") -> DataFrame:
     """Every (anchor, text, score) that reaches the threshold, blank texts excepted.
 
-    Comparison is on the token-sorted form, so texts of equal form are compared once.
+    Comparison is on the token-sorted form, so texts of equal form are compared once. A join key
+    found in very many texts of the pool is spread by a salt.
     """
     _check(threshold)
     left = anchors.select(anchor).distinct().withColumn("key", token_sort(F.col(anchor)))
@@ -99,8 +111,9 @@ def similar_pairs(anchors: DataFrame, pool: DataFrame, threshold: int = 85, *,
     left_el = elements(left.select("key").distinct(), threshold)
     right_el = elements(right.select("key").distinct(), threshold)
     frequency = element_frequency(left_el.unionByName(right_el))
-    candidates = (rare_elements(left_el, frequency).select(F.col("key").alias("key_a"), "element")
-                  .join(rare_elements(right_el, frequency).select(F.col("key").alias("key_b"), "element"), "element")
+    offered = rare_elements(left_el, frequency).select(F.col("key").alias("key_a"), "element", copies())
+    asked = rare_elements(right_el, frequency).select(F.col("key").alias("key_b"), "element", salt("key"))
+    candidates = (offered.join(asked, ["element", "salt"])
                   .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
                   .select("key_a", "key_b").distinct())
     scored = score_pairs(candidates, "key_a", "key_b", threshold)

@@ -14,6 +14,7 @@ def spark():
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
                .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.sql.maxMetadataStringLength", "10000").config("spark.sql.debug.maxToStringFields", "1000")
                .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyspark-tests-"))
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
