@@ -147,7 +147,8 @@ def _first_match(description: Column, ranked: list) -> Column:
     texts = F.array(*[F.lit(r["match_text"]) for r in ranked])
     found = F.transform(F.array(key), lambda k: F.array_position(
         F.transform(texts, lambda text: F.contains(k, text)), F.lit(True)))
-    return F.get(found, F.lit(0)).cast("int")
+    # Never null: a filter for that would run the match a second time.
+    return F.coalesce(F.get(found, F.lit(0)).cast("int"), F.lit(0))
 
 
 def _categorize_by_join(txn: DataFrame, rules: DataFrame) -> DataFrame:
