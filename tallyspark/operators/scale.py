@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +43,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that a lost executor does not replay the plan behind it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = shared_dir(df.sparkSession)
-        context.setCheckpointDir(folder if urlparse(folder).scheme else f"file://{folder}"
-                                 if context.master.startswith("local") else folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -67,7 +64,9 @@ def _split_hot_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     values = [c for c in table.columns if c != key]
     hot_values = table.join(F.broadcast(hot_keys(rows, key)), key, "left_semi").select(
         key, F.struct(*values).alias("_hot"))
-    spread = F.concat(F.lit("\0"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
+    # The same on every attempt of a task; the partition number keeps copies of one row apart.
+    spread = F.concat(F.lit("\0"), F.xxhash64(
+        F.spark_partition_id(), *[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
     keyed = rows.join(F.broadcast(hot_values), key, "left").withColumn(
         "_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
     rest = table.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))

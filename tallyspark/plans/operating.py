@@ -120,9 +120,9 @@ def operating_summary(selection: DataFrame, ledger: DataFrame) -> DataFrame:
               .agg(F.coalesce(F.sum("total_income"), F.lit(0)).alias("total_income")))
     burn = monthly_spend(ledger).agg(
         F.coalesce(F.sum("total_spend").cast("double") / F.count("*"), F.lit(0.0)).alias("avg_monthly_burn"))
-    one = F.lit(1).alias("_one")
-    parts = [p.select("*", one) for p in (spend, income, burn)]
-    return (parts[0].join(parts[1], "_one").join(parts[2], "_one")
+    # Three rows with a figure or two each, brought into one without a join.
+    rows = spend.unionByName(income, allowMissingColumns=True).unionByName(burn, allowMissingColumns=True)
+    return (rows.agg(*[F.max(c).alias(c) for c in rows.columns])
             .select("total_spend", "avg_monthly_burn",
                     _percent(F.col("total_spend"), F.col("total_income")).alias("income_coverage"),
                     F.coalesce("top", F.lit("N/A")).alias("top_category")))

@@ -49,3 +49,19 @@ def test_lineage_is_cut_in_the_named_folder(spark):
     df = scale.cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert "Scan ExistingRDD" in plan_of(df) and df.count() == 5
     assert scale.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_copies_of_one_row_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(scale, "is_small", lambda df, n=0: False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 6400, 1, 64).select(F.lit("same").alias("key"))
+        table = spark.sql("select 'same' as key, 1 as v")
+        joined = scale.lookup_join(rows, table, "key")
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(
+            F.count("*").alias("n"), F.sum("v").alias("v")).collect()]
+        assert sum(sizes) == 6400 and len(sizes) == 4 and max(sizes) < 3200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
