@@ -17,7 +17,7 @@ from tallyspark.operators.similarity_join import (
     copies, element_frequency, elements, rare_elements, salt, score_pairs)
 from tallyspark.schema import UNCATEGORIZED, require_columns
 
-FRONT = 500
+FRONT = 1000
 SAMPLE_ROWS = 5
 _SAMPLE = ["date", "description", "paid_out", "paid_in", "source"]
 

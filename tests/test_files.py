@@ -27,6 +27,8 @@ def _write(folder, names=None):
         if names is None or name in names:
             encoding = "utf-8" if text.startswith("﻿") else "cp1252"
             (folder / name).write_bytes(text.encode(encoding))
+    (folder / "older").mkdir(exist_ok=True)
+    (folder / "older" / "aqua.csv").write_text("Date,Description,Note,Amount(GBP)\n03/04/2024,sub,x,1\n")
     return str(folder)
 
 
