@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import clean_key, or_blank, strip
+from tallyspark.functions.text import clean_key, or_blank
 from tallyspark.operators.scale import is_small, lookup_join
 from tallyspark.schema import DEFAULT_TYPE, NO_MATCH, UNCATEGORIZED
 
