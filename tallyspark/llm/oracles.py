@@ -116,7 +116,19 @@ def _mixing() -> str:
         FROM queued LEFT JOIN taken USING (rank, number)"""
 
 
+_TOPK_SEARCH = """
+    WITH whole AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+    ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
 ORACLES: dict[str, str] = {
+    "op3_topk_search": _TOPK_SEARCH,
     "op4_url_filter": _url_filter(),
     "op6_line_dedup": _line_dedup(),
     "op7_quality_rules": _quality_rules(),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import line_dedup, mixing, quality, simhash, url_filter
+from tallyspark.llm import kd_search, line_dedup, mixing, quality, simhash, url_filter
 
 #: The rules that the query has to apply, longest wins.
 URL_RULES = (
@@ -29,6 +29,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products, among all vectors, of every vector whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return kd_search.top_k(vectors, 5, F.col("vec_id") % 50 == 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, fitting rule and verdict of every page."""
     return url_filter.judge(_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, URL_GLOBS)
@@ -63,5 +69,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_url_filter, op6_line_dedup, op7_quality_rules, op9_mixing, op10_simhash)
+    f.__name__: f for f in (op3_topk_search, op4_url_filter, op6_line_dedup, op7_quality_rules, op9_mixing, op10_simhash)
 }
