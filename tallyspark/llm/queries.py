@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import kd_search, line_dedup, mixing, quality, simhash, url_filter
+from tallyspark.llm import kd_search, lang_id, line_dedup, mixing, quality, simhash, url_filter
+from tallyspark.llm.common import crc_remainder
 
 #: The rules that the query has to apply, longest wins.
 URL_RULES = (
@@ -40,6 +41,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, URL_GLOBS)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; those with remainder 0 are held out from training."""
+    documents = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    remainder = crc_remainder(F.col("doc_id"), 5)
+    model = lang_id.train(documents.filter(remainder != 0))
+    predicted = documents.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"),
+                                 lang_id.predict_column(F.col("text"), model).alias("p"))
+    return predicted.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.accepted")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, lines dropped, and a digest of the remaining text."""
     deduped = line_dedup.dedup_lines(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -69,5 +80,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_topk_search, op4_url_filter, op6_line_dedup, op7_quality_rules, op9_mixing, op10_simhash)
+    f.__name__: f for f in (op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup, op7_quality_rules, op9_mixing, op10_simhash)
 }
