@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import kd_search, lang_id, line_dedup, mixing, quality, simhash, url_filter
+from tallyspark.llm import kd_search, lang_id, license_scan, line_dedup, mixing, quality, simhash, url_filter
 from tallyspark.llm.common import crc_remainder
 
 #: The rules that the query has to apply, longest wins.
@@ -30,6 +30,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses found in every document, with their places."""
+    found = license_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
+                        F.array_sort(F.array_distinct("matches.license")).alias("licenses"), "matches")
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products, among all vectors, of every vector whose id is divisible by 50."""
     vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -80,5 +87,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup, op7_quality_rules, op9_mixing, op10_simhash)
+    f.__name__: f for f in (op2_license_scan, op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup,
+                            op7_quality_rules, op9_mixing, op10_simhash)
 }
