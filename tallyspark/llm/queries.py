@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import kd_search, lang_id, license_scan, line_dedup, mixing, quality, simhash, url_filter
+from tallyspark.llm import kd_search, lang_id, license_scan, line_dedup, lm_score, mixing, quality, simhash, url_filter
 from tallyspark.llm.common import crc_remainder
 
 #: The rules that the query has to apply, longest wins.
@@ -30,6 +30,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and backoff scores of every document; those with remainder 2 are held out from training."""
+    remainder = crc_remainder(F.col("doc_id"), 7)
+    scored = lm_score.score(_table(spark, sf_dir, "documents", "doc_id", "text"), remainder != 2)
+    return scored.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licenses found in every document, with their places."""
     found = license_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -87,6 +95,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup,
+    f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup,
                             op7_quality_rules, op9_mixing, op10_simhash)
 }

@@ -1,0 +1,89 @@
+"""The backoff automaton against a plain one that walks its failure arcs token by token."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import lm_score
+
+_SPACE = " \t\n\x0b\x0c\r"
+
+
+def words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in _SPACE[1:]:
+        lowered = lowered.replace(c, " ")
+    return [w for w in lowered.split(" ") if w]
+
+
+def plain_scores(docs, order):
+    """docs: (id, text, trains). Returns per doc: n_tokens, n_known, train_tokens, base, score."""
+    sequences = [(["<b>"] + ["w" + w for w in words(t)] + ["<e>"], trains) for _, t, trains in docs]
+    counts = [Counter() for _ in range(order + 1)]
+    for tokens, trains in sequences:
+        if trains:
+            for n in range(1, order + 1):
+                for i in range(1, len(tokens)):
+                    if i >= n - 1:
+                        counts[n][tuple(tokens[i - n + 1:i + 1])] += 1
+    total, types = sum(counts[1].values()), len(counts[1])
+    state_count = {("<b>",): counts[1][("<e>",)], **{g: c for n in range(1, order) for g, c in counts[n].items()}}
+    successors = defaultdict(set)
+    discounts = {}
+    for n in range(2, order + 1):
+        for gram in counts[n]:
+            successors[gram[:-1]].add(gram[-1])
+        once, twice = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discounts[n] = once / (once + 2 * twice) if once else 0.5
+
+    def step(state, token):
+        """Probability of the token in a state, by arc or by failure arc."""
+        if not state:
+            return (counts[1][(token,)] + 1) / (total + types + 1)
+        seen = state_count.get(state, 0)
+        shorter = step(state[1:], token)
+        if not seen:
+            return shorter
+        n = len(state) + 1
+        return (max(counts[n][state + (token,)] - discounts[n], 0) + discounts[n] * len(successors[state]) * shorter) / seen
+
+    out = []
+    for tokens, _ in sequences:
+        base = score = 0.0
+        for i in range(1, len(tokens)):
+            base += math.log10((counts[1][(tokens[i],)] + 1) / (total + types + 1))
+            score += math.log10(step(tuple(tokens[max(0, i - order + 1):i]), tokens[i]))
+        known = sum(counts[1][(t,)] > 0 for t in tokens[1:])
+        out.append((len(tokens) - 1, known, total, base, score))
+    return out
+
+
+def texts():
+    rng = random.Random(5)
+    vocabulary = ["a", "b", "c", "dé", "E", "the", "THE", "<e>", " x"]
+    return [None, "", " \n\t", "one", "the the the the", "x" * 5000] + [
+        rng.choice([" ", "\n", "  "]).join(rng.choices(vocabulary, weights=[9, 6, 4, 2, 2, 30, 5, 1, 1], k=rng.randint(1, 40)))
+        for _ in range(60)]
+
+
+@pytest.mark.parametrize("order, pack_bytes", [(1, 1 << 20), (2, 1 << 20), (2, 200), (3, 300)])
+def test_scores_equal_the_plain_automaton(spark, order, pack_bytes):
+    docs = [(i if i != 7 else None, t, i % 3 > 0 if i != 9 else None) for i, t in enumerate(texts() + texts()[10:14])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, trains boolean").withColumn("pack", F.lit("clash"))
+    got = lm_score.score(df.repartition(3), F.col("trains"), order=order, pack_bytes=pack_bytes).collect()
+    assert len(got) == len(docs)
+    want = {d[0]: w for d, w in zip(docs, plain_scores(docs, order))}
+    for row in got:
+        n_tokens, n_known, total, base, score = want[row.doc_id]
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (n_tokens, n_known, total)
+        assert row.base_score == pytest.approx(base, rel=1e-9) and row.score == pytest.approx(score, rel=1e-9)
+
+
+def test_nothing_to_learn_and_nothing_to_score(spark):
+    df = spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, trains boolean")
+    row = lm_score.score(df, F.col("trains")).first()
+    assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+    assert lm_score.score(df.limit(0), F.col("trains")).count() == 0
