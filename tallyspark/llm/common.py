@@ -74,3 +74,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+class Numbers(dict):
+    """Numbers keys in the order they first come up."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = number = len(self)
+        return number

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import mix64, store, words_of
+from tallyspark.llm.common import Numbers, mix64, store, words_of
 
 ORDER = 2
 PACK_BYTES = 16 << 20
@@ -60,14 +60,6 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(data), dtype=np.uint64)
 
 
-class _Numbers(dict):
-    """Numbers words in the order they come up."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class Block(NamedTuple):
     """The tokens of a pack's texts, each text behind a begin mark and followed by an end.
 
@@ -86,7 +78,7 @@ class Block(NamedTuple):
 
 
 def read_block(texts: bytes, trains: np.ndarray, order: int) -> Block:
-    numbers = _Numbers()
+    numbers = Numbers()
     pieces, lengths = [], []
     for line in zstandard.decompress(texts).split(b"\n")[:-1]:
         words = line.split()

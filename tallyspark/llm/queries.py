@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import kd_search, lang_id, license_scan, line_dedup, lm_score, mixing, quality, simhash, url_filter
+from tallyspark.llm import (
+    kd_search, lang_id, license_scan, line_dedup, lm_score, mixing, quality, simhash, sp_sample, url_filter,
+)
 from tallyspark.llm.common import crc_remainder
 
 #: The rules that the query has to apply, longest wins.
@@ -25,6 +27,9 @@ URL_GLOBS = (
     "*#*/login*", "*#*/wp-admin/*", "*#*/cart/*", "*#*.exe", "*#*.zip", "*#*.jpg", "*#*.png", "*#*.mp4",
 )
 
+#: A public SentencePiece model with byte fallback; only the driver reads the file.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -81,6 +86,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.passes(quality.STANDARD).alias("kept"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two different segmentations of every document, with their scores and whether they decode to its text."""
+    encoded = sp_sample.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
+    return encoded.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "ids", "log_prob", "key", "inclusion",
+                          "round_trip")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     queued = mixing.queue(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -96,5 +108,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup,
-                            op7_quality_rules, op9_mixing, op10_simhash)
+                            op7_quality_rules, op8_sentencepiece, op9_mixing, op10_simhash)
 }
