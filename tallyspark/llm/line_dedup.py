@@ -41,7 +41,9 @@ class LineRuns:
         """Add a batch of (``key``, ``doc_id``) with one row per document and key; return the batch's own run.
 
         In it ``is_new`` marks the keys that no run held before. A null key is no line. An empty batch adds an empty run.
+        The run returned can be read until the next batch is added: full levels are compacted before.
         """
+        self._compact()
         batch = (lines.filter(F.col("key").isNotNull()).groupBy("key")
                  .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")))
         if self.runs():
@@ -55,17 +57,21 @@ class LineRuns:
         self._push(run, 0)
         return run
 
+    def _compact(self) -> None:
+        level = 0
+        while level < len(self.levels):
+            spent = self.levels[level]
+            if len(spent) >= self.fanout:
+                self._push(store(_merge(spent).sortWithinPartitions("key"), "line-run"), level + 1)
+                self.levels[level] = []
+                for old in spent:
+                    drop_stored(old)
+            level += 1
+
     def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            spent = self.levels[level]
-            merged = store(_merge(spent).sortWithinPartitions("key"), "line-run")
-            self.levels[level] = []
-            for old in spent:
-                drop_stored(old)
-            self._push(merged, level + 1)
 
     def keys(self) -> DataFrame:
         """One row per key over all runs."""

@@ -169,10 +169,10 @@ def _links_in_lists(lists: DataFrame, keys: list[str], max_bits: int, choices: l
 def similar_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links among the distinct longs ``fp`` that join all fingerprints at most ``max_bits`` apart, directly or by others.
 
-    ``max_bits`` may be 1 to 7: a linked pair then shares a byte, and the index lists aren't all one entry long.
+    ``max_bits`` may be 1 to 4: a linked pair then shares half of its bytes or more, which keeps the lists short.
     """
-    if not 1 <= max_bits <= 7:
-        raise ValueError("max_bits is 1 to 7")
+    if not 1 <= max_bits <= 4:
+        raise ValueError("max_bits is 1 to 4")
     choices = list(combinations(range(8), 8 - max_bits))
     lists = _lists(fps.select("fp", F.explode(_posts(F.col("fp"), choices, 8)).alias("k1")), ["k1"])
     links = _links_in_lists(lists.filter(F.col("n") <= LIST_ROWS), ["k1"], max_bits, choices)
