@@ -154,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_
     taken = (queue(docs, weights, id_col, text_col, source_col)
              .groupBy(F.concat_ws(":", id_key(F.col(f"`{id_col}`")), "text_hash").alias("_key"))
              .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"), F.min("finish").alias("_first"),
-                  F.max(F.col("source_size") / F.col("target")).alias("_epoch")).filter("_copies > 0"))
+                  F.max(F.try_divide("source_size", "target")).alias("_epoch")).filter("_copies > 0"))
     keyed = whole_rows(docs).withColumn("_key", row_key(F.col(f"_row.`{id_col}`"), F.col(f"_row.`{text_col}`")))
     # Equal rows divide their copies: each gets the quotient, the first ones one more.
     number = F.row_number().over(Window.partitionBy("_key").orderBy("_first"))

@@ -325,6 +325,8 @@ class Search:
     def _split(self, number: int, start: int, without: tuple[int, ...]) -> list[Region]:
         """The regions that leave a leaf at its pieces from ``start`` on; ``without`` is avoided at the first already."""
         leaf = self.leaves[number]
+        if start == len(leaf.arcs):
+            return []
         near = min(len(leaf.arcs), start + NEAR)
         arcs = leaf.arcs[start:near]
         with np.errstate(divide="ignore"):
