@@ -88,9 +88,16 @@ def signed_amount(c: Column) -> Column:
     return F.when(blank, F.lit(0).cast(MONEY)).otherwise(amount_digits(c).try_cast(MONEY))
 
 
+def unsigned_amount(digits: Column, amount: Column) -> Column:
+    """``amount`` without its sign; 0 where ``digits`` form no number, null where they form one too large to hold."""
+    unreadable = F.abs(digits.try_cast("double")).isNull()
+    return F.coalesce(F.abs(amount), F.when(unreadable, F.lit(0).cast(MONEY)))
+
+
 def clean_currency(c: Column) -> Column:
-    """Unsigned amount; whatever cannot be read counts as 0 and the row stays."""
-    return F.coalesce(F.abs(amount_digits(c).try_cast(MONEY)), F.lit(0).cast(MONEY))
+    """Unsigned amount; what cannot be read counts as 0 and the row stays, a number too large to hold is null."""
+    digits = amount_digits(c)
+    return unsigned_amount(digits, digits.try_cast(MONEY))
 
 
 def currency_warning(c: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.clean import amount_digits, parse_date
+from tallyspark.functions.clean import amount_digits, parse_date, unsigned_amount
 from tallyspark.functions.text import or_blank, strip
 from tallyspark.schema import MONEY, UNCATEGORIZED, missing_columns
 
@@ -76,7 +76,7 @@ def standardize(raw: DataFrame) -> DataFrame:
     """Rows of all layouts at once, told apart by the column ``layout``.
 
     Positive signed amounts are spent, negative ones come back; an unreadable signed amount leaves
-    both sides null, an unreadable unsigned one counts as 0. Each cell is parsed once, whatever its
+    both sides null, an unreadable unsigned one counts as 0, one too large to hold is null. Each cell is parsed once, whatever its
     layout. Columns that no layout reads are carried along.
     """
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing_columns(raw, CELLS)})
@@ -86,8 +86,8 @@ def standardize(raw: DataFrame) -> DataFrame:
     signed = F.when(F.col("_blank"), zero).otherwise(F.col("_out"))
     unsigned = _is("Nationwide")
     known = F.col("layout").isNotNull()
-    out = F.when(unsigned, F.coalesce(F.abs("_out"), zero)).when(signed.isNotNull(), F.greatest(signed, zero))
-    into = F.when(unsigned, F.coalesce(F.abs("_in"), zero)).when(signed.isNotNull(), F.greatest(-signed, zero))
+    out = F.when(unsigned, unsigned_amount(F.col("_out_digits"), F.col("_out"))).when(signed.isNotNull(), F.greatest(signed, zero))
+    into = F.when(unsigned, unsigned_amount(F.col("_in_digits"), F.col("_in"))).when(signed.isNotNull(), F.greatest(-signed, zero))
     account = F.when(_is(*[n for n, t in ACCOUNT_TYPES.items() if t == "Credit"]), "Credit").when(known, "Debit")
     staged = {
         "date": F.col("_date"), "description": F.when(known, F.concat("_label", "_text")),

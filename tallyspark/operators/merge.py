@@ -39,16 +39,20 @@ def ledger_sorted(ledger: DataFrame) -> DataFrame:
     return ledger.orderBy(F.desc_nulls_last("date"), *ties)
 
 
-def new_rows(ledger: DataFrame, batch: DataFrame, order: str = "ingest_seq") -> DataFrame:
+def new_rows(ledger: DataFrame, batch: DataFrame, order: str = "ingest_seq",
+             dates: DataFrame | None = None) -> DataFrame:
     """Rows of ``batch`` that ``merge_ledger`` would add; only the months in the batch are read.
 
+    ``dates`` are the batch's rows before they were categorised; with them the months are found
+    without matching the rules a second time.
+
     Both sides hold each key once, so no key is hot. The list of months is bounded by the calendar,
     which is what allows its broadcast and with it partition pruning of the ledger.
     """
     first = dedupe_keep_first(batch, order).withColumn("month", month_label(F.col("date")))
     if missing_columns(ledger, DEDUPE_KEYS):
         return first
-    months = batch.select(month_label(F.col("date")).alias("month")).distinct()
+    months = (batch if dates is None else dates).select(month_label(F.col("date")).alias("month")).distinct()
     known = ledger if "month" in ledger.columns else ledger.withColumn("month", month_label(F.col("date")))
     touched = (known.join(F.broadcast(months), "month", "left_semi")
                .select(*[F.col(k).alias(f"known_{k}") for k in DEDUPE_KEYS]))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import clean_key, or_blank
-from tallyspark.operators.scale import is_small, lookup_join
+from tallyspark.operators.scale import cut_lineage, is_small, lookup_join
 from tallyspark.schema import DEFAULT_TYPE, NO_MATCH, UNCATEGORIZED
 
 POINTS_PER_CHAR = 10
 MERCHANT_BONUS = 50
 MIN_PATTERN_LENGTH = 2
 INLINE_RULES = 64
+GRAM = 3
+SALTED_ROWS = 100_000
 
 _WINNER = ["category", "subcategory", "type", "rule_match", "confidence"]
 
@@ -42,6 +46,7 @@ def rule_table(merchants: DataFrame, patterns: DataFrame, *, points: int = POINT
     """One row per text a rule looks for, with its score and its place in the order of rules.
 
     ``kind`` 0 (merchant aliases) precedes 1 (patterns); within a kind rules keep their file order.
+    A pattern whose score no long can hold is left out.
     """
     m = normalize_merchants(merchants).select(
         F.lit(0).alias("kind"), "rule_ord", F.posexplode("aliases").alias("alias_ord", "match_text"),
@@ -52,31 +57,59 @@ def rule_table(merchants: DataFrame, patterns: DataFrame, *, points: int = POINT
         "category", "subcategory", "type",
         F.concat(F.lit("pattern:"), "pattern").alias("rule_match"), "weight")
     base = F.length("match_text") * F.lit(points)
-    score = F.when(F.col("kind") == 0, base + bonus).otherwise((base * F.col("weight")).cast("int"))
+    weighted = (base.cast("double") * F.col("weight")).try_cast("long")
+    score = F.when(F.col("kind") == 0, (base + bonus).cast("long")).otherwise(weighted)
     return (m.unionByName(p)
             .filter((F.length("match_text") >= min_length) & ~F.isnan(F.coalesce("weight", F.lit(1.0))))
-            .withColumn("score", score.cast("int")).drop("weight"))
+            .withColumn("score", score).filter(F.col("score").isNotNull()).drop("weight"))
 
 
 def match_rules(descriptions: DataFrame, rules: DataFrame, column: str = "description") -> DataFrame:
     """Every (description, rule) hit for the distinct non-blank descriptions.
 
-    Each description is cut into its substrings of the lengths that rules have, and these meet the
-    rules on the whole text. The join therefore yields hits only, whatever the rules start with,
-    and needs no nested loop. The rules are broadcast only when measured small; otherwise both
-    sides are shuffled with a salt, so that a text found in very many descriptions is spread.
+    A rule can only be in a text that holds all its runs of ``GRAM`` characters, so its key is the one
+    of them that the fewest texts hold. Texts offer their runs, of which there are as many as
+    characters; only those that are some rule's key travel and meet the rules, and a ``contains``
+    decides. Rules are broadcast only when measured small; otherwise both sides are salted by how
+    often the commonest key occurs.
     """
     texts = _distinct_texts(descriptions, column)
-    pieces = _pieces(texts, rules)
-    wanted = rules.withColumnRenamed("match_text", "piece")
-    if is_small(rules):
-        hits = pieces.join(F.broadcast(wanted), "piece")
+    rules = cut_lineage(rules.withColumn("_rule", F.monotonically_increasing_id()))
+    small = is_small(rules)
+    sizes = [r[0] for r in rules.select(_gram_size(F.length("match_text"))).distinct().collect()]  # 1 to GRAM
+    grams = _runs(rules.select("_rule", "match_text"), "match_text", _gram_size(F.length("match_text"))).distinct()
+    wanted = grams.select("gram").distinct()
+    offered = reduce(DataFrame.unionByName, [_runs(texts, "text_key", F.lit(n)) for n in sizes or [GRAM]])
+    frequency = (offered.join(F.broadcast(wanted) if small else wanted, "gram", "left_semi")
+                 .groupBy("gram").agg(F.count("*").alias("freq")))
+    # A run in no text at all has no row here, and its rule no hit.
+    held = grams.join(frequency, "gram", "left")
+    keys = held.groupBy("_rule").agg(
+        F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram")).alias("k")).select(
+        "_rule", "k.gram", "k.freq").filter("freq > 0")
+    keyed = cut_lineage(rules.join(keys, "_rule").drop("_rule"))
+    if small:
+        found = F.broadcast(keyed.select("gram").distinct())
+        pairs = offered.join(found, "gram", "left_semi").distinct().join(F.broadcast(keyed), "gram")
     else:
-        salts = 16
-        salted = pieces.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(salts)).cast("int"))
-        copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hits = salted.join(copies, ["piece", "salt"]).drop("salt")
-    return hits.withColumnRenamed("piece", "match_text").withColumnRenamed("text_key", column)
+        salts = -(-(keyed.agg(F.max("freq")).first()[0] or 1) // SALTED_ROWS)
+        salted = offered.join(keyed.select("gram").distinct(), "gram", "left_semi").distinct().withColumn(
+            "salt", F.pmod(F.xxhash64("text_key"), F.lit(salts)).cast("int"))
+        copies = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = salted.join(copies, ["gram", "salt"]).drop("salt")
+    return (pairs.filter(F.contains("text_key", F.col("match_text"))).drop("gram", "freq")
+            .withColumnRenamed("text_key", column))
+
+
+def _gram_size(length: Column) -> Column:
+    return F.least(length, F.lit(GRAM))
+
+
+def _runs(df: DataFrame, text: str, size: Column) -> DataFrame:
+    """One row per place in ``text`` and the run of ``size`` characters there, as ``gram``."""
+    fits = F.length(text) >= size
+    places = df.filter(fits).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - size + 1)))
+    return places.withColumn("gram", F.substring(F.col(text), F.col("_at"), size)).drop("_at")
 
 
 def _distinct_texts(df: DataFrame, column: str) -> DataFrame:
@@ -84,17 +117,6 @@ def _distinct_texts(df: DataFrame, column: str) -> DataFrame:
             .filter(F.col("text_key") != "").distinct())
 
 
-def _pieces(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    # There are at most as many lengths as the longest rule has characters.
-    lengths = sorted(r[0] for r in rules.select(F.length("match_text")).distinct().collect())
-    by_length = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    fitting = F.filter(by_length, lambda n: n <= F.length("text_key"))
-    cut = F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("text_key") - n + 1),
-        lambda i: F.substring(F.col("text_key"), i, n))))
-    return texts.select("text_key", F.explode(F.array_distinct(cut)).alias("piece"))
-
-
 def winners(hits: DataFrame, column: str = "description") -> DataFrame:
     """The best hit per description: highest score, then the earliest rule."""
     order = Window.partitionBy(column).orderBy(
@@ -133,7 +155,7 @@ def _categorize_inline(txn: DataFrame, listed: list) -> DataFrame:
     columns = dict(zip(_WINNER, map(list, zip(*outcomes))))
     table = txn.sparkSession.createDataFrame(pa.table(
         {"_position": list(range(len(outcomes))), **columns}, pa.schema(
-            [("_position", pa.int32()), *[(n, pa.string()) for n in _WINNER[:4]], ("confidence", pa.int32())])))
+            [("_position", pa.int32()), *[(n, pa.string()) for n in _WINNER[:4]], ("confidence", pa.int64())])))
     keep = [c for c in txn.columns if c not in _WINNER]
     return (txn.select(*[f"`{c}`" for c in keep], _first_match(F.col("description"), ranked).alias("_position"))
             .join(F.broadcast(table), "_position").select(*keep, *_WINNER))

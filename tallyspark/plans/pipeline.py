@@ -19,7 +19,7 @@ def categorize_batch(spark: SparkSession, staged: str, ledger: str, batch_id: in
                      merchants: DataFrame, patterns: DataFrame) -> None:
     """Staged rows of one batch into the ledger. Running it again adds nothing."""
     rows = read_staged(spark, f"{staged.rstrip('/')}/batch={batch_id}")
-    append_ledger(spark, ledger, categorize(rows, merchants, patterns))
+    append_ledger(spark, ledger, categorize(rows, merchants, patterns), dates=rows)
 
 
 def run(spark: SparkSession, raw: str, staged: str, ledger: str, batch_id: int,

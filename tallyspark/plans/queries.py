@@ -92,7 +92,8 @@ def _merge_ledger(spark, d):
 
 def _append_ledger(spark, d):
     old = merge.to_ledger(inputs.ledger_old(spark, d))
-    return _plain(merge.new_rows(old, inputs.ledger_new(spark, d)).select(*_MERGED, "month"))
+    added = merge.new_rows(old, inputs.ledger_new(spark, d), dates=inputs.txn(spark, d))
+    return _plain(added.select(*_MERGED, "month"))
 
 
 def _ingest_stats(spark, d):

@@ -29,7 +29,7 @@ STAGED = T.StructType([
 CATEGORIZED = T.StructType(STAGED.fields + [
     T.StructField("type", T.StringType()),
     T.StructField("rule_match", T.StringType()),
-    T.StructField("confidence", T.IntegerType()),
+    T.StructField("confidence", T.LongType()),
 ])
 
 LEDGER = T.StructType(CATEGORIZED.fields + [

@@ -2,7 +2,8 @@
 
 Files are read as lines, so one file may be split over many tasks. What differs between files (the
 separator, the header line, the layout, the place of each column) is a small table with a row per
-file, found from the first lines only. A quoted cell cannot span lines.
+file, found from the first lines only. A quoted cell that spans lines is rejected line by line
+(``open_quote``), unless ``join_quoted_lines`` has put its lines together.
 """
 
 from __future__ import annotations
@@ -31,15 +32,17 @@ def decode_cp1252(raw: Column) -> Column:
     return F.translate(F.decode(raw.cast("binary"), "iso-8859-1"), _CP1252_BYTES, _CP1252_CHARS)
 
 
-def read_raw_files(spark: SparkSession, folder: str, batch_id: int = 0) -> DataFrame:
+def read_raw_files(spark: SparkSession, folder: str, batch_id: int = 0, multi_line: bool = False) -> DataFrame:
     """Non-blank lines (file_name, block_start, line_idx, batch_id, line) of the CSV files of a folder.
 
     Subfolders and lock files are left out. ``block_start`` is the offset of the file block a task
-    read and ``line_idx`` grows within it, so the two order the lines of a file.
+    read and ``line_idx`` grows within it, so the two order the lines of a file. ``multi_line`` is for
+    folders whose quoted cells may hold line breaks.
     """
     lines = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]")
              .option("recursiveFileLookup", "false").text(folder))
-    return statement_lines(lines, batch_id)
+    lines = statement_lines(lines, batch_id)
+    return join_quoted_lines(lines) if multi_line else lines
 
 
 def statement_lines(text: DataFrame, batch_id: int = 0) -> DataFrame:
@@ -61,18 +64,75 @@ def detect_delimiter(line: Column) -> Column:
     return F.array_max(counted)["d"]
 
 
+def _quoted(sep: str) -> str:
+    """A separator and a closed quoted cell. Nothing in it is tried twice, so its length has no bound."""
+    return f'{sep}"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _escaped(delimiter: str) -> str:
+    return "\\" + delimiter if delimiter == "|" else delimiter
+
+
+def _per_delimiter(delimiter: Column, make) -> Column:
+    return reduce(lambda case, d: case.when(delimiter == d, make(d)), DELIMITERS[1:],
+                  F.when(delimiter == DELIMITERS[0], make(DELIMITERS[0])))
+
+
 def split_cells(line: Column, delimiter: Column) -> Column:
     """Cells of a line; a cell in double quotes may hold the separator and doubled quotes."""
     def cells(d: str) -> Column:
-        sep = "\\" + d if d == "|" else d
+        sep = _escaped(d)
         found = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(
-            f'{sep}("(?:[^"]|"")*"[^{sep}]*|[^{sep}]*)'), F.lit(1))
-        return F.transform(found, lambda c: F.when(
+            f"({_quoted(sep)}[^{sep}]*+|{sep}[^{sep}]*+)"), F.lit(1))
+        bare = F.transform(found, lambda c: c.substr(F.lit(2), F.length(c)))
+        unquoted = F.transform(bare, lambda c: F.when(
             c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
             F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+        return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.split(line, sep, -1))
+
+    return _per_delimiter(delimiter, cells)
 
-    return reduce(lambda case, d: case.when(delimiter == d, cells(d)), DELIMITERS[1:],
-                  F.when(delimiter == DELIMITERS[0], cells(DELIMITERS[0])))
+
+def open_quote(line: Column, delimiter: Column) -> Column:
+    """True for a line with a quoted cell that is not closed in it."""
+    def is_open(d: str) -> Column:
+        sep = _escaped(d)
+        rest = F.regexp_replace(F.concat(F.lit(d), line), _quoted(sep), "")
+        return F.contains(line, F.lit('"')) & F.contains(rest, F.lit(d + '"'))
+
+    return _per_delimiter(delimiter, is_open)
+
+
+def join_quoted_lines(lines: DataFrame) -> DataFrame:
+    """Lines put together, with line breaks between, where a quoted cell spans them.
+
+    For files that quote by the book: every quote opens, closes or is doubled, so a line with an odd
+    number of them toggles whether the next one starts a record. Running sums are taken within each
+    file block and shifted by the blocks before, so a file of any size is read in parallel; only the
+    lines of one record meet.
+    """
+    block, quotes = ["file_path", "block_start"], F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    marked = lines.withColumn("_odd", quotes % 2)
+    in_block = Window.partitionBy(*block).orderBy("line_idx")
+    over_blocks = Window.partitionBy("file_path").orderBy("block_start")
+    earlier = (Window.unboundedPreceding, -1)
+
+    def shifted(df: DataFrame, table: DataFrame) -> DataFrame:
+        return df.join(table, block)
+
+    opened = marked.groupBy(*block).agg(F.sum("_odd").alias("_n")).select(
+        *block, F.coalesce(F.sum("_n").over(over_blocks.rowsBetween(*earlier)), F.lit(0)).alias("_before"))
+    inside = (F.col("_before") + F.coalesce(F.sum("_odd").over(in_block.rowsBetween(*earlier)), F.lit(0))) % 2 == 1
+    placed = shifted(marked, opened).withColumn(
+        "_own", F.when(~inside, F.struct("block_start", "line_idx")))
+    last = placed.groupBy(*block).agg(F.max("_own").alias("_last")).select(
+        *block, F.max("_last").over(over_blocks.rowsBetween(*earlier)).alias("_carried"))
+    started = F.coalesce(F.max("_own").over(in_block.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
+    record = shifted(placed, last).withColumn("_start", started)
+    parts = F.array_sort(F.collect_list(F.struct("block_start", "line_idx", "line")))
+    return (record.groupBy("file_path", "file_name", "batch_id", "_start").agg(parts.alias("_parts"))
+            .select("file_path", "file_name", "_start.block_start", "_start.line_idx", "batch_id",
+                    F.array_join("_parts.line", "\n").alias("line")))
 
 
 def normalize_headers(cells: Column) -> Column:
@@ -123,6 +183,7 @@ def read_statement_lines(lines: DataFrame, depth: int = HEADER_SCAN_DEPTH) -> Da
 
     absent = {c: F.col(f"places.p{i}") == 0 for i, c in enumerate(CELLS)}
     reason = (F.when(F.col("layout").isNull(), "unknown_layout")
+              .when(open_quote(F.col("line"), F.col("delimiter")), "open_quote")
               .when(F.size("cells") > F.col("width"), "too_wide")
               .when(absent["Description"], "no_description")
               .when((F.col("layout") == "Natwest") & absent["Type"], "no_type"))

@@ -40,7 +40,8 @@ def reject_counts(checked: DataFrame) -> DataFrame:
 
 
 def write_categorized(categorized: DataFrame, path: str) -> None:
-    categorized.write.mode("append").parquet(path)
+    """``path`` is that of one batch, so writing it again replaces an attempt that was cut short."""
+    categorized.write.mode("overwrite").parquet(path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -57,13 +58,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path).withColumn("month", or_blank(F.col("month")))
 
 
-def append_ledger(spark: SparkSession, path: str, categorized: DataFrame) -> None:
+def append_ledger(spark: SparkSession, path: str, categorized: DataFrame, dates: DataFrame | None = None) -> None:
     """Add the rows a merge would add. Stored rows are neither rewritten nor, outside the months of
-    the batch, read.
+    the batch, read. ``dates``: see ``new_rows``.
 
     The hint sizes the output files and splits a month that holds very many rows.
     """
-    added = new_rows(read_ledger(spark, path), to_ledger(categorized))
+    added = new_rows(read_ledger(spark, path), to_ledger(categorized), dates=dates)
     (added.select(*LEDGER.fieldNames()).hint("rebalance", "month")
      .sortWithinPartitions("month", F.desc("date"))
      .write.mode("append").partitionBy("month").parquet(path))

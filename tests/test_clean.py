@@ -72,3 +72,15 @@ def test_labels_of_dates(spark):
     df = spark.createDataFrame([(datetime.date(2024, 4, 3),), (None,)], "d date")
     rows = df.select(month_label(F.col("d")), date_text(F.col("d"))).collect()
     assert [tuple(r) for r in rows] == [("2024-04", "2024-04-03"), ("", "")]
+
+
+def test_amounts_too_large_to_hold_are_not_zero(spark):
+    from tallyspark.operators.layouts import normalize_nationwide, with_reject_reason
+
+    df = spark.createDataFrame([("99999999999999999999", "x", None), ("1.2.3", "y", None), ("£9,999", "z", "1" * 17)],
+                               "`Paid out` string, Description string, `Paid in` string").selectExpr(
+        "'01/02/2024' AS Date", "'POS' AS `Transaction type`", "*")
+    got = {r.description: (r.paid_out, r.reject_reason) for r in with_reject_reason(normalize_nationwide(df)).collect()}
+    assert got["x"] == (None, "bad_amount") and got["y"] == (0, None) and got["z"][1] == "bad_amount"
+    amounts = df.select(clean.clean_currency(F.col("Paid out")).alias("a"), clean.currency_warning(F.col("Paid out")).alias("w"))
+    assert [(r.a, r.w) for r in amounts.collect()] == [(None, True), (0, True), (9999, False)]

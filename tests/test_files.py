@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.plans import pipeline
@@ -137,3 +138,66 @@ def test_rule_versions(spark, tmp_path):
     first = store.write_rules(merchants, str(tmp_path), 1)
     store.write_rules(merchants.withColumn("category", F.lit("y")), str(tmp_path), 2)
     assert spark.read.parquet(first).first().category == "Food"
+
+
+def _cells(spark, line, delimiter=","):
+    df = spark.createDataFrame([(line, delimiter)], "line string, d string")
+    row = df.select(statements.split_cells(F.col("line"), F.col("d")).alias("c"),
+                    statements.open_quote(F.col("line"), F.col("d")).alias("o")).first()
+    return row.c, row.o
+
+
+@pytest.mark.parametrize("line, cells, is_open", [
+    ('a,b,', ["a", "b", ""], False),
+    ('"a,b",c', ["a,b", "c"], False),
+    ('"a ""x"" b",c', ['a "x" b', "c"], False),
+    ('a"b,"c"', ['a"b', "c"], False),
+    ('"x"y,z', ['"x"y', "z"], False),
+    ("", [""], False),
+    ('a,"open', ["a", '"open'], True),
+    ('"x"y,"open', ['"x"y', '"open'], True),
+])
+def test_cells_and_open_quotes(spark, line, cells, is_open):
+    assert _cells(spark, line) == (cells, is_open)
+    piped, expected = line.replace(",", "|"), [c.replace(",", "|") for c in cells]
+    assert _cells(spark, piped, "|") == (expected, is_open)
+
+
+def test_cells_of_any_length(spark):
+    long = "x" * 100_000
+    assert _cells(spark, f'"{long}",b') == ([long, "b"], False)
+    assert _cells(spark, f'"{long}') == ([f'"{long}'], True)
+    quotes = '""' * 50_000
+    assert _cells(spark, f'"{quotes}",b') == ([quotes[::2], "b"], False)
+    assert _cells(spark, f'"{quotes}')[1]
+    assert len(_cells(spark, "," * 50_000)[0]) == 50_001
+
+
+def _lines(spark, texts, blocks):
+    """The lines of a file, dealt to blocks of the given sizes."""
+    rows, at = [], 0
+    for block, n in enumerate(blocks):
+        rows += [("f.csv", "f.csv", block * 1000, i, 0, t) for i, t in enumerate(texts[at:at + n])]
+        at += n
+    return spark.createDataFrame(rows, "file_path string, file_name string, block_start long, line_idx long, "
+                                       "batch_id long, line string").repartition(3)
+
+
+@pytest.mark.parametrize("blocks", [[7], [2, 2, 3], [1] * 7])
+def test_line_breaks_in_quoted_cells(spark, blocks):
+    texts = ["Date,Transaction type,Description,Paid out,Paid in", '03/04/2024,POS,"multi', 'line, ""two""', 'end",12.50,',
+             "04/04/2024,POS,plain,1.00,", '05/04/2024,POS,"a', 'b",2.00,']
+    lines = _lines(spark, texts, blocks)
+    joined = statements.join_quoted_lines(lines)
+    rows = {r.description: (float(r.paid_out), r.reject_reason) for r in statements.stage(joined).collect()}
+    assert rows == {'multi\nline, "two"\nend': (12.5, None), "plain": (1.0, None), "a\nb": (2.0, None)}
+    apart = [(r.reject_reason, r.paid_out) for r in statements.stage(lines).collect()]
+    assert sum(reason is None for reason, _ in apart) == 1  # the plain one; no part of a broken row is valid
+    assert {reason for reason, _ in apart if reason} >= {"open_quote"}
+
+
+def test_a_batch_written_again_replaces_itself(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "n int, description string")
+    for _ in range(2):
+        store.write_categorized(df, str(tmp_path / "batch=1"))
+    assert spark.read.parquet(str(tmp_path / "batch=1")).count() == 1

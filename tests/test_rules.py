@@ -108,3 +108,19 @@ def test_rows_are_not_shuffled_for_few_rules(spark):
     txn = spark.range(10).select(F.col("id"), F.lit("tesco").alias("description"))
     plan = plan_of(rules.categorize(txn, m, p))
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_weights_of_any_size(spark):
+    patterns = [(0, "abc", "Big", "", "operating", 1e9), (1, "abcd", "Huge", "", "operating", 1e300),
+                (2, "ab", "Least", "", "operating", float("-inf"))]
+    for inline in (64, 0):
+        assert _run(spark, ["abcd"], patterns=patterns, inline=inline) == [("Big", "", "operating", "pattern:abc", 30_000_000_000)]
+
+
+def test_long_texts_and_many_lengths(spark):
+    """Runs are as many as characters, whatever lengths the rules have."""
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(10_000))
+    patterns = [(i, long[i * 40:i * 40 + 2 + i % 60].strip() or "aa", f"c{i}", "", "operating", 1.0) for i in range(200)]
+    texts = [long, long[5000:], "none of it", "ab"]
+    assert _run(spark, texts, patterns=patterns, inline=0) == [_expected(t, [], patterns) for t in texts]
