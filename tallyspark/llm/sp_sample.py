@@ -34,7 +34,7 @@ from tallyspark.llm.common import Numbers, mix64
 
 SAMPLES = 2
 NEAR = 8
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 1 << 20
 SEED = 11
 _SPACE = "▁"
 _SPACE_CODE = 0x110000  # a space inside a lattice; the text's own U+2581 is an ordinary, unknown character
