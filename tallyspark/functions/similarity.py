@@ -25,35 +25,46 @@ def token_sort(c: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 
 
-def _codes(texts: pd.Series, width: int, pad: int) -> np.ndarray:
+def _codes(texts: pd.Series, lengths: np.ndarray, width: int, pad: int) -> np.ndarray:
+    """Code points, a row per text, filled up with ``pad``; all texts are encoded at once."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
     out = np.full((len(texts), width), pad, dtype=np.int32)
-    for i, text in enumerate(texts):
-        out[i, :len(text)] = np.fromiter(map(ord, text), dtype=np.int32, count=len(text))
+    out[np.arange(width) < lengths[:, None]] = flat
     return out
 
 
 def lcs_lengths(left: pd.Series, right: pd.Series, chunk_cells: int = 1 << 21) -> np.ndarray:
-    """Length of the longest common subsequence of each pair of texts, a chunk of pairs at a time."""
+    """Length of the longest common subsequence of each pair of texts, a chunk of pairs at a time.
+
+    Bit-parallel: a row of 64-bit words stands for the places of the left text, in which a 0 marks a
+    place where the length grows. A character of the right text updates all of them by one addition.
+    """
     n = len(left)
     result = np.zeros(n, dtype=np.int32)
     if n == 0:
         return result
-    widths = left.str.len().to_numpy()
-    order = np.argsort(widths, kind="stable")
+    a_sizes, b_sizes = left.str.len().to_numpy(), right.str.len().to_numpy()
+    order = np.argsort(a_sizes, kind="stable")
     start = 0
     while start < n:
-        widest = int(widths[order[min(n - 1, start + 4095)]])
+        widest = int(a_sizes[order[min(n - 1, start + 4095)]])
         take = order[start:start + max(1, min(4096, chunk_cells // (widest + 1)))]
-        a, b = left.iloc[take], right.iloc[take]
+        words = max(1, -(-int(a_sizes[take].max()) // 64))
         # Different padding on the two sides never counts as equal.
-        ac = _codes(a, int(a.str.len().max()), -1)
-        bc = _codes(b, int(b.str.len().max()), -2)
-        row = np.zeros((len(take), ac.shape[1] + 1), dtype=np.int32)
+        ac = _codes(left.iloc[take], a_sizes[take], words * 64, -1)
+        bc = _codes(right.iloc[take], b_sizes[take], int(b_sizes[take].max()), -2)
+        rows = np.full((len(take), words), ~np.uint64(0))
         for j in range(bc.shape[1]):
-            diagonal = row[:, :-1] + (ac == bc[:, j:j + 1])
-            np.maximum(row[:, 1:], diagonal, out=diagonal)
-            row[:, 1:] = np.maximum.accumulate(diagonal, axis=1)
-        result[take] = row[:, -1]
+            equal = np.packbits(ac == bc[:, j:j + 1], axis=1, bitorder="little").view("<u8")
+            both = rows & equal
+            carry = np.zeros(len(take), dtype=np.uint64)
+            for w in range(words):
+                total = rows[:, w] + both[:, w]
+                over = total < both[:, w]
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                rows[:, w] = total | (rows[:, w] & ~equal[:, w])
+        result[take] = words * 64 - np.bitwise_count(rows).sum(axis=1)
         start += len(take)
     return result
 

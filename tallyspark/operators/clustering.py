@@ -2,7 +2,9 @@
 
 The most frequent description left absorbs every description left that is similar to it; similarity
 counts against that anchor only and is not passed on. All anchors that cannot influence each other are
-found at once, so the number of rounds does not grow with the number of clusters.
+found at once. A run of characters that very many descriptions hold is no join key by itself, so it
+adds no rounds; only a key that more than ``FRONT`` descriptions share, two common runs or more, does:
+one round per ``FRONT`` of them that no anchor absorbs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from tallyspark.functions.similarity import may_reach, token_sort
 from tallyspark.functions.text import clean_key, date_text
 from tallyspark.operators.scale import cut_lineage
 from tallyspark.operators.similarity_join import (
-    copies, element_frequency, elements, rare_elements, salt, score_pairs)
+    copies, element_frequency, elements, rare_elements, salt, score_pairs, shares, text_lengths)
 from tallyspark.schema import UNCATEGORIZED, require_columns
 
 FRONT = 1000
@@ -48,10 +50,12 @@ def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) ->
     # Texts of equal sorted form have the same neighbours, so one stands for all.
     rank = F.struct((-F.col("count")).alias("neg"), F.col("description").alias("text"))
     nodes = texts.groupBy("key").agg(F.min(rank).alias("rank"))
-    all_elements = elements(nodes.select("key"), threshold)
-    blocks = (rare_elements(all_elements, element_frequency(all_elements))
-              .filter("freq > 1").select("key", "element"))
-    blocks = cut_lineage(blocks)
+    all_elements = cut_lineage(elements(nodes.select("key"), threshold, text_lengths(nodes)))
+    blocks = cut_lineage(rare_elements(all_elements, element_frequency(all_elements), front)
+                         .filter("freq is null or freq > 1").select("key", "element"))
+    lists = blocks.groupBy("element").count().filter("count > 1").select("element")
+    blocks = cut_lineage(blocks.join(lists, "element", "left_semi"))
+    parts = shares(blocks)
     keys_of = blocks.groupBy("key").agg(F.count("*").alias("keys"))
     state = (nodes.join(keys_of, "key", "left")
              .withColumn("owner", F.when(F.col("keys").isNull(), F.col("rank"))))
@@ -60,18 +64,18 @@ def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) ->
         left = state.filter("owner is null").agg(F.count("*").alias("n"), F.min("rank").alias("lowest")).first()
         if left["n"] == 0:
             break
-        state = _round(state, blocks, left["lowest"], threshold, front)
+        state = _round(state, blocks, left["lowest"], threshold, front, parts)
     return (texts.join(state.select("key", F.col("owner.text").alias("anchor")), "key")
             .select("description", "count", "anchor"))
 
 
-def _round(state: DataFrame, blocks: DataFrame, lowest, threshold: int, front: int) -> DataFrame:
+def _round(state: DataFrame, blocks: DataFrame, lowest, threshold: int, front: int, parts: int) -> DataFrame:
     # An owner below every undecided text is final.
     bound = F.struct(F.lit(lowest["neg"]).cast("long").alias("neg"), F.lit(lowest["text"]).alias("text"))
     open_to_change = F.col("owner").isNull() | (F.col("owner") > bound)
     work = blocks.join(state.filter(open_to_change), "key").persist()
     anchors = _new_anchors(work.filter("owner is null"), threshold, front)
-    best = _lowest_anchor(work, anchors, threshold)
+    best = _lowest_anchor(work, anchors, threshold, parts)
     chosen = anchors.select("key", F.col("rank").alias("own"))
     updated = (state.join(chosen, "key", "left").join(best, "key", "left")
                .withColumn("owner", F.coalesce("own", F.least("owner", "found"), "found"))
@@ -116,12 +120,12 @@ def _resolve(ready: DataFrame, edges: DataFrame) -> DataFrame:
     return anchors
 
 
-def _lowest_anchor(work: DataFrame, anchors: DataFrame, threshold: int) -> DataFrame:
+def _lowest_anchor(work: DataFrame, anchors: DataFrame, threshold: int, parts: int) -> DataFrame:
     """For each text the lowest new anchor it is similar to; hot join keys are spread by a salt."""
     offered = (work.select("element", F.col("key").alias("anchor_key"))
                .join(anchors.select(F.col("key").alias("anchor_key"), F.col("rank").alias("anchor_rank")), "anchor_key")
-               .select("*", copies()))
-    targets = work.select("*", salt("key"))
+               .select("*", copies(parts)))
+    targets = work.select("*", salt("key", parts))
     better = (F.col("anchor_rank") < F.col("rank")) & (F.col("owner").isNull() | (F.col("anchor_rank") < F.col("owner")))
     pairs = (targets.join(offered, ["element", "salt"])
              .filter(better & may_reach(F.col("key"), F.col("anchor_key"), threshold))

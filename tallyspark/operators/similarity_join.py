@@ -1,9 +1,10 @@
 """Similarity join of texts on shared rare runs of characters.
 
 Texts that reach the threshold have few unmatched characters, hence share many of their runs of three.
-Sorted by rarity, a certain number of the first runs of the one text must then meet those of the other
-(prefix filtering). Those runs are the join keys, so no two texts are compared unless they share one,
-and every similar pair is found.
+Sorted by rarity, two of the first runs of the one text must then be among those of the other (prefix
+filtering). Join keys are the runs found in few texts, each by itself, and the pairs of those found in
+many: similar texts share a rare run or two common ones. So no two texts are compared unless they do,
+a run that very many texts hold is no key by itself, and every similar pair is found.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.similarity import lcs, may_reach, ratio, reaches, token_sort
+from tallyspark.operators.scale import cut_lineage, lookup_join
 
 RUN = 3
-SALTS = 8
+SHARED = 2
+COMMON_FROM = 1000
+SALTED_ROWS = 10_000
 
 
 def _check(threshold: int) -> None:
@@ -36,58 +40,89 @@ def _lost(length: Column, n: int, t: int) -> Column:
     return F.floor((length * own + partner * other) / 200)
 
 
-def _numbered(texts: DataFrame, n: int, lost: Column) -> DataFrame:
+def _numbered(texts: DataFrame, n: int, kind: int, need: Column) -> DataFrame:
     """Runs of ``n`` characters, numbered where they repeat so that a set stands for a multiset."""
     runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length("key") - (n - 1)),
                                     lambda i: F.substring(F.col("key"), i, F.lit(n))))
     numbered = F.transform("runs", lambda g, i: F.concat(
-        g, F.lit("#"), (i + 1 - F.array_position("runs", g)).cast("string")))
+        F.lit(f"{kind}:"), g, F.lit("#"), (i + 1 - F.array_position("runs", g)).cast("string")))
     return (texts.filter(F.length("key") >= n).withColumn("runs", runs)
-            .select("key", F.lit(n).alias("kind"), (lost + 1).cast("int").alias("need"),
+            .select("key", F.lit(kind).alias("kind"), need.cast("int").alias("need"),
                     F.explode(numbered).alias("element")))
 
 
-def elements(keys: DataFrame, threshold: int) -> DataFrame:
-    """Rows (key, kind, need, element): all elements of a text, of which the ``need`` rarest of each
-    kind are join keys.
+def _safe_kind(length: Column, t: int) -> Column:
+    """The longest run of which a text of ``length`` shares ``SHARED`` with every text that reaches ``t``; 0 if none."""
+    kind = F.lit(0)
+    for n in range(1, RUN + 1):
+        kind = F.when(length - (n - 1) >= _lost(length, n, t) + SHARED, n).otherwise(kind)
+    return kind
 
-    The elements are runs of ``RUN`` characters. Texts so short that they may lose all of these also
-    get shorter runs, down to single characters, which cannot all be lost. So if two texts both lack
-    safe runs of one length they meet on the next.
+
+def text_lengths(*keys: DataFrame) -> list[int]:
+    """The lengths that occur, at most as many as the longest text has characters."""
+    found = reduce(DataFrame.unionByName, [k.select(F.length("key").alias("n")) for k in keys])
+    return sorted(r[0] for r in found.distinct().collect())
+
+
+def elements(keys: DataFrame, threshold: int, lengths: list[int]) -> DataFrame:
+    """Rows (key, kind, need, element): elements of a text, of which the ``need`` rarest of each kind
+    make join keys. ``lengths`` are those of all texts it may meet.
+
+    Elements of kind n are runs of n characters. Two texts meet on the longer of their safe kinds (see
+    ``_safe_kind``), so a text has the kinds at which it may meet a text of any of these lengths. Texts too short for any have single characters of a kind of their own, 0, of which
+    they share at least one.
     """
     _check(threshold)
-    size = F.length("key")
-    rest, parts = keys, []
-    for n in range(RUN, 0, -1):
-        lost = _lost(size, n, threshold)
-        parts.append(_numbered(rest, n, lost))
-        rest = rest.filter(size - (n - 1) <= lost)
+    t, size = threshold, F.length("key")
+    able = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda other: (
+        F.least(size, other) * 200 >= (size + other) * t))
+    partners = F.array_union(F.array(size), able)
+    met = F.array_distinct(F.transform(partners, lambda length: F.greatest(_safe_kind(length, t), _safe_kind(size, t))))
+    known = keys.filter(size > 0).withColumn("_kinds", met)
+    parts = []
+    for kind in range(RUN, -1, -1):
+        n = max(1, kind)
+        need = _lost(size, n, t) + (SHARED if kind else 1)
+        parts.append(_numbered(known.filter(F.array_contains("_kinds", kind)), n, kind, need))
     return reduce(DataFrame.unionByName, parts)
 
 
-def rare_elements(all_elements: DataFrame, frequency: DataFrame) -> DataFrame:
+def rare_elements(all_elements: DataFrame, frequency: DataFrame, common_from: int = COMMON_FROM) -> DataFrame:
     """Rows (key, element, freq) of the join keys. ``frequency`` must be the same for both sides.
 
-    Frequency rows are bounded by the runs of three characters in use; the ranking is per text.
+    The frequencies are broadcast when measured small, else their commonest elements are kept apart.
+    A pair of common elements has no ``freq``.
     """
     per_text = Window.partitionBy("key", "kind").orderBy("freq", "element")
-    return (all_elements.join(frequency, "element")
-            .withColumn("_rn", F.row_number().over(per_text))
-            .filter(F.col("_rn") <= F.col("need")).select("key", "element", "freq"))
+    first = (lookup_join(all_elements, frequency, "element")
+             .withColumn("_rn", F.row_number().over(per_text)).filter(F.col("_rn") <= F.col("need")))
+    alone = (F.col("freq") <= common_from) | (F.col("kind") == 0)
+    common = first.filter(~alone).groupBy("key", "kind").agg(F.array_sort(F.collect_list("element")).alias("_e"))
+    pairs = F.flatten(F.transform("_e", lambda x, i: F.transform(
+        F.slice("_e", i + 2, F.size("_e")), lambda y: F.concat(x, F.lit("+"), y))))
+    return (first.filter(alone).select("key", "element", "freq")
+            .unionByName(common.select("key", F.explode(pairs).alias("element"), F.lit(None).cast("long").alias("freq"))))
 
 
 def element_frequency(all_elements: DataFrame) -> DataFrame:
     return all_elements.groupBy("element").agg(F.count("*").alias("freq"))
 
 
-def salt(key: str) -> Column:
+def shares(keys: DataFrame) -> int:
+    """Into how many parts the texts of a join key are dealt: by the longest list, so that none has many rows."""
+    longest = keys.groupBy("element").count().agg(F.max("count")).first()[0] or 1
+    return -(-longest // SALTED_ROWS)
+
+
+def salt(key: str, parts: int) -> Column:
     """Share of a join key's texts that a text belongs to."""
-    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("salt")
 
 
-def copies() -> Column:
+def copies(parts: int) -> Column:
     """One row per share, for the side that must meet all of them."""
-    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt")
 
 
 def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int) -> DataFrame:
@@ -108,11 +143,14 @@ def similar_pairs(anchors: DataFrame, pool: DataFrame, threshold: int = 85, *,
     _check(threshold)
     left = anchors.select(anchor).distinct().withColumn("key", token_sort(F.col(anchor)))
     right = pool.select(text).distinct().withColumn("key", token_sort(F.col(text)))
-    left_el = elements(left.select("key").distinct(), threshold)
-    right_el = elements(right.select("key").distinct(), threshold)
-    frequency = element_frequency(left_el.unionByName(right_el))
-    offered = rare_elements(left_el, frequency).select(F.col("key").alias("key_a"), "element", copies())
-    asked = rare_elements(right_el, frequency).select(F.col("key").alias("key_b"), "element", salt("key"))
+    lengths = text_lengths(left, right)
+    left_el = cut_lineage(elements(left.select("key").distinct(), threshold, lengths))
+    right_el = cut_lineage(elements(right.select("key").distinct(), threshold, lengths))
+    frequency = cut_lineage(element_frequency(left_el.unionByName(right_el)))
+    pool_keys = cut_lineage(rare_elements(right_el, frequency))
+    parts = shares(pool_keys)
+    offered = rare_elements(left_el, frequency).select(F.col("key").alias("key_a"), "element", copies(parts))
+    asked = pool_keys.select(F.col("key").alias("key_b"), "element", salt("key", parts))
     candidates = (offered.join(asked, ["element", "salt"])
                   .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
                   .select("key_a", "key_b").distinct())

@@ -146,3 +146,16 @@ def test_uncategorized(spark):
                                  "category string, description string")
     assert [r.description for r in clustering.uncategorized(rows).collect()] == ["a b"]
     assert clustering.uncategorized(rows.drop("category")).count() == 0
+
+
+def test_a_common_prefix_adds_no_rounds(spark, monkeypatch):
+    """Texts that share a prefix but are not similar: rounds don't grow with their number."""
+    rounds = {}
+    plain = clustering._round
+    monkeypatch.setattr(clustering, "_round", lambda *a: rounds.update({n: rounds.get(n, 0) + 1}) or plain(*a))
+    for n in (300, 1200):
+        rnd = random.Random(n)
+        freq = {"zqx " + "".join(rnd.choice("abcdefghijklmnoprstuvwy") for _ in range(8)): 1 for _ in range(n)}
+        rows = clustering.cluster_members(freq_table(spark, freq), 85, 100).collect()
+        assert len(rows) == n and sum(r.anchor != r.description for r in rows) < n / 20
+    assert rounds[1200] <= rounds[300] + 1 <= 5
