@@ -20,10 +20,11 @@ def _is_interest() -> Column:
             & F.coalesce(F.contains(F.lower("subcategory"), F.lit("interest")), F.lit(False)))
 
 
-def _with_month(ledger: DataFrame) -> DataFrame:
+def _with_month(ledger: DataFrame, drop_null_month: bool = False) -> DataFrame:
     df = require_columns(ledger, _NEEDED, on_missing="empty")
     label = or_blank(F.col("month")) if "month" in df.columns else month_label(F.col("date"))
-    return df.withColumn("month_str", label)
+    dated = df.withColumn("month_str", label)
+    return dated.filter(F.col("month_str") != "") if drop_null_month else dated
 
 
 def debt_repayments(ledger: DataFrame) -> DataFrame:
@@ -34,14 +35,14 @@ def debt_interest(ledger: DataFrame) -> DataFrame:
     return _with_month(ledger).filter(_is_interest())
 
 
-def debt_timeline(ledger: DataFrame) -> DataFrame:
+def debt_timeline(ledger: DataFrame, *, drop_null_month: bool = False) -> DataFrame:
     """Payment and interest per month; a month with one side only has zero on the other.
 
     The two conditions exclude each other, so one conditional aggregate replaces the outer join of
     two monthly tables.
     """
     zero = F.lit(0).cast("decimal(18,2)")
-    return (_with_month(ledger).filter(_is_repayment() | _is_interest())
+    return (_with_month(ledger, drop_null_month).filter(_is_repayment() | _is_interest())
             .groupBy("month_str")
             .agg(F.sum(F.when(_is_repayment(), F.col("paid_out")).otherwise(zero)).alias("payment"),
                  F.sum(F.when(_is_interest(), F.col("paid_out")).otherwise(zero)).alias("cost"))

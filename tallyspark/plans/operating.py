@@ -37,22 +37,28 @@ def operating_base(ledger: DataFrame, month: str | None = None, *,
     return out if month is None else out.filter(F.col("month_str") == month)
 
 
-def operating_income(ledger: DataFrame) -> DataFrame:
-    df = require_columns(ledger, _NEEDED, on_missing="empty")
+def _dated(df: DataFrame, drop_null_month: bool) -> DataFrame:
+    return df.filter(_month(df) != "") if drop_null_month else df
+
+
+def operating_income(ledger: DataFrame, *, drop_null_month: bool = False) -> DataFrame:
+    df = _dated(require_columns(ledger, _NEEDED, on_missing="empty"), drop_null_month)
     return df.filter(_is_income()).withColumn("month_str", _month(df))
 
 
-def monthly_spend(ledger: DataFrame) -> DataFrame:
-    return operating_base(ledger).groupBy("month_str").agg(F.sum("paid_out").alias("total_spend"))
+def monthly_spend(ledger: DataFrame, *, drop_null_month: bool = False) -> DataFrame:
+    base = operating_base(ledger, drop_null_month=drop_null_month)
+    return base.groupBy("month_str").agg(F.sum("paid_out").alias("total_spend"))
 
 
-def monthly_income(ledger: DataFrame) -> DataFrame:
-    return operating_income(ledger).groupBy("month_str").agg(F.sum("paid_in").alias("total_income"))
+def monthly_income(ledger: DataFrame, *, drop_null_month: bool = False) -> DataFrame:
+    income = operating_income(ledger, drop_null_month=drop_null_month)
+    return income.groupBy("month_str").agg(F.sum("paid_in").alias("total_income"))
 
 
-def _month_category(ledger: DataFrame) -> DataFrame:
+def _month_category(ledger: DataFrame, drop_null_month: bool) -> DataFrame:
     """Spend and income per month and category: the one scan all month figures are derived from."""
-    df = require_columns(ledger, _NEEDED, on_missing="empty")
+    df = _dated(require_columns(ledger, _NEEDED, on_missing="empty"), drop_null_month)
     spend, income = _is_spend(), _is_income()
     return (df.filter(spend | income)
             .groupBy(_month(df).alias("month_str"), "category")
@@ -60,12 +66,12 @@ def _month_category(ledger: DataFrame) -> DataFrame:
                  F.sum(F.when(income, F.col("paid_in"))).alias("income")))
 
 
-def _month_table(ledger: DataFrame) -> DataFrame:
+def _month_table(ledger: DataFrame, drop_null_month: bool) -> DataFrame:
     """One row per month that has spending, with its income."""
     named = F.col("category").isNotNull() & F.col("spend").isNotNull()
     # Ties go to the first name; an aggregate over a month's categories, not over its rows.
     ranked = F.when(named, F.struct((-F.col("spend")).alias("s"), F.col("category").alias("c")))
-    return (_month_category(ledger).groupBy("month_str")
+    return (_month_category(ledger, drop_null_month).groupBy("month_str")
             .agg(F.sum("spend").alias("total_spend"),
                  F.coalesce(F.sum("income"), F.lit(0)).alias("total_income"),
                  F.min(ranked)["c"].alias("top_category"))
@@ -76,7 +82,7 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole.cast("double") * 100.0).otherwise(0.0)
 
 
-def operating_kpis(ledger: DataFrame, month: str | None = None) -> DataFrame:
+def operating_kpis(ledger: DataFrame, month: str | None = None, *, drop_null_month: bool = False) -> DataFrame:
     """Per month: spend, mean monthly spend over all months, share of income spent, top category,
     and the changes against the previous month that has spending.
 
@@ -84,7 +90,7 @@ def operating_kpis(ledger: DataFrame, month: str | None = None) -> DataFrame:
     """
     by_month = Window.orderBy("month_str")
     everything = Window.partitionBy()
-    t = _month_table(ledger).withColumn("income_coverage", _percent(F.col("total_spend"), F.col("total_income")))
+    t = _month_table(ledger, drop_null_month).withColumn("income_coverage", _percent(F.col("total_spend"), F.col("total_income")))
     prev_spend, prev_income = F.lag("total_spend").over(by_month), F.lag("total_income").over(by_month)
     t = t.withColumns({
         "avg_monthly_burn": F.sum("total_spend").over(everything).cast("double") / F.count("*").over(everything),
@@ -137,9 +143,9 @@ def coverage_delta(ledger: DataFrame) -> DataFrame:
         "month_str", "total_spend", "total_income", "income_coverage", "coverage_delta_pp")
 
 
-def monthly_trend(ledger: DataFrame, months_back: int = 6) -> DataFrame:
+def monthly_trend(ledger: DataFrame, months_back: int = 6, *, drop_null_month: bool = False) -> DataFrame:
     """The newest ``months_back`` months with spending; the undated month ranks as the newest."""
-    newest = monthly_spend(ledger).orderBy(
+    newest = monthly_spend(ledger, drop_null_month=drop_null_month).orderBy(
         F.desc(F.col("month_str") == ""), F.desc("month_str")).limit(months_back)
     return newest.orderBy(F.col("month_str") == "", "month_str")
 

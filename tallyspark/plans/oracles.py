@@ -417,3 +417,49 @@ FROM part GROUP BY 1
 UNION ALL
 SELECT anchor, category, 'Unspecified', 'operating', 1.0 FROM decided WHERE n = 2 AND wanted""",
 }
+
+_TRANSFERS = """WITH
+txn AS (
+  SELECT c_custkey, 'TRANSFER Supplier#' || lpad(CAST(c_custkey * 7 % 150 AS VARCHAR), 9, '0') || ' from ' || c_name
+    || ' ' || c_mktsegment AS description FROM customer),
+rules AS (
+  SELECT 0 AS kind, s_suppkey AS rule_ord, lower(s_name) AS match_text, 'Nation ' || s_nationkey AS category,
+    'transfer' AS type, 'merchant:' || s_name AS rule_match, CAST(length(s_name) * 10 + 50 AS BIGINT) AS score FROM supplier
+  UNION ALL
+  SELECT 1, min(c_custkey), lower(c_mktsegment), 'Segment', 'operating', 'pattern:' || lower(c_mktsegment),
+    CAST(length(c_mktsegment) * 10 AS BIGINT) FROM customer GROUP BY c_mktsegment),
+best AS (
+  SELECT c_custkey, r.* FROM txn JOIN rules r ON contains(lower(description), match_text)
+  QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, kind, rule_ord) = 1)
+SELECT c_custkey, description, coalesce(category, 'Uncategorized') AS category, coalesce(type, 'operating') AS type,
+  coalesce(rule_match, 'none') AS rule_match, coalesce(score, 0) AS confidence
+FROM txn LEFT JOIN best USING (c_custkey)"""
+
+_LEARNED = ORACLES["apply_decisions"].rsplit("SELECT * FROM added", 1)[0] + f""",
+learned AS (
+  SELECT DISTINCT lower(alias) AS match_text, 1 AS bonus FROM (
+    SELECT alias FROM dir_alias UNION ALL SELECT alias FROM added)
+  UNION ALL
+  SELECT DISTINCT lower(anchor), 0 FROM decided WHERE n = 2 AND wanted),
+scored AS (
+  SELECT match_text, CAST(length(match_text) * 10 + 50 * bonus AS BIGINT) AS score FROM learned
+  UNION ALL
+  SELECT match_text, CAST(trunc(length(match_text) * 10 * CAST(weight AS DOUBLE)) AS BIGINT) FROM pattern_rules)
+SELECT description, any_value(n) AS n, coalesce(max(score), 0) AS confidence
+FROM (SELECT description, count(*) AS n FROM txn GROUP BY 1) t
+LEFT JOIN scored ON length(match_text) >= 2 AND contains(t.description, match_text) GROUP BY description"""
+
+ORACLES |= {
+    "categorize_transfers": _TRANSFERS,
+    "operating_base_month": ORACLES["operating_base"] + " AND month = '1995-03'",
+    "operating_transactions_all": ORACLES["operating_transactions"].replace(" AND category = 'Shopping'", ""),
+    "dated_monthly_trend": f"{_KPIS} SELECT month_str, total_spend FROM kpis WHERE month_str <> ''",
+    "dated_debt_timeline": f"SELECT * FROM ({ORACLES['debt_timeline']}) WHERE month_str <> ''",
+    "staged_table": f"""{_LINES}
+SELECT source_file, block_start, line_idx, date, description, paid_out, paid_in, source FROM staged
+WHERE reject_reason IS NULL""",
+    "categorized_table": ORACLES["categorized_counts"],
+    "stored_ledger": f"SELECT *, coalesce(strftime(date, '%Y-%m'), '') AS month FROM ({ORACLES['merge_ledger']})",
+    "stored_rules": ORACLES["upsert_merchants"],
+    "learn_loop": _LEARNED,
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from tallyspark.functions import clean
 from tallyspark.functions.text import month_label
 from tallyspark.operators import clustering, layouts, learning, merge, rules, similarity_join
+from tallyspark.operators.scale import shared_dir
 from tallyspark.plans import debt, operating, p2p, pipeline
 from tallyspark.plans import sample_inputs as inputs
-from tallyspark.schema import MONEY
+from tallyspark.schema import CATEGORIZED, MONEY
 from tallyspark.sources import statements, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +235,73 @@ def _append_patterns(spark, d):
     return learning.append_patterns(old, _decided(spark, d)[1]).drop("rule_ord")
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that a query stores and reads back."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _transfers(spark, d):
+    """A transfer per customer matched against a rule per supplier and segment."""
+    txn = inputs.transfers(spark, d)
+    matched = rules.categorize(txn, inputs.payees(spark, d), inputs.segments(spark, d), inline_rules=0)
+    return matched.select("c_custkey", "description", "category", "type", "rule_match", "confidence")
+
+
+def _operating_transactions_all(spark, d):
+    base = operating.operating_base(inputs.ledger(spark, d))
+    return _plain(operating.operating_transactions(base))
+
+
+def _staged_table(spark, d):
+    """Valid rows read back from the staged table of a batch, whose second writing replaces the first."""
+    path = _shared(spark, "staged")
+    checked = statements.stage(inputs.statement_text(spark, d))
+    store.write_staged(checked, path)
+    store.write_staged(checked, path)
+    return _plain(store.read_staged(spark, path).select(
+        "source_file", F.col("ingest_seq.block_start").alias("block_start"),
+        F.col("ingest_seq.line_idx").alias("line_idx"), "date", "description", "paid_out", "paid_in", "source"))
+
+
+def _categorized_table(spark, d):
+    path = _shared(spark, "categorized")
+    for _ in range(2):
+        store.write_categorized(inputs.categorized(spark, d).drop("ingest_seq"), path)
+    return _plain(pipeline.categorized_counts(merge.to_ledger(spark.read.parquet(path))))
+
+
+def _stored_ledger(spark, d):
+    """A ledger table appended to twice; the second batch repeats rows of the first."""
+    path = _shared(spark, "ledger")
+    for batch in (inputs.ledger_old(spark, d), inputs.ledger_new(spark, d)):
+        rows = batch.withColumn("account_type", F.lit("Credit")).select(*CATEGORIZED.fieldNames(), "ingest_seq")
+        store.append_ledger(spark, path, rows, dates=inputs.txn(spark, d))
+    return _plain(store.read_ledger(spark, path).select(*_MERGED, "month"))
+
+
+def _stored_rules(spark, d):
+    """Merchants written, changed, written as a new version and read back from the newest."""
+    path = _shared(spark, "rules")
+    old = learning.alias_rows(inputs.directory(spark, d))
+    store.write_rules(old, path, 1)
+    known = learning.alias_rows(store.read_merchants(spark, path))
+    merged = learning.upsert_merchants(known, learning.alias_rows(inputs.directory_changes(spark, d)))
+    store.write_rules(merged, path, 2)
+    read = learning.alias_rows(store.read_merchants(spark, path))
+    return read.select("id", "name", "category", "subcategory", "type", "alias")
+
+
+def _learn_loop(spark, d):
+    """Decisions on uncategorised clusters become stored rules, which then categorise the ledger again."""
+    merchants, patterns = _shared(spark, "merchants"), _shared(spark, "patterns")
+    rows, found = _decided(spark, d)
+    store.write_rules(learning.upsert_merchants(learning.alias_rows(inputs.directory(spark, d)), rows), merchants, 1)
+    store.write_rules(learning.append_patterns(inputs.patterns(spark), found), patterns, 1)
+    again = rules.recategorize(inputs.ledger(spark, d), store.read_merchants(spark, merchants),
+                               store.read_patterns(spark, patterns))
+    return again.groupBy("description").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+
+
 QUERIES: dict[str, Query] = {
     "clean_currency": _clean_currency,
     "parse_dates": _parse_dates,
@@ -285,4 +354,15 @@ QUERIES: dict[str, Query] = {
     "apply_decisions": _apply_decisions,
     "upsert_merchants": _upsert_merchants,
     "append_patterns": _append_patterns,
+    "categorize_transfers": _transfers,
+    "operating_base_month": _on_ledger(lambda ledger: operating.operating_base(ledger, "1995-03"),
+                                       [*ROW, "category", "subcategory", "paid_out", "month_str"]),
+    "operating_transactions_all": _operating_transactions_all,
+    "dated_monthly_trend": _on_ledger(lambda ledger: operating.monthly_trend(ledger, 1000, drop_null_month=True)),
+    "dated_debt_timeline": _on_ledger(lambda ledger: debt.debt_timeline(ledger, drop_null_month=True)),
+    "staged_table": _staged_table,
+    "categorized_table": _categorized_table,
+    "stored_ledger": _stored_ledger,
+    "stored_rules": _stored_rules,
+    "learn_loop": _learn_loop,
 }

@@ -58,6 +58,31 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("l_orderkey").alias("block_start"), line_idx.alias("line_idx")).alias("ingest_seq"))
 
 
+def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transfer per customer, to a supplier named in the description."""
+    customers = table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("TRANSFER Supplier#"), F.lpad(((F.col("c_custkey") * 7) % 150).cast("string"), 9, "0"))
+    return customers.select("c_custkey", F.concat(name, F.lit(" from "), "c_name", F.lit(" "), "c_mktsegment")
+                            .alias("description"))
+
+
+def payees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merchant per supplier, known by its name."""
+    supplier = table(spark, sf_dir, "supplier")
+    return supplier.select(
+        F.col("s_suppkey").alias("rule_ord"), rule_id(F.col("s_name")).alias("id"), F.col("s_name").alias("name"),
+        F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("category"),
+        F.lit("").alias("subcategory"), F.lit("transfer").alias("type"), F.array("s_name").alias("aliases"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern per market segment."""
+    names = table(spark, sf_dir, "customer").groupBy(F.lower("c_mktsegment").alias("pattern")).agg(
+        F.min("c_custkey").alias("rule_ord"))
+    return names.select("rule_ord", "pattern", F.lit("Segment").alias("category"), F.lit("").alias("subcategory"),
+                        F.lit("operating").alias("type"), F.lit(1.0).alias("weight"))
+
+
 def categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categorize(txn(spark, sf_dir), merchants(spark), patterns(spark))
 

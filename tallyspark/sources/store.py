@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.clean import coerce_amount
-from tallyspark.functions.text import clean_key, month_label, or_blank
+from tallyspark.functions.text import clean_key, month_label, or_blank, strip
+from tallyspark.operators.learning import as_merchants
 from tallyspark.operators.merge import new_rows, to_ledger
 from tallyspark.schema import LEDGER, missing_columns
 
@@ -82,12 +85,43 @@ def load_ledger(df: DataFrame) -> DataFrame:
     return df.withColumn("month", month_label(F.col("date"))) if "date" in df.columns else df
 
 
+def _newest(spark: SparkSession, path: str) -> str | None:
+    """The folder of the highest version that ``write_rules`` wrote under ``path``; None for a plain file."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place) or not files.getFileStatus(place).isDirectory():
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    versions = [int(n.removeprefix("version=")) for n in names if re.fullmatch(r"version=\d+", n)]
+    return f"{path.rstrip('/')}/version={max(versions)}" if versions else None
+
+
 def _items(spark: SparkSession, path: str) -> DataFrame | None:
-    """(rule_ord, item) of the JSON array in a rule file; no rows if it holds anything else."""
+    """(rule_ord, item) of a rule file: one JSON object per line, read in parallel, or one JSON array.
+
+    None if there is no file; an error if the file holds neither, so that a broken file is not taken
+    for one without rules.
+    """
     if not table_exists(spark, path):
         return None
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    return whole.select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("rule_ord", "item"))
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "").select(
+        F.try_parse_json("value").alias("item"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")), F.lit(False))
+    counted = lines.agg(F.count("*").alias("n"), F.count_if(is_object).alias("objects")).first()
+    if 0 < counted["n"] == counted["objects"]:
+        return lines.select(F.monotonically_increasing_id().alias("rule_ord"), "item")
+    whole = spark.read.text(path, wholetext=True).select(
+        F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("items"))
+    if whole.filter("items is not null").isEmpty():
+        raise ValueError(f"{path} holds neither a JSON array nor JSON objects line by line")
+    return whole.select(F.posexplode("items").alias("rule_ord", "item"))
+
+
+def left_out(spark: SparkSession, path: str, read) -> int:
+    """How many items of a rule file ``read`` (``read_merchants`` or ``read_patterns``) left out as invalid."""
+    items = _items(spark, path)
+    return 0 if items is None else items.count() - read(spark, path).count()
 
 
 def _text(name: str, default: str | None = None) -> tuple[Column, Column]:
@@ -105,7 +139,14 @@ def _any_text(v: Column) -> Column:
 
 
 def read_merchants(spark: SparkSession, path: str) -> DataFrame:
-    """Merchant rules of a JSON file in file order; invalid items are left out one by one."""
+    """Merchant rules of a JSON file in file order, or of the newest snapshot under a folder.
+
+    Invalid items of a file are left out one by one; ``left_out`` counts them.
+    """
+    newest = _newest(spark, path)
+    if newest is not None:
+        table = spark.read.parquet(newest)
+        return as_merchants(table) if "alias" in table.columns else table
     items = _items(spark, path)
     if items is None:
         return spark.createDataFrame([], "rule_ord long, id string, name string, category string, "
@@ -123,7 +164,13 @@ def read_merchants(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Pattern rules of a JSON file in file order; invalid items are left out one by one."""
+    """Pattern rules of a JSON file in file order, or of the newest snapshot under a folder.
+
+    Invalid items of a file are left out one by one; ``left_out`` counts them.
+    """
+    newest = _newest(spark, path)
+    if newest is not None:
+        return spark.read.parquet(newest)
     items = _items(spark, path)
     if items is None:
         return spark.createDataFrame([], "rule_ord long, pattern string, category string, "

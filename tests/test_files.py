@@ -128,8 +128,13 @@ def test_rules_from_json(spark, tmp_path):
                     ' {"pattern": "c"}, {"pattern": "d", "category": "x", "weight": "much"}, 7]')
     got = [tuple(r) for r in store.read_patterns(spark, str(path)).orderBy("rule_ord").collect()]
     assert got == [(0, "gym", "x", "", "operating", 1.0), (1, "b", "x", "", "operating", 1.5)]
-    path.write_text('{"pattern": "a", "category": "x"}')
-    assert store.read_patterns(spark, str(path)).count() == 0
+    assert store.left_out(spark, str(path), store.read_patterns) == 3
+    path.write_text('{"pattern": "a", "category": "x"}\n\n{"pattern": "b", "category": "y"}\n{"pattern": "c"}\n')
+    assert [r.pattern for r in store.read_patterns(spark, str(path)).orderBy("rule_ord").collect()] == ["a", "b"]
+    for broken in ("", "no json", '[{"pattern": "a", "category": "x"}', '"text"'):
+        path.write_text(broken)
+        with pytest.raises(ValueError):
+            store.read_patterns(spark, str(path))
     assert store.read_merchants(spark, str(tmp_path / "absent.json")).count() == 0
 
 
@@ -138,6 +143,8 @@ def test_rule_versions(spark, tmp_path):
     first = store.write_rules(merchants, str(tmp_path), 1)
     store.write_rules(merchants.withColumn("category", F.lit("y")), str(tmp_path), 2)
     assert spark.read.parquet(first).first().category == "Food"
+    store.write_rules(merchants.withColumn("category", F.lit("z")), str(tmp_path), 10)
+    assert {r.category for r in store.read_merchants(spark, str(tmp_path)).collect()} == {"z"}
 
 
 def _cells(spark, line, delimiter=","):
