@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.similarity import may_reach, token_sort
 from tallyspark.functions.text import clean_key, date_text
-from tallyspark.operators.scale import cut_lineage
+from tallyspark.operators.scale import cut_lineage, forget
 from tallyspark.operators.similarity_join import (
     copies, element_frequency, elements, rare_elements, salt, score_pairs, shares, text_lengths)
 from tallyspark.schema import UNCATEGORIZED, require_columns
@@ -64,7 +64,8 @@ def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) ->
         left = state.filter("owner is null").agg(F.count("*").alias("n"), F.min("rank").alias("lowest")).first()
         if left["n"] == 0:
             break
-        state = _round(state, blocks, left["lowest"], threshold, front, parts)
+        before, state = state, _round(state, blocks, left["lowest"], threshold, front, parts)
+        forget([before])
     return (texts.join(state.select("key", F.col("owner.text").alias("anchor")), "key")
             .select("description", "count", "anchor"))
 
@@ -73,47 +74,48 @@ def _round(state: DataFrame, blocks: DataFrame, lowest, threshold: int, front: i
     # An owner below every undecided text is final.
     bound = F.struct(F.lit(lowest["neg"]).cast("long").alias("neg"), F.lit(lowest["text"]).alias("text"))
     open_to_change = F.col("owner").isNull() | (F.col("owner") > bound)
-    work = blocks.join(state.filter(open_to_change), "key").persist()
-    anchors = _new_anchors(work.filter("owner is null"), threshold, front)
+    spent: list[DataFrame] = []
+    work = cut_lineage(blocks.join(state.filter(open_to_change), "key"), spent)
+    anchors = _new_anchors(work.filter("owner is null"), threshold, front, spent)
     best = _lowest_anchor(work, anchors, threshold, parts)
     chosen = anchors.select("key", F.col("rank").alias("own"))
     updated = (state.join(chosen, "key", "left").join(best, "key", "left")
                .withColumn("owner", F.coalesce("own", F.least("owner", "found"), "found"))
                .select("key", "rank", "keys", "owner"))
     updated = cut_lineage(updated)
-    work.unpersist()
+    forget(spent)
     return updated
 
 
-def _new_anchors(undecided: DataFrame, threshold: int, front: int) -> DataFrame:
+def _new_anchors(undecided: DataFrame, threshold: int, front: int, spent: list[DataFrame]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("element").orderBy("rank"))
     shown = undecided.withColumn("_rn", place).filter(F.col("_rn") <= front).select("element", "key", "rank", "keys")
     ready = (shown.groupBy("key").agg(F.count("*").alias("_n"), F.first("keys").alias("_keys"),
                                       F.first("rank").alias("rank"))
              .filter("_n = _keys").select("key", "rank"))
-    ready = cut_lineage(ready)
+    ready = cut_lineage(ready, spent)
     higher = shown.join(ready.select("key"), "key", "left_semi")
     lower = shown.select("element", F.col("key").alias("lower_key"), F.col("rank").alias("lower_rank"))
     pairs = (higher.join(lower, "element")
              .filter((F.col("lower_rank") < F.col("rank")) & may_reach(F.col("key"), F.col("lower_key"), threshold))
              .select("key", "rank", "lower_key").distinct())
-    edges = cut_lineage(score_pairs(pairs, "key", "lower_key", threshold).select("key", "rank", "lower_key"))
-    return _resolve(ready, edges)
+    scored = score_pairs(pairs, "key", "lower_key", threshold).select("key", "rank", "lower_key")
+    return _resolve(ready, cut_lineage(scored, spent), spent)
 
 
-def _resolve(ready: DataFrame, edges: DataFrame) -> DataFrame:
+def _resolve(ready: DataFrame, edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """Anchors among the ``ready`` texts, given their similar lower ones.
 
     A text without any is an anchor, one that is similar to an anchor is not, and texts known not to
     be anchors stand in nobody's way. Repeated until nothing more follows.
     """
-    latest = cut_lineage(ready.join(edges.select("key"), "key", "left_anti"))
+    latest = cut_lineage(ready.join(edges.select("key"), "key", "left_anti"), spent)
     anchors = latest
     while not edges.isEmpty():
         covered = edges.join(latest.select(F.col("key").alias("lower_key")), "lower_key", "left_semi").select("key").distinct()
         free = edges.join(covered, "key", "left_anti")
-        left = cut_lineage(free.join(covered.withColumnRenamed("key", "lower_key"), "lower_key", "left_anti"))
-        latest = cut_lineage(free.select("key", "rank").distinct().join(left.select("key"), "key", "left_anti"))
+        left = cut_lineage(free.join(covered.withColumnRenamed("key", "lower_key"), "lower_key", "left_anti"), spent)
+        latest = cut_lineage(free.select("key", "rank").distinct().join(left.select("key"), "key", "left_anti"), spent)
         if latest.isEmpty():
             break
         anchors, edges = anchors.unionByName(latest), left

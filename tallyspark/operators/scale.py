@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that a lost executor does not replay the plan behind it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, spent: list[DataFrame] | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, so that a lost executor does not replay the plan behind it.
+
+    With ``spent`` the table is noted there, for ``forget`` once nothing reads it any more.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._cut_path = path
+    if spent is not None:
+        spent.append(stored)
+    return stored
+
+
+def forget(spent: list[DataFrame]) -> None:
+    """Delete tables that ``cut_lineage`` wrote."""
+    for stored in spent:
+        spark = stored.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(stored._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spent.clear()
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

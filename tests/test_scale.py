@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,9 +48,15 @@ def test_hot_rows_are_spread(spark, monkeypatch):
 
 
 def test_lineage_is_cut_in_the_named_folder(spark):
-    df = scale.cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
-    assert "Scan ExistingRDD" in plan_of(df) and df.count() == 5
-    assert scale.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    spent = []
+    df = scale.cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2), spent)
+    assert "FileScan parquet" in plan_of(df) and "Range" not in plan_of(df) and df.count() == 5
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert scale.shared_dir(spark) == named and all(f.startswith(f"file://{named}/") for f in df.inputFiles())
+    folder = df._cut_path
+    assert os.path.isdir(folder)
+    scale.forget(spent)
+    assert spent == [] and not os.path.exists(folder)
 
 
 def test_copies_of_one_row_are_spread(spark, monkeypatch):
