@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, SF_DIR)
     result = db.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
-    assert sorted(df.columns) == sorted(columns)
+    assert sorted(df.columns) == sorted(columns) and has_columns(df, name)
     assert _rows(df.columns, df.collect()) == _rows(columns, result.fetchall())
 
 
@@ -56,9 +56,11 @@ def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", list(CONTRACTS))
+@pytest.mark.parametrize("name", sorted(set(CONTRACTS) - set(ORACLES)))
 def test_columns(spark, name):
-    types = dict(QUERIES[name](spark, SF_DIR).dtypes)
-    for column in CONTRACTS[name].split(", "):
-        column, kind = column.split()
-        assert types[column] == kind
+    assert has_columns(QUERIES[name](spark, SF_DIR), name)
+
+
+def has_columns(df, name):
+    types = dict(df.dtypes)
+    return all(types[c.split()[0]] == c.split()[1] for c in CONTRACTS[name].split(", "))
