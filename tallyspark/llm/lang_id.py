@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 PER_LABEL = 500
-EPOCHS = 12
+STEPS = 800
 BATCH = 32
 RATE = 8.0  # over the longest row of a batch, so that no input makes training diverge
 SEED = 7
@@ -115,18 +115,17 @@ def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
     bias = np.zeros(len(languages), dtype=np.float32)
     scale = np.float32(np.sqrt(BUCKETS))  # averages over many buckets are small
     rows, target = average[~held].astype(np.float32) * scale, np.eye(len(languages), dtype=np.float32)[labels[~held]]
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            some = order[at:at + BATCH]
-            rate = np.float32(RATE * (1 - epoch / EPOCHS) / max(1.0, np.square(rows[some]).sum(axis=1).max()))
-            hidden = rows[some] @ embedding
-            error = (softmax(hidden @ output + bias) - target[some]) / len(some)
-            back = error @ output.T
-            output -= rate * hidden.T @ error
-            bias -= rate * error.sum(axis=0)
-            used = np.flatnonzero(rows[some].any(axis=0))
-            embedding[used] -= rate * rows[some][:, used].T @ back
+    order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-STEPS * BATCH // len(rows)))])
+    for step in range(STEPS):
+        some = order[step * BATCH:(step + 1) * BATCH]
+        rate = np.float32(RATE * (1 - step / STEPS) / max(1.0, np.square(rows[some]).sum(axis=1).max()))
+        hidden = rows[some] @ embedding
+        error = (softmax(hidden @ output + bias) - target[some]) / len(some)
+        back = error @ output.T
+        output -= rate * hidden.T @ error
+        bias -= rate * error.sum(axis=0)
+        used = np.flatnonzero(rows[some].any(axis=0))
+        embedding[used] -= rate * rows[some][:, used].T @ back
     table = (embedding.astype(np.float64) @ output) * float(scale)
     checked = average[held] @ table + bias if held.any() else average @ table + bias
     truth = labels[held] if held.any() else labels
@@ -137,7 +136,13 @@ def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
 
 
 def _loss(scores: np.ndarray, truth: np.ndarray) -> float:
-    return float(-np.log(softmax(scores)[np.arange(len(truth)), truth] + 1e-12).mean())
+    """Cross entropy with the truth at (n + 1) / (n + 2) and the rest spread, so that no temperature makes it vanish."""
+    share = softmax(scores)
+    logs = np.log(share + 1e-300)
+    right = logs[np.arange(len(truth)), truth]
+    wrong = (logs.sum(axis=1) - right) / max(1, share.shape[1] - 1)
+    doubt = 1 / (len(truth) + 2)
+    return float(-((1 - doubt) * right + doubt * wrong).mean())
 
 
 def _threshold(score: np.ndarray, right: np.ndarray) -> float:
