@@ -10,7 +10,8 @@ The automaton grows with the corpus, so it is neither broadcast nor collected. T
 ``PACK_BYTES``. For each order a block asks for the counts of its own n-grams only: they go, with their contexts, to buckets
 by the context's hash, are totalled there, and the totals return in the order of the question, one small number each. Each
 block then weighs its part of the automaton and reads its texts, all positions at a time. N-grams are known by 64-bit
-fingerprints.
+fingerprints. There are as many buckets as blocks, and a bucket holds about as many n-grams as a block, so both fit a task
+at any size; questions number blocks times buckets, which larger blocks on larger executors keep down.
 
 A context that makes up a thousandth of all tokens or more is hot: its n-grams are dealt by their own hash instead, and the
 partial counts of its successors are added up. There are at most a thousand such contexts whatever the size of the corpus.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import Numbers, mix64, store, words_of
 
 ORDER = 2
-PACK_BYTES = 16 << 20
+PACK_BYTES = 6 << 20
 HOT_SHARE = 1000
 _BEGIN = np.uint64(xxhash.xxh64_intdigest(b"begin", 1))
 _END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
@@ -123,7 +124,8 @@ def question(block: Block, n: int, hot: np.ndarray, buckets: int) -> Question:
     contexts = grams if n == 1 else block.grams[n - 2][at[first] - 1]
     route = np.where(np.isin(contexts, hot), grams, contexts)
     bucket = (mix64(route) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    order = np.lexsort((grams, contexts, bucket))
+    order = np.argsort(contexts, kind="stable")
+    order = order[np.argsort(bucket[order].astype(np.uint16) if buckets < 1 << 16 else bucket[order], kind="stable")]
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
