@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 PER_LABEL = 500
+PARTS = 64
 STEPS = 800
 BATCH = 32
 RATE = 8.0  # over the longest row of a batch, so that no input makes training diverge
@@ -157,14 +158,19 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
           per_label: int = PER_LABEL) -> Model:
     """Fit on at most ``per_label`` documents a label, those with the smallest hashes of their ids.
 
-    Rows with a null label, or without a letter, teach nothing. Without any label the model predicts nothing. Training
-    repeats exactly on the same rows; ties among equal ids go by text hash.
+    Rows with a null label, or without a letter, teach nothing; rows equal in label, id and text teach once. Without any
+    label the model predicts nothing. Training repeats exactly on the same rows; ties among equal ids go by text hash.
     """
     text, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`").cast("string")
-    order = [F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.xxhash64(text).alias("t")]
-    ranked = (labelled.select(label.alias("label"), *order, text.alias("text"))
-              .filter(F.col("label").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
-              .withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))).filter(F.col("n") <= per_label))
+    rows = (labelled.select(label.alias("label"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.xxhash64(text).alias("t"),
+                            text.alias("text"))
+            .filter(F.col("label").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))))
+    # Texts stay where they are until the choice is made: only hashes are ranked, first within parts of a label.
+    first, chosen = Window.partitionBy("label", F.pmod("h", F.lit(PARTS))).orderBy("h", "t"), rows.select("label", "h", "t")
+    for by in (first, Window.partitionBy("label").orderBy("h", "t")):
+        chosen = chosen.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= per_label).drop("n")
+    key = ["label", "h", "t"]
+    sampled = rows.join(F.broadcast(chosen.distinct()), key).dropDuplicates(key)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,7 +184,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
             yield pd.DataFrame({"label": batch["label"], "h": batch["h"], "t": batch["t"],
                                 "buckets": [f[0] for f in found], "counts": [f[1] for f in found]})
 
-    sample = ranked.select("label", "h", "t", "text").mapInPandas(
+    sample = sampled.select("label", "h", "t", "text").mapInPandas(
         counted, "label string, h long, t long, buckets array<int>, counts array<long>").toPandas()
     sample = sample.sort_values(["h", "t", "label"], kind="stable", ignore_index=True)
     languages = sorted(set(sample["label"]))
