@@ -6,13 +6,12 @@ their target rates; the mix is the prefix of that global order that fits the bud
 sends its documents again, in the same order, up to ``MAX_EPOCHS`` times.
 
 No source is handled by one task: running sums are taken within (source, hash range) and (time range) cells of bounded size
-and shifted by the sums of the cells before. Both kinds of cell hold about ``CELL_ROWS`` rows at any data size.
+and shifted by the sums of the cells before. Both kinds of cell hold about ``CELL_ROWS`` rows at any data size, and the table
+of their sums that many times fewer rows than there are documents.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +21,7 @@ from tallyspark.operators.scale import lookup_join
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-CELL_ROWS = 10_000
+CELL_ROWS = 500
 SEED = "mix-1"
 
 
@@ -52,9 +51,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
         F.least(F.col("_cap").cast("double"), level * F.col("_weight")).alias("target"))
 
 
-def _cell_digits(rows: int) -> int:
-    """Hex digits of a hash so that a cell gets about ``CELL_ROWS`` of ``rows`` evenly spread rows."""
-    return max(0, min(8, math.ceil(math.log(max(1, rows / CELL_ROWS), 16))))
+def _cell(order: Column, cells: int) -> Column:
+    """The first 32 bits of a hash in hex digits, cut into ``cells`` equal ranges."""
+    return F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.lit(cells) / F.lit(1 << 32)).cast("long")
 
 
 def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text",
@@ -77,7 +76,7 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "do
 
     cell = ["_rank", "_cell"]
     in_cell = Window.partitionBy(*cell).orderBy("_order", "size", "text_hash")
-    celled = known.withColumn("_cell", F.substring("_order", 1, _cell_digits(rows)))
+    celled = known.withColumn("_cell", _cell(F.col("_order"), max(1, rows // CELL_ROWS)))
     offsets = celled.groupBy(*cell).agg(F.sum("size").alias("_cell_size")).select(
         *cell, F.coalesce(F.sum("_cell_size").over(
             Window.partitionBy("_rank").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
