@@ -6,6 +6,9 @@ more with the template; 32 bands of two MinHash rows then collide with a probabi
 shingle of a template can't collide, so signatures are computed only for windows that hold one; this changes no result.
 What the bands retrieve is verified by counting the template's distinct shingles in the window.
 
+Notices under five words are one shingle of their whole sequence. A window of one shingle has the signature of the notice
+exactly when it holds it, so bands and containment come down to equal shingle numbers, and those are compared.
+
 A scan is one pass over the texts without a shuffle. The templates are parameters and travel with the tasks.
 """
 
@@ -69,6 +72,12 @@ TEMPLATES = (
 )
 
 
+#: Notices under ``SHINGLE`` words.
+NOTICES = (
+    Template("All-rights-reserved", "All rights reserved."),
+)
+
+
 class Match(NamedTuple):
     """``license`` in the words ``first_word`` to ``last_word`` (from 0), with the share of its shingles found there."""
 
@@ -85,10 +94,11 @@ def text_words(text: str | None) -> list[bytes]:
 class Scanner:
     """The templates' shingles, exact as numbers over the templates' own vocabulary, and their band keys."""
 
-    def __init__(self, templates: Sequence[Template] = TEMPLATES, containment: float = CONTAINMENT):
-        self.templates, self.containment = list(templates), containment
+    def __init__(self, templates: Sequence[Template] = TEMPLATES, containment: float = CONTAINMENT,
+                 notices: Sequence[Template] = NOTICES):
+        self.templates, self.containment, self.notices = list(templates), containment, list(notices)
         self.vocabulary: dict[bytes, int] = {}
-        for template in templates:
+        for template in [*templates, *notices]:
             for word in text_words(template.text):
                 self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
         self.base = len(self.vocabulary) + 1
@@ -98,19 +108,27 @@ class Scanner:
         for template in templates:
             words = text_words(template.text)
             if len(words) < SHINGLE:
-                raise ValueError(f"template {template.name} has fewer than {SHINGLE} words")
-            self.shingles.append(np.unique(self._numbers(words)))
+                raise ValueError(f"template {template.name} has fewer than {SHINGLE} words; it can be a notice")
+            self.shingles.append(np.unique(self._numbers(self._ids(words), SHINGLE)))
             self.bands.append(_band_keys(_signature(np.unique(_hashes(words)))))
         self.known = np.unique(np.concatenate(self.shingles)) if templates else np.empty(0, dtype=np.int64)
-
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        """A number per shingle, 0 if a word is in no template."""
-        n = len(words) - SHINGLE + 1
+        self.short: dict[int, list[tuple[str, int]]] = {}
+        for notice in notices:
+            words = text_words(notice.text)
+            if not 0 < len(words) < SHINGLE:
+                raise ValueError(f"notice {notice.name} has no word, or {SHINGLE} and more: it is a template then")
+            self.short.setdefault(len(words), []).append((notice.name, int(self._numbers(self._ids(words), len(words))[0])))
+
+    def _ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
+
+    def _numbers(self, ids: np.ndarray, length: int) -> np.ndarray:
+        """A number per shingle of ``length`` words, 0 if a word is in no template or notice."""
+        n = len(ids) - length + 1
         if n < 1:
             return np.empty(0, dtype=np.int64)
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
         numbers, whole = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-        for k in range(SHINGLE):
+        for k in range(length):
             part = ids[k:k + n]
             numbers = numbers * self.base + part
             whole &= part > 0
@@ -123,8 +141,27 @@ class Scanner:
         return length, max(1, length - m)
 
     def scan(self, text: str | None) -> list[Match]:
+        """Matches of the templates."""
         words = text_words(text)
-        numbers = self._numbers(words)
+        return self._scan(words, self._ids(words))
+
+    def scan_all(self, text: str | None) -> tuple[list[Match], list[Match]]:
+        """Matches of the templates, and those of the notices."""
+        words = text_words(text)
+        ids = self._ids(words)
+        return self._scan(words, ids), self._scan_short(ids)
+
+    def _scan_short(self, ids: np.ndarray) -> list[Match]:
+        found: list[Match] = []
+        for length, notices in self.short.items():
+            numbers = self._numbers(ids, length)
+            for name, number in notices:
+                starts = np.flatnonzero(numbers == number).tolist()
+                found += _merge([Match(name, 1.0, start, start + length - 1) for start in starts])
+        return sorted(found, key=lambda m: (m.first_word, m.license))
+
+    def _scan(self, words: list[bytes], ids: np.ndarray) -> list[Match]:
+        numbers = self._numbers(ids, SHINGLE)
         at = np.searchsorted(self.known, numbers)
         hits = np.flatnonzero((numbers > 0) & (self.known[np.minimum(at, len(self.known) - 1)] == numbers)) if len(
             self.known) else np.empty(0, dtype=np.int64)
@@ -199,16 +236,21 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, containment: float = CONTAINMENT,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col`` and ``matches`` (license, containment, first_word, last_word), by position.
+         id_col: str = "doc_id", text_col: str = "text", notices: Sequence[Template] = NOTICES) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, and by position ``matches`` of templates and ``short_matches`` of notices.
 
-    Overlapping matches of one template are one; different templates may overlap. A null, empty or short text has none.
+    Both hold license, containment, first_word and last_word. ``templates`` have at least ``SHINGLE`` words, ``notices``
+    fewer. Overlapping matches of one template are one; different templates may overlap. A null or empty text has none.
     Ids may be null or repeated; an empty table gives no rows. Other columns aren't read.
     """
-    scanner = Scanner(templates, containment)
+    scanner = Scanner(templates, containment, notices=notices)
+    found = "array<struct<license string, containment double, first_word long, last_word long>>"
 
-    @F.pandas_udf("array<struct<license string, containment double, first_word long, last_word long>>")
-    def matches(texts: pd.Series) -> pd.Series:
-        return pd.Series([[m._asdict() for m in scanner.scan(t)] for t in texts], dtype=object)
+    @F.pandas_udf(f"matches {found}, short_matches {found}")
+    def matches(texts: pd.Series) -> pd.DataFrame:
+        rows = [[[m._asdict() for m in part] for part in scanner.scan_all(t)] for t in texts]
+        return pd.DataFrame({"matches": pd.Series([r[0] for r in rows], dtype=object),
+                             "short_matches": pd.Series([r[1] for r in rows], dtype=object)})
 
-    return docs.select(F.col(f"`{id_col}`").alias(id_col), matches(F.col(f"`{text_col}`")).alias("matches"))
+    return (docs.select(F.col(f"`{id_col}`").alias(id_col), matches(F.col(f"`{text_col}`")).alias("_found"))
+            .select(F.col(f"`{id_col}`"), "_found.matches", "_found.short_matches"))
