@@ -166,11 +166,13 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
                             text.alias("text"))
             .filter(F.col("label").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))))
     # Texts stay where they are until the choice is made: only hashes are ranked, first within parts of a label.
-    first, chosen = Window.partitionBy("label", F.pmod("h", F.lit(PARTS))).orderBy("h", "t"), rows.select("label", "h", "t")
+    # Repeated rows must not take places, so they fall away before the ranks; of many copies one row per task travels.
+    first = Window.partitionBy("label", F.pmod("h", F.lit(PARTS))).orderBy("h", "t")
+    chosen = rows.select("label", "h", "t").distinct()
     for by in (first, Window.partitionBy("label").orderBy("h", "t")):
         chosen = chosen.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= per_label).drop("n")
     key = ["label", "h", "t"]
-    sampled = rows.join(F.broadcast(chosen.distinct()), key).dropDuplicates(key)
+    sampled = rows.join(F.broadcast(chosen), key).dropDuplicates(key)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

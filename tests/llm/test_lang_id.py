@@ -96,3 +96,14 @@ def test_nothing_to_learn(spark):
     assert lang_id.train(df.limit(0)).languages == []
     one = lang_id.train(spark.createDataFrame([(1, "ba", "xa")], df.schema))
     assert one.predict("ko")[:2] == ("xa", 1.0)
+
+
+def test_repeated_rows_take_one_place(spark):
+    """A row repeated more often than a label has places, with the smallest hash, leaves the other documents theirs."""
+    rows = documents(60, 7)
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    least = labelled.filter("lang = 'xa'").orderBy(F.xxhash64("doc_id")).first()
+    copied = labelled.unionByName(spark.createDataFrame([tuple(least)] * 40, labelled.schema))
+    want, got = lang_id.train(labelled, per_label=30), lang_id.train(copied, per_label=30)
+    assert got.languages == want.languages == sorted(_SYLLABLES)
+    assert np.array_equal(got.table, want.table) and np.array_equal(got.bias, want.bias)
