@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import mix64
@@ -40,24 +40,54 @@ class Template(NamedTuple):
     text: str
 
 
+_GNU = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by "
+        "the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version. This {0} "
+        "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} for more details.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: {0}Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. {1}Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. ")
+_BSD_NAMES = ("{0}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission. ")
+_BSD_END = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+            "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+            "PARTICULAR PURPOSE ARE DISCLAIMED.")
+
 #: Notices as their licenses word them, and the one-line forms in common use.
 TEMPLATES = (
     Template("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
     Template("CC-BY-NC-4.0-line", "Licensed under CC BY-NC 4.0."),
     Template("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
     Template("MIT-line", "Released under the MIT License."),
+    Template("MIT-line", "Licensed under the MIT License."),
+    Template("MIT-line", "Distributed under the MIT License."),
+    Template("GPL-2.0-line", "This work is licensed under the GNU General Public License, version 2."),
+    Template("CC-BY-4.0-line", "Licensed under CC BY 4.0."),
+    Template("CC-BY-SA-4.0-line", "Licensed under CC BY-SA 4.0."),
+    Template("CC-BY-ND-4.0-line", "Licensed under CC BY-ND 4.0."),
+    Template("CC-BY-NC-SA-4.0-line", "Licensed under CC BY-NC-SA 4.0."),
+    Template("CC-BY-NC-ND-4.0-line", "Licensed under CC BY-NC-ND 4.0."),
+    *(Template(f"{name}-line", f"SPDX-License-Identifier: {name}") for name in (
+        "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0",
+        "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")),
     Template("Apache-2.0", (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
         "specific language governing permissions and limitations under the License.")),
-    Template("GPL-3.0", (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
-        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
-        "License for more details.")),
+    Template("AGPL-3.0", _GNU.format("program", ":", "Affero General Public License", ",", 3)),
+    Template("BSD-2-Clause", _BSD.format("", "") + _BSD_END),
+    Template("BSD-2-Clause", _BSD.format("1. ", "2. ") + _BSD_END),
+    Template("BSD-3-Clause", _BSD.format("", "") + _BSD_NAMES.format("") + _BSD_END),
+    Template("BSD-3-Clause", _BSD.format("1. ", "2. ") + _BSD_NAMES.format("3. ") + _BSD_END),
+    Template("GPL-2.0", _GNU.format("program", ";", "General Public License", ";", 2)),
+    Template("GPL-3.0", _GNU.format("program", ":", "General Public License", ",", 3)),
+    Template("LGPL-2.1", _GNU.format("library", ";", "Lesser General Public License", ";", 2.1)),
+    Template("LGPL-3.0", _GNU.format("program", ":", "Lesser General Public License", ",", 3)),
+    Template("LGPL-3.0", _GNU.format("library", ":", "Lesser General Public License", ",", 3)),
     Template("ISC", (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.")),
@@ -75,6 +105,8 @@ TEMPLATES = (
 #: Notices under ``SHINGLE`` words.
 NOTICES = (
     Template("All-rights-reserved", "All rights reserved."),
+    Template("ISC-line", "SPDX-License-Identifier: ISC"),
+    Template("MIT-line", "SPDX-License-Identifier: MIT"),
 )
 
 
@@ -91,6 +123,19 @@ def text_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
+def fullest(matches: Column) -> Column:
+    """The matches without those that one of another license overlaps, as long and with more of its shingles.
+
+    Licenses that differ in a few words (GPL, LGPL and AGPL, or the BSD forms) match each other's texts in part.
+    """
+    def beats(o: Column, m: Column) -> Column:
+        return ((o["license"] != m["license"]) & (o["containment"] > m["containment"])
+                & (o["first_word"] <= m["last_word"]) & (m["first_word"] <= o["last_word"])
+                & (o["last_word"] - o["first_word"] >= m["last_word"] - m["first_word"]))
+
+    return F.filter(matches, lambda m: ~F.exists(matches, lambda o: beats(o, m)))
+
+
 class Scanner:
     """The templates' shingles, exact as numbers over the templates' own vocabulary, and their band keys."""
 

@@ -46,8 +46,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licenses found in every document, with their places."""
     found = license_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
-    licenses = F.concat("matches.license", "short_matches.license")
-    return found.select("doc_id", F.size(licenses).cast("long").alias("n_matches"),
+    licenses = F.concat(license_scan.fullest(F.col("matches"))["license"], "short_matches.license")
+    return found.select("doc_id", (F.size("matches") + F.size("short_matches")).cast("long").alias("n_matches"),
                         F.array_sort(F.array_distinct(licenses)).alias("licenses"), "matches", "short_matches")
 
 

@@ -60,3 +60,37 @@ def test_query_names_every_reserved_right(spark):
         named += "All-rights-reserved" in row.licenses
     assert named > 0
     assert found.filter(F.col("n_matches") == 0).count() < len(texts)
+
+
+TEXTS = {
+    "BSD-3-Clause": "Copyright (c) 2019, ACME\n\n* Redistribution and use in source and binary forms, with or without\n* "
+                    "modification, are permitted provided that the following conditions are met:\n"
+                    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                    "following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this "
+                    "list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+                    "the distribution.\n3. Neither the name of the copyright holder nor the names of its contributors may be "
+                    "used to endorse or promote products derived from this software without specific prior written "
+                    "permission.\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS "
+                    "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+                    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL",
+    "AGPL-3.0-line": "// SPDX-License-Identifier: AGPL-3.0-or-later",
+    "LGPL-2.1-line": "# SPDX-License-Identifier: LGPL-2.1-only",
+    "CC-BY-4.0-line": "Text: licensed under CC BY 4.0!",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "MIT-line": "/* SPDX-License-Identifier: MIT */",
+}
+
+
+def test_each_text_is_named_by_its_own_license(spark, tmp_path):
+    """Also texts that a sister license shares most of, and those that a few words were changed in."""
+    own = [(t.name, t.text) for t in license_scan.TEMPLATES + license_scan.NOTICES]
+    rows = [*TEXTS.items(), *own, *((name, text.replace("this list of", "these")) for name, text in own)]
+    rows = [(i, name, f"Some words before. {text} And some after.") for i, (name, text) in enumerate(rows)]
+    spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op2_license_scan"](spark, str(tmp_path)).collect()}
+    for i, name, text in rows:
+        assert [n for n in got[i].licenses if n in (name, name.removesuffix("-line")) or not n.endswith("-line")
+                or name.endswith("-line")] == [name], text
+    assert {"AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "LGPL-2.1", "LGPL-3.0"} <= {name for _, name, _ in rows}
