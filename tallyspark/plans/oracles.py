@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyspark.functions.text import WHITESPACE
+
 _ROW = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _SEQ = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
@@ -370,6 +372,17 @@ FROM (SELECT s_suppkey AS l_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Aqua' WHEN
     "stage_lines": f"""{_LINES}
 SELECT source_file, block_start, line_idx, date, description, paid_out, paid_in, source, account_type, reject_reason
 FROM staged""",
+    "stage_quoted_text": f"""
+SELECT 'documents_' || doc_id % 64 || '.csv' AS source_file, doc_id AS block_start, DATE '2024-04-03' AS date,
+  CASE WHEN doc_id % 10 = 3 THEN 'open_quote' END AS reject_reason,
+  CASE WHEN doc_id % 10 <> 3 THEN trim(replace(coalesce(text, ''), chr(10), ' '), '{WHITESPACE}') END AS description,
+  CASE WHEN doc_id % 10 <> 3 THEN CAST(doc_id % 1000 AS DOUBLE) END AS paid_out
+FROM documents""",
+    "stage_quoted_lines": f"""
+SELECT 'documents_' || doc_id % 64 || '.csv' AS source_file, doc_id AS block_start, DATE '2024-04-03' AS date,
+  CAST(NULL AS VARCHAR) AS reject_reason, trim(coalesce(text, ''), '{WHITESPACE}') AS description,
+  CAST(doc_id % 1000 AS DOUBLE) AS paid_out
+FROM documents""",
     "reject_counts": f"""{_LINES}
 SELECT source_file, coalesce(reject_reason, '') AS reject_reason, count(*) AS count FROM staged GROUP BY ALL""",
     "uncategorized": f"""{_FREQ}

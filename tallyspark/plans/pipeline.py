@@ -10,9 +10,9 @@ from tallyspark.sources.statements import read_raw_files, stage
 from tallyspark.sources.store import append_ledger, read_staged, write_staged
 
 
-def ingest(spark: SparkSession, raw: str, staged: str, batch_id: int) -> None:
-    """Raw files to staged rows and rejects, in a folder per batch."""
-    write_staged(stage(read_raw_files(spark, raw, batch_id)), f"{staged.rstrip('/')}/batch={batch_id}")
+def ingest(spark: SparkSession, raw: str, staged: str, batch_id: int, multi_line: bool = False) -> None:
+    """Raw files to staged rows and rejects, in a folder per batch; ``multi_line`` if quoted cells may hold line breaks."""
+    write_staged(stage(read_raw_files(spark, raw, batch_id, multi_line)), f"{staged.rstrip('/')}/batch={batch_id}")
 
 
 def categorize_batch(spark: SparkSession, staged: str, ledger: str, batch_id: int,
@@ -23,8 +23,8 @@ def categorize_batch(spark: SparkSession, staged: str, ledger: str, batch_id: in
 
 
 def run(spark: SparkSession, raw: str, staged: str, ledger: str, batch_id: int,
-        merchants: DataFrame, patterns: DataFrame) -> None:
-    ingest(spark, raw, staged, batch_id)
+        merchants: DataFrame, patterns: DataFrame, multi_line: bool = False) -> None:
+    ingest(spark, raw, staged, batch_id, multi_line)
     categorize_batch(spark, staged, ledger, batch_id, merchants, patterns)
 
 

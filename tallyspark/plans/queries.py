@@ -167,6 +167,18 @@ def _stage_lines(spark, d):
                                 "paid_in", "source", "account_type", "reject_reason"))
 
 
+def _stage_documents(line_breaks: bool) -> Query:
+    """Rows with a whole text as a quoted cell: on many lines put together, or on one, some with the quote left open."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = inputs.document_lines(spark, sf_dir, line_breaks)
+        staged = statements.stage(statements.join_quoted_lines(lines) if line_breaks else lines)
+        valid = F.col("reject_reason").isNull()
+        return _plain(staged.select("source_file", F.col("ingest_seq.block_start").alias("block_start"), "date", "reject_reason",
+                                    F.when(valid, F.col("description")).alias("description"),
+                                    F.when(valid, F.col("paid_out")).alias("paid_out")))
+    return query
+
+
 def _reject_counts(spark, d):
     return store.reject_counts(statements.stage(inputs.statement_text(spark, d)))
 
@@ -342,6 +354,8 @@ QUERIES: dict[str, Query] = {
     "validate_rows": _validate_rows,
     "find_header": _find_header,
     "stage_lines": _stage_lines,
+    "stage_quoted_text": _stage_documents(False),
+    "stage_quoted_lines": _stage_documents(True),
     "reject_counts": _reject_counts,
     "uncategorized": _uncategorized,
     "description_freq": _freq,

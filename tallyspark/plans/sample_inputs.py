@@ -192,6 +192,27 @@ def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("batch_id"), "line")
 
 
+def document_lines(spark: SparkSession, sf_dir: str, line_breaks: bool) -> DataFrame:
+    """Statement lines, 64 files: a header and a row per document with its text as a quoted cell.
+
+    With ``line_breaks`` a row has as many lines as the text; else they are blanks, and of every tenth row the quote is open.
+    """
+    text = F.coalesce("text", F.lit(""))
+    cell = F.replace(text if line_breaks else F.replace(text, F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""'))
+    closing = F.lit('"') if line_breaks else F.when(F.col("doc_id") % 10 == 3, "").otherwise('"')
+    amount = F.concat((F.col("doc_id") % 1000).cast("string"), F.lit(".00"))
+    row = F.concat(F.lit('03/04/2024,POS,"'), cell, closing, F.lit(","), amount, F.lit(","))
+    data = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 64).alias("f"), F.col("doc_id").cast("long").alias("block_start"),
+        F.posexplode(F.split(row, "\n")).alias("line_idx", "line"))
+    heads = spark.range(64).select(F.col("id").alias("f"), F.lit(-1).cast("long").alias("block_start"), F.lit(0).alias("line_idx"),
+                                   F.lit("Date,Transaction type,Description,Paid out,Paid in").alias("line"))
+    name = F.concat(F.lit("documents_"), F.col("f").cast("string"), F.lit(".csv"))
+    return data.unionByName(heads).select(
+        name.alias("file_path"), name.alias("file_name"), "block_start", F.col("line_idx").cast("long").alias("line_idx"),
+        F.lit(0).cast("long").alias("batch_id"), "line")
+
+
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merchant per product name; its aliases equal, resemble or differ from descriptions."""
     part = table(spark, sf_dir, "part")
