@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import line_dedup, mixing, quality
+from tallyspark.llm import divergence, line_dedup, mixing, quality
 from tallyspark.llm.queries import URL_GLOBS, URL_RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -116,6 +116,43 @@ def _mixing() -> str:
         FROM queued LEFT JOIN taken USING (rank, number)"""
 
 
+def _divergence() -> str:
+    def share(count: str, total: str) -> str:
+        return (f"CAST(1 + ({divergence.SCALE}::HUGEINT * ({count} + {divergence.SMOOTHING})) "
+                f"// ({total} + {divergence.SMOOTHING} * terms) AS BIGINT)")
+
+    return f"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+          FROM documents),
+        words AS (SELECT d, lang, source, unnest(words) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term
+                 HAVING count(DISTINCT d) >= {divergence.MIN_DOCS}),
+        sized AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (
+          SELECT lang, source, coalesce(total, 0) AS total, terms, lang_total
+          FROM (SELECT DISTINCT lang, source FROM docs)
+          LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)
+          LEFT JOIN sized USING (lang)),
+        shares AS (
+          SELECT lang, source, term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "total")} AS p,
+                 {share("lang_n", "lang_total")} AS q
+          FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                 (SELECT coalesce(sum(abs(x.p - y.p)), 0) FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term
+                  WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+          FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
 _TOPK_SEARCH = """
     WITH whole AS (
       SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
@@ -133,4 +170,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": _line_dedup(),
     "op7_quality_rules": _quality_rules(),
     "op9_mixing": _mixing(),
+    "op12_divergence": _divergence(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
-    kd_search, lang_id, license_scan, line_dedup, lm_score, mixing, quality, simhash, sp_sample, url_filter,
+    divergence, kd_search, lang_id, license_scan, line_dedup, lm_score, mixing, quality, simhash, sp_sample, url_filter,
 )
 from tallyspark.llm.common import crc_remainder
 
@@ -107,7 +107,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of a language against all others, and the terms it uses above the language's share."""
+    return divergence.ranked(divergence.audit(_table(spark, sf_dir, "documents", "text", "lang", "source")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup,
-                            op7_quality_rules, op8_sentencepiece, op9_mixing, op10_simhash)
+                            op7_quality_rules, op8_sentencepiece, op9_mixing, op10_simhash, op12_divergence)
 }

@@ -53,6 +53,7 @@ CONTRACTS = {
     "op8_sentencepiece": "doc_id bigint",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op12_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
