@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import divergence, line_dedup, mixing, quality
+from tallyspark.llm import collocation, divergence, line_dedup, mixing, quality
 from tallyspark.llm.queries import URL_GLOBS, URL_RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -153,6 +153,35 @@ def _divergence() -> str:
         FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
 
 
+def _collocations() -> str:
+    score = "CAST(({}::HUGEINT * c.a * c.a) // (CAST({} AS HUGEINT) * {}) AS BIGINT)"
+    return f"""
+        WITH docs AS (
+          SELECT coalesce(lang, '{collocation.UNKNOWN_LANG}') AS lang, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+        pieces AS (
+          SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS words FROM docs),
+        placed AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+        runs AS (SELECT lang, unnest([list_slice(words, i, i + k) for k in range(0, 3) if i + k <= len(words)]) AS run FROM placed),
+        counted AS (SELECT lang, array_to_string(run, ' ') AS phrase, len(any_value(run)) AS k, any_value(run) AS run, count(*) AS a
+                    FROM runs GROUP BY lang, array_to_string(run, ' ') HAVING count(*) >= {collocation.MIN_COUNT}),
+        totals AS (SELECT lang, count(*) AS n FROM placed GROUP BY lang),
+        cuts AS (
+          SELECT c.lang, c.phrase, c.run, c.k, c.a, cut, l.a AS l, r.a AS r, {score.format(collocation.SCALE, "l.a", "r.a")} AS score
+          FROM (SELECT *, unnest(range(1, k)) AS cut FROM counted) c
+          JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.run, 1, cut), ' ')
+          JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.run, cut + 1, c.k), ' ')),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        longer AS (
+          SELECT lang, phrase, max(a) AS longest FROM (
+            SELECT lang, unnest([array_to_string(run[1:2], ' '), array_to_string(run[2:3], ' ')]) AS phrase, a FROM counted WHERE k = 3)
+          GROUP BY ALL),
+        ranked AS (
+          SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+          FROM lowest LEFT JOIN longer USING (lang, phrase)
+          WHERE longest IS NULL OR 100 * longest < {collocation.CONTAINED_PERCENT} * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocation.TOP_PHRASES}"""
+
+
 _TOPK_SEARCH = """
     WITH whole AS (
       SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
@@ -171,4 +200,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": _quality_rules(),
     "op9_mixing": _mixing(),
     "op12_divergence": _divergence(),
+    "op13_collocations": _collocations(),
 }

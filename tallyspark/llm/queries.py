@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
-    divergence, kd_search, lang_id, license_scan, line_dedup, lm_score, mixing, quality, simhash, sp_sample, url_filter,
+    collocation, divergence, kd_search, lang_id, license_scan, line_dedup, lm_score, mixing, quality, simhash, sp_sample, span_dedup,
+    url_filter,
 )
 from tallyspark.llm.common import crc_remainder
 
@@ -107,12 +108,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document, those that repeated passages cover, and a digest of the rest."""
+    found = span_dedup.remove_repeated(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("_row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"), "spans")
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source of a language against all others, and the terms it uses above the language's share."""
     return divergence.ranked(divergence.audit(_table(spark, sf_dir, "documents", "text", "lang", "source")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of two or three words of each language that hold together best."""
+    return collocation.collocations(_table(spark, sf_dir, "documents", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_topk_search, op4_url_filter, op5_language_id, op6_line_dedup,
-                            op7_quality_rules, op8_sentencepiece, op9_mixing, op10_simhash, op12_divergence)
+                            op7_quality_rules, op8_sentencepiece, op9_mixing, op10_simhash, op11_span_dedup, op12_divergence, op13_collocations)
 }

@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: against SQL where there is some, else against brute force."""
 
 import glob
+import hashlib
 import os
 import zlib
 
@@ -14,6 +15,7 @@ from tallyspark.llm.queries import QUERIES, TOKENIZER
 from tests.llm.test_license_scan import plain_matches
 from tests.llm.test_lm_score import plain_scores
 from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_span_dedup import plain_spans
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -53,6 +55,8 @@ CONTRACTS = {
     "op8_sentencepiece": "doc_id bigint",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_span_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
     "op12_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
@@ -127,6 +131,17 @@ def test_segmentations(spark, documents):
         assert {b"".join(texts[p] for p in path)[1:].decode() for path in ids[i]} == {text or ""}
 
 
+def test_repeated_spans(spark, documents):
+    want = plain_spans([t for _, t, _ in documents], 200)
+    got = {r.doc_id: r for r in collected(spark, "op11_span_dedup")}
+    assert len(got) == len(documents) and any(want)
+    for (i, text, _), spans in zip(documents, want):
+        data, row = (text or "").encode(), got[i]
+        kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)]))
+        assert (row.n_bytes, row.n_removed, row.n_spans) == (len(data), len(data) - len(kept), len(spans))
+        assert row.kept_sha256 == hashlib.sha256(kept).hexdigest() and [tuple(s) for s in row.spans] == spans
+
+
 def test_near_duplicates(spark, documents):
     prints = [plain_fingerprint(t) for _, t, _ in documents]
     roots = plain_components(prints, 4)
