@@ -36,7 +36,7 @@ UNKNOWN_LANG = "und"
 #: Buckets of the filter, 2 to this power; its bit map takes 4 MB and is the only thing broadcast whatever the data.
 FILTER_BITS = 25
 #: Bytes of text counted at once.
-BLOCK_BYTES = 16 * 1024 * 1024
+BLOCK_BYTES = 6 * 1024 * 1024
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes(10 if b in _BREAKS else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
@@ -80,11 +80,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
     held = 0
 
     def numbered() -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-        for lang, texts in parts.items():
-            numbers = Numbers({_END: 0, _CUT: 1})
-            data = b"\n".join(texts).replace(b"\n", b" \xff ").split()
-            ids = np.fromiter(map(numbers.__getitem__, data), dtype=np.int64, count=len(data))
-            yield lang, list(numbers), ids
+        while parts:
+            lang, texts = parts.popitem()
+            yield lang, *_numbered(texts)
 
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -94,11 +92,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
                 held += len(part)
                 if held >= size:
                     yield from numbered()
-                    parts.clear()
                     held = 0
     yield from numbered()
 
 
+def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    numbers = Numbers({_END: 0, _CUT: 1})
+    found = b"\n".join(texts).replace(b"\n", b" \xff ").split()
+    texts.clear()
+    ids = np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found))
+    return list(numbers), ids
+
+
 class _Starts(NamedTuple):
     """Each place where a run of words starts: its word, the next two, and the bucket of each pair."""
 
@@ -134,12 +139,12 @@ def _bucket_counts(bits: int, size: int):
 
 def _flows(frequent, bits: int, size: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(frequent.value, dtype=np.uint8), bitorder="little").view(bool)
+        bitmap = np.frombuffer(frequent.value, dtype=np.uint8)
         for lang, words, ids in _blocks(batches, size):
             s = _starts(lang, words, ids, bits)
             n_words = len(words)
-            pair = (s.second > 1) & bitmap[s.bucket]
-            onward = pair & (s.third > 1) & bitmap[s.next_bucket]
+            pair = (s.second > 1) & _is_set(bitmap, s.bucket)
+            onward = pair & (s.third > 1) & _is_set(bitmap, s.next_bucket)
             alone, alone_n = np.unique(s.first[~pair], return_counts=True)
             nodes, node_at = np.unique(s.first[pair] * n_words + s.second[pair], return_inverse=True)
             third = np.where(onward, s.third, n_words)[pair]
@@ -156,6 +161,10 @@ def _flows(frequent, bits: int, size: int):
     return counted
 
 
+def _is_set(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).view(bool)
+
+
 def frequent_buckets(read: DataFrame, min_count: int, bits: int, size: int) -> bytes:
     """A bit per bucket: whether the pairs hashed to it reach ``min_count`` together. Always 2 ** bits bits."""
     counted = read.mapInArrow(_bucket_counts(bits, size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
