@@ -21,11 +21,13 @@ import math
 import random
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from tallyspark.llm.common import Numbers, mix64
 SAMPLES = 2
 NEAR = 8
 CHUNK_CHARS = 1 << 20
+#: Arcs of units that are kept from one list of texts to the next.
+KEPT_ARCS = 3_000_000
 SEED = 11
 _SPACE = "▁"
 _SPACE_CODE = 0x110000  # a space inside a lattice; the text's own U+2581 is an ordinary, unknown character
@@ -134,6 +138,14 @@ class Trie:
         return out
 
 
+_ARC_COLUMNS = ("logp", "others", "reach", "ids")
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Lattice:
     """The lattices of some distinct units, end to end. A node is a place before a character.
 
@@ -143,6 +155,7 @@ class Lattice:
     """
 
     def __init__(self, units: list[str], trie: Trie):
+        self.room: dict[str, np.ndarray] = {}
         vocabulary = trie.vocabulary
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) + 1
         self.end = np.cumsum(sizes)
@@ -235,6 +248,42 @@ class Lattice:
         self.bytes_of = {arc: vocabulary.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]
                          for arc, c in zip(unknown[~single].tolist(), code[~single].tolist())}
 
+    def append(self, other: Lattice) -> None:
+        """Put the lattices of other units behind these; ``other`` is not changed."""
+        nodes, arcs = len(self.first) - 1, len(self.to)
+        for name, values in (("start", other.start + nodes), ("end", other.end + nodes), ("first", other.first[1:] + arcs),
+                             ("to", other.to + nodes), *((c, getattr(other, c)) for c in _ARC_COLUMNS)):
+            setattr(self, name, self._grown(name, values))
+        self.bytes_of.update({arc + arcs: ids for arc, ids in other.bytes_of.items()})
+
+    def _grown(self, name: str, values: np.ndarray) -> np.ndarray:
+        held = getattr(self, name)
+        size = len(held) + len(values)
+        room = self.room.get(name)
+        if room is None or len(room) < size:
+            room = self.room[name] = np.empty(size + size // 2, dtype=held.dtype)
+            room[:len(held)] = held
+        room[len(held):size] = values
+        return room[:size]
+
+    def keep(self, units: np.ndarray) -> None:
+        """Drop all but some units (rising numbers), which are numbered anew."""
+        start, end = self.start[units], self.end[units]
+        arcs = _ranges(self.first[start], self.first[end] - self.first[start])
+        back = start - (np.cumsum(end - start) - (end - start))
+        self.to = self.to[arcs] - np.repeat(back, self.first[end] - self.first[start])
+        sizes = np.diff(self.first)[_ranges(start, end - start)]
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        self.start, self.end = start - back, end - back
+        for name in _ARC_COLUMNS:
+            setattr(self, name, getattr(self, name)[arcs])
+        unknown = np.array(sorted(self.bytes_of), dtype=np.int64)
+        place = np.searchsorted(arcs, unknown)
+        left = place < len(arcs)
+        left[left] = arcs[place[left]] == unknown[left]
+        self.bytes_of = {p: self.bytes_of[a] for p, a in zip(place[left].tolist(), unknown[left].tolist())}
+        self.room = {}
+
     def expand(self, arcs: np.ndarray) -> np.ndarray:
         """The ids of a path."""
         ids = self.ids[arcs]
@@ -270,6 +319,45 @@ class Lattice:
         return arcs, steps
 
 
+class Units:
+    """The lattices of the units met so far. Beyond ``max_arcs`` arcs (about 32 bytes each) the rarest are forgotten."""
+
+    def __init__(self, trie: Trie, max_arcs: int = KEPT_ARCS):
+        self.trie, self.max_arcs = trie, max_arcs
+        self.numbers = Numbers()
+        self.lattice: Lattice | None = None
+        self.uses = np.empty(0, dtype=np.int64)  # by unit, in how many lists of texts it came up
+
+    def of(self, texts: list[str | None]) -> tuple[Lattice | None, list[np.ndarray]]:
+        """The lattice that holds the units of ``texts``, and the numbers of each text's units in it."""
+        if self.lattice is not None and len(self.lattice.to) > self.max_arcs:
+            self._forget()
+        known, numbers = len(self.numbers), self.numbers
+        cut = [t.split(" ") if t else [] for t in texts]
+        types = [np.fromiter(map(numbers.__getitem__, units), dtype=np.int64, count=len(units)) for units in cut]
+        if len(numbers) > known:
+            new = Lattice(list(islice(numbers, known, None)), self.trie)
+            if self.lattice is None:
+                self.lattice = new
+            else:
+                self.lattice.append(new)
+            self.uses = np.concatenate((self.uses, np.zeros(len(numbers) - known, dtype=np.int64)))
+        if len(numbers):
+            self.uses[np.unique(np.concatenate(types))] += 1
+        return self.lattice, types
+
+    def _forget(self) -> None:
+        arcs = self.lattice.first[self.lattice.end] - self.lattice.first[self.lattice.start]
+        order = np.argsort(-self.uses, kind="stable")
+        kept = np.sort(order[np.cumsum(arcs[order]) <= self.max_arcs // 2])
+        names = list(self.numbers)
+        self.numbers = Numbers({names[u]: i for i, u in enumerate(kept.tolist())})
+        self.lattice.keep(kept)
+        self.uses = self.uses[kept] // 2
+        if not len(kept):
+            self.lattice = None
+
+
 class Region(NamedTuple):
     """What shares the first ``depth`` pieces of ``leaf`` and avoids the arcs ``without`` there; a tail if that is None.
 
@@ -372,12 +460,12 @@ class Search:
         return [-math.expm1(-math.exp(min(700.0, float(leaf.running[-1]) - limit))) for leaf in self.leaves]
 
 
-def sample_texts(texts: list[str | None], keys: list[str], trie: Trie, k: int) -> list[tuple]:
-    """For each text up to ``k`` tuples (log probability, key, inclusion score, ids), by falling key."""
-    numbers = Numbers()
-    cut = [t.split(" ") if t else [] for t in texts]
-    types = [np.fromiter(map(numbers.__getitem__, units), dtype=np.int64, count=len(units)) for units in cut]
-    lattice = Lattice(list(numbers), trie) if numbers else None
+def sample_texts(texts: list[str | None], keys: list[str], trie: Trie, k: int, met: Units | None = None) -> list[tuple]:
+    """For each text up to ``k`` tuples (log probability, key, inclusion score, ids), by falling key.
+
+    ``met`` holds lattices of earlier texts, which are not built again.
+    """
+    lattice, types = (Units(trie) if met is None else met).of(texts)
     seeds = [xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), SEED) for key in keys]
     searches = [Search(lattice, random.Random(s)) for s in seeds]
     # Each round draws one segmentation of every text that has another one.
@@ -455,6 +543,7 @@ def encode(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "do
     trie = Trie(load_vocabulary(model_path))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, pieces = Units(trie), pa.array(trie.vocabulary.texts, pa.large_binary())
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             at = 0
@@ -463,7 +552,7 @@ def encode(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "do
                 while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK_CHARS):
                     size += len(texts[end] or "")
                     end += 1
-                yield _encoded_batch(ids[at:end], texts[at:end], trie, k)
+                yield _encoded_batch(ids[at:end], texts[at:end], met, pieces, k)
                 at = end
 
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -473,13 +562,19 @@ def encode(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "do
     return found.select(F.col("id").cast(kind).alias(id_col), *[f.name for f in _ENCODED][1:])
 
 
-def _encoded_batch(ids: list, texts: list, trie: Trie, k: int) -> pa.RecordBatch:
-    drawn = sample_texts(texts, ["" if i is None else f"={i}" for i in ids], trie, k)
+def _encoded_batch(ids: list, texts: list, met: Units, pieces: pa.Array, k: int) -> pa.RecordBatch:
+    drawn = sample_texts(texts, ["" if i is None else f"={i}" for i in ids], met.trie, k, met)
     rows = [(i, n + 1, s) for i, samples in enumerate(drawn) for n, s in enumerate(samples)]
     paths = [s[3].astype(np.int32) for _, _, s in rows]
     flat = np.concatenate(paths) if paths else np.empty(0, np.int32)
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in paths]))).astype(np.int32)
-    good = [decode_ids(p, trie.vocabulary.texts) == (texts[i] or "") for (i, _, _), p in zip(rows, paths)]
+    # All paths are decoded at once: their pieces' bytes come to lie one after the other.
+    taken = pieces.take(pa.array(flat))
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(taken).to_numpy())))[offsets]
+    decoded = memoryview(taken.buffers()[2] or b"").cast("B")
+    sources = ["" if t is None else " " + t for t in texts]
+    good = [decoded[begin:end] == (sources[i] if len(sources[i]) > 1 else "").encode("utf-8", "surrogatepass")
+            for (i, _, _), begin, end in zip(rows, ends[:-1].tolist(), ends[1:].tolist())]
     return pa.RecordBatch.from_arrays([
         pa.array([ids[i] for i, _, _ in rows], pa.string()), pa.array([n for _, n, _ in rows], pa.int32()),
         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *(pa.array([s[c] for _, _, s in rows], pa.float64())

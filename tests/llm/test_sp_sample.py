@@ -124,3 +124,30 @@ def test_ids_are_those_of_the_model(trie):
     for text in texts():
         for _, _, _, ids in sp_sample.sample_texts([text], ["k"], trie, 2)[0]:
             assert model.decode(ids.tolist()) == (text or "").replace("▁", "▁")
+
+
+def test_kept_lattices_change_nothing(trie):
+    """Units met before, forgotten ones and new ones have the arcs they have by themselves."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeé日 ") for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    met = sp_sample.Units(trie, max_arcs=1500)
+    forgotten = 0
+    for _ in range(12):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) or None for _ in range(5)]
+        before = len(met.numbers)
+        lattice, types = met.of(texts)
+        forgotten += len(met.numbers) < before
+        for text, own in zip(texts, types):
+            units = text.split(" ") if text else []
+            assert [list(met.numbers)[u] for u in own] == units
+            for unit, u in zip(units, own.tolist()):
+                alone = sp_sample.Lattice([unit], trie)
+                a, z = int(lattice.start[u]), int(lattice.end[u])
+                arcs = slice(int(lattice.first[a]), int(lattice.first[z]))
+                assert z - a == alone.end[0] and (lattice.to[arcs] - a).tolist() == alone.to.tolist()
+                assert np.diff(lattice.first[a:z + 1]).tolist() == np.diff(alone.first).tolist()
+                for column in ("logp", "others", "ids"):
+                    assert np.allclose(getattr(lattice, column)[arcs], getattr(alone, column))
+                assert {k - arcs.start: v.tolist() for k, v in lattice.bytes_of.items() if arcs.start <= k < arcs.stop} == {
+                    k: v.tolist() for k, v in alone.bytes_of.items()}
+    assert forgotten
