@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 1000
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -30,8 +34,11 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
-    A folder of this machine is made up only on a local master, where every task runs on it.
+    Within ``run_folder`` it is the folder of that run. A folder of this machine is made up only on a local master, where
+    every task runs on it.
     """
+    if _run.get() is not None:
+        return _run.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -40,6 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of plans made within lie in one folder, which is deleted at the end: act on the plans before."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame, spent: list[DataFrame] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder, so that a lost executor does not replay the plan behind it.
 
@@ -57,9 +82,7 @@ def cut_lineage(df: DataFrame, spent: list[DataFrame] | None = None) -> DataFram
 def forget(spent: list[DataFrame]) -> None:
     """Delete tables that ``cut_lineage`` wrote."""
     for stored in spent:
-        spark = stored.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(stored._cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(stored.sparkSession, stored._cut_path)
     spent.clear()
 
 

@@ -73,3 +73,16 @@ def test_copies_of_one_row_are_spread(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_run_leaves_no_tables(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(named))
+    with pytest.raises(RuntimeError), scale.run_folder(spark) as folder:
+        scale.cut_lineage(spark.range(3))
+        assert len(os.listdir(folder)) == 1 and scale.shared_dir(spark) == folder
+        with scale.run_folder(spark) as inner:
+            assert inner.startswith(folder)
+        assert scale.shared_dir(spark) == folder
+        raise RuntimeError
+    assert set(os.listdir(named)) == before and scale.shared_dir(spark) == named
