@@ -3,7 +3,7 @@
 Files are read as lines, so one file may be split over many tasks. What differs between files (the
 separator, the header line, the layout, the place of each column) is a small table with a row per
 file, found from the first lines only. A quoted cell that spans lines is rejected line by line
-(``open_quote``), unless ``join_quoted_lines`` has put its lines together.
+(``open_quote``), unless ``join_quoted_lines`` has put its lines together (see ``quoted``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import strip
 from tallyspark.operators.layouts import CELLS, identify_layout, standardize, with_reject_reason
 from tallyspark.operators.scale import lookup_join
+from tallyspark.sources.quoted import escaped, join_records, leaves_open, quoted_cell
 
 HEADER_SCAN_DEPTH = 20
 # Separators in the order in which ties are decided.
@@ -37,23 +38,35 @@ def read_raw_files(spark: SparkSession, folder: str, batch_id: int = 0, multi_li
 
     Subfolders and lock files are left out. ``block_start`` is the offset of the file block a task
     read and ``line_idx`` grows within it, so the two order the lines of a file. ``multi_line`` is for
-    folders whose quoted cells may hold line breaks.
+    folders whose quoted cells may hold line breaks: it gives records in place of lines.
     """
-    lines = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]")
-             .option("recursiveFileLookup", "false").text(folder))
-    lines = statement_lines(lines, batch_id)
-    return join_quoted_lines(lines) if multi_line else lines
+    text = (spark.read.option("pathGlobFilter", "*.[cC][sS][vV]")
+            .option("recursiveFileLookup", "false").text(folder))
+    return statement_records(text, batch_id) if multi_line else statement_lines(text, batch_id)
 
 
 def statement_lines(text: DataFrame, batch_id: int = 0) -> DataFrame:
-    """The lines of a text scan, or of one micro-batch of it, not yet shuffled."""
+    """The non-blank lines of a text scan, or of one micro-batch of it, not yet shuffled."""
+    return _all_lines(text, batch_id).filter(_is_filled())
+
+
+def statement_records(text: DataFrame, batch_id: int = 0) -> DataFrame:
+    """The same with the lines of quoted cells put together."""
+    return join_quoted_lines(_all_lines(text, batch_id), in_order=True)
+
+
+def _all_lines(text: DataFrame, batch_id: int) -> DataFrame:
     return (text.select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
         # The scan numbers its rows in order; only the order within a block is used.
         F.monotonically_increasing_id().alias("line_idx"), F.lit(batch_id).cast("long").alias("batch_id"),
         decode_cp1252(F.col("value")).alias("line"))
-        .filter((strip(F.col("line")) != "") & ~F.col("file_name").startswith("~$")))
+        .filter(~F.col("file_name").startswith("~$")))
+
+
+def _is_filled() -> Column:
+    return strip(F.col("line")) != ""
 
 
 def detect_delimiter(line: Column) -> Column:
@@ -64,15 +77,6 @@ def detect_delimiter(line: Column) -> Column:
     return F.array_max(counted)["d"]
 
 
-def _quoted(sep: str) -> str:
-    """A separator and a closed quoted cell. Nothing in it is tried twice, so its length has no bound."""
-    return f'{sep}"[^"]*+(?:""[^"]*+)*+"'
-
-
-def _escaped(delimiter: str) -> str:
-    return "\\" + delimiter if delimiter == "|" else delimiter
-
-
 def _per_delimiter(delimiter: Column, make) -> Column:
     return reduce(lambda case, d: case.when(delimiter == d, make(d)), DELIMITERS[1:],
                   F.when(delimiter == DELIMITERS[0], make(DELIMITERS[0])))
@@ -81,9 +85,9 @@ def _per_delimiter(delimiter: Column, make) -> Column:
 def split_cells(line: Column, delimiter: Column) -> Column:
     """Cells of a line; a cell in double quotes may hold the separator and doubled quotes."""
     def cells(d: str) -> Column:
-        sep = _escaped(d)
+        sep = escaped(d)
         found = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(
-            f"({_quoted(sep)}[^{sep}]*+|{sep}[^{sep}]*+)"), F.lit(1))
+            f"({quoted_cell(d)}[^{sep}]*+|{sep}[^{sep}]*+)"), F.lit(1))
         bare = F.transform(found, lambda c: c.substr(F.lit(2), F.length(c)))
         unquoted = F.transform(bare, lambda c: F.when(
             c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
@@ -95,44 +99,18 @@ def split_cells(line: Column, delimiter: Column) -> Column:
 
 def open_quote(line: Column, delimiter: Column) -> Column:
     """True for a line with a quoted cell that is not closed in it."""
-    def is_open(d: str) -> Column:
-        sep = _escaped(d)
-        rest = F.regexp_replace(F.concat(F.lit(d), line), _quoted(sep), "")
-        return F.contains(line, F.lit('"')) & F.contains(rest, F.lit(d + '"'))
-
-    return _per_delimiter(delimiter, is_open)
+    return _per_delimiter(delimiter, lambda d: F.contains(line, F.lit('"')) & leaves_open(F.concat(F.lit(d), line), d))
 
 
-def join_quoted_lines(lines: DataFrame) -> DataFrame:
-    """Lines put together, with line breaks between, where a quoted cell spans them.
+def join_quoted_lines(lines: DataFrame, *, in_order: bool = False) -> DataFrame:
+    """Non-blank records in place of lines: lines put together, with line breaks between, where a quoted cell spans them.
 
-    For files that quote by the book: every quote opens, closes or is doubled, so a line with an odd
-    number of them toggles whether the next one starts a record. Running sums are taken within each
-    file block and shifted by the blocks before, so a file of any size is read in parallel; only the
-    lines of one record meet.
+    ``lines`` should hold blank lines too, as a cell may. A quote that nothing closes, or that something closes which no cell
+    can end with, rejects its own line only. ``in_order`` is for lines as a scan reads them. The separator of a file is that of
+    its header line.
     """
-    block, quotes = ["file_path", "block_start"], F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    marked = lines.withColumn("_odd", quotes % 2)
-    in_block = Window.partitionBy(*block).orderBy("line_idx")
-    over_blocks = Window.partitionBy("file_path").orderBy("block_start")
-    earlier = (Window.unboundedPreceding, -1)
-
-    def shifted(df: DataFrame, table: DataFrame) -> DataFrame:
-        return df.join(table, block)
-
-    opened = marked.groupBy(*block).agg(F.sum("_odd").alias("_n")).select(
-        *block, F.coalesce(F.sum("_n").over(over_blocks.rowsBetween(*earlier)), F.lit(0)).alias("_before"))
-    inside = (F.col("_before") + F.coalesce(F.sum("_odd").over(in_block.rowsBetween(*earlier)), F.lit(0))) % 2 == 1
-    placed = shifted(marked, opened).withColumn(
-        "_own", F.when(~inside, F.struct("block_start", "line_idx")))
-    last = placed.groupBy(*block).agg(F.max("_own").alias("_last")).select(
-        *block, F.max("_last").over(over_blocks.rowsBetween(*earlier)).alias("_carried"))
-    started = F.coalesce(F.max("_own").over(in_block.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
-    record = shifted(placed, last).withColumn("_start", started)
-    parts = F.array_sort(F.collect_list(F.struct("block_start", "line_idx", "line")))
-    return (record.groupBy("file_path", "file_name", "batch_id", "_start").agg(parts.alias("_parts"))
-            .select("file_path", "file_name", "_start.block_start", "_start.line_idx", "batch_id",
-                    F.array_join("_parts.line", "\n").alias("line")))
+    files = find_header(lines.filter(_is_filled())).select("file_path", "delimiter")
+    return join_records(lines, files, DELIMITERS, in_order=in_order).filter(_is_filled())
 
 
 def normalize_headers(cells: Column) -> Column:

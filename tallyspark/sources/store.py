@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.clean import coerce_amount
@@ -13,14 +13,26 @@ from tallyspark.operators.learning import as_merchants
 from tallyspark.operators.merge import new_rows, to_ledger
 from tallyspark.schema import LEDGER, missing_columns
 
+#: Why a row is rejected, by statements or by their layouts.
+REJECT_REASONS = ["unknown_layout", "open_quote", "too_wide", "no_description", "no_type", "bad_date", "bad_amount"]
 
-def write_staged(checked: DataFrame, path: str, mode: str = "overwrite") -> None:
+
+def write_staged(checked: DataFrame, path: str, mode: str = "overwrite") -> dict[str, int]:
     """Rows with ``reject_reason`` written once, valid and rejected ones in folders of their own.
 
-    ``path`` is that of one batch, so writing it again replaces an attempt that was cut short.
+    ``path`` is that of one batch, so writing it again replaces an attempt that was cut short. Returns how many rows the
+    writing job saw: all (``rows``), ``valid`` and ``undated`` ones and those of each reason.
     """
-    status = F.when(F.col("reject_reason").isNull(), "valid").otherwise("rejected")
-    checked.withColumn("status", status).write.mode(mode).partitionBy("status").parquet(path)
+    reason = F.col("reject_reason")
+    counts = {"rows": F.count(F.lit(1)), "valid": F.count_if(reason.isNull())}
+    if "date" in checked.columns:
+        counts["undated"] = F.count_if(F.col("date").isNull())
+    counts |= {r: F.count_if(F.coalesce(reason == r, F.lit(False))) for r in REJECT_REASONS}
+    seen = Observation()
+    status = F.when(reason.isNull(), "valid").otherwise("rejected")
+    (checked.observe(seen, *[c.alias(n) for n, c in counts.items()]).withColumn("status", status)
+     .write.mode(mode).partitionBy("status").parquet(path))
+    return seen.get
 
 
 def read_staged(spark: SparkSession, path: str) -> DataFrame:

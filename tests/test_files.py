@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,9 +93,11 @@ LEDGER = [
 
 def test_run_from_files_to_ledger(spark, tmp_path):
     raw, staged, ledger = _write(tmp_path / "raw"), str(tmp_path / "staged"), str(tmp_path / "ledger")
+    shared = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
     for batch in (1, 2):
         pipeline.run(spark, raw, staged, ledger, batch, *_rules(spark))
         assert _ledger(spark, ledger) == LEDGER
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == shared  # no intermediate tables are left
     rejects = store.read_rejects(spark, f"{staged}/batch=1").collect()
     assert sorted(r.reject_reason for r in rejects) == ["bad_date", "bad_date", "no_description", "too_wide", "unknown_layout"]
     counts = store.reject_counts(statements.stage(statements.read_raw_files(spark, raw)))
