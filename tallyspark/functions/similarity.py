@@ -89,6 +89,11 @@ def reaches(lcs_length: Column, a: Column, b: Column, threshold: int) -> Column:
     return lcs_length * 200 >= (F.length(a) + F.length(b)) * threshold
 
 
+def most_edits(a: Column, b: Column, threshold: int) -> Column:
+    """Most characters that may be unmatched in texts that reach the threshold."""
+    return F.floor((F.length(a) + F.length(b)) * (100 - threshold) / 100).cast("int")
+
+
 def may_reach(a: Column, b: Column, threshold: int) -> Column:
     """Cheap exact filter run before the score: lengths first, then the edit distance.
 
@@ -96,5 +101,4 @@ def may_reach(a: Column, b: Column, threshold: int) -> Column:
     """
     total = F.length(a) + F.length(b)
     lengths = F.least(F.length(a), F.length(b)) * 200 >= total * threshold
-    most = F.floor(total * (100 - threshold) / 100).cast("int")
-    return lengths & (F.call_function("levenshtein", a, b, most) >= 0)
+    return lengths & (F.call_function("levenshtein", a, b, most_edits(a, b, threshold)) >= 0)

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.similarity import may_reach, token_sort
 from tallyspark.functions.text import clean_key, date_text
 from tallyspark.operators.scale import cut_lineage, forget
-from tallyspark.operators.similarity_join import (
-    copies, element_frequency, elements, rare_elements, salt, score_pairs, shares, text_lengths)
+from tallyspark.operators.similarity_join import copies, join_keys, salt, score_pairs, shares
 from tallyspark.schema import UNCATEGORIZED, require_columns
 
 FRONT = 1000
@@ -38,8 +37,7 @@ def description_freq(rows: DataFrame) -> DataFrame:
 def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) -> DataFrame:
     """Rows (description, count, anchor), one per description in ``freq``.
 
-    Descriptions rank by count, then text. In each round every join key (a rare element of the text,
-    see ``similarity_join``) shows its ``front`` lowest ranked undecided texts. A text that is in the
+    Descriptions rank by count, then text. In each round every join key (see ``similarity_join``) shows its ``front`` lowest ranked undecided texts. A text that is in the
     front of all its keys has all its possible lower neighbours there, which decides whether it is an
     anchor. The new anchors, at most ``front`` per key, then meet the texts of their keys, and each
     text remembers the lowest anchor found. Thus no key ever emits all pairs of its texts, and the
@@ -50,9 +48,8 @@ def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) ->
     # Texts of equal sorted form have the same neighbours, so one stands for all.
     rank = F.struct((-F.col("count")).alias("neg"), F.col("description").alias("text"))
     nodes = texts.groupBy("key").agg(F.min(rank).alias("rank"))
-    all_elements = cut_lineage(elements(nodes.select("key"), threshold, text_lengths(nodes)))
-    blocks = cut_lineage(rare_elements(all_elements, element_frequency(all_elements), front)
-                         .filter("freq is null or freq > 1").select("key", "element"))
+    blocks = cut_lineage(join_keys(nodes.select("key"), threshold, front).filter("freq is null or freq > 1")
+                         .select("key", "element"))
     lists = blocks.groupBy("element").count().filter("count > 1").select("element")
     blocks = cut_lineage(blocks.join(lists, "element", "left_semi"))
     parts = shares(blocks)

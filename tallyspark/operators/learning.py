@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.similarity import token_sort
 from tallyspark.functions.text import clean_key, rule_id, strip
 from tallyspark.operators.rules import normalize_merchants
-from tallyspark.operators.scale import lookup_join
-from tallyspark.operators.similarity_join import similar_pairs
+from tallyspark.operators.scale import cut_lineage, lookup_join
+from tallyspark.operators.similarity_join import best_pairs, candidate_pairs
 from tallyspark.schema import DEFAULT_TYPE
 
 NAME_CUTOFF = 85
@@ -43,10 +44,15 @@ def suggest_merchants(members: DataFrame, merchants: DataFrame, *, name_cutoff:
     """
     rules = normalize_merchants(merchants)
     aliases = alias_rows(rules).filter(F.col("alias").isNotNull())
-    anchors = members.select("anchor").distinct()
+    anchors = members.select("anchor").distinct().withColumn("key_a", token_sort(F.col("anchor")))
+    names, texts = _names(rules), aliases.select("rule_ord", "alias_ord", "id", "name", F.col("alias").alias("text"),
+                                                 token_sort(F.col("alias")).alias("key_b"))
+    # Names and aliases meet the anchors in one join, at the lower of the two cutoffs.
+    pool = names.select("key_b").unionByName(texts.select("key_b")).withColumnRenamed("key_b", "key")
+    pairs = cut_lineage(candidate_pairs(anchors.withColumnRenamed("key_a", "key"), pool, min(name_cutoff, alias_cutoff)))
     found = (_alias_exact(members, aliases)
-             .unionByName(_name_fuzzy(anchors, rules, name_cutoff, name_limit))
-             .unionByName(_alias_fuzzy(anchors, aliases, alias_cutoff)))
+             .unionByName(_name_fuzzy(anchors, names, pairs, name_cutoff, name_limit))
+             .unionByName(_alias_fuzzy(anchors, texts, pairs, alias_cutoff)))
     in_order = ["priority", F.desc("score"), "place", "info", "merchant_id"]
     once = F.row_number().over(Window.partitionBy("anchor", "merchant_id").orderBy(*in_order))
     listed = F.row_number().over(Window.partitionBy("anchor").orderBy(*in_order))
@@ -69,14 +75,18 @@ def _alias_exact(members: DataFrame, aliases: DataFrame) -> DataFrame:
         F.col("id").alias("merchant_id"), F.col("name").alias("merchant_name"))
 
 
-def _name_fuzzy(anchors: DataFrame, rules: DataFrame, cutoff: int, limit: int) -> DataFrame:
-    named = rules.select(F.lower("name").alias("text"), "rule_ord", "id", "name")
+def _names(rules: DataFrame) -> DataFrame:
+    return rules.select(F.lower("name").alias("text"), token_sort(F.lower("name")).alias("key_b"), "rule_ord", "id", "name")
+
+
+def _name_fuzzy(anchors: DataFrame, named: DataFrame, pairs: DataFrame, cutoff: int, limit: int) -> DataFrame:
     latest = Window.partitionBy("text").orderBy(F.desc("rule_ord"), F.desc("id"))
     owner = (named.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1")
              .select("text", F.col("id").alias("merchant_id"), F.col("name").alias("merchant_name")))
-    pairs = similar_pairs(anchors, named, cutoff)
+    with_name = pairs.join(named.select("key_b").distinct(), "key_b", "left_semi")
+    scored = best_pairs(with_name.select("key_a", "key_b"), ["key_a"], limit, cutoff).filter("score is not null")
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), "rule_ord", "name")
-    top = (pairs.join(named, "text").withColumn("_rn", F.row_number().over(best))
+    top = (anchors.join(scored, "key_a").join(named, "key_b").withColumn("_rn", F.row_number().over(best))
            .filter(F.col("_rn") <= limit).drop("id", "_rn"))
     return top.join(owner, "text").select(
         "anchor", F.lit(2).alias("priority"), F.lit("name_fuzzy").alias("kind"),
@@ -84,10 +94,13 @@ def _name_fuzzy(anchors: DataFrame, rules: DataFrame, cutoff: int, limit: int) -
         "merchant_id", "merchant_name")
 
 
-def _alias_fuzzy(anchors: DataFrame, aliases: DataFrame, cutoff: int) -> DataFrame:
-    pairs = similar_pairs(anchors, aliases.select(F.col("alias").alias("text")), cutoff)
+def _alias_fuzzy(anchors: DataFrame, texts: DataFrame, pairs: DataFrame, cutoff: int) -> DataFrame:
+    owned = texts.select("key_b", "id").distinct()
+    scored = best_pairs(pairs.join(owned, "key_b").select("key_a", "key_b", "id"), ["key_a", "id"], 1, cutoff)
+    found = scored.filter("score is not null").withColumnRenamed("id", "_id").withColumnRenamed("key_b", "_key")
     best = Window.partitionBy("anchor", "id").orderBy(F.desc("score"), "rule_ord", "alias_ord", "text")
-    top = (pairs.join(aliases.withColumnRenamed("alias", "text"), "text")
+    same = (F.col("key_b") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
+    top = (anchors.join(found, "key_a").join(texts, same)
            .withColumn("_rn", F.row_number().over(best)).filter("_rn = 1"))
     # Within this kind merchants come in rule order, not by score.
     return top.select(

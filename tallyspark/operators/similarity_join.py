@@ -1,26 +1,40 @@
-"""Similarity join of texts on shared rare runs of characters.
+"""Similarity join of texts on what similar texts must have in common.
 
-Texts that reach the threshold have few unmatched characters, hence share many of their runs of three.
-Sorted by rarity, two of the first runs of the one text must then be among those of the other (prefix
-filtering). Join keys are the runs found in few texts, each by itself, and the pairs of those found in
-many: similar texts share a rare run or two common ones. So no two texts are compared unless they do,
-a run that very many texts hold is no key by itself, and every similar pair is found.
+Two texts that reach the threshold have a common subsequence of a length that follows from their own. Where leaving out that
+many characters gives few results (``MOST_SUBSEQUENCES``), these results are the join keys: texts meet exactly if they are
+similar, however much all texts have in common.
+
+Longer texts share many of their runs of three characters. Sorted by rarity, two of the first runs of the one text must then
+be among those of the other (prefix filtering). Join keys are the runs found in few texts, each by itself, and the pairs of
+those found in many: similar texts share a rare run or two common ones. So no two texts are compared unless they do, a run
+that very many texts hold is no key by itself, and every similar pair is found.
+
+Which keys a text has depends on its length and on the lengths it may meet; a small table has a row per length.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import bisect
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyspark.functions.similarity import lcs, may_reach, ratio, reaches, token_sort
+from tallyspark.functions.similarity import lcs, lcs_lengths, may_reach, most_edits, ratio, reaches, token_sort
 from tallyspark.operators.scale import cut_lineage, lookup_join
 
 RUN = 3
 SHARED = 2
 COMMON_FROM = 1000
 SALTED_ROWS = 10_000
+#: Most results of leaving characters out of a text that serve as its join keys.
+MOST_SUBSEQUENCES = 200
+_PLAN = "length int, kinds array<int>, needs array<int>, left_out array<int>"
 
 
 def _check(threshold: int) -> None:
@@ -28,7 +42,7 @@ def _check(threshold: int) -> None:
         raise ValueError(f"threshold must be within 1..100, got {threshold}")
 
 
-def _lost(length: Column, n: int, t: int) -> Column:
+def _lost(length: int, n: int, t: int) -> int:
     """Most runs of ``n`` characters a text of ``length`` can lose against a text that reaches ``t``.
 
     With d unmatched characters here and e there, n*d + (n-1)*e runs are lost at most, that is
@@ -36,60 +50,82 @@ def _lost(length: Column, n: int, t: int) -> Column:
     worst.
     """
     own, other = 200 * n - (2 * n - 1) * t, 200 * (n - 1) - (2 * n - 1) * t
-    partner = F.ceil(length * t / (200 - t)) if other < 0 else F.floor(length * (200 - t) / t)
-    return F.floor((length * own + partner * other) / 200)
-
+    partner = -(-length * t // (200 - t)) if other < 0 else length * (200 - t) // t
+    return (length * own + partner * other) // 200
 
-def _numbered(texts: DataFrame, n: int, kind: int, need: Column) -> DataFrame:
-    """Runs of ``n`` characters, numbered where they repeat so that a set stands for a multiset."""
-    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length("key") - (n - 1)),
-                                    lambda i: F.substring(F.col("key"), i, F.lit(n))))
-    numbered = F.transform("runs", lambda g, i: F.concat(
-        F.lit(f"{kind}:"), g, F.lit("#"), (i + 1 - F.array_position("runs", g)).cast("string")))
-    return (texts.filter(F.length("key") >= n).withColumn("runs", runs)
-            .select("key", F.lit(kind).alias("kind"), need.cast("int").alias("need"),
-                    F.explode(numbered).alias("element")))
 
-
-def _safe_kind(length: Column, t: int) -> Column:
+def _safe_kind(length: int, t: int) -> int:
     """The longest run of which a text of ``length`` shares ``SHARED`` with every text that reaches ``t``; 0 if none."""
-    kind = F.lit(0)
-    for n in range(1, RUN + 1):
-        kind = F.when(length - (n - 1) >= _lost(length, n, t) + SHARED, n).otherwise(kind)
-    return kind
+    return max((n for n in range(1, RUN + 1) if length - (n - 1) >= _lost(length, n, t) + SHARED), default=0)
 
 
-def text_lengths(*keys: DataFrame) -> list[int]:
-    """The lengths that occur, at most as many as the longest text has characters."""
-    found = reduce(DataFrame.unionByName, [k.select(F.length("key").alias("n")) for k in keys])
-    return sorted(r[0] for r in found.distinct().collect())
+def _left_out(length: int, other: int, t: int) -> int | None:
+    """How many characters to leave out of a text so that it meets all similar ones of length ``other``; None if that
+    gives too many results for either."""
+    common = -(-t * (length + other) // 200)
+    few = all(common <= n and math.comb(n, min(n - common, n // 2)) <= MOST_SUBSEQUENCES for n in (length, other))
+    return length - common if few else None
 
 
-def elements(keys: DataFrame, threshold: int, lengths: list[int]) -> DataFrame:
-    """Rows (key, kind, need, element): elements of a text, of which the ``need`` rarest of each kind
-    make join keys. ``lengths`` are those of all texts it may meet.
+def length_plan(lengths: list[int], t: int) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """For each of the sorted ``lengths`` the kinds of runs that are its keys, how many are needed of each kind, and how many
+    characters are left out for subsequences.
 
-    Elements of kind n are runs of n characters. Two texts meet on the longer of their safe kinds (see
-    ``_safe_kind``), so a text has the kinds at which it may meet a text of any of these lengths. Texts too short for any have single characters of a kind of their own, 0, of which
-    they share at least one.
+    Elements of kind n are runs of n characters. Two texts meet on the longer of their safe kinds, unless they meet on
+    subsequences. Texts too short for any kind have single characters of a kind of their own, 0, of which they share one.
     """
-    _check(threshold)
-    t, size = threshold, F.length("key")
-    able = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda other: (
-        F.least(size, other) * 200 >= (size + other) * t))
-    partners = F.array_union(F.array(size), able)
-    met = F.array_distinct(F.transform(partners, lambda length: F.greatest(_safe_kind(length, t), _safe_kind(size, t))))
-    known = keys.filter(size > 0).withColumn("_kinds", met)
-    parts = []
-    for kind in range(RUN, -1, -1):
-        n = max(1, kind)
-        need = _lost(size, n, t) + (SHARED if kind else 1)
-        parts.append(_numbered(known.filter(F.array_contains("_kinds", kind)), n, kind, need))
-    return reduce(DataFrame.unionByName, parts)
+    safe = [_safe_kind(n, t) for n in lengths]
+    plan = []
+    for n, own in zip(lengths, safe):
+        near = range(bisect.bisect_left(lengths, -(-n * t // (200 - t))), bisect.bisect_right(lengths, n * (200 - t) // t))
+        out: set[int] = set()
+        kinds: set[int] = set()
+        if n > MOST_SUBSEQUENCES and t < 100:
+            kinds = {max(own, k) for k in safe[near.start:near.stop]}
+        else:
+            for i in near:
+                few = _left_out(n, lengths[i], t)
+                if few is None:
+                    kinds.add(max(own, safe[i]))
+                else:
+                    out.add(few)
+        needs = [_lost(n, max(1, k), t) + (SHARED if k else 1) for k in range(RUN + 1)]
+        plan.append((n, sorted(kinds), needs, sorted(out)))
+    return plan
+
+
+def elements(planned: DataFrame) -> DataFrame:
+    """Rows (key, kind, need, element): runs of a text, of which the ``need`` rarest of each kind make join keys.
+
+    Runs are numbered where they repeat, so that a set stands for a multiset.
+    """
+    each = planned.select("key", "length", "needs", F.explode("kinds").alias("kind")).withColumn("size", F.greatest("kind", F.lit(1)))
+    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.col("length") - F.col("size") + 1),
+                                    lambda i: F.substring(F.col("key"), i, F.col("size"))))
+    numbered = F.transform("runs", lambda g, i: F.concat_ws(
+        "", F.col("kind"), F.lit(":"), g, F.lit("#"), i + 1 - F.array_position("runs", g)))
+    return (each.filter("length >= size").withColumn("runs", runs)
+            .select("key", "kind", F.get("needs", F.col("kind")).alias("need"), F.explode(numbered).alias("element")))
+
+
+def subsequences(planned: DataFrame, most: int) -> DataFrame:
+    """Rows (key, element): what is left of a text without any choice of as many characters as its plan says."""
+    def one_less(texts: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(texts, lambda s: F.transform(
+            F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
+
+    each = planned.select("key", F.explode("left_out").alias("out"))
+    by_number = [F.array("key")]
+    for _ in range(most):
+        by_number.append(one_less(by_number[-1]))
+    chosen = F.when(F.col("out") == 0, by_number[0])
+    for number, results in enumerate(by_number[1:], 1):
+        chosen = chosen.when(F.col("out") == number, results)
+    return each.select("key", F.explode(chosen).alias("element")).withColumn("element", F.concat(F.lit("="), "element"))
 
 
 def rare_elements(all_elements: DataFrame, frequency: DataFrame, common_from: int = COMMON_FROM) -> DataFrame:
-    """Rows (key, element, freq) of the join keys. ``frequency`` must be the same for both sides.
+    """Rows (key, element, freq) of the join keys among runs.
 
     The frequencies are broadcast when measured small, else their commonest elements are kept apart.
     A pair of common elements has no ``freq``.
@@ -109,6 +145,26 @@ def element_frequency(all_elements: DataFrame) -> DataFrame:
     return all_elements.groupBy("element").agg(F.count("*").alias("freq"))
 
 
+def join_keys(keys: DataFrame, threshold: int, common_from: int = COMMON_FROM) -> DataFrame:
+    """Rows (key, element, freq) for the distinct, non-null ``key`` of all texts that are to meet: similar texts share one.
+
+    ``freq`` is known of rare runs only. Blank texts have none. The lengths that occur are collected, at most as many as the
+    longest text has characters.
+    """
+    _check(threshold)
+    sized = keys.select("key", F.length("key").alias("length")).filter("length > 0")
+    lengths = sorted(r[0] for r in sized.select("length").distinct().collect())
+    plan = length_plan(lengths, threshold)
+    planned = sized.join(F.broadcast(keys.sparkSession.createDataFrame(plan, _PLAN)), "length")
+    most = max((out[-1] for _, _, _, out in plan if out), default=None)
+    exact = [] if most is None else [subsequences(planned, most).select("key", "element", F.lit(None).cast("long").alias("freq"))]
+    if exact and not any(kinds for _, kinds, _, _ in plan):
+        return exact[0]
+    runs = cut_lineage(elements(planned))
+    found = rare_elements(runs, element_frequency(runs), common_from)
+    return found.unionByName(exact[0]) if exact else found
+
+
 def shares(keys: DataFrame) -> int:
     """Into how many parts the texts of a join key are dealt: by the longest list, so that none has many rows."""
     longest = keys.groupBy("element").count().agg(F.max("count")).first()[0] or 1
@@ -125,6 +181,20 @@ def copies(parts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt")
 
 
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """Distinct (key_a, key_b) of the token-sorted texts ``key`` of both sides that share a join key and whose length and edit
+    distance allow the threshold. A join key found in very many texts of the right is spread by a salt."""
+    left, right = left.select("key").distinct(), right.select("key").distinct()
+    found = cut_lineage(join_keys(left.unionByName(right).distinct(), threshold).select("key", "element"))
+    pool_keys = found.join(right, "key", "left_semi")
+    parts = shares(pool_keys)
+    offered = found.join(left, "key", "left_semi").select(F.col("key").alias("key_a"), "element", copies(parts))
+    asked = pool_keys.select(F.col("key").alias("key_b"), "element", salt("key", parts))
+    return (offered.join(asked, ["element", "salt"])
+            .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
+            .select("key_a", "key_b").distinct())
+
+
 def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int) -> DataFrame:
     """Pairs whose token-sorted texts reach the threshold, with their score."""
     a, b = F.col(left), F.col(right)
@@ -137,24 +207,89 @@ def similar_pairs(anchors: DataFrame, pool: DataFrame, threshold: int = 85, *,
                   anchor: str = "anchor", text: str = "text") -> DataFrame:
     """Every (anchor, text, score) that reaches the threshold, blank texts excepted.
 
-    Comparison is on the token-sorted form, so texts of equal form are compared once. A join key
-    found in very many texts of the pool is spread by a salt.
+    Comparison is on the token-sorted form, so texts of equal form are compared once.
     """
     _check(threshold)
     left = anchors.select(anchor).distinct().withColumn("key", token_sort(F.col(anchor)))
     right = pool.select(text).distinct().withColumn("key", token_sort(F.col(text)))
-    lengths = text_lengths(left, right)
-    left_el = cut_lineage(elements(left.select("key").distinct(), threshold, lengths))
-    right_el = cut_lineage(elements(right.select("key").distinct(), threshold, lengths))
-    frequency = cut_lineage(element_frequency(left_el.unionByName(right_el)))
-    pool_keys = cut_lineage(rare_elements(right_el, frequency))
-    parts = shares(pool_keys)
-    offered = rare_elements(left_el, frequency).select(F.col("key").alias("key_a"), "element", copies(parts))
-    asked = pool_keys.select(F.col("key").alias("key_b"), "element", salt("key", parts))
-    candidates = (offered.join(asked, ["element", "salt"])
-                  .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
-                  .select("key_a", "key_b").distinct())
-    scored = score_pairs(candidates, "key_a", "key_b", threshold)
+    scored = score_pairs(candidate_pairs(left, right, threshold), "key_a", "key_b", threshold)
     return (left.withColumnRenamed("key", "key_a").join(scored, "key_a")
             .join(right.withColumnRenamed("key", "key_b"), "key_b")
             .select(anchor, text, "score"))
+
+
+def best_pairs(pairs: DataFrame, by: list[str], limit: int, threshold: int, parts: int = 1) -> DataFrame:
+    """Of the pairs (key_a, key_b) of each group ``by``, with a score, all that may be among its ``limit`` best.
+
+    A pair's edit distance bounds its score. The pairs of a group come by falling bound and are scored a few at a time; once
+    ``limit`` of them score more than the bounds of the rest, the rest is not scored. ``parts`` splits groups of very many
+    pairs; each part then keeps its own best. Ties at the last place are all kept. ``n_scored`` is set on one row of a group
+    and counts those scored of it, so that its sum tells the work; a group none of whose pairs reaches the threshold has
+    that row alone, without a score.
+    """
+    _check(threshold)
+    a, b = F.col("key_a"), F.col("key_b")
+    size = F.length(a) + F.length(b)
+    bounded = pairs.withColumn("_edits", F.call_function("levenshtein", a, b, most_edits(a, b, threshold))).filter("_edits >= 0")
+    bounded = bounded.withColumn("_bound", F.when(size == 0, 100.0).otherwise((size - F.col("_edits")) * 100.0 / size))
+    order = [*by, "_part", F.desc("_bound"), "key_b", "key_a"]
+    dealt = (bounded.withColumn("_part", F.pmod(F.xxhash64("key_a", "key_b"), F.lit(parts)).cast("int"))
+             .repartition(*by, "_part").sortWithinPartitions(*order).drop("_edits"))
+    names, keys = pairs.columns, [*by, "_part"]
+    schema = T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_scored", T.LongType())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: tuple | None = None  # the group of the batch before that may go on, and its best scores
+        for batch in batches:
+            table = batch.to_pandas()
+            if not len(table):
+                continue
+            result, carried = _score_batch(table, keys, limit, threshold, carried)
+            fields = [batch.schema.field(c) for c in names] + [pa.field("score", pa.float64()), pa.field("n_scored", pa.int64())]
+            yield pa.RecordBatch.from_pandas(result, schema=pa.schema(fields), preserve_index=False)
+
+    return dealt.mapInArrow(scored, schema)
+
+
+def _score_batch(table: pd.DataFrame, keys: list[str], limit: int, threshold: int,
+                 carried: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    """Score what is needed of a batch sorted by group and falling bound; also the last group's key and best scores."""
+    own = list(table[keys].itertuples(index=False, name=None))
+    starts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+    best = [[] for _ in starts[1:]]
+    if carried is not None and carried[0] == own[0]:
+        best[0] = list(carried[1])
+    score = np.full(len(table), np.nan)
+    counted = np.zeros(len(table), dtype=np.int64)
+    bound = table["_bound"].to_numpy()
+    at, width = starts[:-1].copy(), max(4, 2 * limit)
+    live = list(range(len(best)))
+    while live:
+        take = []
+        still = []
+        for g in live:
+            low = best[g][-1] if len(best[g]) == limit else threshold
+            end = at[g]
+            while end < starts[g + 1] and end < at[g] + width and bound[end] >= low:
+                end += 1
+            if end > at[g]:
+                take.append((g, at[g], end))
+                at[g] = end
+                still.append(g)
+        if not take:
+            break
+        rows = np.concatenate([np.arange(begin, end) for _, begin, end in take])
+        left, right = table["key_a"].iloc[rows].reset_index(drop=True), table["key_b"].iloc[rows].reset_index(drop=True)
+        sizes = (left.str.len() + right.str.len()).to_numpy()
+        common = lcs_lengths(left, right)
+        reached = common * 200 >= sizes * threshold
+        score[rows] = np.where(reached, np.where(sizes == 0, 100.0, common * 200.0 / np.maximum(sizes, 1)), np.nan)
+        for g, begin, end in take:
+            counted[starts[g]] += end - begin
+            found = score[begin:end]
+            best[g] = sorted([*best[g], *found[~np.isnan(found)].tolist()], reverse=True)[:limit]
+        live = still
+    low = np.repeat([b[-1] if len(b) == limit else threshold for b in best], np.diff(starts))
+    out = table.assign(score=score, n_scored=counted)
+    kept = out[(score >= low) | (counted > 0)]
+    return kept.assign(score=kept["score"].where(kept["score"].notna() & (kept["score"] >= low[kept.index]), None)), (own[-1], best[-1])

@@ -158,4 +158,81 @@ def test_a_common_prefix_adds_no_rounds(spark, monkeypatch):
         freq = {"zqx " + "".join(rnd.choice("abcdefghijklmnoprstuvwy") for _ in range(8)): 1 for _ in range(n)}
         rows = clustering.cluster_members(freq_table(spark, freq), 85, 100).collect()
         assert len(rows) == n and sum(r.anchor != r.description for r in rows) < n / 20
-    assert rounds[1200] <= rounds[300] + 1 <= 5
+    assert rounds.get(1200, 0) <= rounds.get(300, 0) + 1 <= 5
+
+
+def names(n):
+    return [f"Customer#{i:09d}" for i in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [85, 94])
+def test_texts_alike_in_most_characters_meet_only_if_similar(spark, threshold):
+    """No run of these texts is rare, yet the keys are those of similar texts alone."""
+    own = names(150)
+    df = spark.createDataFrame([(t,) for t in own], "key string")
+    keys = similarity_join.join_keys(df, threshold)
+    met = keys.alias("a").join(keys.alias("b"), "element").select("a.key", F.col("b.key").alias("other")).distinct()
+    want = {(x, y) for x in own for y in own if similar(x, y, threshold)}
+    assert {(r[0], r[1]) for r in met.collect()} == want
+    got = similarity_join.similar_pairs(df.withColumnRenamed("key", "anchor"), df.withColumnRenamed("key", "text"), threshold)
+    assert {(r.anchor, r.text) for r in got.collect()} == want
+
+
+def test_rounds_do_not_grow_with_names(spark, monkeypatch):
+    rounds = {}
+    plain = clustering._round
+    monkeypatch.setattr(clustering, "_round", lambda *a: rounds.update({n: rounds.get(n, 0) + 1}) or plain(*a))
+    for n in (100, 1000):
+        freq = {t: 1 for t in names(n)}
+        found = clustering.cluster_members(freq_table(spark, freq), 94, 50).collect()
+        if n == 100:
+            assert {r.description: r.anchor for r in found} == greedy(freq, 94)
+        assert len(found) == n
+    assert rounds[1000] <= rounds[100] + 3
+
+
+@pytest.mark.parametrize("threshold", [50, 85, 97, 100])
+def test_length_plan_covers_every_pair(threshold):
+    """Texts of any two lengths that may be similar share a kind, or leave out as many characters as makes them meet."""
+    lengths = [*range(1, 60), 150, 170, 199, 200, 201, 210, 400]
+    plan = {n: (set(kinds), set(out)) for n, kinds, _, out in similarity_join.length_plan(lengths, threshold)}
+    for a in lengths:
+        for b in lengths:
+            if 200 * min(a, b) >= threshold * (a + b):
+                common = -(-threshold * (a + b) // 200)
+                exact = a - common in plan[a][1] and b - common in plan[b][1]
+                kind = max(similarity_join._safe_kind(a, threshold), similarity_join._safe_kind(b, threshold))
+                assert exact or kind in plan[a][0] & plan[b][0], (a, b)
+
+
+@pytest.mark.parametrize("limit, parts, batch", [(3, 1, 10_000), (1, 1, 7), (2, 3, 10_000)])
+def test_best_pairs_score_few(spark, limit, parts, batch):
+    rnd = random.Random(limit)
+    left, right = list(texts(8, 30)), list(texts(9, 80))
+    rows = [(key(a), key(b), rnd.choice(["x", "y"])) for a in left for b in right if key(a) and key(b)]
+    rows = list(dict.fromkeys(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = similarity_join.best_pairs(spark.createDataFrame(rows, "key_a string, key_b string, g string"),
+                                           ["key_a", "g"], limit, 60, parts).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in found:
+        if r.score is not None:
+            got.setdefault((r.key_a, r.g), set()).add((round(r.score, 6), r.key_b))
+    groups = {}
+    for a, b, g in rows:
+        score = 200 * lcs(a, b) / (len(a) + len(b))
+        if similar(a, b, 60):
+            groups.setdefault((a, g), []).append((round(score, 6), b))
+    assert got.keys() == groups.keys()
+    for group, scored in groups.items():
+        scored.sort(reverse=True)
+        least = scored[min(limit, len(scored)) - 1][0]
+        assert {s for s in scored if s[0] >= least} <= got[group] <= set(scored)
+        if parts == 1 and batch > len(rows):
+            assert got[group] == {s for s in scored if s[0] >= least}
+    n_scored = sum(r.n_scored for r in found)
+    bounded = sum(1 for a, b, _ in rows if (len(a) + len(b)) * 40 // 100 >= abs(len(a) - len(b)))
+    assert 0 < n_scored < bounded / (2 if limit == 1 else 1)
