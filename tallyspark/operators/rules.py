@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.automaton import Automaton, find_texts
 from tallyspark.functions.text import clean_key, or_blank
 from tallyspark.operators.scale import cut_lineage, is_small, lookup_join
-from tallyspark.schema import DEFAULT_TYPE, NO_MATCH, UNCATEGORIZED
+from tallyspark.schema import DEFAULT_TYPE, NO_MATCH, UNCATEGORIZED, empty_to_null
 
 POINTS_PER_CHAR = 10
 MERCHANT_BONUS = 50
@@ -18,6 +19,8 @@ MIN_PATTERN_LENGTH = 2
 INLINE_RULES = 64
 GRAM = 3
 SALTED_ROWS = 100_000
+#: Characters of all rule texts together that one automaton takes; it has about 40 bytes for each.
+AUTOMATON_CHARS = 1_000_000
 
 _WINNER = ["category", "subcategory", "type", "rule_match", "confidence"]
 
@@ -67,6 +70,26 @@ def rule_table(merchants: DataFrame, patterns: DataFrame, *, points: int = POINT
 def match_rules(descriptions: DataFrame, rules: DataFrame, column: str = "description") -> DataFrame:
     """Every (description, rule) hit for the distinct non-blank descriptions.
 
+    Rule texts of at most ``AUTOMATON_CHARS`` characters together become one automaton, which reads each
+    description once. More are matched by runs of characters, see ``_match_by_runs``.
+    """
+    measured = rules.select("match_text").distinct().agg(F.sum(F.length("match_text"))).first()[0] or 0
+    if measured > AUTOMATON_CHARS:
+        return _match_by_runs(descriptions, rules, column)
+    spark = rules.sparkSession
+    listed = sorted(r[0] for r in rules.select("match_text").distinct().collect())
+    machine = spark.sparkContext.broadcast(Automaton(listed))
+    texts = _distinct_texts(descriptions, column)
+    found = texts.mapInArrow(find_texts(machine, column, "match_text"), f"`{column}` string, match_text string")
+    # Many rules may look for one text, so the rules themselves may be larger than their texts.
+    rules = cut_lineage(rules)
+    joined = found.join(F.broadcast(rules) if is_small(rules) else rules, "match_text")
+    return joined.select(column, *rules.columns)
+
+
+def _match_by_runs(descriptions: DataFrame, rules: DataFrame, column: str) -> DataFrame:
+    """The same for any number of rules.
+
     A rule can only be in a text that holds all its runs of ``GRAM`` characters, so its key is the one
     of them that the fewest texts hold. Texts offer their runs, of which there are as many as
     characters; only those that are some rule's key travel and meet the rules, and a ``contains``
@@ -187,3 +210,26 @@ def _categorize_by_join(txn: DataFrame, rules: DataFrame) -> DataFrame:
 def recategorize(ledger: DataFrame, merchants: DataFrame, patterns: DataFrame) -> DataFrame:
     """Apply the present rules to rows already in the ledger, which a merge never does."""
     return categorize(ledger, merchants, patterns).select(*ledger.columns)
+
+
+def affected_texts(ledger: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The distinct ``description`` (stripped and lower-cased) of a ledger that a rule not common to both tables looks for.
+
+    Only for these can the winning rule differ.
+    """
+    changed = old.subtract(new).unionByName(new.subtract(old))
+    return match_rules(ledger.select("description"), changed).select("description").distinct()
+
+
+def recategorize_changed(ledger: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """What ``recategorize`` gives, for a ledger categorised by the rule table ``old`` (see ``rule_table``): only descriptions
+    that a rule added, dropped or changed since looks for are matched again."""
+    affected = cut_lineage(affected_texts(ledger, old, new))
+    best = winners(match_rules(affected, new)).withColumn("_hit", F.lit(True))
+    filled = {n: F.when(F.col("_hit"), F.col(n)).otherwise(F.lit(v)) for n, v in zip(_WINNER, _outcome())}
+    outcome = affected.join(best, "description", "left").withColumns(filled).select(
+        F.col("description").alias("_text_key"), F.struct(*_WINNER).alias("_now"))
+    joined = lookup_join(ledger.withColumn("_text_key", clean_key(F.col("description"))), outcome, "_text_key")
+    kept = {n: F.when(F.col("_now").isNotNull(), F.col("_now")[n]).otherwise(F.col(n)) for n in _WINNER if n in ledger.columns}
+    kept["subcategory"] = empty_to_null(kept["subcategory"])
+    return joined.withColumns(kept).select(*ledger.columns)

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.functions.automaton import Automaton
 from tallyspark.operators import rules, scale
+from tallyspark.operators.merge import to_ledger
 from tallyspark.schema import MERCHANTS, PATTERNS
 from tests.conftest import plan_of
 
@@ -83,13 +85,17 @@ def test_both_ways_agree_with_a_plain_loop(spark, seed, monkeypatch):
     expected = [_expected(t, merchants, patterns) for t in texts]
     assert _run(spark, texts, merchants, patterns, 1000) == expected
     assert _run(spark, texts, merchants, patterns, 0) == expected
+    monkeypatch.setattr(rules, "AUTOMATON_CHARS", -1)
+    assert _run(spark, texts, merchants, patterns, 0) == expected
     # Nothing may be broadcast: salted join of the pieces, hot keys apart in the join back.
     monkeypatch.setattr(rules, "is_small", lambda df, n=0: False)
     monkeypatch.setattr(scale, "is_small", lambda df, n=0: False)
     assert _run(spark, texts, merchants, patterns, 0) == expected
 
 
-def test_all_hits(spark):
+@pytest.mark.parametrize("automaton_chars", [rules.AUTOMATON_CHARS, -1])
+def test_all_hits(spark, monkeypatch, automaton_chars):
+    monkeypatch.setattr(rules, "AUTOMATON_CHARS", automaton_chars)
     texts, merchants, patterns = _random_case(5)
     m, p = _rules(spark, merchants, patterns)
     table = rules.rule_table(m, p)
@@ -117,10 +123,46 @@ def test_weights_of_any_size(spark):
         assert _run(spark, ["abcd"], patterns=patterns, inline=inline) == [("Big", "", "operating", "pattern:abc", 30_000_000_000)]
 
 
-def test_long_texts_and_many_lengths(spark):
+@pytest.mark.parametrize("automaton_chars", [rules.AUTOMATON_CHARS, -1])
+def test_long_texts_and_many_lengths(spark, monkeypatch, automaton_chars):
     """Runs are as many as characters, whatever lengths the rules have."""
+    monkeypatch.setattr(rules, "AUTOMATON_CHARS", automaton_chars)
     rnd = random.Random(3)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(10_000))
     patterns = [(i, long[i * 40:i * 40 + 2 + i % 60].strip() or "aa", f"c{i}", "", "operating", 1.0) for i in range(200)]
     texts = [long, long[5000:], "none of it", "ab"]
     assert _run(spark, texts, patterns=patterns, inline=0) == [_expected(t, [], patterns) for t in texts]
+
+
+def test_automaton_finds_every_text():
+    rnd = random.Random(4)
+    for _ in range(300):
+        listed = sorted({"".join(rnd.choice("abé😀") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 15))})
+        texts = ["".join(rnd.choice("abé😀x") for _ in range(rnd.randint(0, 20))) for _ in range(rnd.randint(0, 12))]
+        text, rule = Automaton(listed).matches(texts)
+        assert list(zip(text.tolist(), rule.tolist())) == [(i, j) for i, t in enumerate(texts) for j, r in enumerate(listed) if r in t]
+
+
+def test_no_row_per_character(spark):
+    patterns = [(i, f"shop {i}", "c", "", "operating", 1.0) for i in range(100)]
+    m, p = _rules(spark, patterns=patterns)
+    plan = plan_of(rules.match_rules(spark.range(10).select(F.lit("shop 7").alias("description")), rules.rule_table(m, p)))
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_changed_rules_reach_what_they_concern(spark, seed):
+    texts, merchants, patterns = _random_case(seed)
+    rnd = random.Random(seed)
+    kept = [m for m in merchants if rnd.random() < 0.8]
+    other = [(*p[:5], p[5] * 2) if rnd.random() < 0.2 else p for p in patterns if rnd.random() < 0.9]
+    txn = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, " "])], "n int, description string")
+    before, after = _rules(spark, kept, other), _rules(spark, merchants, patterns)
+    old, new = rules.rule_table(*before), rules.rule_table(*after)
+    ledger = to_ledger(rules.categorize(txn.withColumn("date", F.lit(None).cast("date")), *before))
+    want = to_ledger(rules.categorize(ledger, *after)).select(*ledger.columns)
+    got = rules.recategorize_changed(ledger, old, new)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    affected = rules.affected_texts(ledger, old, new).count()
+    assert 0 < affected < len({t.strip().lower() for t in texts})
+    assert rules.affected_texts(ledger, new, new).count() == 0
