@@ -157,14 +157,17 @@ def _tokens(text: str) -> str:
     return f"array_to_string(list_sort(list_filter(string_split({text}, ' '), lambda t: t <> '')), ' ')"
 
 
-def _scored(left: str, right: str, cutoff: int, name: str) -> str:
-    """Pairs of the one-column tables ``left(a)`` and ``right(b)`` that reach the cutoff."""
+def _scored(left: str, right: str, cutoff: int, name: str, by_edits: bool = False) -> str:
+    """Pairs of the one-column tables ``left(a)`` and ``right(b)`` that reach the cutoff.
+
+    With ``by_edits`` the edit distance, which never exceeds the number of unmatched characters, sorts most pairs out."""
+    edits = f"AND 100 * levenshtein(ka, kb) <= {100 - cutoff} * (length(ka) + length(kb))" if by_edits else ""
     return f"""
 {name} AS (
   SELECT a, b, 200.0 * n / total AS score FROM (
     SELECT a, b, {_lcs('ka', 'kb')} AS n, length(ka) + length(kb) AS total
     FROM (SELECT a, {_tokens('a')} AS ka FROM {left}), (SELECT b, {_tokens('b')} AS kb FROM {right})
-    WHERE 200 * least(length(ka), length(kb)) >= {cutoff} * (length(ka) + length(kb)))
+    WHERE 200 * least(length(ka), length(kb)) >= {cutoff} * (length(ka) + length(kb)) {edits})
   WHERE 200 * n >= {cutoff} * total)"""
 
 
@@ -201,11 +204,14 @@ directory AS (
 dir_alias AS (
   SELECT id, name, rule_ord, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS alias_ord FROM directory)"""
 
-_SUGGEST = f"""{_MEMBERS}, {_DIRECTORY},
+
+def _suggest(by_edits: bool = False) -> str:
+    """Suggestions for ``members`` from ``directory`` and ``dir_alias``."""
+    return f"""
 owner AS (SELECT * FROM dir_alias QUALIFY row_number() OVER (PARTITION BY alias ORDER BY rule_ord DESC, id DESC) = 1),
 anchors AS (SELECT DISTINCT anchor AS a FROM members),
 names AS (SELECT DISTINCT lower(name) AS b FROM directory), alias_texts AS (SELECT DISTINCT alias AS b FROM dir_alias),
-{_scored('anchors', 'names', 85, 'by_name')}, {_scored('anchors', 'alias_texts', 88, 'by_alias')},
+{_scored('anchors', 'names', 85, 'by_name', by_edits)}, {_scored('anchors', 'alias_texts', 88, 'by_alias', by_edits)},
 top_names AS (
   SELECT a, b, score, name, rule_ord FROM by_name JOIN directory ON lower(name) = b
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, rule_ord, name) <= 3),
@@ -229,11 +235,33 @@ suggestions AS (
   SELECT anchor, CAST(row_number() OVER (
     PARTITION BY anchor ORDER BY priority, score DESC, place, info, merchant_id) AS INTEGER) AS suggestion_no, kind, info, merchant_id, merchant_name
   FROM (SELECT * FROM found QUALIFY row_number() OVER (
-    PARTITION BY anchor, merchant_id ORDER BY priority, score DESC, place, info) = 1)),
+    PARTITION BY anchor, merchant_id ORDER BY priority, score DESC, place, info) = 1))"""
+
+
+_SUGGEST = f"""{_MEMBERS}, {_DIRECTORY}, {_suggest()},
 decided AS (
   SELECT DISTINCT anchor, length(anchor) % 4 AS n, 'Cat ' || substr(anchor, 1, 3) AS category,
     length(anchor) % 5 <> 0 AS wanted FROM members)"""
 
+# Names of customers all have one length and no space, so they reach 94 if one character differs or none does.
+_NAMES = """WITH RECURSIVE names AS (SELECT c_name AS t, count(*) AS count FROM customer GROUP BY 1),
+cuts AS (
+  SELECT DISTINCT t, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(t, 1, i - 1) || substr(t, i + 1))) AS rest
+  FROM names),
+edges AS (
+  SELECT DISTINCT x.t AS a, y.t AS b, CASE WHEN x.t = y.t THEN 100.0 ELSE 100.0 * (length(x.t) - 1) / length(x.t) END AS score
+  FROM cuts x JOIN cuts y USING (rest))"""
+
+_SUPPLIERS = f"""WITH parts AS (WITH {_DIRECTORY} SELECT * FROM directory),
+directory AS (
+  SELECT rule_ord, id, name, aliases FROM parts
+  UNION ALL
+  SELECT 10000000 + s_suppkey, {_slug('s_name')}, s_name, [lower(s_name) || ' to'] FROM supplier),
+dir_alias AS (
+  SELECT id, name, rule_ord, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS alias_ord FROM directory),
+members AS (SELECT 'to ' || lower(s_name) AS description, 'to ' || lower(s_name) AS anchor, 1 AS count FROM supplier),
+{_suggest(by_edits=True)}"""
+
 # Capital first letter of each word, as in the default merchant name.
 _TITLE = """array_to_string(list_transform(string_split(anchor, ' '),
   lambda w: upper(w[1]) || lower(w[2:])), ' ')"""
@@ -383,6 +411,16 @@ SELECT 'documents_' || doc_id % 64 || '.csv' AS source_file, doc_id AS block_sta
   CAST(NULL AS VARCHAR) AS reject_reason, trim(coalesce(text, ''), '{WHITESPACE}') AS description,
   CAST(doc_id % 1000 AS DOUBLE) AS paid_out
 FROM documents""",
+    "stage_quoted_files": f"""
+WITH texts AS (
+  SELECT doc_id, doc_id % 10 = 3 AS stray,
+    regexp_replace(coalesce(text, ''), '[^\\x00-\\x0C\\x0E-\\x7F\\xA0-\\xFF]', '?', 'g') AS text FROM documents)
+SELECT length('03/04/2024,POS,"' || replace(text, '"', '""') || CASE WHEN stray THEN '' ELSE '"' END || ',' || doc_id || '.00,')
+    AS line_chars, DATE '2024-04-03' AS date,
+  CASE WHEN stray THEN 'open_quote' END AS reject_reason,
+  CASE WHEN NOT stray THEN trim(text, '{WHITESPACE}') END AS description,
+  CASE WHEN NOT stray THEN CAST(doc_id AS DOUBLE) END AS paid_out
+FROM texts""",
     "reject_counts": f"""{_LINES}
 SELECT source_file, coalesce(reject_reason, '') AS reject_reason, count(*) AS count FROM staged GROUP BY ALL""",
     "uncategorized": f"""{_FREQ}
@@ -400,6 +438,17 @@ SELECT anchor, count, n_aliases, n_samples, first_date FROM clusters JOIN (
   SELECT anchor, count(*) AS n_samples, coalesce(strftime(min_by(date, sample_no), '%Y-%m-%d'), '') AS first_date
   FROM samples GROUP BY 1) USING (anchor)""",
     "suggest_merchants": f"{_SUGGEST} SELECT * FROM suggestions",
+    "similar_names": f"{_NAMES} SELECT a AS anchor, b AS text, round(score, 6) AS score FROM edges",
+    "name_clusters": f"""{_NAMES},
+near AS MATERIALIZED (SELECT a, list(b) AS bs FROM edges GROUP BY a),
+walk(anchor, taken, pool) AS (
+  SELECT CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), list(t ORDER BY count DESC, t) FROM names
+  UNION ALL
+  SELECT near.a, list_filter(pool, lambda x: list_contains(bs, x)), list_filter(pool, lambda x: NOT list_contains(bs, x))
+  FROM walk JOIN near ON near.a = walk.pool[1])
+SELECT description, count, anchor
+FROM (SELECT anchor, unnest(taken) AS description FROM walk WHERE anchor IS NOT NULL) JOIN names ON t = description""",
+    "suggest_suppliers": f"{_SUPPLIERS} SELECT * FROM suggestions",
     "apply_decisions": f"""{_SUGGEST},
 fresh AS (
   SELECT {_slug(_TITLE)} AS id, {_TITLE} AS name, category, 'General' AS subcategory, 'operating' AS type, anchor
@@ -473,6 +522,17 @@ SELECT source_file, block_start, line_idx, date, description, paid_out, paid_in,
 WHERE reject_reason IS NULL""",
     "categorized_table": ORACLES["categorized_counts"],
     "stored_ledger": f"SELECT *, coalesce(strftime(date, '%Y-%m'), '') AS month FROM ({ORACLES['merge_ledger']})",
+    "bucketed_ledger": f"SELECT *, coalesce(strftime(date, '%Y-%m'), '') AS month FROM ({ORACLES['merge_ledger']})",
+    "streamed_ledger": f"""{_CATEGORIZED}
+SELECT date, description, CAST(paid_out AS DOUBLE) AS paid_out, CAST(paid_in AS DOUBLE) AS paid_in, source, any_value(category) AS category,
+  any_value(subcategory) AS subcategory, any_value(type) AS type, any_value(month) AS month
+FROM ledger GROUP BY date, description, paid_out, paid_in, source""",
+    "json_rules": f"""WITH {_DIRECTORY}
+SELECT id, name, 'Goods' AS category, 'General' AS subcategory, 'operating' AS type, alias FROM dir_alias""",
     "stored_rules": ORACLES["upsert_merchants"],
+    "recategorize_changed": ORACLES["categorized_counts"],
+    # The ledger keeps one row of each key.
+    "month_table_kpis": ORACLES["operating_kpis"].replace("AS month FROM cat)", f"""AS month FROM cat
+  QUALIFY row_number() OVER (PARTITION BY date, description, paid_out, paid_in, source ORDER BY {_SEQ}) = 1)"""),
     "learn_loop": _LEARNED,
 }

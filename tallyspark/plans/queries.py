@@ -12,10 +12,11 @@ from tallyspark.functions import clean
 from tallyspark.functions.text import month_label
 from tallyspark.operators import clustering, layouts, learning, merge, rules, similarity_join
 from tallyspark.operators.scale import shared_dir
-from tallyspark.plans import debt, operating, p2p, pipeline
+from tallyspark.plans import debt, month_table, operating, p2p, pipeline
 from tallyspark.plans import sample_inputs as inputs
-from tallyspark.schema import CATEGORIZED, MONEY
-from tallyspark.sources import statements, store
+from tallyspark.schema import CATEGORIZED, MONEY, STAGED
+from tallyspark.sources import ledger_table, statements, store
+from tallyspark.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROW = inputs.ROW
@@ -117,6 +118,16 @@ def _recategorize(spark, d):
     return _plain(pipeline.categorized_counts(again))
 
 
+def _recategorize_changed(spark, d):
+    """A ledger categorised by other rules, brought up to date by the difference of the rules."""
+    merchants, patterns = inputs.merchants(spark), inputs.patterns(spark)
+    fewer = merchants.filter("id <> 'rod_friend'").withColumn("category", F.when(F.col("id") == "gear_shop", "Old").otherwise(F.col("category")))
+    other = patterns.filter("pattern <> 'new'").unionByName(patterns.filter("pattern = 'new'").withColumn("pattern", F.lit("blue")))
+    old, new = rules.rule_table(fewer, other), rules.rule_table(merchants, patterns)
+    ledger = merge.to_ledger(rules.categorize(inputs.txn(spark, d), fewer, other))
+    return _plain(pipeline.categorized_counts(rules.recategorize_changed(ledger, old, new)))
+
+
 def _operating_summary(spark, d):
     ledger = inputs.ledger(spark, d)
     selection = operating.operating_base(ledger).filter("category = 'Bills'")
@@ -179,6 +190,15 @@ def _stage_documents(line_breaks: bool) -> Query:
     return query
 
 
+def _stage_files(spark, d):
+    """Every document from a quoted cell of a file, read back as files are."""
+    lines = statements.read_raw_files(spark, inputs.document_files(spark, d), multi_line=True)
+    valid = F.col("reject_reason").isNull()
+    return _plain(statements.stage(lines).select(
+        F.length("line").alias("line_chars"), "date", "reject_reason", F.when(valid, F.col("description")).alias("description"),
+        F.when(valid, F.col("paid_out")).alias("paid_out")))
+
+
 def _reject_counts(spark, d):
     return store.reject_counts(statements.stage(inputs.statement_text(spark, d)))
 
@@ -223,6 +243,24 @@ def _suggest_merchants(spark, d):
     return _suggestions(spark, d, _members(spark, d))
 
 
+def _names(spark, d):
+    return clustering.description_freq(inputs.table(spark, d, "customer").select(F.col("c_name").alias("description")))
+
+
+def _similar_names(spark, d):
+    """Names of customers that differ in one character at most."""
+    names = _names(spark, d).select("description")
+    return _plain(similarity_join.similar_pairs(names.withColumnRenamed("description", "anchor"),
+                                                names.withColumnRenamed("description", "text"), 94))
+
+
+def _suggest_suppliers(spark, d):
+    """Payments to every supplier, against the names and aliases of all products and suppliers."""
+    payments = inputs.table(spark, d, "supplier").select(F.concat(F.lit("to "), F.lower("s_name")).alias("description"))
+    members = payments.select("description", F.lit(1).cast("long").alias("count"), F.col("description").alias("anchor"))
+    return learning.suggest_merchants(members, inputs.directory(spark, d).unionByName(inputs.supplier_directory(spark, d)))
+
+
 def _decided(spark, d):
     members = _members(spark, d)
     return learning.apply_decisions(members, _suggestions(spark, d, members), inputs.decisions(members),
@@ -291,6 +329,48 @@ def _stored_ledger(spark, d):
     return _plain(store.read_ledger(spark, path).select(*_MERGED, "month"))
 
 
+def _bucketed_ledger(spark, d):
+    """The same on a ledger in buckets, of which an append moves nothing."""
+    path = _shared(spark, "ledger")
+    for batch in (inputs.ledger_old(spark, d), inputs.ledger_new(spark, d)):
+        rows = batch.withColumn("account_type", F.lit("Credit")).select(*CATEGORIZED.fieldNames(), "ingest_seq")
+        ledger_table.append(spark, path, rows, 8)
+    return _plain(ledger_table.read(spark, path, 8).select(*_MERGED, "month"))
+
+
+def _month_table_kpis(spark, d):
+    """Three batches, the second twice, each leaving its sums; the figures are read from the sums alone."""
+    path, months = _shared(spark, "ledger"), _shared(spark, "months")
+    rows = inputs.categorized(spark, d).withColumn("account_type", F.lit("Credit")).select(*CATEGORIZED.fieldNames(), "ingest_seq")
+    for batch in (0, 1, 1, 2):
+        own = rows.filter(F.col("ingest_seq.block_start") % 3 == batch).withColumn(
+            "ingest_seq", F.col("ingest_seq").withField("batch_id", F.lit(batch).cast("long")))
+        store.append_ledger(spark, path, own)
+        month_table.write_month_sums(spark, path, months, batch)
+    return _plain(operating.operating_kpis(month_table.read_month_sums(spark, months)))
+
+
+def _streamed_ledger(spark, d):
+    """Two runs of a stream over staged files; the second finds late rows, repeats and rows of the first run again."""
+    staged, ledger, checkpoint = (_shared(spark, n) for n in ("staged", "ledger", "stream"))
+    rows = inputs.txn(spark, d).withColumns({"account_type": F.lit("Credit"), "category": F.lit(""), "subcategory": F.lit("")}).select(
+        *STAGED.fieldNames(), "ingest_seq", "l_linestatus", "l_returnflag")
+    late = rows.filter("l_returnflag = 'N'").unionByName(rows.filter("l_linestatus = 'O'"))
+    for run, batch in enumerate((rows.filter("l_returnflag <> 'N'"), late)):
+        batch.drop("l_linestatus", "l_returnflag").write.parquet(f"{staged}/run-{run}")
+        query = ledger_stream.stream_ledger(spark, staged, ledger, checkpoint, inputs.merchants(spark), inputs.patterns(spark))
+        query.trigger(availableNow=True).start().awaitTermination()
+    return _plain(ledger_stream.read_streamed(spark, ledger).select(
+        "date", "description", "paid_out", "paid_in", "source", "category", "subcategory", "type", "month"))
+
+
+def _json_rules(spark, d):
+    """Merchants from a folder of JSON files, one object on a line."""
+    path = _shared(spark, "json")
+    inputs.directory(spark, d).drop("rule_ord").write.json(path)
+    return learning.alias_rows(store.read_merchants(spark, path)).select("id", "name", "category", "subcategory", "type", "alias")
+
+
 def _stored_rules(spark, d):
     """Merchants written, changed, written as a new version and read back from the newest."""
     path = _shared(spark, "rules")
@@ -323,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "categorize_many_rules": _categorize_many_rules,
     "categorized_counts": _categorized_counts,
     "recategorize": _recategorize,
+    "recategorize_changed": _recategorize_changed,
     "merge_ledger": _merge_ledger,
     "append_ledger": _append_ledger,
     "ingest_stats": _ingest_stats,
@@ -356,6 +437,7 @@ QUERIES: dict[str, Query] = {
     "stage_lines": _stage_lines,
     "stage_quoted_text": _stage_documents(False),
     "stage_quoted_lines": _stage_documents(True),
+    "stage_quoted_files": _stage_files,
     "reject_counts": _reject_counts,
     "uncategorized": _uncategorized,
     "description_freq": _freq,
@@ -365,6 +447,9 @@ QUERIES: dict[str, Query] = {
     "cluster_samples": _cluster_samples,
     "cluster_report": _cluster_report,
     "suggest_merchants": _suggest_merchants,
+    "similar_names": _similar_names,
+    "name_clusters": lambda spark, d: clustering.cluster_members(_names(spark, d), 94),
+    "suggest_suppliers": _suggest_suppliers,
     "apply_decisions": _apply_decisions,
     "upsert_merchants": _upsert_merchants,
     "append_patterns": _append_patterns,
@@ -377,6 +462,10 @@ QUERIES: dict[str, Query] = {
     "staged_table": _staged_table,
     "categorized_table": _categorized_table,
     "stored_ledger": _stored_ledger,
+    "bucketed_ledger": _bucketed_ledger,
+    "streamed_ledger": _streamed_ledger,
+    "json_rules": _json_rules,
     "stored_rules": _stored_rules,
+    "month_table_kpis": _month_table_kpis,
     "learn_loop": _learn_loop,
 }

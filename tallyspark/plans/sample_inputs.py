@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import rule_id
 from tallyspark.operators.merge import to_ledger
 from tallyspark.operators.rules import categorize
+from tallyspark.operators.scale import shared_dir
 from tallyspark.schema import MERCHANTS, MONEY, PATTERNS, UNCATEGORIZED
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -213,6 +216,26 @@ def document_lines(spark: SparkSession, sf_dir: str, line_breaks: bool) -> DataF
         F.lit(0).cast("long").alias("batch_id"), "line")
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of statement files that hold every document as a quoted cell, line breaks and all.
+
+    Of every tenth row the text is on one line and its quote is left open. What cp1252 lacks is written as a question mark.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x0C\\x0E-\\x7F\\xA0-\\xFF]", "?")
+    stray = F.col("doc_id") % 10 == 3
+    cell = F.replace(F.when(stray, F.replace(text, F.lit("\n"), F.lit(" "))).otherwise(text), F.lit('"'), F.lit('""'))
+    record = F.concat(F.lit('03/04/2024,POS,"'), cell, F.when(stray, "").otherwise('"'), F.lit(","),
+                      F.col("doc_id").cast("string"), F.lit(".00,"))
+    lines = table(spark, sf_dir, "documents").select(
+        F.explode(F.split(record, "\n")).alias("Date,Transaction type,Description,Paid out,Paid in"))
+    folder = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    # One column without quotes or a separator of its own: lines as they are, below a header line in every file.
+    plain = {"quote": "\0", "escape": "\0", "sep": "\1", "emptyValue": "", "encoding": "iso-8859-1",
+             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.options(**plain).csv(folder, header=True)
+    return folder
+
+
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merchant per product name; its aliases equal, resemble or differ from descriptions."""
     part = table(spark, sf_dir, "part")
@@ -228,6 +251,14 @@ def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
         "aliases")
 
 
+def supplier_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merchant per supplier, placed behind those of ``directory``."""
+    return table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 10_000_000).cast("long").alias("rule_ord"), rule_id(F.col("s_name")).alias("id"),
+        F.col("s_name").alias("name"), F.lit("Goods").alias("category"), F.lit("General").alias("subcategory"),
+        F.lit("operating").alias("type"), F.array(F.concat(F.lower("s_name"), F.lit(" to"))).alias("aliases"))
+
+
 def directory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merchants to upsert: known ids with other attributes and more aliases, and new ids."""
     part = table(spark, sf_dir, "part")
