@@ -6,25 +6,23 @@ often as pairs it begins, or pieces it ends. Edges whose nodes carry the same fl
 are compacted by pointer doubling into one row each (a passage that always runs the same way); within a path every count is
 the path's, so only its two ends need the counts of other nodes.
 
-Most runs of words are rare. A first pass adds up pairs by hash in ``FILTER_BITS`` buckets and keeps a bit per bucket that
-reaches the minimum; the bit map has a fixed size. A pair in a bucket below it is rare for certain: its occurrences count for
-its first word only, and edges into it count as ends. All counts that reach the minimum stay exact.
+Blocks of text count their edges before these are shuffled, once, by their first node: there the edges and the flows of the
+nodes are added up, and only what reaches the minimum is kept, beside the words. Pairs that are very common in a sample of the
+texts are spread by what follows them; the sample decides on nothing but that.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Numbers, drop_stored, mix64, store
+from tallyspark.llm.common import Numbers, drop_stored, store
 from tallyspark.operators.scale import lookup_join
 
 MIN_COUNT = 10
@@ -33,8 +31,10 @@ SCALE = 1_000_000
 CONTAINED_PERCENT = 50
 TOP_PHRASES = 2000
 UNKNOWN_LANG = "und"
-#: Buckets of the filter, 2 to this power; its bit map takes 4 MB and is the only thing broadcast whatever the data.
-FILTER_BITS = 25
+#: Texts of the sample, the share of its runs from which on a pair is very common, and into how many parts it is spread.
+SAMPLE_TEXTS = 5_000
+HOT_SHARE = 0.0005
+HOT_PARTS = 64
 #: Bytes of text counted at once.
 BLOCK_BYTES = 6 * 1024 * 1024
 
@@ -104,83 +104,41 @@ def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return list(numbers), ids
 
 
-class _Starts(NamedTuple):
-    """Each place where a run of words starts: its word, the next two, and the bucket of each pair."""
-
-    first: np.ndarray
-    second: np.ndarray
-    third: np.ndarray
-    bucket: np.ndarray
-    next_bucket: np.ndarray
-
-
-def _starts(lang: str, words: list[bytes], ids: np.ndarray, bits: int) -> _Starts:
-    seed = zlib.crc32(lang.encode())
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
-    padded = np.concatenate([ids, np.zeros(3, dtype=np.int64)])
-    first, second, third = padded[:-3], padded[1:-2], padded[2:-1]
-    mixed = mix64(hashed[padded[:-1]] * np.uint64(0x9E3779B97F4A7C15) + hashed[padded[1:]])
-    bucket = (mixed >> np.uint64(64 - bits)).astype(np.int64)
-    # After a cut the same words start again, with what follows them.
-    here = (first > 1) & (second != 1) & ~((second > 1) & (third == 1))
-    at = np.flatnonzero(here)
-    return _Starts(first[at], second[at], third[at], bucket[at], bucket[at + 1])
-
-
-def _bucket_counts(bits: int, size: int):
+def _flows(size: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids in _blocks(batches, size):
-            starts = _starts(lang, words, ids, bits)
-            buckets, n = np.unique(starts.bucket[starts.second > 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
+            yield _edges(lang, words, ids)
 
     return counted
 
 
-def _flows(frequent, bits: int, size: int):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(frequent.value, dtype=np.uint8)
-        for lang, words, ids in _blocks(batches, size):
-            s = _starts(lang, words, ids, bits)
-            n_words = len(words)
-            pair = (s.second > 1) & _is_set(bitmap, s.bucket)
-            onward = pair & (s.third > 1) & _is_set(bitmap, s.next_bucket)
-            alone, alone_n = np.unique(s.first[~pair], return_counts=True)
-            nodes, node_at = np.unique(s.first[pair] * n_words + s.second[pair], return_inverse=True)
-            third = np.where(onward, s.third, n_words)[pair]
-            edges, edge_n = np.unique(node_at * (n_words + 1) + third, return_counts=True)
-            names = pa.array(words[2:], pa.binary()).cast(pa.string())
-            named = pa.concat_arrays([pa.array(["", ""], pa.string()), names, pa.array([_ELSEWHERE], pa.string())])
-            pairs = pc.binary_join_element_wise(named.take(pa.array(nodes // n_words)), named.take(pa.array(nodes % n_words)), " ")
-            node = pa.concat_arrays([named.take(pa.array(alone)), pairs.take(pa.array(edges // (n_words + 1)))])
-            follower = named.take(pa.array(np.concatenate([np.full(len(alone), n_words), edges % (n_words + 1)])))
-            counts = pa.array(np.concatenate([alone_n, edge_n]), pa.int64())
-            lang_column = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([lang_column, node, follower, counts], ["lang", "node", "next", "n"])
-
-    return counted
-
-
-def _is_set(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).view(bool)
-
-
-def frequent_buckets(read: DataFrame, min_count: int, bits: int, size: int) -> bytes:
-    """A bit per bucket: whether the pairs hashed to it reach ``min_count`` together. Always 2 ** bits bits."""
-    counted = read.mapInArrow(_bucket_counts(bits, size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    packed = (counted.filter(F.col("n") >= min_count)
-              .groupBy(F.bitmap_bucket_number(F.col("bucket") + 1).alias("part"))  # parts of 32,768 bits, numbered from 1
-              .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bucket") + 1)).alias("bits")))
-    out = bytearray(max(1, (1 << bits) // 8))
-    for row in packed.toLocalIterator():
-        start = (row["part"] - 1) * 4096
-        part = bytes(row["bits"])[:max(0, len(out) - start)]
-        out[start:start + len(part)] = part
-    return bytes(out)
+def _edges(lang: str, words: list[bytes], ids: np.ndarray) -> pa.RecordBatch:
+    """Rows (lang, node, next, n) of a block: what follows each pair of words, and each word that ends a piece."""
+    # Words are numbered in order, so that rows that follow each other begin alike, which compresses better.
+    names = pa.array(words[2:], pa.binary())
+    order = pc.sort_indices(names)
+    rank = np.arange(len(words))
+    rank[2:][order.to_numpy()] = np.arange(2, len(words))
+    padded = np.concatenate([rank[ids], np.zeros(2, dtype=np.int64)])
+    first, second, third = padded[:-2], padded[1:-1], padded[2:]
+    # After a cut the same words start again, with what follows them.
+    here = (first > 1) & (second != 1) & ~((second > 1) & (third == 1))
+    first, second, third = first[here], second[here], third[here]
+    pair, n_words = second > 1, len(words)
+    ends, ends_n = np.unique(first[~pair], return_counts=True)
+    nodes, node_at = np.unique(first[pair] * n_words + second[pair], return_inverse=True)
+    edges, edge_n = np.unique(node_at * (n_words + 1) + np.where(third > 1, third, n_words)[pair], return_counts=True)
+    named = pa.concat_arrays([pa.array(["", ""], pa.string()), names.take(order).cast(pa.string()), pa.array([_ELSEWHERE], pa.string())])
+    pairs = pc.binary_join_element_wise(named.take(pa.array(nodes // n_words)), named.take(pa.array(nodes % n_words)), " ")
+    node = pa.concat_arrays([named.take(pa.array(ends)), pairs.take(pa.array(edges // (n_words + 1)))])
+    follower = named.take(pa.array(np.concatenate([np.full(len(ends), n_words), edges % (n_words + 1)])))
+    counts = pa.array(np.concatenate([ends_n, edge_n]), pa.int64())
+    lang_column = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), dtype=np.int64)))
+    return pa.RecordBatch.from_arrays([lang_column, node, follower, counts], ["lang", "node", "next", "n"])
 
 
 def build(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
-          bits: int = FILTER_BITS, block_bytes: int = BLOCK_BYTES) -> Graph:
+          block_bytes: int = BLOCK_BYTES) -> Graph:
     """Edges, node flows and word flows of the whole texts of ``docs``, per language.
 
     Null texts are empty, a null language is ``und``; every row counts, repeated rows too; a piece of any length is
@@ -188,23 +146,40 @@ def build(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count:
     """
     read = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit(UNKNOWN_LANG)).alias("lang"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(read, min_count, bits, block_bytes))
-    flows = read.mapInArrow(_flows(frequent, bits, block_bytes), _FLOWS)
-    # One exchange by node serves both sums.
-    counted = flows.repartition("lang", "node").groupBy("lang", "node", "next").agg(F.sum("n").alias("n"))
+    flows = read.mapInArrow(_flows(block_bytes), _FLOWS).join(F.broadcast(_hot_nodes(read, block_bytes)), ["lang", "node"], "left")
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("next"), F.lit(HOT_PARTS))).alias("part")
+    flows = flows.select("lang", "node", "next", "n", part).repartition("lang", "node", "part")
+    # Both sums read one exchange: ``next`` is named in the second, too, so that neither reads less of it than the other.
+    counted = flows.groupBy("lang", "node", "part", "next").agg(F.sum("n").alias("n"))
     reached = F.when(F.col("next") != _ELSEWHERE, F.col("n")).otherwise(F.lit(0)) >= min_count
-    edges = counted.filter(reached).select("lang", "node", "next", "n", F.lit("edge").alias("kind"))
-    nodes = counted.groupBy("lang", "node").agg(F.sum("n").alias("n")).select(
-        "lang", "node", F.lit(None).cast("string").alias("next"), "n", F.lit("node").alias("kind"))
-    stored = store(edges.unionByName(nodes), "collocation-graph", ("kind",))
-    every = stored.filter("kind = 'node'")
-    words = store(every.groupBy("lang", F.substring_index("node", " ", 1).alias("word")).agg(F.sum("n").alias("n")),
-                  "collocation-words")
+    edges = counted.filter(reached).select(F.lit("edge").alias("kind"), "lang", "node", "next", "n")
+    left = flows.groupBy("lang", "node", "part").agg(F.sum(F.col("n") + F.length("next") * 0).alias("n"))
+    may_reach = F.contains("node", F.lit(" ")) & ((F.col("n") >= min_count) | F.col("part").isNotNull())
+    # A node's flow is kept as its own count if that may reach the minimum, and goes to its first word in any case.
+    shares = F.array_compact(F.array(
+        F.when(may_reach, F.struct(F.lit("node").alias("kind"), F.col("node").alias("text"))),
+        F.struct(F.lit("word").alias("kind"), F.substring_index("node", " ", 1).alias("text"))))
+    flowed = (left.select("lang", "n", F.explode(shares).alias("s")).groupBy("s.kind", "lang", "s.text").agg(F.sum("n").alias("n"))
+              .filter((F.col("kind") == "word") | (F.col("n") >= min_count))
+              .select("kind", "lang", F.col("text").alias("node"), F.lit(None).cast("string").alias("next"), "n"))
+    stored = store(edges.unionByName(flowed), "collocation-graph")
+    words = stored.filter("kind = 'word'").select("lang", F.col("node").alias("word"), "n")
     return Graph(stored.filter("kind = 'edge'").select("lang", "node", "next", "n"),
-                 every.filter(F.contains("node", F.lit(" ")) & (F.col("n") >= min_count)).select("lang", "node", "n"),
+                 stored.filter("kind = 'node'").select("lang", "node", "n"),
                  words.filter(F.col("n") >= min_count), words.groupBy("lang").agg(F.sum("n").alias("n")))
 
 
+def _hot_nodes(read: DataFrame, block_bytes: int) -> DataFrame:
+    """Rows (lang, node, hot) of the very common pairs, at most one for each ``HOT_SHARE``."""
+    texts = read.count()
+    sample = read.sample(min(1.0, SAMPLE_TEXTS / max(1, texts)), seed=1)
+    counted = sample.mapInArrow(_flows(block_bytes), _FLOWS).groupBy("lang", "node").agg(F.sum("n").alias("n"))
+    least = HOT_SHARE * (counted.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    found = (counted.filter((F.col("n") >= least) & (F.col("node") != "")).orderBy(F.desc("n"), "lang", "node")
+             .limit(int(1 / HOT_SHARE)).select("lang", "node").collect())
+    return read.sparkSession.createDataFrame([(*r, True) for r in found], "lang string, node string, hot boolean")
+
+
 def _key(*parts: Column | str) -> Column:
     return F.concat_ws("\0", *parts)
 
@@ -217,8 +192,9 @@ def compact(graph: Graph) -> DataFrame:
     """
     flows = graph.nodes.select(_key("lang", "node").alias("key"), F.col("n").alias("flow"))
     head = F.concat_ws(" ", F.substring_index("node", " ", -1), "next")
-    edges = lookup_join(graph.edges.withColumn("key", _key("lang", "node")), flows, "key").withColumnRenamed("flow", "flow_in")
-    edges = lookup_join(edges.withColumn("key", _key("lang", head)), flows, "key").withColumnRenamed("flow", "flow_out")
+    # An edge has ``min_count`` occurrences at least, so no node has edges out of proportion to its words' share of the text.
+    edges = graph.edges.withColumn("key", _key("lang", "node")).join(flows, "key").withColumnRenamed("flow", "flow_in")
+    edges = edges.withColumn("key", _key("lang", head)).join(flows, "key").withColumnRenamed("flow", "flow_out")
     edges = store(edges.withColumn("id", _key("lang", F.concat_ws(" ", "node", "next"))), "collocation-edges")
     # A node is unary if one edge brings all its flow and one takes it; each then links to the other.
     brings = edges.filter("n = flow_out").select("key", F.col("id").alias("head"))
@@ -279,12 +255,12 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
-                 top: int | None = TOP_PHRASES, bits: int = FILTER_BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 top: int | None = TOP_PHRASES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): the phrases of each language that hold together best.
 
     Ties rank by count, then by the phrase's bytes. Nulls, empty texts, repeated rows and empty tables as in ``build``.
     """
-    graph = build(docs, text=text, lang=lang, min_count=min_count, bits=bits, block_bytes=block_bytes)
+    graph = build(docs, text=text, lang=lang, min_count=min_count, block_bytes=block_bytes)
     found = candidates(graph, compact(graph))
     words = graph.words.select(_key("lang", "word").alias("key"), F.col("n").alias("flow"))
     for side in ("first", "last"):

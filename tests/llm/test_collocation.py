@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from tallyspark.llm import collocation
+from tests.conftest import plan_of
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -52,7 +53,15 @@ def rows_of(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"bits": 4}, {"min_count": 3, "block_bytes": 60, "top": 20}])
+@pytest.mark.parametrize("share", [1.5, 0.02])
+def test_common_pairs_are_spread_without_a_change(docs, monkeypatch, share):
+    monkeypatch.setattr(collocation, "HOT_SHARE", share)
+    rows = rows_of(4)
+    got = sorted(map(tuple, collocation.collocations(docs(rows), min_count=3).collect()))
+    assert got == plain_collocations([r[1:3] for r in rows], 3)
+
+
+@pytest.mark.parametrize("options", [{}, {"min_count": 3, "block_bytes": 60, "top": 20}])
 def test_equals_plain_counts(docs, options):
     rows = rows_of(3)
     got = sorted(map(tuple, collocation.collocations(docs(rows), **options).collect()))
@@ -60,6 +69,17 @@ def test_equals_plain_counts(docs, options):
     assert got == plain_collocations([r[1:3] for r in rows], **plain) and len(got) > 10
 
 
+def test_texts_are_shuffled_once(docs):
+    """The sums of edges and of nodes read the same exchange."""
+    rows = [(1, "a b c d", "en", "s", 1)]
+    plans = []
+    write = collocation.store
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(collocation, "store", lambda df, *a: df.collect() and None or plans.append(plan_of(df)) or write(df, *a))
+        collocation.build(docs(rows))
+    assert "ReusedExchange" in plans[0][:plans[0].index("Initial Plan")]
+
+
 def test_a_passage_is_one_path(docs):
     passage = "once upon a time there was one king of all"
     rows = [(i, f"{passage}. odd{i} word{i}", "en", "s", 1) for i in range(12)] + [(99, "of all things", "en", "s", 1)]
