@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every source's documents are shuffled by a hash of their id. A copy of a document gets a virtual finish time: the words its
+Every source's documents are shuffled by a hash of id and text, so that rows without an id are spread too. A copy of a document gets a virtual finish time: the words its
 source has sent so far, this copy included, divided by the source's target. Ordered by virtual time all sources advance at
 their target rates; the mix is the prefix of that global order that fits the budget. A source whose target exceeds its size
 sends its documents again, in the same order, up to ``MAX_EPOCHS`` times.
@@ -61,15 +61,16 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "do
     """One row per document: ``id_col``, ``text_hash``, ``size``, ``source_size``, ``target``, ``copies``, ``finish``.
 
     ``copies`` is how often the mix takes the document, ``finish`` the virtual time of its first copy. The same input gives
-    the same mix. Equal ids are ordered by size and text; rows equal in both are interchangeable. A null id is a document of
-    its own, hashed as an empty string; a null source is a source; a null or empty text has size 0. If all sizes are 0, all
+    the same mix. Rows equal in id and text are interchangeable. A null id is a document of its own, hashed as an empty
+    string, as is a null text; a null source is a source; a null or empty text has size 0. If all sizes are 0, all
     targets are 0 and nothing is taken. An empty table gives no rows.
     """
     col = lambda name: F.col(f"`{name}`")
     sized = store(docs.select(
         col(id_col).alias("_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(source_col).cast("string").alias("_source"),
         word_count(col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(col(id_col).cast("string"), F.lit("")))).alias("_order")), "mix-sizes")
+        F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(col(id_col).cast("string"), F.lit("")),
+                          F.md5(F.coalesce(col(text_col).cast("string"), F.lit(""))))).alias("_order")), "mix-sizes")
     rows = sized.count()
     targets = source_targets(sized, weights)
     known = lookup_join(sized.withColumn("_source_key", id_key(F.col("_source"))), targets, "_source_key")

@@ -82,7 +82,7 @@ def _mixing() -> str:
     return f"""
         WITH sized AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
-                 md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled FROM documents),
+                 md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS shuffled FROM documents),
         sources AS (
           SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
           FROM sized GROUP BY source),

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import mixing
 
@@ -23,13 +24,21 @@ def plain_targets(sizes, weights=(1, 2, 3), cap=3):
         frozen.update({s: cap * sizes[s] for s in over})
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def text_of(n):
+    return " \n".join(["w"] * n) or None
+
+
 def plain_copies(rows, targets):
     """rows: (id, size, source). One global sort of all copies by virtual finish time."""
     rank = {s: i for i, s in enumerate(sorted(targets, key=lambda s: (s is None, (s or "").encode())))}
     sizes = {s: sum(n for _, n, x in rows if x == s) for s in targets}
     copies = []
     for s, target in targets.items():
-        own = sorted((hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest(), n, i) for i, n, x in rows if x == s)
+        own = sorted((md5(f"{mixing.SEED}:{i}:{md5(text_of(n) or '')}"), n, i) for i, n, x in rows if x == s)
         for epoch in range(3):
             sent = epoch * sizes[s]
             for number, (h, n, i) in enumerate(own):
@@ -55,7 +64,7 @@ def rows_of(seed):
 def test_equals_one_global_sort(docs, monkeypatch, seed, cell_rows):
     monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
     rows = rows_of(seed)
-    df = docs([(i, " \n".join(["w"] * n) or None, s, 1) for i, n, s in rows], "doc_id long, text string, source string, size int")
+    df = docs([(i, text_of(n), s, 1) for i, n, s in rows], "doc_id long, text string, source string, size int")
     got = {r.doc_id: r for r in mixing.queue(df).collect()}
     sizes = {s: sum(n for _, n, x in rows if x == s) for s in {s for _, _, s in rows}}
     targets = plain_targets(sizes)
@@ -84,6 +93,24 @@ def test_mix_repeats_rows_in_order(docs):
     assert have == {k: v for k, v in want.items() if v}
 
 
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    """No cell may grow with the number of rows that share an id."""
+    sizes = {}
+    window_by = mixing.Window.partitionBy
+
+    def noted(*columns):
+        sizes.setdefault("cells", columns)
+        return window_by(*columns)
+
+    monkeypatch.setattr(mixing.Window, "partitionBy", staticmethod(noted))
+    rows = spark.range(10_000).selectExpr("cast(null as long) doc_id", "concat('w ', id) text", "'s' source")
+    queued = mixing.queue(rows)
+    assert sizes["cells"] == ("_rank", "_cell") and queued.count() == 10_000
+    order = F.md5(F.concat_ws(":", F.lit(mixing.SEED), F.lit(""), F.md5("text")))
+    counts = [r["count"] for r in rows.groupBy(mixing._cell(order, 10_000 // mixing.CELL_ROWS)).count().collect()]
+    assert len(counts) == 10_000 // mixing.CELL_ROWS and max(counts) < 2 * mixing.CELL_ROWS
+
+
 def test_nothing_to_mix(docs):
     schema = "doc_id long, text string, source string"
     assert mixing.queue(docs([(1, "a", "s")], schema).limit(0)).count() == 0
