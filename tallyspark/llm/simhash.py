@@ -174,6 +174,8 @@ def similar_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 1 <= max_bits <= 4:
         raise ValueError("max_bits is 1 to 4")
     choices = list(combinations(range(8), 8 - max_bits))
+    # Fingerprints are few and their posts many: they are dealt to all cores first.
+    fps = fps.repartition(fps.sparkSession.sparkContext.defaultParallelism * 2, "fp")
     lists = _lists(fps.select("fp", F.explode(_posts(F.col("fp"), choices, 8)).alias("k1")), ["k1"])
     links = _links_in_lists(lists.filter(F.col("n") <= LIST_ROWS), ["k1"], max_bits, choices)
     long_lists = lists.filter(F.col("n") > LIST_ROWS).select("k1", "fp")
