@@ -106,30 +106,44 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return shifted / shifted.sum(axis=1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
-    """``counts`` holds a row of bucket counts per text, ``labels`` the numbers of their languages."""
+class Bag(NamedTuple):
+    """The buckets of a text that are used at all, and how often."""
+
+    buckets: np.ndarray
+    counts: np.ndarray
+
+    def average(self) -> np.ndarray:
+        return (self.counts / max(1.0, float(self.counts.sum()))).astype(np.float32)
+
+
+def fit(bags: list[Bag], labels: np.ndarray, languages: list[str]) -> Model:
+    """``labels`` are the numbers of the languages. Only the rows of a batch are ever laid out in full, over its own buckets."""
     held = np.arange(len(labels)) % 5 == 4
-    average = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
     rng = np.random.default_rng(SEED)
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     output = np.zeros((DIMENSIONS, len(languages)), dtype=np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
     scale = np.float32(np.sqrt(BUCKETS))  # averages over many buckets are small
-    rows, target = average[~held].astype(np.float32) * scale, np.eye(len(languages), dtype=np.float32)[labels[~held]]
-    order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-STEPS * BATCH // len(rows)))])
+    taught, target = np.flatnonzero(~held), np.eye(len(languages), dtype=np.float32)[labels[~held]]
+    order = np.concatenate([rng.permutation(len(taught)) for _ in range(-(-STEPS * BATCH // len(taught)))])
     for step in range(STEPS):
         some = order[step * BATCH:(step + 1) * BATCH]
-        rate = np.float32(RATE * (1 - step / STEPS) / max(1.0, np.square(rows[some]).sum(axis=1).max()))
-        hidden = rows[some] @ embedding
+        chosen = [bags[i] for i in taught[some].tolist()]
+        used, place = np.unique(np.concatenate([bag.buckets for bag in chosen]), return_inverse=True)
+        rows = np.zeros((len(some), len(used)), dtype=np.float32)
+        rows[np.repeat(np.arange(len(some)), [len(bag.buckets) for bag in chosen]), place] = np.concatenate(
+            [bag.average() for bag in chosen]) * scale
+        rate = np.float32(RATE * (1 - step / STEPS) / max(1.0, np.square(rows).sum(axis=1).max()))
+        hidden = rows @ embedding[used]
         error = (softmax(hidden @ output + bias) - target[some]) / len(some)
         back = error @ output.T
         output -= rate * hidden.T @ error
         bias -= rate * error.sum(axis=0)
-        used = np.flatnonzero(rows[some].any(axis=0))
-        embedding[used] -= rate * rows[some][:, used].T @ back
+        embedding[used] -= rate * rows.T @ back
     table = (embedding.astype(np.float64) @ output) * float(scale)
-    checked = average[held] @ table + bias if held.any() else average @ table + bias
-    truth = labels[held] if held.any() else labels
+    checks = np.flatnonzero(held) if held.any() else np.arange(len(labels))
+    checked = np.stack([bags[i].average() @ table[bags[i].buckets] for i in checks.tolist()]) + bias
+    truth = labels[checks]
     temperature = min((2.0 ** (e / 4) for e in range(-16, 17)), key=lambda t: _loss(checked / t, truth))
     share = softmax(checked / temperature)
     return Model(languages, table, bias.astype(np.float64), temperature,
@@ -182,20 +196,19 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
                 for buckets in bucket_stream(text):
                     total += np.bincount(buckets, minlength=BUCKETS)
                 used = np.flatnonzero(total)
-                found.append((used.astype(np.int32), total[used]))
+                found.append((used.astype(np.uint16).tobytes(), total[used].astype(np.float32).tobytes()))
             yield pd.DataFrame({"label": batch["label"], "h": batch["h"], "t": batch["t"],
                                 "buckets": [f[0] for f in found], "counts": [f[1] for f in found]})
 
     sample = sampled.select("label", "h", "t", "text").mapInPandas(
-        counted, "label string, h long, t long, buckets array<int>, counts array<long>").toPandas()
+        counted, "label string, h long, t long, buckets binary, counts binary").toPandas()
     sample = sample.sort_values(["h", "t", "label"], kind="stable", ignore_index=True)
     languages = sorted(set(sample["label"]))
-    counts = np.zeros((len(sample), BUCKETS), dtype=np.float32)
-    for row, (buckets, n) in enumerate(zip(sample["buckets"], sample["counts"])):
-        counts[row, buckets] = n
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 2.0)
-    return fit(counts, sample["label"].map(languages.index).to_numpy(), languages)
+    bags = [Bag(np.frombuffer(b, dtype=np.uint16), np.frombuffer(n, dtype=np.float32))
+            for b, n in zip(sample["buckets"], sample["counts"])]
+    return fit(bags, sample["label"].map(languages.index).to_numpy(), languages)
 
 
 def predict_column(text: Column, model: Model) -> Column:
