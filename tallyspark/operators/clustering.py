@@ -9,6 +9,12 @@ one round per ``FRONT`` of them that no anchor absorbs.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +24,15 @@ from tallyspark.operators.scale import cut_lineage, forget
 from tallyspark.operators.similarity_join import copies, join_keys, salt, score_pairs, shares
 from tallyspark.schema import UNCATEGORIZED, require_columns
 
+# What decides a range travels with its task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FRONT = 1000
 SAMPLE_ROWS = 5
+#: Rows (pairs of similar texts, 20 bytes each) of a range of ranks that one task goes through in order.
+RANGE_ROWS = 4_000_000
+OPEN, ANCHOR, COVERED = 0, 1, 2
+_END = -2
 _SAMPLE = ["date", "description", "paid_out", "paid_in", "source"]
 
 
@@ -104,19 +117,65 @@ def _resolve(ready: DataFrame, edges: DataFrame, spent: list[DataFrame]) -> Data
     """Anchors among the ``ready`` texts, given their similar lower ones.
 
     A text without any is an anchor, one that is similar to an anchor is not, and texts known not to
-    be anchors stand in nobody's way. Repeated until nothing more follows.
+    be anchors stand in nobody's way. What follows from what may be a chain as long as the ranks, so the texts are dealt
+    into ranges of ranks and each task goes through its own in order. The lowest range still open is always decided as a
+    whole, so there are at most as many steps as ranges, each over what the steps before left open.
     """
-    latest = cut_lineage(ready.join(edges.select("key"), "key", "left_anti"), spent)
-    anchors = latest
-    while not edges.isEmpty():
-        covered = edges.join(latest.select(F.col("key").alias("lower_key")), "lower_key", "left_semi").select("key").distinct()
-        free = edges.join(covered, "key", "left_anti")
-        left = cut_lineage(free.join(covered.withColumnRenamed("key", "lower_key"), "lower_key", "left_anti"), spent)
-        latest = cut_lineage(free.select("key", "rank").distinct().join(left.select("key"), "key", "left_anti"), spent)
-        if latest.isEmpty():
+    placed = cut_lineage(ready.orderBy("rank").select("key", "rank", F.monotonically_increasing_id().alias("place")), spent)
+    lower = placed.select(F.col("key").alias("lower_key"), F.col("place").alias("lower"))
+    # A lower text that is not ready is never decided here.
+    rows = (edges.select("key", "lower_key").join(placed.select("key", "place"), "key").join(lower, "lower_key", "left")
+            .select("place", F.coalesce("lower", F.lit(-1).cast("long")).alias("lower"), F.lit(OPEN).alias("lower_status")))
+    ends = placed.select("place", F.lit(None).cast("long").alias("lower"), F.lit(OPEN).alias("lower_status"))
+    rows = cut_lineage(rows.unionByName(ends), spent)
+    n_rows, anchors = rows.count(), None
+    while True:
+        ranges = -(-n_rows // RANGE_ROWS) or 1
+        found = cut_lineage(rows.repartitionByRange(ranges, "place").sortWithinPartitions("place")
+                            .mapInArrow(_decide_range, "place long, lower long, status int"), spent)
+        new = found.filter(F.col("status") == ANCHOR).select("place")
+        anchors = new if anchors is None else anchors.unionByName(new)
+        counts = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
+        n_rows = counts.pop(OPEN, 0)
+        if not n_rows or not counts:
             break
-        anchors, edges = anchors.unionByName(latest), left
-    return anchors
+        decided = found.filter(F.col("status") != OPEN).select(F.col("place").alias("lower"), F.col("status").alias("lower_status"))
+        rows = (found.filter(F.col("status") == OPEN).drop("status").join(decided, "lower", "left")
+                .select("place", "lower", F.coalesce("lower_status", F.lit(OPEN)).alias("lower_status")))
+    return placed.join(anchors, "place", "left_semi").select("key", "rank")
+
+
+def _decide_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Go through the texts of one range, sorted by place; what can't be told yet comes back as it was.
+
+    A text has a row per similar lower text and one without. A decided text comes back as one row with its status, an open
+    one as its rows whose lower text is open.
+    """
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    table = pa.Table.from_batches(tables)
+    place, lower_status = table["place"].to_numpy(), table["lower_status"].to_numpy()
+    lower = table["lower"].fill_null(_END).to_numpy()
+    own, starts = np.unique(place, return_index=True)
+    local = np.searchsorted(own, lower)
+    local[local == len(own)] = 0
+    here = own[local] == lower
+    status = np.full(len(own), OPEN, dtype=np.int32)
+    # Places of lower texts in this range, statuses of those elsewhere.
+    for i, (start, end) in enumerate(zip(starts, [*starts[1:], len(place)])):
+        inside = here[start:end]
+        known = np.where(inside, status[local[start:end]], lower_status[start:end])[lower[start:end] != _END]
+        if (known == ANCHOR).any():
+            status[i] = COVERED
+        elif (known == COVERED).all():
+            status[i] = ANCHOR
+    of_row = np.repeat(status, np.diff([*starts, len(place)]))
+    lower_now = np.where(here, status[local], lower_status)
+    is_end = lower == _END
+    kept = is_end | ((of_row == OPEN) & (lower_now == OPEN))
+    yield pa.RecordBatch.from_arrays([pa.array(place[kept]), pa.array(lower[kept], mask=is_end[kept]), pa.array(of_row[kept])],
+                                     names=["place", "lower", "status"])
 
 
 def _lowest_anchor(work: DataFrame, anchors: DataFrame, threshold: int, parts: int) -> DataFrame:

@@ -191,6 +191,41 @@ def test_rounds_do_not_grow_with_names(spark, monkeypatch):
     assert rounds[1000] <= rounds[100] + 3
 
 
+def resolved(spark, monkeypatch, n, edges, not_ready=()):
+    """Anchors that ``_resolve`` finds among texts 0..n-1, and how many tables it wrote."""
+    written = []
+    plain = clustering.cut_lineage
+    monkeypatch.setattr(clustering, "cut_lineage", lambda *a: written.append(1) or plain(*a))
+    rank = F.struct(F.lit(-1).cast("long").alias("neg"), F.format_string("t%05d", F.col("i")).alias("text"))
+    ready = (spark.createDataFrame([(i,) for i in range(n) if i not in not_ready], "i int")
+             .select(F.format_string("t%05d", F.col("i")).alias("key"), rank.alias("rank")))
+    pairs = spark.createDataFrame([(f"t{a:05d}", f"t{b:05d}") for a, b in edges if a not in not_ready], "key string, lower_key string")
+    found = clustering._resolve(ready, pairs.join(ready, "key").select("key", "rank", "lower_key"), [])
+    got = sorted(int(r.key[1:]) for r in found.collect())
+    monkeypatch.undo()
+    return got, len(written)
+
+
+def test_a_long_chain_is_decided_in_one_go(spark, monkeypatch):
+    got, written = resolved(spark, monkeypatch, 400, [(i, i - 1) for i in range(1, 400)])
+    assert got == list(range(0, 400, 2)) and written <= 4
+
+
+@pytest.mark.parametrize("rows", [40, 4_000_000])
+def test_ranges_agree_with_the_sequential_walk(spark, monkeypatch, rows):
+    monkeypatch.setattr(clustering, "RANGE_ROWS", rows)
+    rnd = random.Random(rows)
+    edges = sorted({(max(p), min(p)) for p in ((rnd.randrange(80), rnd.randrange(80)) for _ in range(120)) if p[0] != p[1]})
+    not_ready = {7, 31}
+    status = {}
+    for i in range(80):
+        lower = [status[b] for a, b in edges if a == i]
+        status[i] = ("open" if i in not_ready else "covered" if "anchor" in lower
+                     else "anchor" if all(s == "covered" for s in lower) else "open")
+    got, _ = resolved(spark, monkeypatch, 80, edges, not_ready)
+    assert got == [i for i in range(80) if status[i] == "anchor"]
+
+
 @pytest.mark.parametrize("threshold", [50, 85, 97, 100])
 def test_length_plan_covers_every_pair(threshold):
     """Texts of any two lengths that may be similar share a kind, or leave out as many characters as makes them meet."""
