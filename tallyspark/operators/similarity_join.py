@@ -34,6 +34,10 @@ COMMON_FROM = 1000
 SALTED_ROWS = 10_000
 #: Most results of leaving characters out of a text that serve as its join keys.
 MOST_SUBSEQUENCES = 200
+#: Texts a side of a cell of pairs, most tasks that cells are dealt to, and how many meetings are never too many.
+CELL = 500
+MOST_CELL_TASKS = 2000
+FEW_PAIRS = 1_000_000
 _PLAN = "length int, kinds array<int>, needs array<int>, left_out array<int>"
 
 
@@ -183,18 +187,43 @@ def copies(parts: int) -> Column:
 
 def candidate_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     """Distinct (key_a, key_b) of the token-sorted texts ``key`` of both sides that share a join key and whose length and edit
-    distance allow the threshold. A join key found in very many texts of the right is spread by a salt."""
+    distance allow the threshold. A join key found in very many texts of the right is spread by a salt. Where the keys would
+    bring pairs together more often than there are pairs, all pairs are compared instead."""
     left, right = left.select("key").distinct(), right.select("key").distinct()
     found = cut_lineage(join_keys(left.unionByName(right).distinct(), threshold).select("key", "element"))
-    pool_keys = found.join(right, "key", "left_semi")
-    parts = shares(pool_keys)
-    offered = found.join(left, "key", "left_semi").select(F.col("key").alias("key_a"), "element", copies(parts))
+    own_keys, pool_keys = found.join(left, "key", "left_semi"), found.join(right, "key", "left_semi")
+    asking = own_keys.groupBy("element").agg(F.count("*").alias("n_left"))
+    lists = pool_keys.groupBy("element").agg(F.count("*").alias("n_right")).join(asking, "element", "left")
+    longest, meetings = lists.agg(F.max("n_right"), F.sum(F.col("n_left").cast("double") * F.col("n_right"))).first()
+    n_left, n_right = left.count(), right.count()
+    if (meetings or 0) > max(n_left * n_right, FEW_PAIRS):
+        return _all_pairs(left, right, n_left, n_right, threshold)
+    parts = -(-(longest or 1) // SALTED_ROWS)
+    offered = own_keys.select(F.col("key").alias("key_a"), "element", copies(parts))
     asked = pool_keys.select(F.col("key").alias("key_b"), "element", salt("key", parts))
     return (offered.join(asked, ["element", "salt"])
             .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
             .select("key_a", "key_b").distinct())
 
 
+def _all_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, threshold: int) -> DataFrame:
+    """The same from a comparison of every non-blank text of the left with every one of the right, each pair once, in cells of
+    ``CELL`` texts a side. For texts that share so many keys that the keys would bring pairs together more often than that."""
+    rows, columns = -(-n_left // CELL), -(-n_right // CELL)
+    tasks = min(rows * columns, MOST_CELL_TASKS)
+
+    def dealt(texts: DataFrame, name: str, parts: int, others: int, own: str, other: str) -> DataFrame:
+        return (texts.filter("key <> ''").select(
+            F.col("key").alias(name), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).repartition(tasks, "_row", "_column"))
+
+    offered = dealt(left, "key_a", rows, columns, "_row", "_column")
+    asked = dealt(right, "key_b", columns, rows, "_column", "_row")
+    return (offered.join(asked, ["_row", "_column"])
+            .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
+            .select("key_a", "key_b"))
+
+
 def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int) -> DataFrame:
     """Pairs whose token-sorted texts reach the threshold, with their score."""
     a, b = F.col(left), F.col(right)

@@ -191,6 +191,21 @@ def test_rounds_do_not_grow_with_names(spark, monkeypatch):
     assert rounds[1000] <= rounds[100] + 3
 
 
+@pytest.mark.parametrize("cell", [7, 500])
+def test_texts_that_share_most_keys_are_compared_once(spark, monkeypatch, cell):
+    used = []
+    plain = similarity_join._all_pairs
+    monkeypatch.setattr(similarity_join, "_all_pairs", lambda *a: used.append(1) or plain(*a))
+    monkeypatch.setattr(similarity_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(similarity_join, "CELL", cell)
+    own = [*[f"to supplier#{i * 37:09d}" for i in range(25)], "", "tesco"]
+    left, right = ((spark.createDataFrame([(t,) for t in texts], "key string")) for texts in (own, own[5:] + ["other", "tesco"]))
+    pairs = [tuple(r) for r in similarity_join.candidate_pairs(left, right, 80).collect()]
+    assert used and len(pairs) == len(set(pairs))
+    assert {(a, b) for a in own if a for b in own[5:] if b and similar(a, b, 80)} <= set(pairs)
+    assert not any(a == "" or b == "" or "tesco" in (a, b) and a != b for a, b in pairs)
+
+
 def resolved(spark, monkeypatch, n, edges, not_ready=()):
     """Anchors that ``_resolve`` finds among texts 0..n-1, and how many tables it wrote."""
     written = []
