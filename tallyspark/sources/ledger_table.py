@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import or_blank
 from tallyspark.operators.merge import dedupe_keep_first, to_ledger
+from tallyspark.operators.scale import cut_lineage, forget
 from tallyspark.schema import DEDUPE_KEYS, LEDGER
 from tallyspark.sources.store import table_exists
 
 #: A bucket of a month should fit a task; more buckets make more files.
 BUCKETS = 64
+#: Rows that one task of an append sorts and writes, unless a single month has more in a bucket.
+TASK_ROWS = 2_000_000
 _KEY = "row_key"
 
 
@@ -52,17 +55,45 @@ def read(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
 
 def new_rows(spark: SparkSession, path: str, categorized: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Rows that a merge would add, with their key. The months of the batch, as many as the calendar has, are collected."""
-    first = dedupe_keep_first(to_ledger(categorized)).withColumn(_KEY, row_key())
-    name = ledger_table(spark, path, buckets)
-    months = [r[0] for r in first.select("month").distinct().collect()]
+    first = _first_rows(categorized)
+    return _unknown(spark, path, first, [r[0] for r in first.select("month").distinct().collect()], buckets)
+
+
+def _first_rows(categorized: DataFrame) -> DataFrame:
+    return dedupe_keep_first(to_ledger(categorized)).withColumn(_KEY, row_key())
+
+
+def _unknown(spark: SparkSession, path: str, first: DataFrame, months: list[str], buckets: int) -> DataFrame:
     here = F.col("month").isin([m for m in months if m]) | (F.col("month").isNull() if "" in months else F.lit(False))
-    known = spark.table(name).filter(here).select(F.col(_KEY).alias("_known"))
+    known = spark.table(ledger_table(spark, path, buckets)).filter(here).select(F.col(_KEY).alias("_known"))
     return first.join(known, F.col(_KEY) == F.col("_known"), "left_anti")
 
 
+def _month_groups(counts: dict[str, int], most: int) -> list[list[str]]:
+    """Months in order, as many together as have at most ``most`` rows; a month with more is a group of its own."""
+    groups: list[list[str]] = []
+    rows = 0
+    for month in sorted(counts):
+        if not groups or rows + counts[month] > most:
+            groups.append([])
+            rows = 0
+        groups[-1].append(month)
+        rows += counts[month]
+    return groups
+
+
 def append(spark: SparkSession, path: str, categorized: DataFrame, buckets: int = BUCKETS) -> None:
-    """Add the rows a merge would add. A task writes one bucket, a file for each month it has rows of."""
-    added = new_rows(spark, path, categorized, buckets)
-    (added.select(*[c for c in LEDGER.fieldNames() if c != "month"], _KEY, F.when(F.col("month") != "", F.col("month")).alias("month"))
-     .repartition(buckets, _KEY).sortWithinPartitions("month", _KEY)
-     .write.mode("append").insertInto(ledger_table(spark, path, buckets)))
+    """Add the rows a merge would add. A task writes one bucket, a file for each month it has rows of.
+
+    Few buckets and a large batch would give a task any number of rows, so months are appended in groups of at most
+    ``TASK_ROWS`` rows a bucket. An append that is cut short has added whole groups; when repeated it adds the others.
+    """
+    spent: list[DataFrame] = []
+    first = cut_lineage(_first_rows(categorized).sortWithinPartitions("month"), spent)
+    counts = {r["month"]: r["count"] for r in first.groupBy("month").count().collect()}
+    for months in _month_groups(counts, TASK_ROWS * buckets):
+        added = _unknown(spark, path, first.filter(F.col("month").isin(months)), months, buckets)
+        (added.select(*[c for c in LEDGER.fieldNames() if c != "month"], _KEY, F.when(F.col("month") != "", F.col("month")).alias("month"))
+         .repartition(buckets, _KEY).sortWithinPartitions("month", _KEY)
+         .write.mode("append").insertInto(ledger_table(spark, path, buckets)))
+    forget(spent)

@@ -84,3 +84,22 @@ def test_merge_of_the_same_rows(spark, tmp_path):
         ledger_table.append(spark, path, rows, 2)
     merged = merge.merge_ledger(merge.to_ledger(first), merge.to_ledger(second))
     assert _rows(ledger_table.read(spark, path, 2)) == _rows(merged)
+
+
+def test_a_large_batch_is_appended_in_groups_of_months(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger_table, "TASK_ROWS", 10)
+    path, plain = str(tmp_path / "ledger"), str(tmp_path / "plain")
+    groups = []
+    unknown = ledger_table._unknown
+    monkeypatch.setattr(ledger_table, "_unknown", lambda s, p, first, months, n: groups.append(months) or unknown(s, p, first, months, n))
+    for batch in (1, 2):
+        rows = _batch(spark, batch, batch)
+        ledger_table.append(spark, path, rows, 2)
+        store.append_ledger(spark, plain, rows)
+    assert len(groups) > 4 and {m for g in groups for m in g} == {"", "2024-01", "2024-02", "2024-03", "2024-04"}
+    assert _rows(ledger_table.read(spark, path, 2)) == _rows(store.read_ledger(spark, plain))
+
+
+def test_month_groups():
+    assert ledger_table._month_groups({"b": 3, "": 1, "a": 2, "c": 9, "d": 1}, 4) == [["", "a"], ["b"], ["c"], ["d"]]
+    assert ledger_table._month_groups({}, 4) == []
