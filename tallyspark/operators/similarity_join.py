@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions.similarity import lcs, lcs_lengths, may_reach, most_edits, ratio, reaches, token_sort
-from tallyspark.operators.scale import cut_lineage, lookup_join
+from tallyspark.operators.scale import cut_lineage, is_small, lookup_join
 
 RUN = 3
 SHARED = 2
@@ -189,21 +189,32 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFr
     """Distinct (key_a, key_b) of the token-sorted texts ``key`` of both sides that share a join key and whose length and edit
     distance allow the threshold. A join key found in very many texts of the right is spread by a salt. Where the keys would
     bring pairs together more often than there are pairs, all pairs are compared instead."""
+    return _candidates(left, right, threshold, once=False)[0]
+
+
+def _candidates(left: DataFrame, right: DataFrame, threshold: int, once: bool) -> tuple[DataFrame, bool]:
+    """The candidate pairs, and whether each is there in one order only (key_a <= key_b). That is so if ``once`` asks for it
+    and both sides have the same texts, as every pair then comes in both orders."""
     left, right = left.select("key").distinct(), right.select("key").distinct()
     found = cut_lineage(join_keys(left.unionByName(right).distinct(), threshold).select("key", "element"))
-    own_keys, pool_keys = found.join(left, "key", "left_semi"), found.join(right, "key", "left_semi")
+    sides = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))).groupBy("key").agg(F.sum("side").alias("side"))
+    n_left, n_right, n_both = sides.agg(*[F.count_if(F.col("side").isin(*s)) for s in ((1, 3), (2, 3), (3,))]).first()
+    once = once and n_left == n_right == n_both
+    own_keys = found if once else found.join(left, "key", "left_semi")
+    pool_keys = found if once else found.join(right, "key", "left_semi")
     asking = own_keys.groupBy("element").agg(F.count("*").alias("n_left"))
-    lists = pool_keys.groupBy("element").agg(F.count("*").alias("n_right")).join(asking, "element", "left")
+    lists = (asking.withColumn("n_right", F.col("n_left")) if once
+             else pool_keys.groupBy("element").agg(F.count("*").alias("n_right")).join(asking, "element", "left"))
     longest, meetings = lists.agg(F.max("n_right"), F.sum(F.col("n_left").cast("double") * F.col("n_right"))).first()
-    n_left, n_right = left.count(), right.count()
+    in_order = F.col("key_a") <= F.col("key_b") if once else F.lit(True)
     if (meetings or 0) > max(n_left * n_right, FEW_PAIRS):
-        return _all_pairs(left, right, n_left, n_right, threshold)
+        return _all_pairs(left, right, n_left, n_right, threshold).filter(in_order), once
     parts = -(-(longest or 1) // SALTED_ROWS)
     offered = own_keys.select(F.col("key").alias("key_a"), "element", copies(parts))
     asked = pool_keys.select(F.col("key").alias("key_b"), "element", salt("key", parts))
-    return (offered.join(asked, ["element", "salt"])
+    return (offered.join(asked, ["element", "salt"]).filter(in_order)
             .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
-            .select("key_a", "key_b").distinct())
+            .select("key_a", "key_b").distinct()), once
 
 
 def _all_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, threshold: int) -> DataFrame:
@@ -224,27 +235,44 @@ def _all_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, thr
             .select("key_a", "key_b"))
 
 
-def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int) -> DataFrame:
-    """Pairs whose token-sorted texts reach the threshold, with their score."""
+def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int, bounded: bool = False) -> DataFrame:
+    """Pairs whose token-sorted texts reach the threshold, with their score. ``bounded`` pairs have passed ``may_reach``."""
     a, b = F.col(left), F.col(right)
-    scored = pairs.filter(may_reach(a, b, threshold)).withColumn("_lcs", lcs(a, b))
+    scored = (pairs if bounded else pairs.filter(may_reach(a, b, threshold))).withColumn("_lcs", lcs(a, b))
     return (scored.filter(reaches(F.col("_lcs"), a, b, threshold))
             .withColumn("score", ratio(F.col("_lcs"), a, b)).drop("_lcs"))
 
 
+def _with_texts(pairs: DataFrame, key: str, texts: DataFrame, text: str) -> DataFrame:
+    """``pairs`` with a row for each of the ``texts`` whose token-sorted form is ``key``.
+
+    Most texts are their own form. If the texts of all other forms are measured small, they are broadcast and the pairs stay
+    where they are.
+    """
+    others = texts.join(texts.filter(F.col(text) != F.col("key")).select("key").distinct(), "key", "left_semi")
+    if not is_small(others):
+        return pairs.join(texts.withColumnRenamed("key", key), key)
+    named = others.select(F.col("key").alias(key), F.col(text).alias("_text"))
+    return pairs.join(F.broadcast(named), key, "left").withColumn(text, F.coalesce("_text", key)).drop("_text")
+
+
 def similar_pairs(anchors: DataFrame, pool: DataFrame, threshold: int = 85, *,
                   anchor: str = "anchor", text: str = "text") -> DataFrame:
     """Every (anchor, text, score) that reaches the threshold, blank texts excepted.
 
-    Comparison is on the token-sorted form, so texts of equal form are compared once.
+    Comparison is on the token-sorted form, so texts of equal form are compared once. If both sides have the same texts, a
+    pair is compared in one order and given in both, as the score is the same.
     """
     _check(threshold)
     left = anchors.select(anchor).distinct().withColumn("key", token_sort(F.col(anchor)))
     right = pool.select(text).distinct().withColumn("key", token_sort(F.col(text)))
-    scored = score_pairs(candidate_pairs(left, right, threshold), "key_a", "key_b", threshold)
-    return (left.withColumnRenamed("key", "key_a").join(scored, "key_a")
-            .join(right.withColumnRenamed("key", "key_b"), "key_b")
-            .select(anchor, text, "score"))
+    pairs, once = _candidates(left, right, threshold, once=True)
+    scored = score_pairs(pairs, "key_a", "key_b", threshold, bounded=True)
+    if once:
+        there, back = F.struct("key_a", "key_b"), F.struct(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))
+        both = F.when(F.col("key_a") == F.col("key_b"), F.array(there)).otherwise(F.array(there, back))
+        scored = scored.select(F.explode(both).alias("_pair"), "score").select("_pair.*", "score")
+    return _with_texts(_with_texts(scored, "key_a", left, anchor), "key_b", right, text).select(anchor, text, "score")
 
 
 def best_pairs(pairs: DataFrame, by: list[str], limit: int, threshold: int, parts: int = 1) -> DataFrame:

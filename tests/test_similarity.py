@@ -178,6 +178,27 @@ def test_texts_alike_in_most_characters_meet_only_if_similar(spark, threshold):
     assert {(r.anchor, r.text) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_a_table_with_itself_is_compared_in_one_order(spark, monkeypatch, small):
+    compared = []
+    plain = similarity_join.score_pairs
+    monkeypatch.setattr(similarity_join, "score_pairs",
+                        lambda pairs, *a, **k: compared.extend(map(tuple, pairs.collect())) or plain(pairs, *a, **k))
+    monkeypatch.setattr(similarity_join, "is_small", lambda df: small)
+    own = [*names(40), "corner shop", "shop corner", "shop  corner", "", None]
+    df = spark.createDataFrame([(t,) for t in own + own[:3]], "anchor string")
+    found = similarity_join.similar_pairs(df, df.withColumnRenamed("anchor", "text"), 94)
+    got = [tuple(r) for r in found.select("anchor", "text").collect()]
+    want = {(x, y) for x in own if x for y in own if y and similar(x, y, 94)}
+    assert set(got) == want and len(got) == len(want)
+    assert compared and all(a <= b for a, b in compared)
+    # The pairs are brought to their texts without a shuffle of their own.
+    assert not small or plan_of(found).count("Exchange hashpartitioning(key_b") == 0
+    one = df.filter("anchor <> 'corner shop'").withColumnRenamed("anchor", "text")
+    got = {(r.anchor, r.text) for r in similarity_join.similar_pairs(df, one, 94).collect()}
+    assert got == {(x, y) for x, y in want if y != "corner shop"}
+
+
 def test_rounds_do_not_grow_with_names(spark, monkeypatch):
     rounds = {}
     plain = clustering._round
