@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import rule_id
 from tallyspark.operators.merge import to_ledger
 from tallyspark.operators.rules import categorize
-from tallyspark.operators.scale import is_small, shared_dir
+from tallyspark.operators.scale import cut_lineage, is_small, shared_dir
 from tallyspark.schema import MERCHANTS, MONEY, PATTERNS, UNCATEGORIZED
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -53,6 +53,15 @@ def lines_with_parts(spark: SparkSession, sf_dir: str, columns: list[str]) -> Da
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
 
+def _txn_date() -> Column:
+    return F.when(F.col("l_orderkey") % 997 != 0, F.col("l_shipdate").cast("date"))
+
+
+def line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of all line items, those of ``txn`` among them, from a scan alone."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", _txn_date().alias("date"))
+
+
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per line item."""
     price = F.col("l_extendedprice").cast(MONEY)
@@ -60,8 +69,7 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast(MONEY)
     line_idx = (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")) * 100000000 + F.col("l_suppkey")
     return lines_with_parts(spark, sf_dir, ["p_name", "p_type", "p_brand"]).select(
-        *ROW,
-        F.when(F.col("l_orderkey") % 997 != 0, F.col("l_shipdate").cast("date")).alias("date"),
+        *ROW, _txn_date().alias("date"),
         F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("description"),
         F.when(back, zero).otherwise(price).alias("paid_out"),
         F.when(back, price).otherwise(zero).alias("paid_in"),
@@ -169,6 +177,8 @@ def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The supplier decides the layout (one in four is unknown) and the separator; amounts hold a
     separator of thousands and are therefore quoted; a line with a discount of 0.1 is too wide.
+    The lines are a table that holds the files one by one, as a folder does: they are read several
+    times, and of a file that lies in a few tasks few first lines travel. A big file is split.
     """
     rows = raw_rows(spark, sf_dir)
     file = F.col("l_suppkey")
@@ -201,9 +211,9 @@ def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("block_start")).withColumn(
         "line_idx", F.when(F.startswith("line", F.lit("Statement")), 0).otherwise(1).cast("long"))
     name = F.concat(F.lit("supplier_"), F.col("f").cast("string"), F.lit(".csv"))
-    return data.unionByName(heads).select(
+    return cut_lineage(data.unionByName(heads).hint("rebalance", "f").select(
         name.alias("file_path"), name.alias("file_name"), "block_start", "line_idx",
-        F.lit(0).cast("long").alias("batch_id"), "line")
+        F.lit(0).cast("long").alias("batch_id"), "line"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str, line_breaks: bool) -> DataFrame:

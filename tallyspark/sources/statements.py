@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import strip
 from tallyspark.operators.layouts import CELLS, identify_layout, standardize, with_reject_reason
-from tallyspark.operators.scale import lookup_join
+from tallyspark.operators.scale import cut_lineage, is_small, lookup_join
 from tallyspark.sources.quoted import escaped, join_records, leaves_open, quoted_cell
 
 HEADER_SCAN_DEPTH = 20
@@ -142,6 +142,21 @@ def find_header(lines: DataFrame, depth: int = HEADER_SCAN_DEPTH) -> DataFrame:
                        F.size("h.header").alias("width"), places.alias("places"))
 
 
+def _with_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``lines`` with what ``files`` says of their file.
+
+    Many files share few forms (separator, layout, places). Where the files are not small, their table holds the number of a
+    form in its place, so that it may be broadcast for several times as many files.
+    """
+    if is_small(files):
+        return lines.join(F.broadcast(files), "file_path", "left")
+    form = F.struct("delimiter", "layout", "width", "places")
+    forms = cut_lineage(files.select(form.alias("_form")).distinct().withColumn("_form_id", F.monotonically_increasing_id()))
+    numbered = files.join(forms, form == F.col("_form")).select("file_path", "header_block", "header_idx", "_form_id")
+    rows = lookup_join(lookup_join(lines, numbered, "file_path"), forms, "_form_id")
+    return rows.select("*", "_form.*").drop("_form", "_form_id")
+
+
 def read_statement_lines(lines: DataFrame, depth: int = HEADER_SCAN_DEPTH) -> DataFrame:
     """Data rows of all files with the cells of the known columns, the layout and ``reject_reason``.
 
@@ -149,8 +164,7 @@ def read_statement_lines(lines: DataFrame, depth: int = HEADER_SCAN_DEPTH) -> Da
     lack their last cells. A file may hold any share of the rows, so the file table is broadcast or
     joined with its biggest files kept apart.
     """
-    files = find_header(lines, depth)
-    rows = lookup_join(lines, files, "file_path")
+    rows = _with_files(lines, cut_lineage(find_header(lines, depth)))
     after = ((F.col("block_start") > F.col("header_block"))
              | ((F.col("block_start") == F.col("header_block")) & (F.col("line_idx") > F.col("header_idx"))))
     rows = rows.filter(after).withColumn("cells", split_cells(F.col("line"), F.col("delimiter")))

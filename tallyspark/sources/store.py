@@ -30,8 +30,16 @@ def write_staged(checked: DataFrame, path: str, mode: str = "overwrite") -> dict
     counts |= {r: F.count_if(F.coalesce(reason == r, F.lit(False))) for r in REJECT_REASONS}
     seen = Observation()
     status = F.when(reason.isNull(), "valid").otherwise("rejected")
-    (checked.observe(seen, *[c.alias(n) for n, c in counts.items()]).withColumn("status", status)
-     .write.mode(mode).partitionBy("status").parquet(path))
+    rows = checked.observe(seen, *[c.alias(n) for n, c in counts.items()]).withColumn("status", status)
+    # A task keeps a file open for each of the two folders, so its rows are not sorted by them; the rest of a task that reaches
+    # the number of writers would be.
+    conf, writers = checked.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers)
+    conf.set(writers, max(3, int(before)))
+    try:
+        rows.write.mode(mode).partitionBy("status").parquet(path)
+    finally:
+        conf.set(writers, before)
     return seen.get
 
 

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tallyspark.plans import pipeline
@@ -75,6 +76,30 @@ def test_a_file_may_be_split_over_tasks(spark, tmp_path):
     assert [r.description for r in staged] == [f"row {i:05d} n" for i in range(3000)]
 
 
+def test_files_that_are_not_small_share_forms(spark, tmp_path, monkeypatch):
+    raw = _write(tmp_path / "raw")
+    _write(tmp_path / "raw" / "more")
+    staged = [repr(r) for r in statements.stage(statements.read_raw_files(spark, raw)).orderBy("ingest_seq").collect()]
+    joined = []
+    plain = statements.lookup_join
+    monkeypatch.setattr(statements, "is_small", lambda df: False)
+    monkeypatch.setattr(statements, "lookup_join", lambda rows, table, key: joined.append(table.columns) or plain(rows, table, key))
+    again = statements.stage(statements.read_raw_files(spark, raw)).orderBy("ingest_seq")
+    assert [repr(r) for r in again.collect()] == staged and len(staged) > 5
+    assert joined[0] == ["file_path", "header_block", "header_idx", "_form_id"]  # a file's row is short
+
+
+def test_staged_rows_are_not_sorted_by_their_folder(spark, tmp_path, monkeypatch):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, plain = spark.conf.get(name), DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append(int(spark.conf.get(name))) or plain(self, path))
+    checked = spark.range(90).select(F.col("id"), F.lit("x").alias("description"), F.when(F.col("id") % 3 == 0, "bad_date").alias("reject_reason"))
+    path = str(tmp_path / "staged")
+    assert store.write_staged(checked, path)["valid"] == 60
+    assert seen[0] > 2 and spark.conf.get(name) == before  # Spark sorts the rest once as many writers are open
+    assert store.read_staged(spark, path).count() == 60
+
+
 def _rules(spark):
     merchants = spark.createDataFrame([(0, "cafe", "Cafe", "Food", "", "operating", ["caf\xe9"])], MERCHANTS)
     return merchants, spark.createDataFrame([], PATTERNS)

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.plans import sample_inputs as inputs
 from tests.conftest import plan_of
@@ -41,3 +42,23 @@ def test_a_batch_and_its_repeats_come_from_one_pass(spark, folder):
     assert _rows(batch) == _rows(rows.unionByName(rows.filter("l_linestatus = 'O'"))) and batch.count() == 9
     plans = [plan_of(f(spark, folder)) for f in (inputs.ledger_new, inputs.ledger)]  # not yet run
     assert plans[0].count("FileScan parquet") == plans[1].count("FileScan parquet")
+
+
+def test_statement_lines_lie_file_by_file(spark, folder):
+    spark.range(1, 4).select(F.col("id").alias("s_suppkey"), F.format_string("S#%d", "id").alias("s_name")).write.parquet(f"{folder}/supplier.parquet")
+    spark.read.parquet(f"{folder}/lineitem.parquet").withColumns({"l_discount": F.lit(0.1), "l_suppkey": F.col("l_orderkey") % 3 + 1}).write.parquet(
+        f"{folder}/more/lineitem.parquet")
+    for name in ("part", "supplier"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{folder}/more/{name}.parquet")
+    lines = inputs.statement_text(spark, f"{folder}/more")
+    assert lines.count() == 7 + 2 * 3
+    # The lines are read more than once, so they are not joined each time.
+    assert "Join" not in plan_of(lines)
+    places = lines.select("file_path", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(places) == 3
+
+
+def test_dates_of_line_items_need_no_parts(spark, folder):
+    dates = inputs.line_dates(spark, folder)
+    assert {r.date for r in inputs.txn(spark, folder).collect()} <= {r.date for r in dates.collect()}
+    assert "Join" not in plan_of(dates) and "Exchange" not in plan_of(dates)
