@@ -46,18 +46,23 @@ def new_rows(ledger: DataFrame, batch: DataFrame, order: str = "ingest_seq",
     ``dates`` are the batch's rows before they were categorised; with them the months are found
     without matching the rules a second time.
 
-    Both sides hold each key once, so no key is hot. The list of months is bounded by the calendar,
-    which is what allows its broadcast and with it partition pruning of the ledger.
+    The list of months is bounded by the calendar, which is what allows its broadcast and with it
+    partition pruning of the ledger. Keys of known rows and the rows of the batch meet in the one
+    shuffle that finds the first of equal rows; ``dates`` may name months that the batch lacks.
     """
-    first = dedupe_keep_first(batch, order).withColumn("month", month_label(F.col("date")))
+    rows = batch.withColumn("month", month_label(F.col("date")))
     if missing_columns(ledger, DEDUPE_KEYS):
-        return first
+        return dedupe_keep_first(rows, order)
     months = (batch if dates is None else dates).select(month_label(F.col("date")).alias("month")).distinct()
     known = ledger if "month" in ledger.columns else ledger.withColumn("month", month_label(F.col("date")))
-    touched = (known.join(F.broadcast(months), "month", "left_semi")
-               .select(*[F.col(k).alias(f"known_{k}") for k in DEDUPE_KEYS]))
-    same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in DEDUPE_KEYS]
-    return first.join(touched, on=same, how="left_anti")
+    touched = known.join(F.broadcast(months), "month", "left_semi").select(*DEDUPE_KEYS)
+    if any(touched.schema[k].dataType != rows.schema[k].dataType for k in DEDUPE_KEYS):
+        # Equal values of different types are equal keys, and the rows keep the types they have.
+        touched = touched.select(*[F.col(k).alias(f"known_{k}") for k in DEDUPE_KEYS])
+        same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in DEDUPE_KEYS]
+        return dedupe_keep_first(rows, order).join(touched, on=same, how="left_anti")
+    known_first = union_batches(touched.withColumn("_new", F.lit(0)), rows.withColumn("_new", F.lit(1)))
+    return dedupe_keep_first(known_first, ["_new", order]).filter("_new = 1").select(*rows.columns)
 
 
 def to_ledger(categorized: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def _merge_ledger(spark, d):
 
 def _append_ledger(spark, d):
     old = merge.to_ledger(inputs.ledger_old(spark, d))
-    added = merge.new_rows(old, inputs.ledger_new(spark, d), dates=inputs.txn(spark, d))
+    added = merge.new_rows(old, inputs.ledger_new(spark, d), dates=inputs.line_dates(spark, d))
     return _plain(added.select(*_MERGED, "month"))
 
 
@@ -325,7 +325,7 @@ def _stored_ledger(spark, d):
     path = _shared(spark, "ledger")
     for batch in (inputs.ledger_old(spark, d), inputs.ledger_new(spark, d)):
         rows = batch.withColumn("account_type", F.lit("Credit")).select(*CATEGORIZED.fieldNames(), "ingest_seq")
-        store.append_ledger(spark, path, rows, dates=inputs.txn(spark, d))
+        store.append_ledger(spark, path, rows, dates=inputs.line_dates(spark, d))
     return _plain(store.read_ledger(spark, path).select(*_MERGED, "month"))
 
 
@@ -345,7 +345,7 @@ def _month_table_kpis(spark, d):
     for batch in (0, 1, 1, 2):
         own = rows.filter(F.col("ingest_seq.block_start") % 3 == batch).withColumn(
             "ingest_seq", F.col("ingest_seq").withField("batch_id", F.lit(batch).cast("long")))
-        store.append_ledger(spark, path, own)
+        store.append_ledger(spark, path, own, dates=inputs.line_dates(spark, d).filter(F.col("l_orderkey") % 3 == batch))
         month_table.write_month_sums(spark, path, months, batch)
     return _plain(operating.operating_kpis(month_table.read_month_sums(spark, months)))
 

@@ -109,3 +109,20 @@ def test_required_columns(spark):
     assert empty.count() == 0 and set(empty.columns) == {"id", "date", "paid_out"}
     with pytest.raises(ValueError):
         require_columns(df, ["date"])
+
+
+def test_known_keys_and_new_rows_meet_in_one_shuffle(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    store.append_ledger(spark, path, _batch(spark, 5, 1))
+    batch = merge.to_ledger(_batch(spark, 6, 2))
+    added = merge.new_rows(store.read_ledger(spark, path), batch, dates=spark.createDataFrame([], "date date"))
+    assert added.columns == batch.columns
+    plan = plan_of(added)
+    assert "LeftAnti" not in plan and plan.count("Exchange hashpartitioning(date") == 1
+    known = _keep_first(store.read_ledger(spark, path).collect())
+    got = _as_dict(merge.new_rows(store.read_ledger(spark, path), batch).collect())
+    assert got == {k: v for k, v in _keep_first(batch.collect()).items() if k not in known}
+    # A ledger of another type of amount: equal values are the same key, rows keep their types.
+    loose = store.read_ledger(spark, path).withColumn("paid_out", F.col("paid_out").cast("double"))
+    other = merge.new_rows(loose, batch)
+    assert _as_dict(other.collect()) == got and other.schema["paid_out"].dataType == batch.schema["paid_out"].dataType
