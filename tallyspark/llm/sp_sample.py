@@ -21,7 +21,7 @@ import math
 import random
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import islice, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +43,7 @@ SEED = 11
 _SPACE = "▁"
 _SPACE_CODE = 0x110000  # a space inside a lattice; the text's own U+2581 is an ordinary, unknown character
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_UNIT_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 class Vocabulary(NamedTuple):
@@ -171,7 +172,7 @@ class Lattice:
         code = codes[origin[unknown]]
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + ((code > 0xFFFF) & (code != _SPACE_CODE))
         weight[unknown] = vocabulary.unknown_weight * n_bytes
-        self.logp = self._normalise(origin, weight, stop)
+        self.logp = self._normalise(weight, stop)
         share = np.exp(self.logp)
         heads = self.first[:-1]
         run = np.cumsum(share)
@@ -194,10 +195,10 @@ class Lattice:
         while len(at):
             nodes = trie.step(nodes, codes[at + length])
             length += 1
-            on = nodes >= 0
+            on = np.flatnonzero(nodes >= 0)
             start, nodes = at[on], nodes[on]
             pieces = trie.piece_at[nodes]
-            whole = pieces >= 0
+            whole = np.flatnonzero(pieces >= 0)
             if length == 1:
                 lone = np.ones(len(codes), dtype=bool)
                 lone[start[whole]] = False
@@ -206,7 +207,7 @@ class Lattice:
             origin = start[whole]
             found.append((origin, length, pieces[whole], count[origin]))
             count[origin] += 1
-            on = start + length < stop[start]
+            on = np.flatnonzero(start + length < stop[start])
             at, nodes = start[on], nodes[on]
         self.first = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
         origins = np.repeat(np.arange(len(codes)), count)
@@ -216,27 +217,33 @@ class Lattice:
             to[place], piece[place] = origin + length, pieces
         return origins, to, piece
 
-    def _normalise(self, origin: np.ndarray, weight: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def _normalise(self, weight: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Log probabilities of arcs given their nodes: weight times the mass from there to the unit's end, from the back."""
         n = len(stop)
         mass = np.zeros(n + 1)
-        left = stop[origin] - origin
-        # Arcs come by node; a stable sort of short integers is linear.
-        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(left[order])) + 1, [len(order)]))
-        logp = np.empty(len(weight))
+        left = stop - np.arange(n)
+        # A stable sort of short integers is linear; arcs come by node.
+        nodes = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        left = left[nodes]
+        node_edges = np.concatenate(([0], np.flatnonzero(left[1:] != left[:-1]) + 1, [n]))
+        spread = np.diff(self.first)[nodes]
+        order = _ranges(self.first[nodes], spread)
+        heads = np.cumsum(spread) - spread
+        arc_edges = np.append(heads, len(order))[node_edges].tolist()
         # A unit's end is the next unit's start, whose mass is that of its own lattice: arcs to an end look at an empty place.
-        beyond = np.where(self.to == stop[origin], n, self.to)
-        for a, z in zip(edges[:-1], edges[1:]):
-            arcs = order[a:z]
-            total = weight[arcs] + mass[beyond[arcs]]
-            nodes = origin[arcs]
-            heads = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
-            top = np.maximum.reduceat(total, heads)
-            spread = np.diff(heads, append=len(arcs))
-            sums = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, spread)), heads))
-            mass[nodes[heads]] = sums
-            logp[arcs] = total - np.repeat(sums, spread)
+        beyond = np.where(self.to == np.repeat(stop, np.diff(self.first)), n, self.to)[order]
+        weight = weight[order]
+        node_edges = node_edges.tolist()
+        for a, z, i, j in zip(arc_edges[:-1], arc_edges[1:], node_edges[:-1], node_edges[1:]):
+            total = weight[a:z]
+            total += mass[beyond[a:z]]
+            own, sizes = heads[i:j] - a, spread[i:j]
+            top = np.maximum.reduceat(total, own)
+            sums = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, sizes)), own))
+            mass[nodes[i:j]] = sums
+            total -= np.repeat(sums, sizes)
+        logp = np.empty(len(weight))
+        logp[order] = weight
         return logp
 
     def _set_ids(self, piece: np.ndarray, unknown: np.ndarray, code: np.ndarray, vocabulary: Vocabulary) -> None:
@@ -277,41 +284,38 @@ class Lattice:
         self.start, self.end = start - back, end - back
         for name in _ARC_COLUMNS:
             setattr(self, name, getattr(self, name)[arcs])
+        for name, room in self.room.items():  # is used again
+            values = getattr(self, name)
+            setattr(self, name, room[:len(values)])
+            room[:len(values)] = values
         unknown = np.array(sorted(self.bytes_of), dtype=np.int64)
         place = np.searchsorted(arcs, unknown)
         left = place < len(arcs)
         left[left] = arcs[place[left]] == unknown[left]
         self.bytes_of = {p: self.bytes_of[a] for p, a in zip(place[left].tolist(), unknown[left].tolist())}
-        self.room = {}
-
-    def expand(self, arcs: np.ndarray) -> np.ndarray:
-        """The ids of a path."""
-        ids = self.ids[arcs]
-        unknown = np.flatnonzero(ids < 0)
-        if not len(unknown):
-            return ids
-        parts, at = [], 0
-        for i in unknown.tolist():
-            parts += [ids[at:i], self.bytes_of[int(arcs[i])]]
-            at = i + 1
-        return np.concatenate([*parts, ids[at:]])
 
     def draw(self, node: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random paths from ``node`` to ``stop``, one for each entry: their arcs, one after the other, and their lengths."""
-        node, steps = node.copy(), np.zeros(len(node), dtype=np.int64)
+        steps = np.zeros(len(node), dtype=np.int64)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         active = np.flatnonzero(node < stop)
+        if len(active) < len(node):
+            node, stop, seed = node[active], stop[active], seed[active]
         while len(active):
-            uniform = (mix64(seed[active] + np.uint64((len(taken) + 1) * int(_GOLDEN) & (1 << 64) - 1)) >> np.uint64(11)) * 2.0 ** -53
-            arc = self.first[node[active]]
+            uniform = (mix64(seed + np.uint64((len(taken) + 1) * int(_GOLDEN) & (1 << 64) - 1)) >> np.uint64(11)) * 2.0 ** -53
+            arc = self.first[node]
             miss = np.flatnonzero(uniform >= self.reach[arc])
+            there, sought = arc[miss], uniform[miss]
             while len(miss):
-                arc[miss] += 1
-                miss = miss[uniform[miss] >= self.reach[arc[miss]]]
+                there += 1
+                on = sought >= self.reach[there]
+                arc[miss[~on]] = there[~on]
+                miss, there, sought = miss[on], there[on], sought[on]
             taken.append((active, arc))
-            node[active] = self.to[arc]
-            steps[active] += 1
-            active = active[node[active] < stop[active]]
+            node = self.to[arc]
+            on = np.flatnonzero(node < stop)
+            steps[active] = len(taken)
+            active, node, stop, seed = active[on], node[on], stop[on], seed[on]
         begin = np.cumsum(steps) - steps
         arcs = np.empty(int(steps.sum()), dtype=np.int64)
         for step, (entries, chosen) in enumerate(taken):
@@ -333,8 +337,16 @@ class Units:
         if self.lattice is not None and len(self.lattice.to) > self.max_arcs:
             self._forget()
         known, numbers = len(self.numbers), self.numbers
-        cut = [t.split(" ") if t else [] for t in texts]
-        types = [np.fromiter(map(numbers.__getitem__, units), dtype=np.int64, count=len(units)) for units in cut]
+        # Arrow cuts the texts and finds the distinct units, so that only these are looked up one by one.
+        cut = pc.split_pattern(pa.array([t.encode("utf-8", "surrogatepass") if t else None for t in texts], pa.large_binary()), " ")
+        sizes = pc.fill_null(pc.list_value_length(cut), 0).to_numpy()
+        words = cut.flatten().dictionary_encode()
+        try:
+            names = words.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        except pa.ArrowInvalid:  # halves of surrogate pairs
+            names = [w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]
+        found = np.fromiter(map(numbers.__getitem__, names), dtype=np.int64, count=len(names))
+        types = np.split(found[words.indices.to_numpy()], np.cumsum(sizes[:-1])) if len(texts) else []
         if len(numbers) > known:
             new = Lattice(list(islice(numbers, known, None)), self.trie)
             if self.lattice is None:
@@ -342,8 +354,7 @@ class Units:
             else:
                 self.lattice.append(new)
             self.uses = np.concatenate((self.uses, np.zeros(len(numbers) - known, dtype=np.int64)))
-        if len(numbers):
-            self.uses[np.unique(np.concatenate(types))] += 1
+        self.uses[found] += 1
         return self.lattice, types
 
     def _forget(self) -> None:
@@ -371,12 +382,28 @@ class Region(NamedTuple):
 
 
 class Leaf(NamedTuple):
-    """A drawn segmentation; ``units`` tells the unit of each of its pieces."""
+    """A drawn segmentation: the first ``drawn`` pieces are those of ``parent`` and an arc of unit ``head``, the rest was drawn.
+
+    ``ends`` tells for unit ``head`` and every later one where its pieces end among those drawn, counted from ``offset``.
+    """
 
     arcs: np.ndarray
-    units: np.ndarray
     running: np.ndarray  # log probability of the first i pieces, for i from 0 to all
     key: float
+    parent: Leaf | None
+    drawn: int
+    head: int
+    ends: np.ndarray
+    offset: int
+
+    def unit(self, piece: int) -> int:
+        """The unit of a piece."""
+        leaf = self
+        while piece < leaf.drawn - 1:
+            leaf = leaf.parent
+        if piece < leaf.drawn:
+            return leaf.head
+        return leaf.head + int(np.searchsorted(leaf.ends, piece - leaf.drawn + leaf.offset, side="right"))
 
 
 class Search:
@@ -392,23 +419,28 @@ class Search:
     def _gumbel(self) -> float:
         return -math.log(-math.log(self.rng.random() or 2.0 ** -54))
 
-    def _push(self, region: Region, below: float, key: float | None = None) -> None:
-        if region.log_mass == -math.inf:
-            return
-        if key is None:  # a Gumbel variable at the log mass, given that it is at most ``below``
-            free = region.log_mass + self._gumbel()
-            low, high = min(-below, -free), max(-below, -free)
-            key = -(high + math.log1p(math.exp(low - high)))
-        self.pushed += 1
-        heapq.heappush(self.frontier, (-key, self.pushed, region))
+    def _push(self, regions: list[Region], below: float, taken: int = -1) -> None:
+        """Put regions on the frontier; the one numbered ``taken`` has the bound ``below`` itself."""
+        frontier, uniform, log = self.frontier, self.rng.random, math.log
+        for i, region in enumerate(regions):
+            log_mass = region[3]
+            if log_mass == -math.inf:
+                continue
+            if i == taken:
+                key = below
+            else:  # a Gumbel variable at the log mass, given that it is at most ``below``
+                free = log_mass - log(-log(uniform() or 2.0 ** -54))
+                low, high = (-below, -free) if free < below else (-free, -below)
+                key = -(high + math.log1p(math.exp(low - high)))
+            self.pushed += 1
+            heapq.heappush(frontier, (-key, self.pushed, region))
 
     def add(self, leaf: Leaf, opened: Region | None) -> None:
         """Take a leaf, and what is left of the region it came from."""
         self.leaves.append(leaf)
         number, start = len(self.leaves) - 1, 0 if opened is None else opened.depth
         without = () if opened is None else opened.without
-        for region in self._split(number, start, without):
-            self._push(region, leaf.key)
+        self._push(self._split(number, start, without), leaf.key)
 
     def _split(self, number: int, start: int, without: tuple[int, ...]) -> list[Region]:
         """The regions that leave a leaf at its pieces from ``start`` on; ``without`` is avoided at the first already."""
@@ -417,9 +449,8 @@ class Search:
             return []
         near = min(len(leaf.arcs), start + NEAR)
         arcs = leaf.arcs[start:near]
-        with np.errstate(divide="ignore"):
-            log_mass = (leaf.running[start:near] + np.log(self.lattice.others[arcs])).tolist()
-        out = [Region(number, start + i, (arc,), log_mass[i]) for i, arc in enumerate(arcs.tolist())]
+        log_mass = (leaf.running[start:near] + np.log(self.lattice.others[arcs])).tolist()
+        out = list(map(Region._make, zip(repeat(number), range(start, near), zip(arcs.tolist()), log_mass)))
         if without:
             avoided = (*without, *out[0].without)
             mass = sum(math.exp(self.lattice.logp[a]) for a in self._others(avoided))
@@ -448,8 +479,7 @@ class Search:
                 continue
             top = max(p.log_mass for p in parts)
             best = self.rng.choices(range(len(parts)), [math.exp(p.log_mass - top) for p in parts])[0]
-            for i, part in enumerate(parts):
-                self._push(part, self.key, self.key if i == best else None)
+            self._push(parts, self.key, best)
         return None
 
     def inclusion(self) -> list[float]:
@@ -468,53 +498,89 @@ def sample_texts(texts: list[str | None], keys: list[str], trie: Trie, k: int, m
     lattice, types = (Units(trie) if met is None else met).of(texts)
     seeds = [xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), SEED) for key in keys]
     searches = [Search(lattice, random.Random(s)) for s in seeds]
+    places = _Places(types, seeds)
     # Each round draws one segmentation of every text that has another one.
     opened: list[tuple | None] = [(None, None)] * len(texts)
-    for turn in range(k):
-        jobs = [(i, *o) for i, o in enumerate(opened) if o is not None]
-        if not jobs:
-            break
-        _draw_round(jobs, types, seeds, searches, lattice, turn)
-        opened = [searches[i].open() if o is not None and turn + 1 < k else None for i, o in enumerate(opened)]
-    out = []
-    for search in searches:
-        out.append([(float(leaf.running[-1]), leaf.key, score, lattice.expand(leaf.arcs) if len(leaf.arcs) else leaf.arcs)
-                    for leaf, score in zip(search.leaves, search.inclusion())])
-    return out
-
-
-def _draw_round(jobs: list[tuple], types: list[np.ndarray], seeds: list[int], searches: list[Search],
-                lattice: Lattice | None, turn: int) -> None:
+    with np.errstate(divide="ignore"):  # an arc without others leaves no mass
+        for turn in range(k):
+            jobs = [(i, *o) for i, o in enumerate(opened) if o is not None]
+            if not jobs:
+                break
+            _draw_round(jobs, places, searches, lattice, turn)
+            opened = [searches[i].open() if o is not None and turn + 1 < k else None for i, o in enumerate(opened)]
+    paths = iter(_expanded(lattice, [leaf.arcs for search in searches for leaf in search.leaves]))
+    return [[(float(leaf.running[-1]), leaf.key, score, next(paths)) for leaf, score in zip(search.leaves, search.inclusion())]
+            for search in searches]
+
+
+class _Places:
+    """The units of some texts, end to end, with the seeds of the texts."""
+
+    def __init__(self, types: list[np.ndarray], seeds: list[int]):
+        self.sizes = np.fromiter(map(len, types), dtype=np.int64, count=len(types))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.units = np.concatenate(types) if types else np.empty(0, np.int64)
+        self.seeds = np.array(seeds, dtype=np.uint64)
+
+
+def _draw_round(jobs: list[tuple], places: _Places, searches: list[Search], lattice: Lattice | None, turn: int) -> None:
     """Draw the segmentations that attain the bounds of the opened regions, for all texts at once."""
-    nodes, stops, draws, heads = [], [], [], []
-    for i, region, arc in jobs:
-        units = types[i]
-        at = 0 if region is None else int(searches[i].leaves[region.leaf].units[region.depth])
-        heads.append(at)
-        if len(units):
-            node = lattice.start[units[at:]]
-            if region is not None:
-                node[0] = lattice.to[arc]
-            nodes.append(node)
-            stops.append(lattice.end[units[at:]])
-            first = np.uint64(seeds[i]) ^ np.uint64((turn + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-            draws.append(mix64(first + np.arange(at, len(units), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)))
-    arcs, steps = (lattice.draw(*map(np.concatenate, (nodes, stops, draws))) if nodes
-                   else (np.empty(0, np.int64), np.empty(0, np.int64)))
-    unit_edge = np.concatenate(([0], np.cumsum(steps)))
-    done = 0
-    for (i, region, arc), head in zip(jobs, heads):
-        size = len(types[i]) - head
-        path = arcs[unit_edge[done]:unit_edge[done + size]]
-        units = np.repeat(np.arange(head, head + size), steps[done:done + size])
-        done += size
-        search = searches[i]
+    heads = [0 if region is None else searches[i].leaves[region.leaf].unit(region.depth) for i, region, _ in jobs]
+    text, head = np.array([i for i, _, _ in jobs], dtype=np.int64), np.array(heads, dtype=np.int64)
+    sizes = places.sizes[text] - head
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    if edges[-1]:
+        units = places.units[_ranges(places.starts[text] + head, sizes)]
+        node, stop = lattice.start[units], lattice.end[units]
+        if turn:
+            node[edges[:-1]] = lattice.to[[arc for _, _, arc in jobs]]
+        first = places.seeds[text] ^ np.uint64((turn + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+        first += (head - edges[:-1]).view(np.uint64) * _UNIT_STEP  # of the unit that comes at 0 here
+        draws = np.arange(len(units), dtype=np.uint64)
+        draws *= _UNIT_STEP
+        draws += np.repeat(first, sizes)
+        arcs, steps = lattice.draw(node, stop, mix64(draws))
+        ends, logp = np.cumsum(steps), lattice.logp[arcs]
+    else:
+        arcs = ends = np.empty(0, np.int64)
+        logp = np.empty(0)
+    begin = 0
+    for (i, region, arc), at, a, z in zip(jobs, heads, edges[:-1].tolist(), edges[1:].tolist()):
+        end = int(ends[z - 1]) if z > a else begin
+        path, search, parent, drawn = arcs[begin:end], searches[i], None, 0
         if region is not None:
-            parent = search.leaves[region.leaf]
-            path = np.concatenate((parent.arcs[:region.depth], [arc], path))
-            units = np.concatenate((parent.units[:region.depth], [head], units))
-        running = np.concatenate(([0.0], np.cumsum(lattice.logp[path]))) if len(path) else np.zeros(1)
-        search.add(Leaf(path, units, running, search.key), region)
+            parent, drawn = search.leaves[region.leaf], region.depth + 1
+            path = np.concatenate((parent.arcs[:region.depth], (arc,), path))
+        running = np.empty(len(path) + 1)
+        running[drawn + 1:] = logp[begin:end]
+        if region is None:
+            running[0] = 0.0
+        else:
+            running[:drawn] = parent.running[:drawn]
+            running[drawn] = lattice.logp[arc]
+        from_there = running[max(drawn - 1, 0):]
+        np.add.accumulate(from_there, out=from_there)
+        search.add(Leaf(path, running, search.key, parent, drawn, at, ends[a:z], begin), region)
+        begin = end
+
+
+def _expanded(lattice: Lattice | None, paths: list[np.ndarray]) -> list[np.ndarray]:
+    """The ids of each path; an unknown character of several bytes has an id for each."""
+    arcs = np.concatenate(paths) if paths else np.empty(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, paths), dtype=np.int64, count=len(paths)))
+    if not len(arcs):
+        return [np.empty(0, np.int32)] * len(paths)
+    ids = lattice.ids[arcs]
+    unknown = np.flatnonzero(ids < 0)
+    if len(unknown):
+        parts = [lattice.bytes_of[a] for a in arcs[unknown].tolist()]
+        wide = np.ones(len(ids), dtype=np.int64)
+        wide[unknown] = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        place = np.concatenate(([0], np.cumsum(wide)))
+        ids = np.repeat(ids, wide)
+        ids[_ranges(place[unknown], wide[unknown])] = np.concatenate(parts)
+        ends = place[ends]
+    return np.split(ids, ends[:-1])
 
 
 def decode_ids(ids: np.ndarray, texts: list[bytes]) -> str:
@@ -565,7 +631,7 @@ def encode(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "do
 def _encoded_batch(ids: list, texts: list, met: Units, pieces: pa.Array, k: int) -> pa.RecordBatch:
     drawn = sample_texts(texts, ["" if i is None else f"={i}" for i in ids], met.trie, k, met)
     rows = [(i, n + 1, s) for i, samples in enumerate(drawn) for n, s in enumerate(samples)]
-    paths = [s[3].astype(np.int32) for _, _, s in rows]
+    paths = [s[3] for _, _, s in rows]
     flat = np.concatenate(paths) if paths else np.empty(0, np.int32)
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in paths]))).astype(np.int32)
     # All paths are decoded at once: their pieces' bytes come to lie one after the other.

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tallyspark.llm import sp_sample
+from tallyspark.llm.common import Numbers
 from tallyspark.llm.queries import TOKENIZER
 
 
@@ -151,3 +152,50 @@ def test_kept_lattices_change_nothing(trie):
                 assert {k - arcs.start: v.tolist() for k, v in lattice.bytes_of.items() if arcs.start <= k < arcs.stop} == {
                     k: v.tolist() for k, v in alone.bytes_of.items()}
     assert forgotten
+
+
+class CountedNumbers(Numbers):
+    asked = 0
+
+    def __getitem__(self, key):
+        CountedNumbers.asked += 1
+        return super().__getitem__(key)
+
+
+def test_distinct_units_are_looked_up_once(small, monkeypatch):
+    """However often a unit stands in a list of texts, it is looked up once."""
+    monkeypatch.setattr(sp_sample, "Numbers", CountedNumbers)
+    met = sp_sample.Units(small)
+    texts = ["ab abc ab", None, "", "ab  abc ", " ", "é \ud800 ab"] * 50
+    cut = [t.split(" ") if t else [] for t in texts]
+    for _ in range(2):
+        CountedNumbers.asked = 0
+        _, types = met.of(texts)
+        names = list(met.numbers)
+        assert [[names[u] for u in own] for own in types] == cut
+        assert CountedNumbers.asked == len(names) == len(set(itertools.chain(*cut)))
+
+
+def test_units_of_pieces_are_found_through_all_parents(small):
+    """Drawn deep, a segmentation still knows the unit of each of its pieces."""
+    text = "abc ab  dé abcabc"
+    lattice, types = sp_sample.Units(small).of([text])
+    places = sp_sample._Places(types, [5])
+    search = sp_sample.Search(lattice, random.Random(5))
+    opened = (None, None)
+    with np.errstate(divide="ignore"):
+        for turn in range(60):
+            sp_sample._draw_round([(0, *opened)], places, [search], lattice, turn)
+            opened = search.open()
+    own = types[0].tolist()
+    for leaf in search.leaves:
+        unit, at, want = 0, int(lattice.start[own[0]]), []
+        for arc in leaf.arcs.tolist():
+            want.append(unit)
+            assert lattice.first[at] <= arc < lattice.first[at + 1]
+            at = int(lattice.to[arc])
+            if at == lattice.end[own[unit]] and unit + 1 < len(own):
+                unit += 1
+                at = int(lattice.start[own[unit]])
+        assert [leaf.unit(i) for i in range(len(leaf.arcs))] == want
+    assert max(leaf.drawn for leaf in search.leaves) > 3
