@@ -39,6 +39,10 @@ NEAR = 8
 CHUNK_CHARS = 1 << 20
 #: Arcs of units that are kept from one list of texts to the next.
 KEPT_ARCS = 3_000_000
+#: Paths that are drawn together, so that their numbers stay in a core's cache.
+DRAW_BLOCK = 1 << 15
+#: Units whose lattices are built together, for the same reason.
+BUILD_BLOCK = 1 << 13
 SEED = 11
 _SPACE = "▁"
 _SPACE_CODE = 0x110000  # a space inside a lattice; the text's own U+2581 is an ordinary, unknown character
@@ -296,6 +300,11 @@ class Lattice:
 
     def draw(self, node: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random paths from ``node`` to ``stop``, one for each entry: their arcs, one after the other, and their lengths."""
+        blocks = [slice(a, a + DRAW_BLOCK) for a in range(0, max(1, len(node)), DRAW_BLOCK)]
+        drawn = [self._draw(node[b], stop[b], seed[b]) for b in blocks]
+        return np.concatenate([arcs for arcs, _ in drawn]), np.concatenate([steps for _, steps in drawn])
+
+    def _draw(self, node: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         steps = np.zeros(len(node), dtype=np.int64)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         active = np.flatnonzero(node < stop)
@@ -348,11 +357,13 @@ class Units:
         found = np.fromiter(map(numbers.__getitem__, names), dtype=np.int64, count=len(names))
         types = np.split(found[words.indices.to_numpy()], np.cumsum(sizes[:-1])) if len(texts) else []
         if len(numbers) > known:
-            new = Lattice(list(islice(numbers, known, None)), self.trie)
-            if self.lattice is None:
-                self.lattice = new
-            else:
-                self.lattice.append(new)
+            met = list(islice(numbers, known, None))
+            for at in range(0, len(met), BUILD_BLOCK):
+                new = Lattice(met[at:at + BUILD_BLOCK], self.trie)
+                if self.lattice is None:
+                    self.lattice = new
+                else:
+                    self.lattice.append(new)
             self.uses = np.concatenate((self.uses, np.zeros(len(numbers) - known, dtype=np.int64)))
         self.uses[found] += 1
         return self.lattice, types
@@ -412,14 +423,14 @@ class Search:
     def __init__(self, lattice: Lattice, rng: random.Random):
         self.lattice, self.rng = lattice, rng
         self.leaves: list[Leaf] = []
-        self.frontier: list[tuple[float, int, Region]] = []
+        self.frontier: list[tuple[float, int, tuple]] = []
         self.pushed = 0
         self.key = self._gumbel()
 
     def _gumbel(self) -> float:
         return -math.log(-math.log(self.rng.random() or 2.0 ** -54))
 
-    def _push(self, regions: list[Region], below: float, taken: int = -1) -> None:
+    def _push(self, regions: list[tuple], below: float, taken: int = -1) -> None:
         """Put regions on the frontier; the one numbered ``taken`` has the bound ``below`` itself."""
         frontier, uniform, log = self.frontier, self.rng.random, math.log
         for i, region in enumerate(regions):
@@ -442,23 +453,24 @@ class Search:
         without = () if opened is None else opened.without
         self._push(self._split(number, start, without), leaf.key)
 
-    def _split(self, number: int, start: int, without: tuple[int, ...]) -> list[Region]:
-        """The regions that leave a leaf at its pieces from ``start`` on; ``without`` is avoided at the first already."""
+    def _split(self, number: int, start: int, without: tuple[int, ...]) -> list[tuple]:
+        """The regions, as plain tuples, that leave a leaf at its pieces from ``start`` on; ``without`` is avoided at the first
+        already."""
         leaf = self.leaves[number]
         if start == len(leaf.arcs):
             return []
         near = min(len(leaf.arcs), start + NEAR)
         arcs = leaf.arcs[start:near]
         log_mass = (leaf.running[start:near] + np.log(self.lattice.others[arcs])).tolist()
-        out = list(map(Region._make, zip(repeat(number), range(start, near), zip(arcs.tolist()), log_mass)))
+        out = list(zip(repeat(number), range(start, near), zip(arcs.tolist()), log_mass))
         if without:
-            avoided = (*without, *out[0].without)
+            avoided = (*without, *out[0][2])
             mass = sum(math.exp(self.lattice.logp[a]) for a in self._others(avoided))
-            out[0] = Region(number, start, avoided, float(leaf.running[start]) + math.log(mass) if mass > 0 else -math.inf)
+            out[0] = (number, start, avoided, float(leaf.running[start]) + math.log(mass) if mass > 0 else -math.inf)
         if near < len(leaf.arcs):
             gap = float(leaf.running[-1] - leaf.running[near])
-            out.append(Region(number, near, None, float(leaf.running[near]) + math.log1p(-math.exp(gap)) if gap < 0
-                              else -math.inf))
+            out.append((number, near, None, float(leaf.running[near]) + math.log1p(-math.exp(gap)) if gap < 0
+                        else -math.inf))
         return out
 
     def _others(self, avoided: tuple[int, ...]) -> list[int]:
@@ -469,16 +481,16 @@ class Search:
     def open(self) -> tuple[Region, int] | None:
         """The region with the largest bound, and the arc its best segmentation takes; None if nothing is left."""
         while self.frontier:
-            key, _, region = heapq.heappop(self.frontier)
-            self.key = -key
+            key, _, found = heapq.heappop(self.frontier)
+            self.key, region = -key, Region._make(found)
             if region.without is not None:
                 arcs = self._others(region.without)
                 return region, self.rng.choices(arcs, [math.exp(self.lattice.logp[a]) for a in arcs])[0]
-            parts = [p for p in self._split(region.leaf, region.depth, ()) if p.log_mass > -math.inf]
+            parts = [p for p in self._split(region.leaf, region.depth, ()) if p[3] > -math.inf]
             if not parts:
                 continue
-            top = max(p.log_mass for p in parts)
-            best = self.rng.choices(range(len(parts)), [math.exp(p.log_mass - top) for p in parts])[0]
+            top = max(p[3] for p in parts)
+            best = self.rng.choices(range(len(parts)), [math.exp(p[3] - top) for p in parts])[0]
             self._push(parts, self.key, best)
         return None
 
