@@ -36,9 +36,10 @@ from tallyspark.llm.common import Numbers, mix64
 
 SAMPLES = 2
 NEAR = 8
-CHUNK_CHARS = 1 << 20
+#: Text that is encoded together; a longer text is by itself.
+CHUNK_BYTES = 1 << 19
 #: Arcs of units that are kept from one list of texts to the next.
-KEPT_ARCS = 3_000_000
+KEPT_ARCS = 1_000_000
 #: Paths that are drawn together, so that their numbers stay in a core's cache.
 DRAW_BLOCK = 1 << 15
 #: Units whose lattices are built together, for the same reason.
@@ -623,15 +624,10 @@ def encode(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "do
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, pieces = Units(trie), pa.array(trie.vocabulary.texts, pa.large_binary())
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK_CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                yield _encoded_batch(ids[at:end], texts[at:end], met, pieces, k)
-                at = end
+            # Only the texts that are encoded together become Python strings: the batch may hold very long ones.
+            for part in _parts(batch):
+                yield _encoded_batch(part.column("id").to_pylist(), part.column("text").to_pylist(), met, pieces, k)
+            del batch, part  # else they stay while the next batch is read
 
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
     found = rows.mapInArrow(
@@ -640,6 +636,16 @@ def encode(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: str = "do
     return found.select(F.col("id").cast(kind).alias(id_col), *[f.name for f in _ENCODED][1:])
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in turn, together as long as their texts have at most ``CHUNK_BYTES``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+    at, done = 0, 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at, done = end, int(ends[end - 1])
+
+
 def _encoded_batch(ids: list, texts: list, met: Units, pieces: pa.Array, k: int) -> pa.RecordBatch:
     drawn = sample_texts(texts, ["" if i is None else f"={i}" for i in ids], met.trie, k, met)
     rows = [(i, n + 1, s) for i, samples in enumerate(drawn) for n, s in enumerate(samples)]

@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import sp_sample
@@ -199,3 +201,25 @@ def test_units_of_pieces_are_found_through_all_parents(small):
                 at = int(lattice.start[own[unit]])
         assert [leaf.unit(i) for i in range(len(leaf.arcs))] == want
     assert max(leaf.drawn for leaf in search.leaves) > 3
+
+
+def test_memory_of_a_task_is_bounded(spark, monkeypatch):
+    """Many different units and a batch of long texts: neither all their lattices nor all texts are held at once."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(4, 14))) for _ in range(300_000)]
+    texts = [" ".join(words[at:at + 1000]) for at in range(0, len(words), 1000)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(len(texts))], "text": texts})
+    given = []
+    df = spark.createDataFrame([], "doc_id long, text string")
+    as_is = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *rest: given.append(f) or as_is(self, f, *rest))
+    sp_sample.encode(df, TOKENIZER)
+    del words, texts
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in given[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert rows == 300 * 2 + 2
+    assert peak < 150
