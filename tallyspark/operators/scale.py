@@ -101,18 +101,24 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def _split_hot_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     values = [c for c in table.columns if c != key]
+    # Names of its own that no column of either side has.
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in [*rows.columns, *table.columns]))
+    at, hot, cold = f"{own}key", f"{own}hot", f"{own}cold"
     hot_values = table.join(F.broadcast(hot_keys(rows, key)), key, "left_semi").select(
-        key, F.struct(*values).alias("_hot"))
+        key, F.struct(*values).alias(hot))
     # The same on every attempt of a task; the partition number keeps copies of one row apart.
     spread = F.concat(F.lit("\0"), F.xxhash64(
         F.spark_partition_id(), *[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
+    # A key that is a number is matched as its text, else the spread rows would be read as numbers.
+    textual = isinstance(table.schema[key].dataType, (T.StringType, T.BinaryType))
+    matched = F.col(key) if textual else F.col(key).cast("string")
     keyed = rows.join(F.broadcast(hot_values), key, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
-    rest = table.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
-    joined = keyed.join(rest, "_key", "left")
+        at, F.when(F.col(hot).isNull() & F.col(key).isNotNull(), matched).otherwise(spread))
+    rest = table.select(matched.alias(at), F.struct(*values).alias(cold))
+    joined = keyed.join(rest, at, "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns],
-        *[F.coalesce(F.col("_hot"), F.col("_cold"))[v].alias(v) for v in values])
+        *[F.coalesce(F.col(hot), F.col(cold))[v].alias(v) for v in values])
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:

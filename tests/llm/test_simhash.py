@@ -111,6 +111,16 @@ def test_keep_one_of_each_group(docs):
     assert kept.columns == ["doc_id", "text", "_key"]
 
 
+def test_keep_one_without_broadcast(docs, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.choice([3, 4, 6])))) for i in range(400)]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(60)] + [(2000 + i, None) for i in range(5)]
+    table = docs(rows, "doc_id long, text string")
+    few = sorted(r.doc_id for r in simhash.keep_one(table).collect())
+    monkeypatch.setattr("tallyspark.operators.scale.is_small", lambda df, n=0: False)
+    assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == few and 7 < len(few) < 401
+
+
 def test_empty_table_and_bad_parameter(docs):
     empty = docs([(1, "a")], "doc_id long, text string").limit(0)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0

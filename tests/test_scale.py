@@ -29,6 +29,18 @@ def test_lookup_join_keeps_every_row(spark, monkeypatch, small):
         (tuple(r) for r in expected.collect()), key=key)
 
 
+def test_lookup_join_leaves_columns_of_any_name_alone(spark, monkeypatch):
+    monkeypatch.setattr(scale, "is_small", lambda df, n=0: False)
+    monkeypatch.setattr(scale, "HOT_KEYS", 2)
+    rows = spark.range(300).select(
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 != 0, F.col("id") % 40).alias("fp"),
+        F.concat(F.lit("="), "id").alias("_key"), F.lit("h").alias("_hot"), F.col("id").alias("_cold"))
+    table = spark.range(30).select(F.col("id").alias("fp"), (F.col("id") * 2).alias("root"))
+    got = scale.lookup_join(rows, table, "fp").select("_cold", "_hot", "_key", "fp", "root").collect()
+    key = lambda i: 0 if i % 3 == 0 else i % 40 if i % 7 else None
+    assert sorted(got) == [(i, "h", f"={i}", key(i), 2 * key(i) if key(i) is not None and key(i) < 30 else None) for i in range(300)]
+
+
 def test_hot_rows_are_spread(spark, monkeypatch):
     monkeypatch.setattr(scale, "is_small", lambda df, n=0: False)
     monkeypatch.setattr(scale, "HOT_KEYS", 1)
