@@ -69,6 +69,37 @@ def lcs_lengths(left: pd.Series, right: pd.Series, chunk_cells: int = 1 << 21) -
     return result
 
 
+def lcs_table(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """The same for every text of ``right`` (rows) with every one of ``left`` (columns).
+
+    The places of a character in the texts of the left are found once; a character of the right takes them from there.
+    """
+    a_sizes, b_sizes = left.str.len().to_numpy(), right.str.len().to_numpy()
+    words = max(1, -(-int(a_sizes.max()) // 64))
+    ac = _codes(left, a_sizes, words * 64, -1)
+    bc = _codes(right, b_sizes, int(b_sizes.max()), -2)
+    letters = np.intersect1d(ac, bc)
+    masks = np.zeros((len(letters) + 1, words, len(left)), dtype=np.uint64)  # the last one is of all other characters
+    for mask, letter in zip(masks, letters):
+        mask[:] = np.packbits(ac == letter, axis=1, bitorder="little").view("<u8").T
+    at = np.searchsorted(letters, bc)
+    at[~np.isin(bc, letters)] = len(letters)
+    rows = [np.full((len(right), len(left)), ~np.uint64(0)) for _ in range(words)]
+    for j in range(bc.shape[1]):
+        carry = None
+        for w in range(words):
+            both = rows[w] & masks[at[:, j], w]
+            total = rows[w] + both
+            if words > 1:
+                over = total < both
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+            rows[w] = total | (rows[w] ^ both)
+    return words * 64 - sum(np.bitwise_count(r).astype(np.int32) for r in rows)
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(lcs_lengths(left, right))

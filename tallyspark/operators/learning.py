@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from tallyspark.functions.similarity import token_sort
 from tallyspark.functions.text import clean_key, rule_id, strip
 from tallyspark.operators.rules import normalize_merchants
-from tallyspark.operators.scale import cut_lineage, lookup_join
-from tallyspark.operators.similarity_join import best_pairs, candidate_pairs
+from tallyspark.operators.scale import cut_lineage, is_small, lookup_join
+from tallyspark.operators.similarity_join import best_pairs, compared_pairs
 from tallyspark.schema import DEFAULT_TYPE
 
 NAME_CUTOFF = 85
 NAME_LIMIT = 3
 ALIAS_CUTOFF = 88
+#: Compared pairs whose anchors one task ranks, as many as come on average.
+RANKED_PAIRS = 250_000
 # Positions of added rules start here, so they follow all rules that exist.
 ADDED = 1 << 40
 
@@ -44,21 +46,33 @@ def suggest_merchants(members: DataFrame, merchants: DataFrame, *, name_cutoff:
     """
     rules = normalize_merchants(merchants)
     aliases = alias_rows(rules).filter(F.col("alias").isNotNull())
-    anchors = members.select("anchor").distinct().withColumn("key_a", token_sort(F.col("anchor")))
+    anchors = cut_lineage(members.select("anchor").distinct().withColumn("key_a", token_sort(F.col("anchor"))))
     names, texts = _names(rules), aliases.select("rule_ord", "alias_ord", "id", "name", F.col("alias").alias("text"),
                                                  token_sort(F.col("alias")).alias("key_b"))
-    # Names and aliases meet the anchors in one join, at the lower of the two cutoffs.
-    pool = names.select("key_b").unionByName(texts.select("key_b")).withColumnRenamed("key_b", "key")
-    pairs = cut_lineage(candidate_pairs(anchors.withColumnRenamed("key_a", "key"), pool, min(name_cutoff, alias_cutoff)))
-    found = (_alias_exact(members, aliases)
-             .unionByName(_name_fuzzy(anchors, names, pairs, name_cutoff, name_limit))
-             .unionByName(_alias_fuzzy(anchors, texts, pairs, alias_cutoff)))
+    # Names and aliases meet the anchors in one join, each by the cutoff of its kind.
+    pool = (names.select("key_b", F.lit(name_cutoff).alias("need"))
+            .unionByName(texts.select("key_b", F.lit(alias_cutoff).alias("need"))).withColumnRenamed("key_b", "key"))
+    pairs = cut_lineage(compared_pairs(anchors.withColumnRenamed("key_a", "key"), pool))
     in_order = ["priority", F.desc("score"), "place", "info", "merchant_id"]
     once = F.row_number().over(Window.partitionBy("anchor", "merchant_id").orderBy(*in_order))
     listed = F.row_number().over(Window.partitionBy("anchor").orderBy(*in_order))
-    return (found.withColumn("_rn", once).filter("_rn = 1")
-            .withColumn("suggestion_no", listed)
-            .select("anchor", "suggestion_no", "kind", "info", "merchant_id", "merchant_name"))
+    named = (_alias_exact(members, aliases).unionByName(_name_fuzzy(anchors, names, pairs, name_cutoff, name_limit))
+             .withColumn("_rn", once).filter("_rn = 1").withColumn("suggestion_no", listed))
+    named = _lookup(named.select("anchor", "suggestion_no", "kind", "info", "merchant_id", "merchant_name"))
+    # There may be very many of the last kind: they stay with their anchors, behind those of the other kinds.
+    taken = (F.col("anchor") == F.col("_anchor")) & F.col("merchant_id").eqNullSafe(F.col("_id"))
+    others = named.select(F.col("anchor").alias("_anchor"), F.col("merchant_id").alias("_id"))
+    before = _lookup(named.groupBy("anchor").agg(F.max("suggestion_no").alias("_before")))
+    in_place = Window.partitionBy("key_a", "anchor").orderBy("place", "info", "merchant_id")
+    alike = (_alias_fuzzy(anchors, texts, pairs, alias_cutoff).join(others, taken, "left_anti").join(before, "anchor", "left")
+             .withColumn("suggestion_no", F.row_number().over(in_place) + F.coalesce("_before", F.lit(0))))
+    return named.unionByName(alike.select(*named.columns))
+
+
+def _lookup(table: DataFrame) -> DataFrame:
+    """A computed ``table``, broadcast where joined if it is measured small."""
+    table = cut_lineage(table)
+    return F.broadcast(table) if is_small(table) else table
 
 
 def _alias_exact(members: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -79,15 +93,25 @@ def _names(rules: DataFrame) -> DataFrame:
     return rules.select(F.lower("name").alias("text"), token_sort(F.lower("name")).alias("key_b"), "rule_ord", "id", "name")
 
 
+def _scored(pairs: DataFrame, by: list[str], limit: int, cutoff: int) -> DataFrame:
+    """Pairs that may be among the best of their group ``by``; those that were compared already have their score."""
+    if "score" in pairs.columns:
+        return pairs.filter(F.col("score") >= cutoff)
+    return best_pairs(pairs, by, limit, cutoff).filter("score is not null").drop("n_scored")
+
+
 def _name_fuzzy(anchors: DataFrame, named: DataFrame, pairs: DataFrame, cutoff: int, limit: int) -> DataFrame:
     latest = Window.partitionBy("text").orderBy(F.desc("rule_ord"), F.desc("id"))
     owner = (named.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1")
              .select("text", F.col("id").alias("merchant_id"), F.col("name").alias("merchant_name")))
-    with_name = pairs.join(named.select("key_b").distinct(), "key_b", "left_semi")
-    scored = best_pairs(with_name.select("key_a", "key_b"), ["key_a"], limit, cutoff).filter("score is not null")
+    # Names of equal form score the same, so no more than ``limit`` of them count.
+    first = F.row_number().over(Window.partitionBy("key_b").orderBy("rule_ord", "name"))
+    few = _lookup(named.withColumn("_rn", first).filter(F.col("_rn") <= limit).drop("id", "_rn"))
+    with_name = pairs.join(few.select("key_b").distinct(), "key_b", "left_semi")
+    scored = _scored(with_name, ["key_a"], limit, cutoff)
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), "rule_ord", "name")
-    top = (anchors.join(scored, "key_a").join(named, "key_b").withColumn("_rn", F.row_number().over(best))
-           .filter(F.col("_rn") <= limit).drop("id", "_rn"))
+    top = (anchors.join(scored, "key_a").join(few, "key_b").withColumn("_rn", F.row_number().over(best))
+           .filter(F.col("_rn") <= limit).drop("_rn"))
     return top.join(owner, "text").select(
         "anchor", F.lit(2).alias("priority"), F.lit("name_fuzzy").alias("kind"),
         _percent_info(F.col("name")).alias("info"), "score", F.col("rule_ord").alias("place"),
@@ -95,17 +119,23 @@ def _name_fuzzy(anchors: DataFrame, named: DataFrame, pairs: DataFrame, cutoff:
 
 
 def _alias_fuzzy(anchors: DataFrame, texts: DataFrame, pairs: DataFrame, cutoff: int) -> DataFrame:
-    owned = texts.select("key_b", "id").distinct()
-    scored = best_pairs(pairs.join(owned, "key_b").select("key_a", "key_b", "id"), ["key_a", "id"], 1, cutoff)
-    found = scored.filter("score is not null").withColumnRenamed("id", "_id").withColumnRenamed("key_b", "_key")
-    best = Window.partitionBy("anchor", "id").orderBy(F.desc("score"), "rule_ord", "alias_ord", "text")
+    """One row per anchor and merchant; partitioned by ``key_a``, so that an anchor's rows need no other shuffle."""
+    # Aliases of one form and merchant score the same, so the first of them counts.
+    first = texts.groupBy("key_b", "id").agg(F.min(F.struct("rule_ord", "alias_ord", "text", "name")).alias("_t"))
+    first = _lookup(first.select("key_b", "id", "_t.*"))
+    # Pairs take few bytes, so their number decides on the tasks.
+    dealt = pairs.repartition(-(-pairs.count() // RANKED_PAIRS) or 1, "key_a") if "score" in pairs.columns else pairs
+    scored = _scored(dealt.join(first.select("key_b", "id"), "key_b"), ["key_a", "id"], 1, cutoff)
+    found = scored.withColumnRenamed("id", "_id").withColumnRenamed("key_b", "_key")
     same = (F.col("key_b") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
-    top = (anchors.join(found, "key_a").join(texts, same)
+    owners = _lookup(anchors) if "score" in pairs.columns else anchors
+    best = Window.partitionBy("key_a", "anchor", "id").orderBy(F.desc("score"), "rule_ord", "alias_ord", "text")
+    top = (found.join(owners, "key_a").join(first, same)
            .withColumn("_rn", F.row_number().over(best)).filter("_rn = 1"))
     # Within this kind merchants come in rule order, not by score.
     return top.select(
-        "anchor", F.lit(3).alias("priority"), F.lit("alias_fuzzy").alias("kind"),
-        _percent_info(F.concat(F.lit("alias '"), "text", F.lit("'"))).alias("info"), F.lit(0.0).alias("score"),
+        "key_a", "anchor", F.lit("alias_fuzzy").alias("kind"),
+        _percent_info(F.concat(F.lit("alias '"), "text", F.lit("'"))).alias("info"),
         F.col("rule_ord").alias("place"), F.col("id").alias("merchant_id"), F.col("name").alias("merchant_name"))
 
 

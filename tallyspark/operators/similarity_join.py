@@ -16,18 +16,23 @@ from __future__ import annotations
 
 import bisect
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.similarity import lcs, lcs_lengths, may_reach, most_edits, ratio, reaches, token_sort
+from tallyspark.functions.similarity import lcs, lcs_lengths, lcs_table, may_reach, most_edits, ratio, reaches, token_sort
 from tallyspark.operators.scale import cut_lineage, is_small, lookup_join
 
+# What compares a cell travels with its task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RUN = 3
 SHARED = 2
 COMMON_FROM = 1000
@@ -35,9 +40,11 @@ SALTED_ROWS = 10_000
 #: Most results of leaving characters out of a text that serve as its join keys.
 MOST_SUBSEQUENCES = 200
 #: Texts a side of a cell of pairs, most tasks that cells are dealt to, and how many meetings are never too many.
-CELL = 500
+CELL = 2000
 MOST_CELL_TASKS = 2000
 FEW_PAIRS = 1_000_000
+#: Bytes of a table of pairs that are compared at once, so that it stays in a core's cache.
+TABLE_BYTES = 1 << 21
 _PLAN = "length int, kinds array<int>, needs array<int>, left_out array<int>"
 
 
@@ -189,13 +196,22 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFr
     """Distinct (key_a, key_b) of the token-sorted texts ``key`` of both sides that share a join key and whose length and edit
     distance allow the threshold. A join key found in very many texts of the right is spread by a salt. Where the keys would
     bring pairs together more often than there are pairs, all pairs are compared instead."""
-    return _candidates(left, right, threshold, once=False)[0]
+    return _candidates(left, right, threshold, once=False)[0].select("key_a", "key_b")
+
+
+def compared_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The candidate pairs, those of a text of the right at least by its own threshold ``need``. Where all pairs are compared,
+    they come with their ``score`` and only if they reach that threshold."""
+    needs = cut_lineage(right.groupBy("key").agg(F.min("need").alias("need")))
+    lowest = needs.agg(F.min("need")).first()[0]
+    return _candidates(left, needs, 100 if lowest is None else lowest, once=False)[0]
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: int, once: bool) -> tuple[DataFrame, bool]:
     """The candidate pairs, and whether each is there in one order only (key_a <= key_b). That is so if ``once`` asks for it
-    and both sides have the same texts, as every pair then comes in both orders."""
-    left, right = left.select("key").distinct(), right.select("key").distinct()
+    and both sides have the same texts, as every pair then comes in both orders. Pairs have a ``score`` if all were compared."""
+    needs = right if "need" in right.columns else right.select("key", F.lit(threshold).alias("need")).distinct()
+    left, right = left.select("key").distinct(), needs.select("key")
     found = cut_lineage(join_keys(left.unionByName(right).distinct(), threshold).select("key", "element"))
     sides = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))).groupBy("key").agg(F.sum("side").alias("side"))
     n_left, n_right, n_both = sides.agg(*[F.count_if(F.col("side").isin(*s)) for s in ((1, 3), (2, 3), (3,))]).first()
@@ -208,7 +224,7 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: int, once: bool) -
     longest, meetings = lists.agg(F.max("n_right"), F.sum(F.col("n_left").cast("double") * F.col("n_right"))).first()
     in_order = F.col("key_a") <= F.col("key_b") if once else F.lit(True)
     if (meetings or 0) > max(n_left * n_right, FEW_PAIRS):
-        return _all_pairs(left, right, n_left, n_right, threshold).filter(in_order), once
+        return _all_pairs(left, needs, n_left, n_right).filter(in_order), once
     parts = -(-(longest or 1) // SALTED_ROWS)
     offered = own_keys.select(F.col("key").alias("key_a"), "element", copies(parts))
     asked = pool_keys.select(F.col("key").alias("key_b"), "element", salt("key", parts))
@@ -217,22 +233,66 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: int, once: bool) -
             .select("key_a", "key_b").distinct()), once
 
 
-def _all_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, threshold: int) -> DataFrame:
-    """The same from a comparison of every non-blank text of the left with every one of the right, each pair once, in cells of
-    ``CELL`` texts a side. For texts that share so many keys that the keys would bring pairs together more often than that."""
+def _all_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> DataFrame:
+    """The pairs that reach the threshold ``need`` of their text of the right, with their ``score``, from a comparison of every
+    non-blank text of the left with every one of the right, each pair once, in cells of ``CELL`` texts a side. For texts that
+    share so many keys that the keys would bring pairs together more often than that."""
     rows, columns = -(-n_left // CELL), -(-n_right // CELL)
-    tasks = min(rows * columns, MOST_CELL_TASKS)
-
-    def dealt(texts: DataFrame, name: str, parts: int, others: int, own: str, other: str) -> DataFrame:
-        return (texts.filter("key <> ''").select(
-            F.col("key").alias(name), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).repartition(tasks, "_row", "_column"))
-
-    offered = dealt(left, "key_a", rows, columns, "_row", "_column")
-    asked = dealt(right, "key_b", columns, rows, "_column", "_row")
-    return (offered.join(asked, ["_row", "_column"])
-            .filter(may_reach(F.col("key_a"), F.col("key_b"), threshold))
-            .select("key_a", "key_b"))
+    cell = ["_row", "_column"]
+
+    def dealt(texts: DataFrame, need: Column, parts: int, others: int, own: str, other: str) -> DataFrame:
+        return texts.filter("key <> ''").select(
+            "key", need.cast("int").alias("need"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    # Texts of the left have no ``need`` and come first.
+    both = dealt(left, F.lit(None), rows, columns, *cell).unionByName(dealt(right, F.col("need"), columns, rows, *cell[::-1]))
+    return (both.repartition(min(rows * columns, MOST_CELL_TASKS), *cell).sortWithinPartitions(*cell, "need")
+            .mapInArrow(_score_cells, "key_a string, key_b string, score double"))
+
+
+def _score_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a cell come one after the other, maybe in several batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        table = batch.to_pandas()
+        if not len(table):
+            continue
+        cells = table[["_row", "_column"]].to_numpy()
+        ends = [*(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1), len(table)]
+        for start, end in zip([0, *ends[:-1]], ends):
+            if held and (held[-1][["_row", "_column"]].iloc[-1].to_numpy() != cells[start]).any():
+                yield from _score_cell(pd.concat(held))
+                held = []
+            held.append(table.iloc[start:end])
+    if held:
+        yield from _score_cell(pd.concat(held))
+
+
+def _score_cell(texts: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+    """The pairs of one cell. Texts are grouped by length, so that groups that differ too much are not compared."""
+    texts = texts.assign(size=texts["key"].str.len()).sort_values("size", kind="stable")
+    left, right = texts[texts["need"].isna()], texts[texts["need"].notna()]
+    if not len(left) or not len(right):
+        return
+    lowest = int(right["need"].min())
+    doublings = np.ceil(np.log2(np.maximum(1, -(-left["size"].to_numpy() // 64)))).astype(int)
+    for number in np.unique(doublings):
+        own = left[doublings == number]
+        at_once = max(1, TABLE_BYTES // (8 * len(own) * 2 ** int(number)))
+        sizes = own["size"].to_numpy()
+        for start in range(0, len(right), at_once):
+            others = right.iloc[start:start + at_once]
+            low, high = int(others["size"].iloc[0]), int(others["size"].iloc[-1])
+            near = own[(sizes * (200 - lowest) >= low * lowest) & (high * (200 - lowest) >= sizes * lowest)]
+            if not len(near):
+                continue
+            common = lcs_table(near["key"], others["key"])
+            total = near["size"].to_numpy() + others["size"].to_numpy()[:, None]
+            b, a = np.nonzero(common * 200 >= total * others["need"].to_numpy()[:, None])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(near["key"], pa.string()).take(pa.array(a)), pa.array(others["key"], pa.string()).take(pa.array(b)),
+                 pa.array(common[b, a] * 200.0 / total[b, a])], names=["key_a", "key_b", "score"])
 
 
 def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int, bounded: bool = False) -> DataFrame:
@@ -267,7 +327,7 @@ def similar_pairs(anchors: DataFrame, pool: DataFrame, threshold: int = 85, *,
     left = anchors.select(anchor).distinct().withColumn("key", token_sort(F.col(anchor)))
     right = pool.select(text).distinct().withColumn("key", token_sort(F.col(text)))
     pairs, once = _candidates(left, right, threshold, once=True)
-    scored = score_pairs(pairs, "key_a", "key_b", threshold, bounded=True)
+    scored = pairs if "score" in pairs.columns else score_pairs(pairs, "key_a", "key_b", threshold, bounded=True)
     if once:
         there, back = F.struct("key_a", "key_b"), F.struct(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))
         both = F.when(F.col("key_a") == F.col("key_b"), F.array(there)).otherwise(F.array(there, back))

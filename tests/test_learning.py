@@ -46,6 +46,21 @@ def test_only_three_names(spark):
     assert [s[3] for s in _suggested(spark, {"blue shop 9": ["blue shop 9"]}, shops)] == ["m0", "m1", "m2"]
 
 
+def test_suggestions_do_not_depend_on_how_pairs_are_found(spark, monkeypatch):
+    shops = [(f"s{i % 25}", f"Supplier#{i % 30:05d}", "x", "", "operating", [f"supplier#{i:05d} to", f"to {i % 7} supplier#{i:05d}"])
+             for i in range(40)] + [(None, "no id", "x", "", "operating", ["to supplier#00003 x"])] + SHOPS
+    clusters = {f"to supplier#{i:05d}": [f"to supplier#{i:05d}", "tesco", "other"][:1 + i % 3] for i in range(20)}
+    want = _suggested(spark, clusters, shops)
+    scored = []
+    plain = learning.best_pairs
+    monkeypatch.setattr(learning, "best_pairs", lambda *a: scored.append(1) or plain(*a))
+    monkeypatch.setattr("tallyspark.operators.similarity_join.FEW_PAIRS", 0)
+    for small in (True, False):
+        monkeypatch.setattr(learning, "is_small", lambda df: small)
+        assert _suggested(spark, clusters, shops) == want and not scored
+    assert {w[1] for w in want} == {"alias_exact", "name_fuzzy", "alias_fuzzy"}
+
+
 CLUSTERS = {"uk amazon": ["uk amazon", "amazon  uk"], "tesco": ["tesco", "tesco x"], "joe's cafe": ["joe's cafe"],
             "misc": ["misc"], "none": ["none"]}
 

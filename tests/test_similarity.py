@@ -227,6 +227,24 @@ def test_texts_that_share_most_keys_are_compared_once(spark, monkeypatch, cell):
     assert not any(a == "" or b == "" or "tesco" in (a, b) and a != b for a, b in pairs)
 
 
+@pytest.mark.parametrize("cell", [7, 2000])
+def test_compared_pairs_are_those_that_reach_their_threshold(spark, monkeypatch, cell):
+    monkeypatch.setattr(similarity_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(similarity_join, "CELL", cell)
+    monkeypatch.setattr(similarity_join, "TABLE_BYTES", 1000)
+    rnd = random.Random(cell)
+    long = ["".join(rnd.choice("ab") for _ in range(n)) for n in (64, 65, 66, 127, 128, 129, 200)]
+    left = [f"to supplier#{i * 37:09d}" for i in range(30)] + [t[:-1] + "c" for t in long] + ["", "caf\U0001f600 x"]
+    right = {**{t: 80 for t in left[5:] + long}, **{f"supplier#{i * 11:09d}": 85 for i in range(40)}, "": 80, "caf\U0001f600 y": 80}
+    texts = spark.createDataFrame([(t,) for t in left], "key string")
+    needs = spark.createDataFrame(list(right.items()) + [(t, 99) for t in right], "key string, need int")
+    found = similarity_join.compared_pairs(texts, needs).collect()
+    want = {(a, b): round(200 * lcs(a, b) / (len(a) + len(b)), 6) for a in left if a for b, t in right.items() if b and similar(a, b, t)}
+    assert {(r.key_a, r.key_b): round(r.score, 6) for r in found} == want and len(found) == len(want)
+    pairs = [tuple(r) for r in similarity_join.candidate_pairs(texts, needs.select("key"), 80).collect()]
+    assert sorted(pairs) == sorted((a, b) for a in left if a for b in right if b and similar(a, b, 80))
+
+
 def resolved(spark, monkeypatch, n, edges, not_ready=()):
     """Anchors that ``_resolve`` finds among texts 0..n-1, and how many tables it wrote."""
     written = []
