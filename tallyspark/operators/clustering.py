@@ -10,7 +10,8 @@ one round per ``FRONT`` of them that no anchor absorbs.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.similarity import may_reach, token_sort
 from tallyspark.functions.text import clean_key, date_text
-from tallyspark.operators.scale import cut_lineage, forget
-from tallyspark.operators.similarity_join import copies, join_keys, salt, score_pairs, shares
+from tallyspark.operators.scale import cut_lineage, forget, lookup_join
+from tallyspark.operators.similarity_join import copies, join_keys, salt, score_pairs, shares, with_subsequences
 from tallyspark.schema import UNCATEGORIZED, require_columns
 
 # What decides a range travels with its task, so executors need not have this package installed.
@@ -31,6 +32,9 @@ FRONT = 1000
 SAMPLE_ROWS = 5
 #: Rows (pairs of similar texts, 20 bytes each) of a range of ranks that one task goes through in order.
 RANGE_ROWS = 4_000_000
+#: Texts that one task goes through in rank order where similar texts share a key, and in how many parts they are stored.
+WALK_TEXTS = 400_000
+WALK_PARTS = 8
 OPEN, ANCHOR, COVERED = 0, 1, 2
 _END = -2
 _SAMPLE = ["date", "description", "paid_out", "paid_in", "source"]
@@ -55,12 +59,99 @@ def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) ->
     anchor. The new anchors, at most ``front`` per key, then meet the texts of their keys, and each
     text remembers the lowest anchor found. Thus no key ever emits all pairs of its texts, and the
     result is exactly that of going through the ranks one by one.
+
+    Where texts are similar exactly if they share a join key, no pairs are made at all: see ``_walk_in_ranges``.
     """
     texts = freq.select(F.col("description"), "count").withColumn("key", token_sort(F.col("description")))
     texts = cut_lineage(texts)
     # Texts of equal sorted form have the same neighbours, so one stands for all.
     rank = F.struct((-F.col("count")).alias("neg"), F.col("description").alias("text"))
     nodes = texts.groupBy("key").agg(F.min(rank).alias("rank"))
+    state = _walk_in_ranges(nodes, threshold)
+    if state is None:
+        state = _decide_in_fronts(nodes, threshold, front)
+    return (texts.join(state.select("key", F.col("owner.text").alias("anchor")), "key")
+            .select("description", "count", "anchor"))
+
+
+def _walk_in_ranges(nodes: DataFrame, threshold: int) -> DataFrame | None:
+    """The ``owner`` (a rank) of each node; None if there are texts that do not meet on subsequences alone.
+
+    Ranges of ranks are decided one after the other. The anchors of the ranges before cover what shares a key with them; the
+    rest goes through one task in order, which holds nothing but the keys of the anchors it finds. So every key of a text is
+    looked up, and no two texts meet unless one is an anchor.
+    """
+    nodes = cut_lineage(nodes)
+    ranges = -(-nodes.count() // WALK_TEXTS) or 1
+    keyed = with_subsequences(nodes.repartitionByRange(ranges * WALK_PARTS, "rank").withColumn(
+        "part", F.floor(F.spark_partition_id() / WALK_PARTS).cast("int")), threshold)
+    if keyed is None:
+        return None
+    keyed = cut_lineage(keyed)
+    decided, anchors = [], None
+    for number in range(ranges):
+        decided += _round(_decide_range_of_texts, keyed.filter(F.col("part") == number).drop("part"), anchors, threshold)
+        new = decided[-1].filter("is_anchor").select(F.explode("elements").alias("element"), "length", "owner")
+        anchors = new if anchors is None else anchors.unionByName(new)
+    return reduce(DataFrame.unionByName, [d.select("key", "owner") for d in decided])
+
+
+def _decide_range_of_texts(texts: DataFrame, anchors: DataFrame | None, threshold: int) -> list[DataFrame]:
+    """Texts that lower ``anchors`` cover and the rest, each with their ``owner``."""
+    if anchors is None:
+        met = texts.withColumn("found", F.lit(None).cast(texts.schema["rank"].dataType))
+    else:
+        owners = (anchors.groupBy("element", "length").agg(F.min("owner").alias("owner"))
+                  .groupBy("element").agg(F.collect_list(F.struct("owner", F.col("length").alias("size"))).alias("_anchors")))
+        each = texts.select("key", "length", F.explode("elements").alias("element"))
+        room = 200 * (F.length("element") - 1) - threshold * F.col("length")
+        near = F.filter("_anchors", lambda a: a["size"] * threshold <= room)
+        found = lookup_join(each, owners, "element").groupBy("key").agg(
+            F.min(F.array_min(F.transform(near, lambda a: a["owner"]))).alias("found"))
+        met = texts.join(found, "key", "left")
+    met = cut_lineage(met)
+    covered = met.filter("found is not null").select("key", F.col("found").alias("owner"))
+    walk = (met.filter("found is null").select("key", "rank.*", "length", "elements").repartition(1)
+            .sortWithinPartitions("neg", "text")
+            .mapInArrow(_walk(threshold), "key string, neg long, text string, is_anchor boolean, length int, elements array<string>"))
+    return [covered, cut_lineage(walk.withColumn("owner", F.struct("neg", "text")).drop("neg", "text"))]
+
+
+def _walk(threshold: int):
+    """Texts in rank order, each with the rank of its anchor; ``elements`` stay those of anchors."""
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks: list[tuple] = []
+        # For a key the anchors that have it, in order: their lengths and numbers. A longer one after a shorter adds nothing.
+        having: dict[str, list[tuple[int, int]]] = {}
+        for batch in batches:
+            owner, is_anchor, kept = [], [], []
+            for neg, text, length, elements in zip(*(batch.column(c).to_pylist() for c in ("neg", "text", "length", "elements"))):
+                lowest = len(ranks)
+                for element in elements:
+                    for size, number in having.get(element, ()):
+                        if number < lowest and threshold * (length + size) <= 200 * (len(element) - 1):
+                            lowest = number
+                            break
+                new = lowest == len(ranks)
+                if new:
+                    ranks.append((neg, text))
+                    for element in elements:
+                        shorter = having.setdefault(element, [])
+                        if not shorter or length < shorter[-1][0]:
+                            shorter.append((length, lowest))
+                owner.append(ranks[lowest])
+                is_anchor.append(new)
+                kept.append(elements if new else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([o[0] for o in owner], pa.int64()), pa.array([o[1] for o in owner], pa.string()),
+                 pa.array(is_anchor, pa.bool_()), batch.column("length"), pa.array(kept, pa.list_(pa.string()))],
+                names=["key", "neg", "text", "is_anchor", "length", "elements"])
+
+    return walked
+
+
+def _decide_in_fronts(nodes: DataFrame, threshold: int, front: int) -> DataFrame:
+    """The ``owner`` of each node from rounds over what the join keys show."""
     blocks = cut_lineage(join_keys(nodes.select("key"), threshold, front).filter("freq is null or freq > 1")
                          .select("key", "element"))
     lists = blocks.groupBy("element").count().filter("count > 1").select("element")
@@ -74,13 +165,17 @@ def cluster_members(freq: DataFrame, threshold: int = 85, front: int = FRONT) ->
         left = state.filter("owner is null").agg(F.count("*").alias("n"), F.min("rank").alias("lowest")).first()
         if left["n"] == 0:
             break
-        before, state = state, _round(state, blocks, left["lowest"], threshold, front, parts)
+        before, state = state, _round(_decide_front, state, blocks, left["lowest"], threshold, front, parts)
         forget([before])
-    return (texts.join(state.select("key", F.col("owner.text").alias("anchor")), "key")
-            .select("description", "count", "anchor"))
+    return state
+
+
+def _round(decide: Callable, *tables):
+    """One round of decisions; how many it takes is what grows with chains of texts."""
+    return decide(*tables)
 
 
-def _round(state: DataFrame, blocks: DataFrame, lowest, threshold: int, front: int, parts: int) -> DataFrame:
+def _decide_front(state: DataFrame, blocks: DataFrame, lowest, threshold: int, front: int, parts: int) -> DataFrame:
     # An owner below every undecided text is final.
     bound = F.struct(F.lit(lowest["neg"]).cast("long").alias("neg"), F.lit(lowest["text"]).alias("text"))
     open_to_change = F.col("owner").isNull() | (F.col("owner") > bound)

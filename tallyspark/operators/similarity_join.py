@@ -119,20 +119,23 @@ def elements(planned: DataFrame) -> DataFrame:
             .select("key", "kind", F.get("needs", F.col("kind")).alias("need"), F.explode(numbered).alias("element")))
 
 
-def subsequences(planned: DataFrame, most: int) -> DataFrame:
-    """Rows (key, element): what is left of a text without any choice of as many characters as its plan says."""
+def subsequences(most: int) -> Column:
+    """What is left of the text ``key`` without any choice of as many characters as ``left_out`` says, for each of its numbers."""
     def one_less(texts: Column) -> Column:
         return F.array_distinct(F.flatten(F.transform(texts, lambda s: F.transform(
             F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
 
-    each = planned.select("key", F.explode("left_out").alias("out"))
     by_number = [F.array("key")]
     for _ in range(most):
         by_number.append(one_less(by_number[-1]))
-    chosen = F.when(F.col("out") == 0, by_number[0])
-    for number, results in enumerate(by_number[1:], 1):
-        chosen = chosen.when(F.col("out") == number, results)
-    return each.select("key", F.explode(chosen).alias("element")).withColumn("element", F.concat(F.lit("="), "element"))
+
+    def chosen(out: Column) -> Column:
+        case = F.when(out == 0, by_number[0])
+        for number, results in enumerate(by_number[1:], 1):
+            case = case.when(out == number, results)
+        return case
+
+    return F.transform(F.flatten(F.transform("left_out", chosen)), lambda s: F.concat(F.lit("="), s))
 
 
 def rare_elements(all_elements: DataFrame, frequency: DataFrame, common_from: int = COMMON_FROM) -> DataFrame:
@@ -162,18 +165,38 @@ def join_keys(keys: DataFrame, threshold: int, common_from: int = COMMON_FROM) -
     ``freq`` is known of rare runs only. Blank texts have none. The lengths that occur are collected, at most as many as the
     longest text has characters.
     """
+    sized, plan, most, by_runs = _length_plan(keys, threshold)
+    planned = sized.join(F.broadcast(plan), "length")
+    exact = [] if most is None else [planned.select("key", F.explode(subsequences(most)).alias("element"), F.lit(None).cast("long").alias("freq"))]
+    if exact and not by_runs:
+        return exact[0]
+    runs = cut_lineage(elements(planned))
+    found = rare_elements(runs, element_frequency(runs), common_from)
+    return found.unionByName(exact[0]) if exact else found
+
+
+def _length_plan(keys: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, int | None, bool]:
+    """The texts that aren't blank with their ``length``, the plan of lengths, the most characters it leaves out, if any, and
+    whether it has runs."""
     _check(threshold)
     sized = keys.select("key", F.length("key").alias("length")).filter("length > 0")
     lengths = sorted(r[0] for r in sized.select("length").distinct().collect())
     plan = length_plan(lengths, threshold)
-    planned = sized.join(F.broadcast(keys.sparkSession.createDataFrame(plan, _PLAN)), "length")
     most = max((out[-1] for _, _, _, out in plan if out), default=None)
-    exact = [] if most is None else [subsequences(planned, most).select("key", "element", F.lit(None).cast("long").alias("freq"))]
-    if exact and not any(kinds for _, kinds, _, _ in plan):
-        return exact[0]
-    runs = cut_lineage(elements(planned))
-    found = rare_elements(runs, element_frequency(runs), common_from)
-    return found.unionByName(exact[0]) if exact else found
+    return sized, keys.sparkSession.createDataFrame(plan, _PLAN), most, any(kinds for _, kinds, _, _ in plan)
+
+
+def with_subsequences(texts: DataFrame, threshold: int) -> DataFrame | None:
+    """``texts`` with ``length`` and ``elements``, all join keys of the text ``key``; None if some need runs as keys.
+
+    Texts of lengths m and n are then similar exactly if they share an element of 1 + k characters, 200 k >= threshold (m + n).
+    """
+    _, plan, most, by_runs = _length_plan(texts, threshold)
+    if most is None or by_runs:
+        return None
+    planned = texts.withColumn("length", F.length("key")).join(F.broadcast(plan.select("length", "left_out")), "length", "left")
+    none = F.array().cast("array<string>")
+    return planned.withColumn("elements", F.coalesce(subsequences(most), none)).drop("left_out")
 
 
 def shares(keys: DataFrame) -> int:

@@ -227,6 +227,23 @@ def test_texts_that_share_most_keys_are_compared_once(spark, monkeypatch, cell):
     assert not any(a == "" or b == "" or "tesco" in (a, b) and a != b for a, b in pairs)
 
 
+@pytest.mark.parametrize("walked, small", [(400_000, True), (30, True), (13, False)])
+def test_texts_that_meet_if_similar_are_walked_in_ranges(spark, monkeypatch, walked, small):
+    """No pairs are made, whatever the lengths and however many ranges there are."""
+    rnd = random.Random(walked)
+    own = [f"Customer#{i:09d}" for i in rnd.sample(range(400), 120)] + [f"Customer#{i:010d}" for i in range(0, 300, 7)]
+    own += [t + "x" for t in own[::5]] + ["", "a", "ab", "ba", "abc", "7 Customer#00000001", "Customer#00000001 7", "caf\U0001f600", "caf\uffee"]
+    freq = {t: rnd.choice([1, 1, 2]) for t in own}
+    monkeypatch.setattr(clustering, "WALK_TEXTS", walked)
+    monkeypatch.setattr("tallyspark.operators.scale.is_small", lambda df, n=0: small)
+    rounds, pairs = [], []
+    plain = clustering._round
+    monkeypatch.setattr(clustering, "_round", lambda *a: rounds.append(1) or plain(*a))
+    monkeypatch.setattr(clustering, "score_pairs", lambda *a: pairs.append(1))
+    assert members(spark, freq, 94) == greedy(freq, 94)
+    assert len(rounds) == -(-len(freq) // walked) and not pairs
+
+
 @pytest.mark.parametrize("cell", [7, 2000])
 def test_compared_pairs_are_those_that_reach_their_threshold(spark, monkeypatch, cell):
     monkeypatch.setattr(similarity_join, "FEW_PAIRS", 0)
