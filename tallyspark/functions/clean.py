@@ -55,7 +55,8 @@ def _to_date(parts: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Day-first date; month-first only where day-first is impossible; null when unparseable.
 
-    The two usual shapes with ten characters are cut by position, all others go by pattern.
+    The two usual shapes with ten characters, and that with the month in three letters, are cut by position; others that hold
+    a digit go by pattern.
     """
     text = strip(c.cast("string"))
 
@@ -70,11 +71,15 @@ def parse_date(c: Column) -> Column:
     first, second, year = piece(1, 2), piece(4, 2), piece(7, 4)
     usual = F.coalesce(date(year, second, first), date(year, first, second))
     iso = F.coalesce(text.try_cast("date"), date(piece(1, 4), piece(9, 2), piece(6, 2)))
+    letters = F.instr(F.lit(MONTHS), F.lower(piece(4, 3)))
+    lettered = ((F.length(text) == 11) & (piece(3, 1) == " ") & (piece(7, 1) == " ") & (letters % 3 == 1)
+                & (digits == F.concat(F.lit(" "), piece(4, 3), F.lit(" "))))
     parts = F.transform(_in_order(text), lambda t: F.split(t, "-"))
     other = F.get(F.transform(parts, _to_date), F.lit(0))
     return (F.when(ten & (piece(3, 1) == "/") & (digits == "//"), usual)
             .when(ten & (piece(5, 1) == "-") & (digits == "--"), iso)
-            .otherwise(other))
+            .when(lettered, date(piece(8, 4), F.floor((letters + 2) / 3).cast("string"), piece(1, 2)))
+            .when(digits != text, other))
 
 
 def amount_digits(c: Column) -> Column:

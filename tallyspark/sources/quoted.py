@@ -48,9 +48,14 @@ def quoted_cell(delimiter: str) -> str:
     return f'{escaped(delimiter)}"[^"]*+(?:""[^"]*+)*+"'
 
 
+def without_quoted(cells: Column, delimiter: str) -> Column:
+    """``cells``, each with its separator before it, without the closed quoted ones."""
+    return F.regexp_replace(cells, quoted_cell(delimiter), "")
+
+
 def leaves_open(cells: Column, delimiter: str) -> Column:
     """Whether ``cells``, each with its separator before it, hold a quoted cell that is not closed."""
-    return F.contains(F.regexp_replace(cells, quoted_cell(delimiter), ""), F.lit(delimiter + '"'))
+    return F.contains(without_quoted(cells, delimiter), F.lit(delimiter + '"'))
 
 
 def _line_code(line: Column, delimiter: str) -> Column:

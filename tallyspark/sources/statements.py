@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import strip
 from tallyspark.operators.layouts import CELLS, identify_layout, standardize, with_reject_reason
 from tallyspark.operators.scale import cut_lineage, is_small, lookup_join
-from tallyspark.sources.quoted import escaped, join_records, leaves_open, quoted_cell
+from tallyspark.sources.quoted import escaped, join_records, quoted_cell, without_quoted
 
 HEADER_SCAN_DEPTH = 20
 # Separators in the order in which ties are decided.
@@ -83,23 +83,27 @@ def _per_delimiter(delimiter: Column, make) -> Column:
 
 
 def split_cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a line; a cell in double quotes may hold the separator and doubled quotes."""
-    def cells(d: str) -> Column:
+    """Cells of a line; a cell in double quotes may hold the separator and doubled quotes.
+
+    What does not depend on the separator is there once: a much larger expression becomes a method that is never compiled.
+    """
+    def found(d: str) -> Column:
         sep = escaped(d)
-        found = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(
+        return F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(
             f"({quoted_cell(d)}[^{sep}]*+|{sep}[^{sep}]*+)"), F.lit(1))
-        bare = F.transform(found, lambda c: c.substr(F.lit(2), F.length(c)))
-        unquoted = F.transform(bare, lambda c: F.when(
-            c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
-            F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-        return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.split(line, sep, -1))
 
-    return _per_delimiter(delimiter, cells)
+    bare = F.transform(_per_delimiter(delimiter, found), lambda c: c.substr(F.lit(2), F.length(c)))
+    unquoted = F.transform(bare, lambda c: F.when(
+        c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
+        F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    plain = F.split(line, F.when(delimiter == "|", escaped("|")).otherwise(delimiter), -1)
+    return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(plain)
 
 
 def open_quote(line: Column, delimiter: Column) -> Column:
     """True for a line with a quoted cell that is not closed in it."""
-    return _per_delimiter(delimiter, lambda d: F.contains(line, F.lit('"')) & leaves_open(F.concat(F.lit(d), line), d))
+    rest = _per_delimiter(delimiter, lambda d: without_quoted(F.concat(F.lit(d), line), d))
+    return F.contains(line, F.lit('"')) & F.contains(rest, F.concat(delimiter, F.lit('"')))
 
 
 def join_quoted_lines(lines: DataFrame, *, in_order: bool = False) -> DataFrame:

@@ -32,14 +32,16 @@ def write_staged(checked: DataFrame, path: str, mode: str = "overwrite") -> dict
     status = F.when(reason.isNull(), "valid").otherwise("rejected")
     rows = checked.observe(seen, *[c.alias(n) for n, c in counts.items()]).withColumn("status", status)
     # A task keeps a file open for each of the two folders, so its rows are not sorted by them; the rest of a task that reaches
-    # the number of writers would be.
-    conf, writers = checked.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
-    before = conf.get(writers)
-    conf.set(writers, max(3, int(before)))
+    # the number of writers would be. The JVM compiles no method of more than 8000 bytes: reading a row would be one.
+    conf, writers, method = checked.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.codegen.hugeMethodLimit"
+    before = {name: conf.get(name) for name in (writers, method)}
+    conf.set(writers, max(3, int(before[writers])))
+    conf.set(method, min(8000, int(before[method])))
     try:
         rows.write.mode(mode).partitionBy("status").parquet(path)
     finally:
-        conf.set(writers, before)
+        for name, value in before.items():
+            conf.set(name, value)
     return seen.get
 
 

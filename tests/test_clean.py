@@ -32,6 +32,15 @@ def test_dates(spark):
     assert got == DATES
 
 
+def test_dates_cut_by_position_equal_those_by_pattern(spark):
+    """The month in three letters: by position if there are two digits for the day and four for the year."""
+    dates = {"03 Apr 2024": "2024-04-03", "03 APR 2024": "2024-04-03", "31 Feb 2024": None, "29 Feb 2024": "2024-02-29",
+             "31 Dec 0099": "0099-12-31", "03 anf 2024": None, "0a Apr 2024": None, "03 Apr 20x4": None, "03 Apr  024": None,
+             "03/Apr/2024": "2024-04-03", "03  Ap 2024": None, "3 June 2024": "2024-06-03", "00 Apr 2024": None, "٣ Apr 2024x": None}
+    df = spark.createDataFrame([(k,) for k in dates], "v string").select("v", clean.parse_date(F.col("v")).alias("d"))
+    assert {r.v: r.d and r.d.isoformat() for r in df.collect()} == dates
+
+
 def test_typed_dates_pass_through(spark):
     df = spark.range(1).select(F.lit(datetime.date(2024, 4, 3)).alias("a"),
                                F.lit(datetime.datetime(2024, 4, 3, 9)).cast("timestamp").alias("b"))

@@ -116,6 +116,19 @@ LEDGER = [
 ]
 
 
+def test_reading_a_row_is_compiled(spark, tmp_path, monkeypatch):
+    """Cells are split in one place of the plan, and while rows are written no method may be too large to be compiled."""
+    _write(tmp_path / "raw")
+    checked = statements.stage(statements.read_raw_files(spark, str(tmp_path / "raw")))
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count(" split(") == 1
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: seen.append(spark.conf.get(limit)) or plain(*a, **k))
+    before = spark.conf.get(limit)
+    store.write_staged(checked, str(tmp_path / "staged"))
+    assert seen == ["8000"] and spark.conf.get(limit) == before
+
+
 def test_run_from_files_to_ledger(spark, tmp_path):
     raw, staged, ledger = _write(tmp_path / "raw"), str(tmp_path / "staged"), str(tmp_path / "ledger")
     shared = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
